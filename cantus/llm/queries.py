@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantus.llm import licenses, mixing, quality
+from cantus.llm import langid, licenses, lmscore, mixing, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(folds: int, fold: int):
+    """Rows whose crc32 of the id as text leaves this remainder."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) == fold
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train_model(docs, table(spark, sf_dir, "labels"), ~held_out(5, 0))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted", "margin")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_spans(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -20,15 +32,28 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.train_model(docs, ~held_out(3, 1)))
+    return found.select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = quality.line_rules(table(spark, sf_dir, "documents"))
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
     "op4_mixing": op4_mixing,
+    "op5_language_id": op5_language_id,
     "op7_quality_rules": op7_quality_rules,
+    "op10_lm_score": op10_lm_score,
 }
 
 _TEMPLATES = ", ".join(f"({i}, '{t}', '{label}')" for i, (t, label) in enumerate([*licenses.PHRASES, *licenses.NOTICES]))
