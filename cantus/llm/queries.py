@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantus.llm import langid, licenses, lmscore, mixing, quality, toxicity
+from cantus.llm import langid, licenses, lmscore, mixing, quality, setjoin, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_spans(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
@@ -50,6 +54,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
+    "op3_ngram_join": op3_ngram_join,
     "op4_mixing": op4_mixing,
     "op5_language_id": op5_language_id,
     "op7_quality_rules": op7_quality_rules,

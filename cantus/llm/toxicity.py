@@ -51,40 +51,42 @@ def coded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def raw_kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Gap-weighted subsequence kernel of order LENGTH of all rows of x with one row y, by the usual dynamic program."""
+    """Gap-weighted subsequence kernel of order LENGTH of words (columns of x, letters down) with one word y, by the usual dynamic program."""
     y = y[y > 0]
-    prev = np.ones((len(y) + 1, len(x), WIDTH + 1), np.float32)
-    for level in range(1, LENGTH):
-        cur = np.zeros_like(prev)
+    width, n = x.shape
+    hits = [(x == c) * np.float32(DECAY * DECAY) for c in y]
+    prev = None  # level 0 is 1 everywhere
+    for _ in range(1, LENGTH):
+        cur = np.zeros((len(y) + 1, width + 1, n), np.float32)
         for j in range(1, len(y) + 1):
-            hit = (x == y[j - 1]) * np.float32(DECAY * DECAY)
-            run = np.zeros(len(x), np.float32)
-            for i in range(1, WIDTH + 1):
-                run = DECAY * run + hit[:, i - 1] * prev[j - 1, :, i - 1]
-                cur[j, :, i] = DECAY * cur[j - 1, :, i] + run
+            run = np.zeros(n, np.float32)
+            for i in range(1, width + 1):
+                run *= DECAY
+                run += hits[j - 1][i - 1] if prev is None else hits[j - 1][i - 1] * prev[j - 1, i - 1]
+                np.multiply(cur[j - 1, i], DECAY, out=cur[j, i])
+                cur[j, i] += run
         prev = cur
-    out = np.zeros(len(x), np.float32)
-    for j in range(1, len(y) + 1):
-        hit = (x == y[j - 1]) * np.float32(DECAY * DECAY)
-        out += (hit * prev[j - 1, :, :WIDTH]).sum(1)
-    return out
+    return sum((hits[j] * prev[j, :width]).sum(0) for j in range(len(y)))
 
 
 def self_kernel(x: np.ndarray) -> np.ndarray:
-    """Kernel of each row with itself."""
-    n = len(x)
-    same = (x[:, :, None] == x[:, None, :]) & (x > 0)[:, :, None]
-    prev = np.ones((n, WIDTH + 1, WIDTH + 1), np.float32)
-    hit = same * np.float32(DECAY * DECAY)
-    for level in range(1, LENGTH):
-        cur = np.zeros_like(prev)
-        for j in range(1, WIDTH + 1):
+    """Kernel of each word (column of x) with itself."""
+    width, n = x.shape
+    hit = lambda i, j: ((x[i] == x[j]) & (x[i] > 0)) * np.float32(DECAY * DECAY)
+    prev, total = None, np.zeros(n, np.float32)
+    for _ in range(1, LENGTH):
+        cur = np.zeros((width + 1, width + 1, n), np.float32)
+        for j in range(1, width + 1):
             run = np.zeros(n, np.float32)
-            for i in range(1, WIDTH + 1):
-                run = DECAY * run + hit[:, i - 1, j - 1] * prev[:, i - 1, j - 1]
-                cur[:, i, j] = DECAY * cur[:, i, j - 1] + run
+            for i in range(1, width + 1):
+                run *= DECAY
+                run += hit(i - 1, j - 1) if prev is None else hit(i - 1, j - 1) * prev[i - 1, j - 1]
+                cur[i, j] = DECAY * cur[i, j - 1] + run
         prev = cur
-    return (hit * prev[:, :WIDTH, :WIDTH]).sum((1, 2))
+    for i in range(width):
+        for j in range(width):
+            total += hit(i, j) * prev[i, j]
+    return total
 
 
 @dataclass
@@ -93,19 +95,20 @@ class Model:
     norms: np.ndarray  # kernel of each landmark with itself
     weights: np.ndarray  # on the normalised kernel with each landmark: Nystroem map times SVM weights
     bias: float
-    slope: np.ndarray = field(default_factory=lambda: np.zeros(2))  # logistic: margin
-    letters: np.ndarray | None = None
+    slope: np.ndarray = field(default_factory=lambda: np.zeros(2))  # of the logistic function, and its intercept
 
     def similarities(self, rows: np.ndarray) -> np.ndarray:
+        """Normalised kernel of each row with each landmark; rows of like length are worked on together."""
         out = np.zeros((len(rows), len(self.landmarks)), np.float32)
-        for a in range(0, len(rows), 4096):
-            x = rows[a : a + 4096]
-            own = np.sqrt(np.maximum(self_kernel(x), 1e-12))
-            for k, y in enumerate(self.landmarks):
-                # a triple of shared letters is needed for a kernel above nothing
-                near = np.isin(x, y[y > 0]).sum(1) >= LENGTH
-                if near.any():
-                    out[a : a + 4096][near, k] = raw_kernel(x[near], y) / (own[near] * self.norms[k])
+        length = (rows > 0).sum(1)
+        for width in range(LENGTH, WIDTH + 1):
+            of = np.flatnonzero(length == width)
+            for a in range(0, len(of), 8192):
+                part = of[a : a + 8192]
+                x = np.ascontiguousarray(rows[part, :width].T)
+                own = np.sqrt(np.maximum(self_kernel(x), 1e-12))
+                for k, y in enumerate(self.landmarks):
+                    out[part, k] = raw_kernel(x, y) / (own * self.norms[k])
         return out
 
     def margins(self, words: list[bytes]) -> np.ndarray:
@@ -116,9 +119,6 @@ class Model:
             np.maximum.at(m, of, (self.similarities(rows) @ self.weights + self.bias).astype(np.float32))
         return m
 
-    def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope[0] * margin + self.slope[1], -30, 30)))
-
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 60, reg: float = 1e-3, seed: int = 5) -> tuple[np.ndarray, float]:
     """Linear SVM by stochastic subgradients with averaging."""
@@ -144,7 +144,7 @@ def fit(toxic: list[str], clean: list[str]) -> Model:
     enc = lambda xs: [x.encode() for x in xs]
     marks = [w for w in toxic[:LANDMARKS_TOXIC]] + [w for w in clean[:LANDMARKS_CLEAN]]
     lr, _ = coded([w[:WIDTH] for w in enc(marks)])
-    norms = np.sqrt(np.maximum(self_kernel(lr), 1e-12))
+    norms = np.sqrt(np.maximum(self_kernel(np.ascontiguousarray(lr.T)), 1e-12))
     model = Model(lr, norms, np.zeros(len(lr)), 0.0)
     k = model.similarities(lr)
     vals, vecs = np.linalg.eigh((k + k.T) / 2 + 1e-3 * np.eye(len(lr)))
