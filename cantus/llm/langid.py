@@ -138,17 +138,20 @@ def train_model(docs: DataFrame, train: Column, per_lang: int = SAMPLE_PER_LANG)
     return fit([(r["lang"], r["ids"], r["counts"]) for r in got]) if got else None
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id") -> DataFrame:
-    """id_col, lang_pred, score (calibrated probability), rejected for every row.
+def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (doc_id by default), lang_pred, score (calibrated probability), rejected for every row.
 
     Whole texts are scored. Texts that are null or hold no letter are ``und`` with score 0
     and rejected; so is every text if no labelled row was there to learn from.
-    Texts of under three bytes are judged by the bias alone. Repeated rows are scored alike.
+    Texts of under three bytes are judged by the bias alone. Repeated rows are scored alike; columns not in ``keep`` are ignored.
     """
-    schema = f"{id_col} bigint, lang_pred string, score double, rejected boolean"
-    cols = docs.select(F.col(id_col).cast("bigint").alias(id_col), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    keep = keep or ["doc_id"]
+    cols = docs.select(*dict.fromkeys([*keep, "text"])).withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     if model is None:
-        return cols.select(id_col, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+        return cols.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+    from pyspark.sql import types as T
+
+    schema = T.StructType([docs.schema[c] for c in keep]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,8 +170,8 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id") -> Dat
                         seen[full] += np.diff(at)[full]
                 p = m.probabilities(z / np.maximum(seen, 1)[:, None] + m.bias)
                 best[s.lo : s.hi], prob[s.lo : s.hi] = p.argmax(1), p.max(1)
-            letters = b.column("letters").to_numpy(zero_copy_only=False).astype(bool)
+            letters = b.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
             best[~letters], prob[~letters] = len(m.langs), 0.0
-            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(names[best], pa.string()), pa.array(prob), pa.array(~letters | (prob < m.floor))], names=[id_col, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(names[best], pa.string()), pa.array(prob), pa.array(~letters | (prob < m.floor))], names=[*keep, "lang_pred", "score", "rejected"])
 
     return cols.mapInArrow(score, schema)

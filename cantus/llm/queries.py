@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantus.llm import langid, licenses, lmscore, mixing, quality, setjoin, toxicity
+from cantus.llm import decontam, htmltext, langid, licenses, linededup, lmscore, mixing, quality, setjoin, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,11 +42,24 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines_removed")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = quality.line_rules(table(spark, sf_dir, "documents"))
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "overlap", "answer_overlap", "cosine", "start")
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score_documents(table(spark, sf_dir, "documents"))
 
@@ -57,7 +70,10 @@ QUERIES = {
     "op3_ngram_join": op3_ngram_join,
     "op4_mixing": op4_mixing,
     "op5_language_id": op5_language_id,
+    "op6_line_dedup": op6_line_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_decontamination": op8_decontamination,
+    "op9_html_text": op9_html_text,
     "op10_lm_score": op10_lm_score,
 }
 

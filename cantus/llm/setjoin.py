@@ -232,14 +232,11 @@ def near(a: Column, b: Column) -> Column:
     return check(a, b)
 
 
-def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that link, judged first by sizes and folded counts, then by the sets."""
     r = reps.select("cls", "n", "fold")
     x = pairs.join(r.toDF("a", "na", "fa"), "a").join(r.toDF("b", "nb", "fb"), "b")
     x = x.filter((100 * F.least("na", "nb") >= PER_CENT * F.greatest("na", "nb")) & near(F.col("fa"), F.col("fb"))).select("a", "b")
-    x = stable(x)
-    ids = x.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    sets = sets_table(docs, ids)
 
     @F.pandas_udf("boolean")
     def judge(p, q):
@@ -252,12 +249,11 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
             out.append(linked(int((u[at] == v).sum()), len(u), len(v)))
         return pd.Series(out)
 
-    sets = stable(sets)
     y = x.join(sets.toDF("a", "ea"), "a").join(sets.toDF("b", "eb"), "b")
     return y.filter(judge("ea", "eb")).select("a", "b")
 
 
-def deletions(docs: DataFrame, poor: DataFrame) -> DataFrame:
+def deletions(sets: DataFrame, poor: DataFrame) -> DataFrame:
     """sig, cls, whole, own: the segments of the classes in ``poor``, as they are and with each one element left out; own is the signature as it is."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +276,7 @@ def deletions(docs: DataFrame, poor: DataFrame) -> DataFrame:
             if sig:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sig, cls, whole, full)], names=["sig", "cls", "whole", "own"])
 
-    return sets_table(docs, poor).mapInArrow(work, "sig bigint, cls bigint, whole boolean, own bigint")
+    return sets.join(poor.select("cls"), "cls", "left_semi").mapInArrow(work, "sig bigint, cls bigint, whole boolean, own bigint")
 
 
 def between(members: DataFrame, comp: DataFrame) -> DataFrame:
@@ -313,31 +309,43 @@ def ngram_components(docs: DataFrame) -> DataFrame:
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(a, b): links between classes, enough of them to connect all that are connected."""
     sigs = docs.select("text").mapInArrow(signatures, "sig bigint, band int, cls bigint")
-    w = Window.partitionBy("sig")
-    shared = sigs.withColumn("lead", F.min("cls").over(w)).withColumn("last", F.max("cls").over(w)).filter("lead < last").select("sig", "band", "cls", "lead").distinct()
-    shared = stable(shared)
-    star = stable(verify(shared.filter("cls > lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct(), reps, docs))
+    shared = stable(met(sigs).distinct())
+    # a set that links shares all its non-empty segments but the differences, so that others drop out
+    bands = reps.select("cls", F.explode("bands").alias("x")).select("cls", F.col("x")[0].alias("band"), F.col("x")[1].alias("full"), F.col("x")[2].alias("many"), F.col("x")[3].alias("most"))
+    count = shared.groupBy("cls", "band").agg(F.count("*").alias("shared"))
+    alive = count.join(bands, ["cls", "band"]).filter(F.col("shared") >= F.col("full") - F.col("most"))
+    shared = stable(met(shared.drop("lead").join(alive.select("cls", "band"), ["cls", "band"], "left_semi")))
+    alive = shared.select("cls").distinct()
+    reps, sets = stable(reps.join(alive, "cls", "left_semi")), stable(sets_table(docs, alive))
+    star = stable(verify(shared.filter("cls > lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct(), reps, sets))
     comp = stable(connected(star))
 
     # the cost of a signature: classes that hold it
     sized = shared.join(shared.groupBy("sig").agg(F.count("*").alias("held")), "sig")
     rare, often = sized.filter(F.col("held") <= FREQUENT).select("sig", "cls"), stable(sized.filter(F.col("held") > FREQUENT).select("sig", "band", "cls"))
-    edges = star.union(stable(verify(between(rare, comp), reps, docs)))
-    poor = stable(poor_classes(often, reps))
+    edges = star.union(stable(verify(between(rare, comp), reps, sets)))
+    poor = stable(poor_classes(often, bands.join(alive, "cls", "left_semi")))
     if poor.isEmpty():
         return edges
     comp = stable(connected(edges))
     hot = often.select(F.col("sig").alias("own")).distinct().withColumn("hot", F.lit(True))
-    ring = stable(deletions(docs, poor).join(hot, "own", "left").select("sig", "cls", "whole", F.col("hot").isNull().alias("cold")))
+    ring = stable(deletions(sets, poor).join(hot, "own", "left").select("sig", "cls", "whole", F.col("hot").isNull().alias("cold")))
     whole, cut = ring.filter("whole").select("sig", F.col("cls").alias("p"), "cold"), ring.filter("not whole").select("sig", F.col("cls").alias("q"), "cold")
-    met = whole.filter("cold").drop("cold").join(cut.drop("cold"), "sig").union(whole.filter("not cold").drop("cold").join(cut.filter("cold").drop("cold"), "sig"))
-    pairs = met.filter("p != q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    edges = edges.union(stable(verify(apart(pairs, comp), reps, docs)))
+    pairs = whole.filter("cold").drop("cold").join(cut.drop("cold"), "sig").union(whole.filter("not cold").drop("cold").join(cut.filter("cold").drop("cold"), "sig"))
+    pairs = pairs.filter("p != q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    edges = edges.union(stable(verify(apart(pairs, comp), reps, sets)))
     last = poor.filter("short").select("cls")
     if last.isEmpty():
         return edges
     comp = stable(connected(edges))
-    return edges.union(stable(verify(between(often.join(last, "cls", "left_semi").select("sig", "cls"), comp), reps, docs)))
+    return edges.union(stable(verify(between(often.join(last, "cls", "left_semi").select("sig", "cls"), comp), reps, sets)))
+
+
+def met(sigs: DataFrame) -> DataFrame:
+    """sig, band, cls, lead: the signatures that more than one class holds, with the smallest of these."""
+    w = Window.partitionBy("sig")
+    x = sigs.select("sig", "band", "cls").withColumn("lead", F.min("cls").over(w)).withColumn("last", F.max("cls").over(w))
+    return x.filter("lead < last").drop("last")
 
 
 def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -346,13 +354,12 @@ def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return x.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def poor_classes(often: DataFrame, reps: DataFrame) -> DataFrame:
+def poor_classes(often: DataFrame, bands: DataFrame) -> DataFrame:
     """cls, short: classes whose rare segments don't outnumber the differences they may have in some band.
 
     short: not even when those of two elements or more count twice.
     """
     held = often.groupBy("cls", "band").agg(F.count("*").alias("frequent"))
-    b = reps.select("cls", F.explode("bands").alias("x")).select("cls", F.col("x")[0].alias("band"), F.col("x")[1].alias("full"), F.col("x")[2].alias("many"), F.col("x")[3].alias("most"))
-    x = b.join(held, ["cls", "band"], "left").withColumn("frequent", F.coalesce("frequent", F.lit(0)))
+    x = bands.join(held, ["cls", "band"], "left").withColumn("frequent", F.coalesce("frequent", F.lit(0)))
     cold, twice = F.col("full") - F.col("frequent"), F.greatest(F.lit(0), F.col("many") - F.col("frequent"))
     return x.filter(cold <= F.col("most")).groupBy("cls").agg(F.max(cold + twice <= F.col("most")).alias("short"))
