@@ -23,7 +23,7 @@ BUCKETS = 1 << 16
 ORDERS = (3, 4)
 DIM = 16
 #: Labelled rows for training: about so many of each language at most.
-SAMPLE_PER_LANG = 700
+SAMPLE_PER_LANG = 600
 
 
 def gram_runs(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -47,17 +47,17 @@ def gram_runs(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np
 
 
 def bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, text to lang, ids, counts: the distinct buckets of each text."""
+    """lang, text to lang, ids, counts: the distinct buckets of each text, as bytes of 32-bit numbers."""
     for b in batches:
-        langs, ids, counts, at = b.column("lang").to_pylist(), [], [], 0
+        langs, ids, counts = b.column("lang").to_pylist(), [], []
         for s in slices(b.column("text")):
             runs = list(gram_runs(s.data, s.at))
             for i in range(s.hi - s.lo):
                 own = [h[at[i] : at[i + 1]] for h, at in runs]
                 u, c = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint32), return_counts=True)
-                ids.append(u.astype(np.int32))
-                counts.append(c.astype(np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["lang", "ids", "counts"])
+                ids.append(u.astype(np.int32).tobytes())
+                counts.append(c.astype(np.int32).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["lang", "ids", "counts"])
 
 
 @dataclass
@@ -134,8 +134,8 @@ def sample(docs: DataFrame, train: Column, per_lang: int) -> DataFrame:
 
 def train_model(docs: DataFrame, train: Column, per_lang: int = SAMPLE_PER_LANG) -> Model | None:
     """Fit on a bounded sample of the labelled rows that ``train`` marks; None without any."""
-    got = sample(docs, train, per_lang).mapInArrow(bucket_counts, "lang string, ids array<int>, counts array<int>").orderBy("lang", F.xxhash64("ids")).collect()
-    return fit([(r["lang"], r["ids"], r["counts"]) for r in got]) if got else None
+    got = sample(docs, train, per_lang).mapInArrow(bucket_counts, "lang string, ids binary, counts binary").orderBy("lang", F.xxhash64("ids")).collect()
+    return fit([(r["lang"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in got]) if got else None
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
