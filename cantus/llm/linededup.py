@@ -16,8 +16,8 @@ BUCKETS = 1 << 16
 #: Bits of the filter that lets only candidate lines through to verification; saturation costs time, not results.
 FILTER_BITS = 1 << 22
 
-#: How a line is cut into tokens: lower case, single spaces.
-TOKENS = "filter(split(lower(line), ' '), t -> t != '')"
+#: Code of the empty string between two spaces, which is no token.
+NOTHING = -1
 
 
 def numbers(similarity: float) -> tuple[int, int]:
@@ -36,8 +36,8 @@ def row_key() -> Column:
 
 
 def rarity(docs: DataFrame) -> DataFrame:
-    """One row: hist, the array of how many lines hold a token of each hash bucket, capped at 2**22."""
-    tokens = lines_of(docs).select(F.explode(F.expr(TOKENS)).alias("t")).select(F.pmod(F.xxhash64("t"), F.lit(BUCKETS)).cast("int").alias("b"))
+    """One row: hist, the array of how often tokens of each hash bucket occur, capped at 2**22."""
+    tokens = docs.select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("t")).filter("t != ''").select(F.pmod(F.xxhash64("t"), F.lit(BUCKETS)).cast("int").alias("b"))
     n = tokens.groupBy("b").agg(F.count("*").alias("n"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
     dense = every.join(n, "b", "left").select("b", F.least(F.coalesce("n", F.lit(0)), F.lit(1 << 22)).alias("n"))
@@ -48,8 +48,9 @@ def rarity(docs: DataFrame) -> DataFrame:
 def with_codes(lines: DataFrame, hist: DataFrame) -> DataFrame:
     """Add codes: the line's distinct tokens as numbers, rarest first; a code's high bits are its frequency, the low ones its hash."""
     lines = lines.withColumn("hist", hist.scalar())
-    code = f"transform({TOKENS}, t -> shiftleft(element_at(hist, cast(pmod(xxhash64(t), {BUCKETS}) as int) + 1), 40) | (shiftright(xxhash64(t), 7) & 1099511627775L))"
-    return lines.withColumn("codes", F.expr(f"sort_array(array_distinct({code}))")).drop("hist")
+    code = f"transform(split(lower(line), ' '), t -> if(t = '', {NOTHING}L, xxhash64(t)))"
+    code = f"transform({code}, h -> if(h = {NOTHING}L, h, shiftleft(element_at(hist, cast(pmod(h, {BUCKETS}) as int) + 1), 40) | (shiftright(h, 7) & 1099511627775L)))"
+    return lines.withColumn("codes", F.expr(f"sort_array(array_remove(array_distinct({code}), {NOTHING}L))")).drop("hist")
 
 
 def bits(k: int) -> str:
@@ -66,26 +67,26 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     p, q = numbers(similarity)
     hist = rarity(docs)
     lines = lines_of(docs).withColumn("lid", F.xxhash64("line"))
-    at = F.struct("doc_id", "rk", "line_no")
-    first = lines.groupBy("lid").agg(F.min(at).alias("at"), F.min("line").alias("line"))
-    coded = with_codes(first, hist)
-    coded = coded.withColumn("n", F.size("codes")).withColumn("s1", F.expr(bits(0))).withColumn("s2", F.expr(bits(2)))
     # any two sets that match share one of their n - ceil(similarity * n) + 1 rarest tokens
-    prefix = F.expr(f"slice(codes, 1, n - cast(ceil(n * {p} / {q}) as int) + 1)")
-    rows = coded.select("lid", "at", "n", "s1", "s2", F.posexplode(prefix).alias("i", "code"))
-    known = Window.partitionBy("code")
-    me = F.struct("at", "lid", "n", "i", "s1", "s2")
-    star = rows.withColumn("lead", F.min(me).over(known)).withColumn("held", F.count("*").over(known)).filter("held > 1")
-    star = star.withColumn("ok", (F.col("lead.lid") != F.col("lid")) & may_match(F.col("lead"), me, p, q))
-    star = stable(star)
-    pairs = star.filter("ok").select("lid", F.col("lead.lid").alias("other")).distinct()
+    coded = with_codes(lines, hist).withColumn("n", F.size("codes")).select(
+        "lid", F.struct("doc_id", "rk", "line_no", "n", F.expr(bits(0)).alias("s1"), F.expr(bits(2)).alias("s2"), F.expr(f"slice(codes, 1, n - cast(ceil(n * {p} / {q}) as int) + 1)").alias("prefix")).alias("x")
+    )
+    first = coded.groupBy("lid").agg(F.min("x").alias("x")).select("lid", "x.*")
+    # first the bare pairs of token and line, as most of the rare tokens are in one line only
+    rows = first.select("lid", F.posexplode("prefix").alias("i", "code"))
+    held = Window.partitionBy("code")
+    shared = rows.withColumn("lo", F.min("lid").over(held)).withColumn("hi", F.max("lid").over(held)).filter("lo < hi").select("lid", "code", "i")
+    star = shared.join(first.select("lid", "doc_id", "line_no", "n", "s1", "s2"), "lid")
+    me = F.struct("doc_id", "line_no", "lid", "n", "i", "s1", "s2")
+    star = star.select("code", me.alias("me"), F.min(me).over(held).alias("lead"))
+    pairs = star.filter((F.col("lead.lid") != F.col("me.lid")) & may_match(F.col("lead"), F.col("me"), p, q)).select(F.col("me.lid").alias("lid"), F.col("lead.lid").alias("other")).distinct()
     gone = stable(matching(docs, hist, pairs, p, q))
     # lines that their groups' earliest line doesn't explain are compared with all earlier ones of the groups
-    rest = star.join(gone, "lid", "left_anti").select("code", "lid", "at", "n", "i", "s1", "s2")
-    all_rows = star.select(F.col("code"), F.struct("at", "lid", "n", "i", "s1", "s2").alias("o"))
-    more = rest.join(all_rows, "code").filter((F.col("o.at") < F.col("at")) & may_match(F.col("o"), me, p, q)).select("lid", F.col("o.lid").alias("other")).distinct()
+    mine, other = star.select("code", "me", F.col("me.lid").alias("lid")).join(gone, "lid", "left_anti").drop("lid"), star.select("code", F.col("me").alias("o"))
+    more = mine.join(other, "code").filter((F.col("o") < F.col("me")) & may_match(F.col("o"), F.col("me"), p, q)).select(F.col("me.lid").alias("lid"), F.col("o.lid").alias("other")).distinct()
     gone = gone.union(matching(docs, hist, more, p, q)).distinct()
-    later = lines.select("rk", "line_no", "lid", at.alias("here")).join(first.select("lid", "at"), "lid").join(gone.withColumn("near", F.lit(True)), "lid", "left")
+    where = first.select("lid", F.struct("doc_id", "rk", "line_no").alias("at"))
+    later = lines.select("rk", "line_no", "lid", F.struct("doc_id", "rk", "line_no").alias("here")).join(where, "lid").join(gone.withColumn("near", F.lit(True)), "lid", "left")
     return later.filter((F.col("here") > F.col("at")) | F.col("near")).select("rk", "line_no").distinct()
 
 
@@ -125,7 +126,7 @@ def matching(docs: DataFrame, hist: DataFrame, pairs: DataFrame, p: int, q: int)
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents with later copies and near copies of lines removed from their texts; adds n_lines_removed.
 
-    A line is compared as its set of lower-cased words between single spaces;
+    A line is compared as its set of lower-cased words between spaces;
     lines without one are kept, and don't count. Null texts stay null. Rows that repeat both
     doc_id and text are one document: its lines are kept in each of the rows.
     Documents whose every worded line went keep what is left, an empty text at
