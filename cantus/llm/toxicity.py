@@ -24,7 +24,7 @@ from cantus.llm.bytesoup import SPACES, slices
 LENGTH, DECAY = 3, 0.6
 #: Letters of a word that the kernel sees; longer words are seen in overlapping parts.
 WIDTH, STEP = 16, 8
-LANDMARKS_TOXIC, LANDMARKS_CLEAN = 28, 12
+LANDMARKS_TOXIC, LANDMARKS_CLEAN = 20, 8
 #: Labelled documents that are learnt from, about so many of each label at most.
 SAMPLE_PER_LABEL = 3000
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
@@ -113,13 +113,26 @@ class Model:
 
     def margins(self, words: list[bytes]) -> np.ndarray:
         """Margin of each word: the largest of its parts."""
-        rows, of = coded(words)
-        m = np.full(len(words), -1.0, np.float32)
+        return self.of_rows(*coded(words), len(words))
+
+    def of_rows(self, rows: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+        m = np.full(n, -1.0, np.float32)
         if len(rows):
             np.maximum.at(m, of, (self.similarities(rows) @ self.weights + self.bias).astype(np.float32))
         return m
 
 
+def coded_at(s, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As coded(), of the words ``at`` of a slice; those of letters only and of WIDTH at most are read all at once."""
+    size = s.end[at] - s.start[at]
+    place = s.start[at][:, None] + np.arange(WIDTH)
+    inside = np.arange(WIDTH) < size[:, None]
+    rows = np.where(inside, CODE[s.data[np.minimum(place, len(s.data) - 1)]], 0).astype(np.int8)
+    plain = (size <= WIDTH) & ((rows > 0) == inside).all(1)
+    more, of = coded([s.word(k) for k in at[~plain]])
+    return np.concatenate([rows[plain], more]), np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)[of]])
+
+
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 60, reg: float = 1e-3, seed: int = 5) -> tuple[np.ndarray, float]:
     """Linear SVM by stochastic subgradients with averaging."""
     rng, w, b = np.random.default_rng(seed), np.zeros(x.shape[1]), 0.0
@@ -230,26 +243,35 @@ def margins_of(df: DataFrame, model: Model, keep: str) -> DataFrame:
         known, value = np.zeros(0, np.uint64), np.zeros(0, np.float32)
         for b in batches:
             best = np.full(b.num_rows, -1.0, np.float32)
+            seen, fresh, rows, of, n = [], [], [], [], 0
             for s in slices(b.column("text"), SPACES):
                 h = s.hashes()
                 if not len(h):
                     continue
                 u, at, inv = np.unique(h, return_index=True, return_inverse=True)
-                pos = np.searchsorted(known, u)
-                pos[pos == len(known)] = 0
+                full = np.flatnonzero(np.diff(s.first) > 0)
+                seen.append((u, inv.astype(np.int32), s.lo + full, s.first[full]))
+                pos = np.minimum(np.searchsorted(known, u), max(0, len(known) - 1))
                 new = known[pos] != u if len(known) else np.ones(len(u), bool)
-                m = np.where(new, 0, value[pos]).astype(np.float32) if len(known) else np.zeros(len(u), np.float32)
-                if new.any():
-                    m[new] = model.margins([s.word(k) for k in at[new]])
-                    if len(known) > 2_000_000:  # bounded memory: start over
-                        known, value = np.zeros(0, np.uint64), np.zeros(0, np.float32)
-                    known, value = np.concatenate([known, u[new]]), np.concatenate([value, m[new]])
-                    order = np.argsort(known, kind="stable")
-                    known, value = known[order], value[order]
-                word, full = m[inv], np.flatnonzero(np.diff(s.first) > 0)
-                best[s.lo + full] = np.maximum.reduceat(word, s.first[full])
+                r, k = coded_at(s, at[new])
+                rows.append(r)
+                of.append(k + n)
+                fresh.append(u[new])
+                n += int(new.sum())
                 for text, joined in single_runs(s):
                     best[s.lo + text] = max(best[s.lo + text], float(model.margins([joined])[0]))
+            if n:
+                # words that are new to the worker, of the whole batch at once
+                m = model.of_rows(np.concatenate(rows), np.concatenate(of), n)
+                if len(known) > 2_000_000:  # bounded memory: keep what this batch needs
+                    need = np.unique(np.concatenate([u for u, *_ in seen]))
+                    keep = np.isin(known, need, assume_unique=True)
+                    known, value = known[keep], value[keep]
+                known, first = np.unique(np.concatenate([known, *fresh]), return_index=True)
+                value = np.concatenate([value, m])[first]
+            for u, inv, text, start in seen:
+                word = value[np.searchsorted(known, u)][inv]
+                best[text] = np.maximum(best[text], np.maximum.reduceat(word, start))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(best.astype(np.float64))], names=[*names, "margin"])
 
     return df.select(*names, "text").mapInArrow(work, f"{keep}, margin double")
