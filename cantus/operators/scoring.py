@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -206,24 +208,29 @@ def band_report(outcomes: DataFrame, band: Column, names: list[str]) -> DataFram
 def fit_logistic(outcomes: DataFrame, rounds: int = 100, tolerance: float = 1e-10) -> tuple[float, float, int] | None:
     """Slope, intercept and rounds of a logistic of margin for the right share of the seconds, by Newton steps.
 
-    Each round is one aggregation of five sums; only they come to the driver. None with fewer than two margins or shares.
+    Each round is one aggregation of six sums; only they come to the driver. A step that makes the fit worse is halved. None with fewer than two margins or shares.
     """
     x = outcomes.filter("margin is not null and seconds > 0").select("margin", "seconds", (F.col("correct_seconds") / F.col("seconds")).alias("share"))
     n = x.agg(F.count_distinct("margin").alias("m"), F.count_distinct("share").alias("s")).collect()[0]
     if n["m"] < 2 or n["s"] < 2:
         return None
     x = x.cache()
-    a, b = 8.0, 0.0
+    a, b, before, step = 8.0, 0.0, math.inf, (0.0, 0.0)
     for k in range(1, rounds + 1):
-        z = F.greatest(F.lit(-500.0), F.least(F.lit(500.0), F.col("margin") * a + b))
+        z = F.greatest(F.lit(-300.0), F.least(F.lit(300.0), F.col("margin") * a + b))
         p = 1 / (1 + F.exp(-z))
         w, e = F.col("seconds") * p * (1 - p), F.col("seconds") * (F.col("share") - p)
-        g = x.agg(F.sum(w * F.col("margin") ** 2).alias("mm"), F.sum(w * F.col("margin")).alias("m"), F.sum(w).alias("o"), F.sum(e * F.col("margin")).alias("em"), F.sum(e).alias("e")).collect()[0]
+        g = x.agg(F.sum(w * F.col("margin") ** 2).alias("mm"), F.sum(w * F.col("margin")).alias("m"), F.sum(w).alias("o"), F.sum(e * F.col("margin")).alias("em"), F.sum(e).alias("e"), F.sum(F.col("seconds") * (F.log1p(F.exp(z)) - F.col("share") * z)).alias("loss")).collect()[0]
+        if g["loss"] > before * (1 + 1e-12):  # the step was too long: half of it
+            step = (step[0] / 2, step[1] / 2)
+            a, b = a - step[0], b - step[1]
+            continue
+        before = g["loss"]
         det = g["mm"] * g["o"] - g["m"] ** 2
         if abs(det) < 1e-300:
             break
         da, db = (g["em"] * g["o"] - g["e"] * g["m"]) / det, (g["e"] * g["mm"] - g["em"] * g["m"]) / det
-        a, b = a + da, b + db
+        a, b, step = a + da, b + db, (da, db)
         if max(abs(da), abs(db)) < tolerance:
             break
     x.unpersist()
