@@ -71,11 +71,11 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     coded = with_codes(lines, hist).withColumn("n", F.size("codes")).select(
         "lid", F.struct("doc_id", "rk", "line_no", "n", F.expr(bits(0)).alias("s1"), F.expr(bits(2)).alias("s2"), F.expr(f"slice(codes, 1, n - cast(ceil(n * {p} / {q}) as int) + 1)").alias("prefix")).alias("x")
     )
-    first = coded.groupBy("lid").agg(F.min("x").alias("x")).select("lid", "x.*")
+    first = stable(coded.groupBy("lid").agg(F.min("x").alias("x")).select("lid", "x.*"))
     # first the bare pairs of token and line, as most of the rare tokens are in one line only
     rows = first.select("lid", F.posexplode("prefix").alias("i", "code"))
     held = Window.partitionBy("code")
-    shared = rows.withColumn("lo", F.min("lid").over(held)).withColumn("hi", F.max("lid").over(held)).filter("lo < hi").select("lid", "code", "i")
+    shared = stable(rows.withColumn("lo", F.min("lid").over(held)).withColumn("hi", F.max("lid").over(held)).filter("lo < hi").select("lid", "code", "i"))
     star = shared.join(first.select("lid", "doc_id", "line_no", "n", "s1", "s2"), "lid")
     me = F.struct("doc_id", "line_no", "lid", "n", "i", "s1", "s2")
     star = star.select("code", me.alias("me"), F.min(me).over(held).alias("lead"))
