@@ -9,8 +9,11 @@ from cantus.functions import labels as L
 from cantus.functions import scalars as S
 from cantus.operators import frames as FR
 from cantus.operators import scoring as SC
+from cantus.operators import seams as SE
 from cantus.operators import timeline as TL
 from cantus.sources import derived as D
+from cantus.sources import timed_text as TT
+from cantus.streaming import jobs as J
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -356,3 +359,71 @@ def a2_engine_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a8_parity_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = D.read(spark, sf_dir, "part").select(F.col("p_name").alias("name"), "p_partkey")
     return p.withColumn("held_out", (F.row_number().over(Window.orderBy("name", "p_partkey")) - 1) % 2 == 1)
+
+
+# what windows of 24 hours with 6 hours in common report: the events that touch them, cut to them
+_WIN = f"""{_REF}, cutup AS (SELECT song_id, i AS idx, seq, greatest(start, i * {18 * HOUR}) AS start, least("end", i * {18 * HOUR} + {24 * HOUR}) AS "end", label, CASE WHEN seq % 2 = 0 THEN 'a' END AS source
+ FROM (SELECT *, unnest(range(greatest(0, (start - {24 * HOUR}) // {18 * HOUR} - 1), "end" // {18 * HOUR} + 1)) AS i FROM ref) WHERE start < i * {18 * HOUR} + {24 * HOUR} AND "end" > i * {18 * HOUR})"""
+
+
+def _windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = D.reference(spark, sf_dir)
+    first = F.greatest(F.lit(0), F.floor((F.col("start") - 24 * HOUR) / (18 * HOUR)))
+    x = x.withColumn("idx", F.explode(F.sequence(first, F.floor(F.col("end") / (18 * HOUR)))))
+    start, end = F.col("idx") * 18 * HOUR, F.col("idx") * 18 * HOUR + 24 * HOUR
+    x = x.filter((F.col("start") < end) & (F.col("end") > start))
+    return x.select("song_id", "idx", "seq", F.greatest("start", start).alias("start"), F.least("end", end).alias("end"), "label", F.when(F.col("seq") % 2 == 0, "a").alias("source"))
+
+
+@query(f"""WITH {_WIN}, reach AS (SELECT song_id, idx, max("end") AS e FROM cutup GROUP BY ALL), f AS (SELECT c.song_id, c.idx, c.seq, c.start, c."end", c.label, c.source, max(r.e) AS f FROM cutup c LEFT JOIN reach r ON r.song_id = c.song_id AND r.idx < c.idx GROUP BY ALL),
+kept AS (SELECT song_id, idx, seq, greatest(start, coalesce(f, start)) AS start, "end", label, source FROM f WHERE f IS NULL OR start >= f OR "end" > f),
+b AS (SELECT *, lag(idx) OVER w AS pi, lag("end") OVER w AS pe, lag(label) OVER w AS pl, lag(source) OVER w AS ps FROM kept WINDOW w AS (PARTITION BY song_id ORDER BY idx, seq)),
+g AS (SELECT *, sum(CASE WHEN pi <> idx AND pl = label AND ps IS NOT DISTINCT FROM source AND start BETWEEN pe AND pe + 50000 THEN 0 ELSE 1 END) OVER (PARTITION BY song_id ORDER BY idx, seq) - 1 AS g FROM b)
+SELECT song_id, CAST(g AS BIGINT) AS seq, min(start) AS start, max("end") AS "end", any_value(label) AS label, any_value(source) AS source FROM g GROUP BY song_id, g""")
+def w7_merge_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SE.merge_windows(_windowed(spark, sf_dir), 50_000)
+
+
+@query(f"""WITH {_WIN}, w AS (SELECT song_id, idx, count(*) AS n, max(label) AS top FROM cutup GROUP BY ALL) SELECT song_id, min(idx) AS engine, count(*) AS windows, CASE WHEN min(n) = max(n) THEN min(n) END AS confidence,
+CASE WHEN count(*) = count(CASE WHEN n % 20 <> 19 THEN 1 END) THEN CAST(sum(n) AS BIGINT) END AS processing_seconds, count(DISTINCT top) AS n_warnings FROM w GROUP BY song_id""")
+def a16_windowed_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _windowed(spark, sf_dir).groupBy("song_id", "idx").agg(F.count("*").alias("confidence"), F.array(F.max("label")).alias("warnings"))
+    w = w.withColumn("engine", F.col("idx")).withColumn("processing_seconds", F.when(F.col("confidence") % 20 != 19, F.col("confidence")))
+    return SE.roll_up(w).withColumn("n_warnings", F.size("warnings")).drop("warnings")
+
+
+# tokens: the turns' texts in pieces, a mark before each word, and words of over four letters in two pieces
+_TOK = """t AS (SELECT conv_id AS song_id, turn AS idx, unnest(regexp_split_to_array(text, '[ \\t\\r\\n]+')) AS w, generate_subscripts(regexp_split_to_array(text, '[ \\t\\r\\n]+'), 1) - 1 AS i FROM conversations WHERE text IS NOT NULL)"""
+
+
+@query(f"""WITH {_TOK}, k AS (SELECT *, i = min(i) OVER (PARTITION BY song_id, idx) OR regexp_matches(w, '[\\p{{L}}\\p{{N}}]') AS opens FROM t WHERE regexp_matches(w, '\\S')), g AS (SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY song_id, idx ORDER BY i) - 1 AS word_no FROM k),
+m AS (SELECT song_id, idx, word_no, string_agg(regexp_replace(w, '^\\s+|\\s+$', '', 'g'), '' ORDER BY i) AS text, min(i) * 0.5 AS start FROM g GROUP BY ALL)
+SELECT song_id, idx, CAST(word_no AS BIGINT) AS word_no, text, start, lead(start) OVER (PARTITION BY song_id, idx ORDER BY word_no) AS "end" FROM m""")
+def w9_words_of_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = D.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("song_id"), F.col("turn").alias("idx"), F.posexplode(F.split("text", r"[ \t\r\n]+")).alias("i", "w"))
+    halves = F.array(F.struct(F.lit(0).alias("k"), F.concat(F.lit(SE.WORD_MARK), F.substring("w", 1, 4)).alias("token")), F.struct(F.lit(1).alias("k"), F.expr("substring(w, 5)").alias("token")))
+    x = c.withColumn("h", F.explode(halves)).select("song_id", "idx", (F.col("i") * 2 + F.col("h.k")).alias("token_no"), "h.token", (F.col("i") * 0.5).alias("ts"))
+    return SE.words_of_tokens(x)
+
+
+# lines of documents as stamped lines: minutes and seconds from the line's number
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, i, trim(regexp_replace(replace(line, chr(13), ' '), '\\s+', ' ', 'g')) AS text, (i * 7) % 600 + 0.25 AS start FROM l),
+n AS (SELECT *, lead(start) OVER (PARTITION BY doc_id ORDER BY start, i) AS "end" FROM c)
+SELECT doc_id, count(*) AS lines, sum(length(text)) AS chars, sum("end" - start) AS seconds, count("end") AS closed FROM n GROUP BY doc_id""")
+def r6_stamped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda i: F.format_string("[%02d:%02d.25]", (F.floor(i * 7 / 60) % 10).cast("int"), (i * 7 % 60).cast("int"))
+    lines = F.transform(F.split(F.replace("text", F.lit("\r"), F.lit(" ")), "\n"), lambda line, i: F.concat(at(i), line))
+    texts = D.read(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("name"), F.array_join(lines, "\n").alias("text"))
+    g = TT.parse_lrc(texts).groupBy(F.col("name").alias("doc_id"))
+    return g.agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"), F.sum(F.col("end") - F.col("start")).alias("seconds"), F.count("end").alias("closed"))
+
+
+_HOURLY = """SELECT epoch_us(time_bucket(INTERVAL '6 hours', ts)) AS start, epoch_us(time_bucket(INTERVAL '6 hours', ts)) + 21600000000 AS "end", event_type AS label, count(*) AS n, sum(value) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL"""
+
+
+@query(_HOURLY)
+def t1_windowed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream's last word on every window: one pass over all that is there, so none is late."""
+    s = J.window_summary(J.event_stream(spark, sf_dir).withColumnRenamed("event_type", "label"), "6 hours", late="3650 days")
+    return J.latest(J.drain(s, "update"), "start", "end", "label").select(F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "label", "n", "total")
