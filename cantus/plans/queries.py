@@ -10,7 +10,9 @@ from cantus.functions import scalars as S
 from cantus.operators import frames as FR
 from cantus.operators import scoring as SC
 from cantus.operators import seams as SE
+from cantus.operators import sheets as SH
 from cantus.operators import timeline as TL
+from cantus.sources import corpus as CO
 from cantus.sources import derived as D
 from cantus.sources import timed_text as TT
 from cantus.streaming import jobs as J
@@ -427,3 +429,28 @@ def t1_windowed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream's last word on every window: one pass over all that is there, so none is late."""
     s = J.window_summary(J.event_stream(spark, sf_dir).withColumnRenamed("event_type", "label"), "6 hours", late="3650 days")
     return J.latest(J.drain(s, "update"), "start", "end", "label").select(F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "label", "n", "total")
+
+
+# each turn is a line of words a second apart, under a chord that lasts for the first three of them
+@query(f"""WITH t AS (SELECT conv_id AS song_id, turn AS line_no, list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda w: w <> '') AS ws, {_LIST}[1 + length(text) % 25] AS label FROM conversations WHERE text IS NOT NULL),
+l AS (SELECT song_id, line_no, coalesce(array_to_string(list_transform(ws, lambda w, i: CASE WHEN i <= 3 THEN '[' || label || ']' ELSE '' END || w), ' '), '') AS line FROM t)
+SELECT song_id, '{{title: ' || song_id || '}}' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY line_no) || chr(10) AS sheet FROM l GROUP BY song_id""")
+def r14_chordpro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = D.read(spark, sf_dir, "conversations").filter("text is not null").select(F.col("conv_id").alias("song_id"), F.col("turn").alias("line_no"), "text")
+    at = F.col("line_no") * 100_000.0
+    ws = F.filter(F.split("text", r"[ \t\r\n]+"), lambda w: w != "")
+    lines = c.withColumn("start", at).withColumn("kind", F.lit("vocal")).withColumn("words", F.transform(ws, lambda w, i: F.struct(w.alias("text"), (at + i).alias("start"), (at + i + 1).alias("end"))))
+    events = c.select("song_id", F.col("line_no").alias("seq"), at.alias("start"), (at + 2.5).alias("end"), D.vocabulary(F.length("text")).alias("label"))
+    songs = c.select("song_id").distinct().select("song_id", F.col("song_id").cast("string").alias("title"), F.lit(None).cast("string").alias("key_label"), F.lit(None).cast("double").alias("bpm"))
+    return SH.chordpro(songs, lines, events)
+
+
+# charts: the lines of documents, each below a line of two chords over its first and fifth column
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, i, list_filter(regexp_split_to_array(replace(line, chr(13), ' '), '\\s+'), lambda w: w <> '') AS ws FROM l), k AS (SELECT doc_id, len(ws) AS n FROM c WHERE len(ws) > 0)
+SELECT doc_id, 2 * count(*) AS chords, sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS moved FROM k GROUP BY doc_id""")
+def r9_chord_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.filter(F.split(F.replace("text", F.lit("\r"), F.lit(" ")), "\n"), lambda a: a.rlike(r"\S"))
+    charted = F.flatten(F.transform(lines, lambda a: F.array(F.lit("G A"), F.concat(F.lit("~"), F.regexp_replace(a, r"^\s+", "")))))
+    texts = D.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), F.array_join(charted, "\n").alias("text"))
+    return CO.chart_chords(texts).groupBy(F.col("name").alias("doc_id")).agg(F.count("*").alias("chords"), F.sum((F.col("word_index") > 0).cast("int")).alias("moved"))
