@@ -43,10 +43,11 @@ def _lines(texts: DataFrame) -> DataFrame:
 def _words(body: Column, line_end: Column) -> Column:
     """Stamped words of a line; a word ends at the next one's start, the last one with its line."""
     stamps = F.regexp_extract_all(body, F.lit(f"({WORD_STAMP})"), F.lit(1))
-    pieces = F.split(body, WORD_STAMP, -1)
-    pairs = F.transform(stamps, lambda s, i: F.struct(_strip(F.get(pieces, i + 1)).alias("text"), clock(s).alias("start")))
+    pieces = F.slice(F.split(body, WORD_STAMP, -1), 2, F.size(stamps) + 1)
+    pairs = F.zip_with(stamps, pieces, lambda s, p: F.struct(_strip(p).alias("text"), clock(s).alias("start")))
     said = F.filter(pairs, lambda p: p["text"] != "")
-    return F.transform(said, lambda p, i: F.struct(p["text"].alias("text"), p["start"].alias("start"), F.coalesce(F.get(said, i + 1)["start"], line_end).alias("end")))
+    after = F.slice(said, 2, F.size(said) + 1)
+    return F.zip_with(said, after, lambda p, n: F.struct(p["text"].alias("text"), p["start"].alias("start"), F.coalesce(n["start"], line_end).alias("end")))
 
 
 def parse_lrc(texts: DataFrame) -> DataFrame:
