@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cantus.llm.store import stable
+from cantus.llm.store import stable, written
 
 #: Jaccard similarity of two lines' token sets at which the later one goes.
 SIMILARITY = 0.9
@@ -71,19 +71,23 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     coded = with_codes(lines, hist).withColumn("n", F.size("codes")).select(
         "lid", F.struct("doc_id", "rk", "line_no", "n", F.expr(bits(0)).alias("s1"), F.expr(bits(2)).alias("s2"), F.expr(f"slice(codes, 1, n - cast(ceil(n * {p} / {q}) as int) + 1)").alias("prefix")).alias("x")
     )
-    first = stable(coded.groupBy("lid").agg(F.min("x").alias("x")).select("lid", "x.*"))
-    # first the bare pairs of token and line, as most of the rare tokens are in one line only
-    rows = first.select("lid", F.posexplode("prefix").alias("i", "code"))
-    held = Window.partitionBy("code")
-    shared = stable(rows.withColumn("lo", F.min("lid").over(held)).withColumn("hi", F.max("lid").over(held)).filter("lo < hi").select("lid", "code", "i"))
-    star = shared.join(first.select("lid", "doc_id", "line_no", "n", "s1", "s2"), "lid")
+    first = written(coded.groupBy("lid").agg(F.min("x").alias("x")).select("lid", "x.*"))
+    rows = first.select("lid", "doc_id", "line_no", "n", "s1", "s2", F.posexplode("prefix").alias("i", "code"))
+    # lines that match differ in length by the similarity at most: where sorted lengths leap further, a token's lines fall apart
+    sized = Window.partitionBy("code").orderBy("n", "lid")
+    apart = (F.col("before").isNull() | (F.col("n") * p > F.col("before") * q)).cast("int")
+    rows = rows.withColumn("before", F.lag("n").over(sized)).withColumn("run", F.sum(apart).over(sized)).drop("before")
+    group = Window.partitionBy("code", "run")
     me = F.struct("doc_id", "line_no", "lid", "n", "i", "s1", "s2")
-    star = star.select("code", me.alias("me"), F.min(me).over(held).alias("lead"))
-    pairs = star.filter((F.col("lead.lid") != F.col("me.lid")) & may_match(F.col("lead"), F.col("me"), p, q)).select(F.col("me.lid").alias("lid"), F.col("lead.lid").alias("other")).distinct()
-    gone = stable(matching(docs, hist, pairs, p, q))
-    # lines that their groups' earliest line doesn't explain are compared with all earlier ones of the groups
-    mine, other = star.select("code", "me", F.col("me.lid").alias("lid")).join(gone, "lid", "left_anti").drop("lid"), star.select("code", F.col("me").alias("o"))
-    more = mine.join(other, "code").filter((F.col("o") < F.col("me")) & may_match(F.col("o"), F.col("me"), p, q)).select(F.col("me.lid").alias("lid"), F.col("o.lid").alias("other")).distinct()
+    led = rows.select("code", "run", me.alias("me"), F.count("*").over(group).alias("size"), F.min(me).over(group).alias("lead")).filter("size > 1")
+    near = (F.col("lead.lid") != F.col("me.lid")) & may_match(F.col("lead"), F.col("me"), p, q)
+    star = written(led.select("code", "run", "size", "me.*", F.col("lead.lid").alias("lead"), near.alias("near")))
+    pairs = star.filter("near").select("lid", F.col("lead").alias("other")).distinct()
+    gone = written(matching(docs, hist, pairs, p, q))
+    # lines that their groups' earliest line doesn't explain are compared with all other earlier ones of the groups
+    rest = star.filter("size > 2 AND lid != lead")
+    mine, other = rest.join(gone, "lid", "left_anti").select("code", "run", me.alias("me")), rest.select("code", "run", me.alias("o"))
+    more = mine.join(other, ["code", "run"]).filter((F.col("o") < F.col("me")) & may_match(F.col("o"), F.col("me"), p, q)).select(F.col("me.lid").alias("lid"), F.col("o.lid").alias("other")).distinct()
     gone = gone.union(matching(docs, hist, more, p, q)).distinct()
     where = first.select("lid", F.struct("doc_id", "rk", "line_no").alias("at"))
     later = lines.select("rk", "line_no", "lid", F.struct("doc_id", "rk", "line_no").alias("here")).join(where, "lid").join(gone.withColumn("near", F.lit(True)), "lid", "left")
@@ -108,7 +112,7 @@ def matching(docs: DataFrame, hist: DataFrame, pairs: DataFrame, p: int, q: int)
 
     The candidates' lines are found again in the texts through a bit filter of fixed size.
     """
-    pairs = stable(pairs)
+    pairs = written(pairs)
     ids = pairs.select(F.explode(F.array("lid", "other")).alias("lid")).distinct()
     bit = F.pmod("lid", F.lit(FILTER_BITS))
     words = ids.select((bit / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(lid, {FILTER_BITS}) % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
@@ -117,7 +121,7 @@ def matching(docs: DataFrame, hist: DataFrame, pairs: DataFrame, p: int, q: int)
     lines = lines_of(docs).select(F.xxhash64("line").alias("lid"), "line").withColumn("bits", table.scalar())
     lines = lines.filter(F.expr(f"shiftright(element_at(bits, cast(pmod(lid, {FILTER_BITS}) / 64 as int) + 1), cast(pmod(lid, {FILTER_BITS}) % 64 as int)) & 1L = 1L")).drop("bits")
     found = lines.join(ids, "lid", "left_semi").groupBy("lid").agg(F.min("line").alias("line"))
-    sets = stable(with_codes(found, hist).select("lid", "codes"))
+    sets = written(with_codes(found, hist).select("lid", "codes"))
     x = pairs.join(sets, "lid").join(sets.select(F.col("lid").alias("other"), F.col("codes").alias("codes2")), "other")
     common = F.size(F.array_intersect("codes", "codes2"))
     return x.filter(common * q >= (F.size("codes") + F.size("codes2") - common) * p).select("lid").distinct()
