@@ -53,9 +53,9 @@ def with_codes(lines: DataFrame, hist: DataFrame) -> DataFrame:
     return lines.withColumn("codes", F.expr(f"sort_array(array_remove(array_distinct({code}), {NOTHING}L))")).drop("hist")
 
 
-def bits(k: int) -> str:
-    """64-bit sketch of a set: the bits that its codes hash to."""
-    return f"aggregate(codes, 0L, (a, c) -> a | shiftleft(1L, cast((shiftright(c, {6 * k}) & 63) as int)))"
+def parities(half: int) -> str:
+    """One half of a set's 128-bit parity sketch: sets differ in at least as many codes as their sketches do in bits."""
+    return f"aggregate(codes, 0L, (a, c) -> if((shiftright(c, 6) & 1L) = {half}, a ^ shiftleft(1L, cast((c & 63L) as int)), a))"
 
 
 def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -69,7 +69,7 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     lines = lines_of(docs).withColumn("lid", F.xxhash64("line"))
     # any two sets that match share one of their n - ceil(similarity * n) + 1 rarest tokens
     coded = with_codes(lines, hist).withColumn("n", F.size("codes")).select(
-        "lid", F.struct("doc_id", "rk", "line_no", "n", F.expr(bits(0)).alias("s1"), F.expr(bits(2)).alias("s2"), F.expr(f"slice(codes, 1, n - cast(ceil(n * {p} / {q}) as int) + 1)").alias("prefix")).alias("x")
+        "lid", F.struct("doc_id", "rk", "line_no", "n", F.expr(parities(0)).alias("s1"), F.expr(parities(1)).alias("s2"), F.expr(f"slice(codes, 1, n - cast(ceil(n * {p} / {q}) as int) + 1)").alias("prefix")).alias("x")
     )
     first = written(coded.groupBy("lid").agg(F.min("x").alias("x")).select("lid", "x.*"))
     rows = first.select("lid", "doc_id", "line_no", "n", "s1", "s2", F.posexplode("prefix").alias("i", "code"))
@@ -97,13 +97,13 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 def may_match(a: Column, b: Column, p: int, q: int) -> Column:
     """Length, position and sketch filters; none drops a match.
 
-    a, b: structs of n (size), i (place of a shared token among the sorted codes), s1, s2 (sketches).
+    a, b: structs of n (size), i (place of a shared token among the sorted codes), s1, s2 (halves of the sketch).
     """
     small, large = F.least(a["n"], b["n"]), F.greatest(a["n"], b["n"])
     both = a["n"] + b["n"]
     # the shared token is the k-th of each side: at most min(i) + 1 shared up to it, and the shorter rest after it
     bound = F.least(a["i"], b["i"]) + F.least(a["n"] - a["i"], b["n"] - b["i"])
-    differ = F.greatest(F.bit_count(a["s1"].bitwiseXOR(b["s1"])), F.bit_count(a["s2"].bitwiseXOR(b["s2"])))
+    differ = F.bit_count(a["s1"].bitwiseXOR(b["s1"])) + F.bit_count(a["s2"].bitwiseXOR(b["s2"]))
     return (small * q >= large * p) & (bound * (p + q) >= both * p) & (differ * (p + q) <= both * (q - p))
 
 
