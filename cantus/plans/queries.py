@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from cantus.functions import labels as L
 from cantus.functions import scalars as S
+from cantus.functions import words as WO
 from cantus.operators import frames as FR
+from cantus.operators import placement as PL
 from cantus.operators import scoring as SC
 from cantus.operators import seams as SE
 from cantus.operators import sheets as SH
@@ -454,3 +456,106 @@ def r9_chord_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
     charted = F.flatten(F.transform(lines, lambda a: F.array(F.lit("G A"), F.concat(F.lit("~"), F.regexp_replace(a, r"^\s+", "")))))
     texts = D.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), F.array_join(charted, "\n").alias("text"))
     return CO.chart_chords(texts).groupBy(F.col("name").alias("doc_id")).agg(F.count("*").alias("chords"), F.sum((F.col("word_index") > 0).cast("int")).alias("moved"))
+
+
+# every third event is a line of at most six hours with three words, the last one open
+_LINES = f"""ln AS (SELECT song_id, seq, start, least("end", start + {6 * HOUR}) AS "end" FROM ref WHERE seq % 3 = 0)"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = D.reference(spark, sf_dir).filter("seq % 3 = 0")
+    return x.select("song_id", "seq", "start", F.least(F.col("end"), F.col("start") + 6 * HOUR).alias("end"))
+
+
+@query(f"""{_BOTH}, {_LINES}, p AS (SELECT song_id, seq AS probe_id, start + (seq % 7) * {HOUR} AS t FROM raw),
+w AS (SELECT song_id, seq AS line, k AS word, start + k * (("end" - start) // 4) AS s, CASE WHEN k < 2 THEN start + (k + 1) * (("end" - start) // 4) ELSE "end" END AS e FROM ln, range(3) r(k)),
+a AS (SELECT p.*, l.seq AS line, l."end" AS le FROM p ASOF LEFT JOIN ln l ON p.song_id = l.song_id AND p.t >= l.start), b AS (SELECT song_id, probe_id, t, CASE WHEN t < le THEN line END AS line FROM a)
+SELECT b.song_id, probe_id, t, b.line, max(w.word) AS word FROM b LEFT JOIN w ON w.song_id = b.song_id AND w.line = b.line AND w.s <= b.t AND b.t < w.e GROUP BY ALL""")
+def j5_words_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    step = F.floor((F.col("end") - F.col("start")) / 4)
+    w = lines.withColumn("k", F.explode(F.array(*[F.lit(k).cast("bigint") for k in range(3)])))
+    w = w.select("song_id", F.col("seq").alias("line"), F.col("k").alias("seq"), (F.col("start") + F.col("k") * step).alias("start"), F.when(F.col("k") < 2, F.col("start") + (F.col("k") + 1) * step).alias("end"))
+    p = D.raw_events(spark, sf_dir).select("song_id", F.col("seq").alias("probe_id"), (F.col("start") + (F.col("seq") % 7) * HOUR).alias("t"))
+    return PL.words_at(p, lines, w)
+
+
+_OWN = f"""{_LINES}, nth AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY start, seq) AS nth FROM ln), fst AS (SELECT song_id, seq AS fseq, start AS fstart FROM nth WHERE nth = 1),
+own AS (SELECT h.song_id, h.seq, h.start, h."end", h.label, CASE WHEN h.start < n."end" THEN n.seq WHEN n.seq IS NULL AND h."end" > fstart THEN fseq END AS line, coalesce(nth, 0) AS before FROM (hyp h ASOF LEFT JOIN nth n ON h.song_id = n.song_id AND h.start >= n.start) LEFT JOIN fst ON fst.song_id = h.song_id)"""
+
+
+@query(f"{_BOTH}, {_OWN} SELECT song_id, seq, line, before FROM own")
+def j10_owning_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PL.owning_lines(D.hypothesis(spark, sf_dir), _lines(spark, sf_dir)).select("song_id", "seq", "line", "before")
+
+
+@query(f"""{_BOTH}, {_OWN}, g AS (SELECT *, (row_number() OVER (PARTITION BY song_id, before ORDER BY start, seq) - 1) // 8 AS "row" FROM own WHERE line IS NULL),
+w AS (SELECT *, min(start) OVER r AS row_start, greatest(last_value("end") OVER (r ORDER BY start, seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), min(start) OVER r + {HOUR}) AS row_end, greatest(24, least(80, 6 + sum(length(label) + 2) OVER r)) AS width FROM g WINDOW r AS (PARTITION BY song_id, before, "row"))
+SELECT song_id, seq, before, CAST("row" AS BIGINT) AS "row", row_start, row_end, CAST(width AS BIGINT) AS width, CAST(least(width - 1, greatest(0, round_even((start - row_start) / (row_end - row_start) * (width - 1), 0))) AS INT) AS "column" FROM w""")
+def w11_gap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gaps = PL.owning_lines(D.hypothesis(spark, sf_dir), _lines(spark, sf_dir)).filter("line is null")
+    return PL.gap_rows(gaps, HOUR).select("song_id", "seq", "before", "row", "row_start", "row_end", "width", "column")
+
+
+@query(r"""WITH c AS (SELECT conv_id AS song_id, turn AS seq, turn * 4.0 AS start, CASE WHEN turn % 2 = 0 THEN turn * 4.0 + 2 END AS e, list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda w: w <> '') AS ws FROM conversations WHERE text IS NOT NULL),
+n AS (SELECT *, lead(start) OVER (PARTITION BY song_id ORDER BY start, seq) AS nxt FROM c), l AS (SELECT song_id, seq, start, coalesce(e, CASE WHEN nxt > start THEN nxt END, start + greatest(0.8, 0.4 * len(ws))) AS e, ws FROM n WHERE len(ws) > 0),
+x AS (SELECT *, unnest(range(0, len(ws))) AS i FROM l)
+SELECT song_id, seq AS line, CAST(i AS INT) AS word_no, ws[i + 1] AS text, CAST(start AS DOUBLE) + i * ((CAST(e AS DOUBLE) - start) / len(ws)) AS start, CAST(start AS DOUBLE) + (i + 1) * ((CAST(e AS DOUBLE) - start) / len(ws)) AS "end" FROM x""")
+def w14_spread_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = D.read(spark, sf_dir, "conversations").filter("text is not null")
+    start = F.col("turn") * F.lit(4.0)
+    return PL.spread_words(c.select(F.col("conv_id").alias("song_id"), F.col("turn").alias("seq"), "text", start.alias("start"), F.when(F.col("turn") % 2 == 0, start + 2).alias("end")))
+
+
+_HITS = f"""b AS (SELECT song_id, list(DISTINCT t ORDER BY t) AS r FROM (SELECT song_id, unnest([start, "end"]) AS t FROM ref) GROUP BY 1), c AS (SELECT song_id, list(DISTINCT t ORDER BY t) AS h FROM (SELECT song_id, unnest([start, "end"]) AS t FROM hyp) GROUP BY 1), both_ AS (SELECT song_id, coalesce(r, []) AS r, coalesce(h, []) AS h FROM b FULL JOIN c USING (song_id)),
+m AS (SELECT song_id, r, h, 1 AS i, 1 AS j, 0 AS n FROM both_ UNION ALL SELECT song_id, r, h, CASE WHEN h[j] < r[i] - {2 * HOUR} THEN i ELSE i + 1 END, CASE WHEN h[j] > r[i] + {2 * HOUR} THEN j ELSE j + 1 END, CASE WHEN abs(h[j] - r[i]) <= {2 * HOUR} THEN n + 1 ELSE n END FROM m WHERE i <= len(r) AND j <= len(h)),
+hit AS (SELECT song_id, max(n) AS n, any_value(len(r)) AS lr, any_value(len(h)) AS lh FROM m GROUP BY song_id)"""
+
+
+@query(_BOTH.replace("WITH ", "WITH RECURSIVE ", 1) + f", {_HITS} SELECT song_id, coalesce(n / nullif(lh, 0), 0) AS change_precision, coalesce(n / nullif(lr, 0), 0) AS change_recall, CASE WHEN n > 0 THEN 2.0 * n / (lr + lh) ELSE 0 END AS change_f1 FROM hit")
+def j8_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PL.change_points(D.reference(spark, sf_dir), D.hypothesis(spark, sf_dir), 2 * HOUR, None)
+
+
+@query()
+def a3_take_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PL.take_scores(D.reference(spark, sf_dir), D.hypothesis(spark, sf_dir), 12 * HOUR, 2 * HOUR, None)
+
+
+@query()
+def q2_chart_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PL.align_charts(D.reference(spark, sf_dir), D.hypothesis(spark, sf_dir))
+
+
+@query()
+def a18_chart_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PL.chart_agreement(q2_chart_alignment(spark, sf_dir))
+
+
+@query("""WITH e AS (SELECT user_id AS song_id, CASE WHEN event_id % 9 <> 0 THEN (event_id * 37 % 128) / 128.0 END AS confidence, CASE WHEN event_id % 4 > 0 THEN event_type END AS source FROM events)
+SELECT song_id, count(*) AS events, avg(confidence) AS mean_confidence, count(*) - count(confidence) AS unknown, coalesce(string_agg(DISTINCT source, ', ' ORDER BY source), '') AS sources FROM e GROUP BY song_id""")
+def a14_layer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = D.read(spark, sf_dir, "events")
+    i = F.col("event_id")
+    return PL.layer_summary(e.select(F.col("user_id").alias("song_id"), F.when(i % 9 != 0, (i * 37 % 128) / 128.0).alias("confidence"), F.when(i % 4 > 0, F.col("event_type")).alias("source")))
+
+
+@query("""SELECT l_orderkey AS song_id, CASE WHEN bool_and(l_quantity > 20) THEN 'succeeded' WHEN bool_or(l_quantity > 20) THEN 'partial' ELSE 'failed' END AS status, sum(CASE WHEN l_linenumber > 1 THEN l_quantity END) AS processing_seconds FROM lineitem GROUP BY l_orderkey""")
+def a15_run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = D.read(spark, sf_dir, "lineitem")
+    return PL.run_status(li.select(F.col("l_orderkey").alias("song_id"), F.when(F.col("l_quantity") > 20, "ok").otherwise("failed").alias("status"), F.when(F.col("l_linenumber") > 1, F.col("l_quantity")).alias("processing_seconds")))
+
+
+@query(r"""WITH w AS (SELECT unnest(regexp_split_to_array(text, '[ \t\r\n]+')) AS w FROM documents WHERE text IS NOT NULL) SELECT regexp_replace(lower(strip_accents(w)), '[^0-9a-z]', '', 'g') AS word, count(*) AS n FROM w WHERE w <> '' GROUP BY 1""")
+def f19_folded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = D.read(spark, sf_dir, "documents").select(F.explode(F.split("text", r"[ \t\r\n]+")).alias("w")).filter("w != ''")
+    return w.groupBy("w").agg(F.count("*").alias("n")).groupBy(WO.folded("w").alias("word")).agg(F.sum("n").alias("n"))
+
+
+@query()
+def f20_same_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of neighbouring words of the conversations' turns that are the same word."""
+    ws = F.filter(F.split("text", r"[ \t\r\n]+"), lambda w: w != "")
+    pairs = D.read(spark, sf_dir, "conversations").withColumn("ws", ws).filter("size(ws) > 1").select(F.explode(F.expr("transform(sequence(1, size(ws) - 1), i -> struct(ws[i - 1] as a, ws[i] as b))")).alias("p"))
+    counted = pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("n")).select(WO.folded("a").alias("a"), WO.folded("b").alias("b"), "n")
+    return WO.same_word(counted, "a", "b").groupBy("a", "b", "same").agg(F.sum("n").alias("n"))
