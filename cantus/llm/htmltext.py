@@ -1,12 +1,16 @@
 """HTML extraction by deducing the template of a host's pages.
 
-A page is a sequence of tokens: tags with their path, and the text blocks
+A page is a sequence of tokens: elements by their path, and the text blocks
 between them. Tokens of a host that occur equally often on the same pages have
-equal occurrence vectors and form an equivalence class; a class that is on
-enough of the host's pages is part of the template. Its tokens nest: what
-stands between two template tokens is a slot. A text block that is itself a
-template token is fixed text of the template, and goes; the blocks in
-slots stay, unless an element that never holds the article encloses them.
+equal occurrence vectors and form an equivalence class; pages with the same
+article are one page there. A class on enough of the host's pages that holds
+elements and texts can be part of the template. Its texts nest in its elements,
+and the members inside an element of the class must stand in the same order on
+every page; a text without such an element, or whose place differs, is no
+template token. What stands between template tokens is a slot. Fixed text of the
+template goes; what is in slots stays, repeated or not (a text of a copied
+article isn't on all pages that have its elements, so it has another vector),
+unless an element that never holds the article encloses it.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ MARKS = (
 SHARE, LEAST_PAGES = 0.6, 4
 #: A repeated block is fixed text only if it is short; an article that was copied is none.
 FIXED_CHARS = 400
-#: Fixed texts of all hosts are broadcast only up to this many; beyond that they are joined to the pages.
+#: Template tokens of all hosts are broadcast only up to this many; beyond that they are joined to the pages.
 BROADCAST_TOKENS = 200_000
 
 PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
@@ -61,17 +65,20 @@ def marked(rest: str) -> tuple[str, bool]:
     return first, bad
 
 
-def blocks(page: str) -> list[tuple[str, str, bool]]:
-    """(path, text, outside) of each text block of a page, in order; the path names elements with their first class."""
-    out: list[tuple[str, str, bool]] = []
-    stack: list[tuple[str, str, bool]] = []  # name, path, outside
-    path, outside, text, at = "", False, [], 0
+def parse(page: str) -> list[tuple[str, str | None, bool, int]]:
+    """(path, text, outside, parent) of each element (text is None) and text block of a page, in order.
+
+    The path names elements with their first class; parent is the place in the list of the element around, or -1.
+    """
+    out: list[tuple[str, str | None, bool, int]] = []
+    stack: list[tuple[str, str, bool, int]] = []  # name, path, outside, place
+    path, outside, place, text, at = "", False, -1, [], 0
 
     def flush() -> None:
         if text:
             t = SPACE.sub(" ", html.unescape("".join(text))).strip()
             if t:
-                out.append((path, t, outside))
+                out.append((path, t, outside, place))
             text.clear()
 
     while at < len(page):
@@ -92,14 +99,14 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
             flush()
             if deep is not None:
                 del stack[deep:]
-                path, outside = stack[-1][1:] if stack else ("", False)
+                path, outside, place = stack[-1][1:] if stack else ("", False, -1)
             continue
         flush()
         if name in VOID:
             continue
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
             stack.pop()  # these close themselves
-            path, outside = stack[-1][1:] if stack else ("", False)
+            path, outside, place = stack[-1][1:] if stack else ("", False, -1)
         first, bad = marked(m["rest"]) if m["rest"] else ("", False)
         inner, out_now = f"{path}/{name}.{first}" if first else f"{path}/{name}", outside or bad or name in OUTSIDE
         if name == "header" and not bad and re.search(r"/(article|main)\b", path):
@@ -110,12 +117,19 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
             end = RAW_END[name].search(page, at)
             at = end.end() if end else len(page)
             continue
-        stack.append((name, inner, out_now))
-        path, outside = inner, out_now
+        out.append((inner, None, out_now, place))
+        stack.append((name, inner, out_now, len(out) - 1))
+        path, outside, place = stack[-1][1:]
     flush()
     return out
 
 
+def candidates(events: list) -> list[tuple[str, str]]:
+    """(path, text) of the blocks that may be the article: those in article or main elements, if there are any."""
+    found = [(path, t) for path, t, outside, _ in events if t is not None and not outside]
+    return [(p, t) for p, t in found if re.search(r"/(article|main)\b", p)] or found
+
+
 def host_of(url: str | None) -> str:
     m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", url or "")
     return m[1].rpartition("@")[2].split(":")[0].lower() if m else ""
@@ -127,87 +141,168 @@ def h64(s: str) -> int:
     return xxhash.xxh64_intdigest(s) - (1 << 63)
 
 
-TOKENS = "host string, page bigint, token bigint, n bigint, block boolean"
+def names(events: list) -> list[int | None]:
+    """The token of each event; None for long texts and outside of what may hold the article."""
+    return [None if outside or (t is not None and len(t) > FIXED_CHARS) else h64(path if t is None else f"{path}\n{t}") for path, t, outside, _ in events]
+
+
+TOKENS = "host string, page bigint, body bigint, token bigint, n bigint, block boolean"
+#: A token that each page has once.
+PAGE = 0
 
 
 def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each page's tokens (paths, and blocks on their path) with how often it has them."""
+    """Each page's tokens with how often it has them; body names the page's candidates for the article."""
     for b in batches:
-        host, page, token, n, block = [], [], [], [], []
+        host, page, body, token, n, block = [], [], [], [], [], []
         for pk, url, text in zip(b.column("pk").to_pylist(), b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
-            own: dict[int, int] = {}
-            texts = set()
-            for path, t, outside in blocks(text or ""):
-                for x in (h64(path), h64(f"{path}\n{t}")) if len(t) <= FIXED_CHARS else (h64(path),):
+            events = parse(text or "")
+            own, texts = {PAGE: 1}, set()
+            for x, (_, t, _, _) in zip(names(events), events, strict=True):
+                if x is not None:
                     own[x] = own.get(x, 0) + 1
-                if len(t) <= FIXED_CHARS and not outside:
-                    texts.add(h64(f"{path}\n{t}"))
+                    if t is not None:
+                        texts.add(x)
             host += [host_of(url)] * len(own)
             page += [pk] * len(own)
+            body += [h64("\n".join(t for _, t in candidates(events)))] * len(own)
             token += own
             n += own.values()
             block += [x in texts for x in own]
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(page, pa.int64()), pa.array(token, pa.int64()), pa.array(n, pa.int64()), pa.array(block, pa.bool_())], names=["host", "page", "token", "n", "block"])
+        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(page, pa.int64()), pa.array(body, pa.int64()), pa.array(token, pa.int64()), pa.array(n, pa.int64()), pa.array(block, pa.bool_())], names=["host", "page", "body", "token", "n", "block"])
 
 
 def templates(found: DataFrame) -> DataFrame:
-    """host, token: tokens in an equivalence class that is on SHARE of the host's pages.
+    """host, token, cls: tokens of the equivalence classes of elements and texts that are on SHARE of the host's pages.
 
-    The occurrence vector of a token is named by two sums over its pages of a
+    Pages with the same body are one. The occurrence vector of a token is named by two sums over its pages of a
     hash of the page times the count, so that a class needs no list of pages.
     """
-    mixed = F.xxhash64("page", F.lit(1))
+    found = found.groupBy("host", "body", "token").agg(F.max("n").alias("n"), F.max("block").alias("block"))
+    mixed = F.xxhash64("body", F.lit(1))
     wide = F.col("n").cast("decimal(38,0)")
-    vec = found.groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum(wide * F.shiftright(mixed, 16)).alias("v1"), F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("v2"), F.max("block").alias("block"))
-    size = found.select("host", "page").distinct().groupBy(F.col("host").alias("h")).agg(F.count("*").alias("of"))
-    vec = vec.filter(F.col("pages") >= LEAST_PAGES)
+    vec = found.groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum(wide * F.shiftright(mixed, 16)).alias("v1"), F.sum(F.xxhash64("body", "n").cast("decimal(38,0)")).alias("v2"), F.max("block").alias("block"))
+    vec = stable(vec.filter(F.col("pages") >= LEAST_PAGES))
+    size = vec.filter(F.col("token") == PAGE).select(F.col("host").alias("h"), F.col("pages").alias("of"))
+    vec = vec.filter(F.col("token") != PAGE)
     # classes meet the size of their host, as they are far fewer than a hot host's tokens
-    classes = vec.groupBy("host", "v1", "v2").agg(F.max("pages").alias("pages"), F.count("*").alias("members"))
+    classes = vec.groupBy("host", "v1", "v2").agg(F.max("pages").alias("pages"), F.max("block").alias("text"), F.min("block").alias("bare")).filter("text and not bare")
     classes = classes.join(size, classes["host"] == size["h"]).filter(F.col("pages") >= SHARE * F.col("of"))
-    return vec.join(classes.select("host", "v1", "v2", "members"), ["host", "v1", "v2"]).select("host", "token", "block", "members")
+    return vec.join(classes.select("host", "v1", "v2"), ["host", "v1", "v2"]).select("host", "token", F.xxhash64("v1", "v2").alias("cls"))
+
+
+def places(page: str, cls: dict[int, int]) -> dict[int, int]:
+    """The place of each text token of a class inside the outermost element of its class; -1 if it has none or several."""
+    events = parse(page)
+    own = names(events)
+    inside: dict[int, list[int]] = {}
+    out: dict[int, int] = {}
+    for i, x in enumerate(own):
+        if x in cls:
+            top, up = -1, i if events[i][1] is None else events[i][3]
+            while up >= 0:
+                if cls.get(own[up]) == cls[x]:
+                    top = up
+                up = events[up][3]
+            if top < 0:
+                out[x] = -1
+            else:
+                inside.setdefault(top, []).append(x)
+    texts = {x for x, e in zip(own, events, strict=True) if e[1] is not None}
+    for members in inside.values():
+        for k, x in enumerate(members):
+            if x in texts:
+                out[x] = k if out.get(x, k) == k else -1
+    return out
+
+
+def order(look):
+    """Pages to host, token, lo, hi: the least and the largest place of each text token; a task's pages are summed up."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[str, int], tuple[int, int]] = {}
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int64()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], names=["host", "token", "lo", "hi"])
+
+        for b in batches:
+            for url, page, cls in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), look(b), strict=True):
+                if page and cls:
+                    host = host_of(url)
+                    for x, k in places(page, cls).items():
+                        lo, hi = seen.get((host, x), (k, k))
+                        seen[host, x] = min(lo, k), max(hi, k)
+            if len(seen) > BROADCAST_TOKENS:
+                yield out()
+                seen.clear()
+        yield out()
+
+    return work
+
+
+def ordered(frame: DataFrame, look) -> DataFrame:
+    """host, token: the text tokens that have one place on all pages."""
+    at = frame.mapInArrow(order(look), "host string, token bigint, lo bigint, hi bigint").groupBy("host", "token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return at.filter("lo >= 0 and lo = hi").select("host", "token")
+
+
+def by_host(shared):
+    """The template tokens of each page of a batch, by its host."""
+    return lambda b: [shared.value.get(host_of(u), {}) for u in b.column("url").to_pylist()]
+
+
+def by_page(b: pa.RecordBatch) -> list[dict[int, int]]:
+    """The template tokens that come with each page."""
+    return [{x["token"]: x["cls"] for x in own} for own in b.column("own").to_pylist()]
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row: the article's text.
 
-    Null html is empty and gives an empty text; a null url is the host ''. Hosts of under LEAST_PAGES pages have no template: only
+    Null html is empty and gives an empty text; a null url is the host ''. Hosts of under LEAST_PAGES pages that differ have no template: only
     elements decide there. Rows that repeat are extracted each; other columns are ignored. Broken markup and tags that
     the page ends in are read as far as they go.
     """
     cols = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
     pk = F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.coalesce("url", F.lit("-")), F.coalesce("html", F.lit("")))
     keyed = cols.withColumn("pk", pk)
-    found = stable(keyed.select("pk", "url", "html").mapInArrow(tokens, TOKENS).groupBy("host", "page", "token").agg(F.max("n").alias("n"), F.max("block").alias("block")))
-    fixed = stable(templates(found).filter("block").select("host", "token"))
+    found = keyed.select("pk", "url", "html").mapInArrow(tokens, TOKENS)
+    cand = stable(templates(found))
     out = "page_id bigint, url string, text string, n_chars bigint"
-    if fixed.count() <= BROADCAST_TOKENS:
-        by_host: dict[str, set[int]] = {}
-        for r in fixed.collect():
-            by_host.setdefault(r["host"], set()).add(r["token"])
-        return cols.mapInArrow(reader(pages.sparkSession.sparkContext.broadcast(by_host)), out)
-    # a short list per page: those of its blocks that are fixed text
-    hit = found.filter("block").join(fixed, ["host", "token"]).groupBy(F.col("page").alias("_pk")).agg(F.collect_set("token").alias("fixed"))
-    x = keyed.join(hit, keyed["pk"] == hit["_pk"], "left").select("page_id", "url", "html", F.coalesce("fixed", F.array().cast("array<bigint>")).alias("fixed"))
-    return x.mapInArrow(reader(None), out)
+    if cand.count() <= BROADCAST_TOKENS:
+        sc = pages.sparkSession.sparkContext
+
+        def share(rows: DataFrame):
+            held: dict[str, dict[int, int]] = {}
+            for r in rows.collect():
+                held.setdefault(r["host"], {})[r["token"]] = r["cls"]
+            return by_host(sc.broadcast(held))
+
+        fixed = ordered(cols, share(cand)).withColumn("cls", F.lit(0))
+        return cols.mapInArrow(reader(share(fixed)), out)
+    # a short list per page: those of its tokens that are of the template
+    held = found.select("host", "page", "token").distinct()
+
+    def join(rows: DataFrame) -> DataFrame:
+        hit = held.join(rows, ["host", "token"]).groupBy(F.col("page").alias("_pk")).agg(F.collect_list(F.struct("token", "cls")).alias("own"))
+        return keyed.join(hit, keyed["pk"] == hit["_pk"], "left").select("page_id", "url", "html", F.coalesce("own", F.array().cast("array<struct<token:bigint,cls:bigint>>")).alias("own"))
+
+    fixed = stable(ordered(join(cand), by_page)).withColumn("cls", F.lit(0).cast("bigint"))
+    return join(fixed).mapInArrow(reader(by_page), out)
 
 
-def reader(shared):
-    """Pages to texts; the fixed texts come with the page, or by host from ``shared``."""
+def reader(look):
+    """Pages to texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            url, html_ = b.column("url").to_pylist(), b.column("html").to_pylist()
-            fixed = [shared.value.get(host_of(u), ()) for u in url] if shared else [set(x) for x in b.column("fixed").to_pylist()]
-            text = [article(page or "", f) for page, f in zip(html_, fixed, strict=True)]
+            text = [article(page or "", fixed) for page, fixed in zip(b.column("html").to_pylist(), look(b), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return work
 
 
-def article(page: str, fixed: set[int]) -> str:
+def article(page: str, fixed: dict[int, int]) -> str:
     """The blocks in the slots of the template, outside of the elements that are never the article."""
-    found = [(path, t) for path, t, outside in blocks(page) if not outside]
-    inside = [(p, t) for p, t in found if re.search(r"/(article|main)\b", p)]
-    found = inside or found
-    slots = [t for p, t in found if len(t) > FIXED_CHARS or h64(f"{p}\n{t}") not in fixed]
+    slots = [t for p, t in candidates(parse(page)) if len(t) > FIXED_CHARS or h64(f"{p}\n{t}") not in fixed]
     return " ".join(slots)

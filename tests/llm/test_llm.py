@@ -165,6 +165,22 @@ def test_html(spark):
     assert all(w not in got[1][0] for w in ("menu", "buy", "hi", "<"))
 
 
+def test_html_keeps_copied_articles(spark, monkeypatch):
+    page = "<body><div class='x'>site line</div><article><h1>{}</h1><p>{}</p></article><div class='y'>closing line</div></body>"
+    flat = "<body><div>{}</div><div>{}</div><div>every page</div></body>"
+    rows = [(i, "http://h.example/", page.format("Copied title", "copied text")) for i in range(6)] + [(i, "http://h.example/", page.format(f"title {i}", f"text {i}")) for i in range(6, 10)]
+    rows += [(20 + i, "http://f.example/", flat.format("Copied title", "copied text" if i % 2 else f"text {i}")) for i in range(6)] + [(20 + i, "http://f.example/", flat.format(f"title {i}", f"text {i}")) for i in range(6, 8)]
+    # texts that change places are no template
+    rows += [(40 + i, "http://o.example/", f"<body><div>{'one' if i % 2 else 'two'}</div><div>{'two' if i % 2 else 'one'}</div><div>own {i}</div></body>") for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for most in (htmltext.BROADCAST_TOKENS, 0):
+        monkeypatch.setattr(htmltext, "BROADCAST_TOKENS", most)
+        got = {x.page_id: x.text for x in htmltext.extract(df).collect()}
+        assert got[0] == "Copied title copied text" and got[7] == "title 7 text 7"
+        assert got[21] == "Copied title copied text" and got[22] == "Copied title text 2" and got[27] == "title 7 text 7"
+        assert got[40] == "two one own 0" and got[41] == "one two own 1"
+
+
 def test_language_model_prefers_its_own_kind(spark, docs):
     rows, df = docs
     got = {x.doc_id: x for x in lmscore.score_documents(df).collect()}
