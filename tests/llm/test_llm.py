@@ -188,6 +188,34 @@ def test_language_model_prefers_its_own_kind(spark, docs):
     assert got[len(rows) - 6].mean_log_prob is None and got[len(rows) - 5].n_tokens == 0
 
 
+def test_language_model_tells_words_of_one_id_apart(spark, monkeypatch):
+    # more words than ids
+    words = [f"w{i}" for i in range(1000)] * 40 + [f"x{i}" for i in range(300)] * 2 + [f"y{i}" for i in range(300)] * 10
+    df = spark.createDataFrame([doc(i, w) for i, w in enumerate([" ".join(words), *(f"x{i}" for i in range(300)), *(f"y{i}" for i in range(300)), "x0"])], DOCS)
+    counts = lmscore.count_words(df)
+    v = lmscore.vocabulary(counts)
+    net = lmscore.Network.new(v.counts)
+    out = []
+    for most in (lmscore.COMMON, 1000, 0):
+        monkeypatch.setattr(lmscore, "COMMON", most)
+        w = lmscore.shares(counts, v)
+        assert w.whole == (most > 1600)
+        out.append({x.doc_id: x.log_prob for x in lmscore.score(df, v, w, net).collect()})
+    assert all(out[0][i] == pytest.approx(o[i]) for o in out for i in out[0])
+    # texts of one word: words of one id differ by their counts (x 3, y 11; x0 4)
+    slot = lambda t: int(next(iter(lmscore.slices(lmscore.pa.array([t])))).hashes()[0]) % 64
+    x, y = {slot(f"x{i}"): out[0][1 + i] for i in range(1, 300)}, {slot(f"y{i}"): out[0][301 + i] for i in range(300)}
+    both = x.keys() & y.keys()
+    assert both and all(y[k] - x[k] == pytest.approx(lmscore.np.log(11 / 3), abs=1e-6) for k in both)
+
+
+def test_language_model_learns_from_every_document(spark):
+    for i in range(4):
+        df = spark.createDataFrame([doc(i, f"one text of some words {i}")], DOCS)
+        v = lmscore.vocabulary(lmscore.count_words(df))
+        assert (lmscore.train_network(df, v).flat() != lmscore.Network.new(v.counts).flat()).any()
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], DOCS)
     items = spark.createDataFrame([], "item_id bigint, text string")
