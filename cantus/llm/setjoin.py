@@ -152,11 +152,11 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def all_segments(x: np.ndarray, band: int) -> np.ndarray:
-    """Signatures of a set in a band. Where even two for each segment can't cover its differences, it gets one that all such sets of the band share."""
+    """Signatures of a set in a band. Where its differences can touch all of its segments, it gets one that all such sets of the band share."""
     seg, first, total = parts(x, band)
     sig = signature(band, seg, total)
     full, many, most = budget(x, band)
-    return np.append(sig, signature(band, np.array([1 << 40], np.uint64), np.array([1], np.uint64))) if full + many <= most else sig
+    return np.append(sig, signature(band, np.array([1 << 40], np.uint64), np.array([1], np.uint64))) if full <= most else sig
 
 
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

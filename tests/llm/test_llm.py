@@ -79,6 +79,18 @@ def test_ngram_components_of_frequent_signatures(spark, monkeypatch):
     assert got == comp
 
 
+@pytest.mark.parametrize("frequent", [32, 1])
+def test_ngram_components_of_sets_in_one_segment(spark, monkeypatch, frequent):
+    monkeypatch.setattr(setjoin, "FREQUENT", frequent)
+    r = random.Random(5)
+    texts = [" ".join(r.choices(WORDS, k=8)) for _ in range(4000)]
+    sets = [x for s in setjoin.slices(setjoin.pa.array(texts)) for x in setjoin.sets_of(s)]
+    text = next(t for t, x in zip(texts, sets, strict=True) if len(x) == 4 and len(setjoin.parts(x, 1)[0]) == 1)
+    rows = [doc(1, text), doc(2, text.rpartition(" ")[0])]  # 4 shingles, and 3 of them: 3/4
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in setjoin.ngram_components(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: (4, 1), 2: (3, 1)}
+
+
 def test_line_dedup_matches_brute_force(spark, docs):
     rows, df = docs
     seen, exp = [], {}
