@@ -31,15 +31,15 @@ from pyspark.sql import functions as F
 
 from cantus.llm.bytesoup import mix, slices
 from cantus.llm.components import connected
-from cantus.llm.store import stable
+from cantus.llm.store import spent, written
 
 NGRAM = 5
 #: Similarity of a link, in hundredths.
 PER_CENT = 75
 #: Sizes grow by this factor from band to band; a set takes part in its own band and in those that a smaller partner may have.
 BAND = 16 / 9
-#: Segments of a band, as a share of its largest size; small sets get more, which costs little.
-SEGMENTS, SMALL, SMALL_SEGMENTS = 0.5, 32, 2.0
+#: Segments of a band, as a share of its largest size; small sets get so many that hardly two elements share one.
+SEGMENTS, SMALL, SMALL_SEGMENTS = 0.5, 32, 128.0
 #: A signature of more classes than this is frequent.
 FREQUENT = 32
 #: Bits of the filter that lets only candidates' texts through; saturation costs time, not results.
@@ -109,7 +109,13 @@ def parts(x: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def signature(band: int, seg: np.ndarray, total: np.ndarray) -> np.ndarray:
-    return mix(total * _K + mix(seg * np.uint64(1 << 20) + np.uint64(band + 1))).view(np.int64)
+    """A name of 64 bits; the lowest six are the band."""
+    x = mix(total * _K + mix(seg * np.uint64(1 << 20) + np.uint64(band + 1)))
+    return ((x & ~np.uint64(63)) | np.uint64(band)).view(np.int64)
+
+
+def band_of() -> Column:
+    return F.col("sig").bitwiseAND(F.lit(63)).cast("int")
 
 
 def folded(x: np.ndarray) -> bytes:
@@ -160,10 +166,11 @@ def all_segments(x: np.ndarray, band: int) -> np.ndarray:
 
 
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text to sig, band, cls: each distinct signature of each class, once in a slice."""
+    """text to sig, cls: each signature of each class, once in a task."""
+    seen: set[int] = set()
     for b in batches:
         for s in slices(b.column("text")):
-            sig, cls, bands, seen = [], [], [], set()
+            sig, cls = [], []
             for x in sets_of(s):
                 if not len(x) or (c := class_of(x)) in seen:
                     continue
@@ -171,9 +178,10 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for band in bands_of(len(x)):
                     sig.append(all_segments(x, band))
                     cls.append(np.full(len(sig[-1]), c, np.int64))
-                    bands.append(np.full(len(sig[-1]), band, np.int32))
             if sig:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig)), pa.array(np.concatenate(bands)), pa.array(np.concatenate(cls))], names=["sig", "band", "cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig)), pa.array(np.concatenate(cls))], names=["sig", "cls"])
+        if len(seen) > 1_000_000:  # bounded memory; what repeats then is dropped later
+            seen.clear()
 
 
 def filter_words(ids: DataFrame, col: str) -> np.ndarray:
@@ -206,7 +214,7 @@ def sets_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(rows, pa.binary())], names=["cls", "elements"])
 
     found = docs.select("text").mapInArrow(work, "cls bigint, elements binary")
-    return found.join(ids.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
+    return found.join(ids.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
 
 def linked(common: int, a: int, b: int) -> bool:
@@ -234,7 +242,7 @@ def near(a: Column, b: Column) -> Column:
 
 def verify(pairs: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that link, judged first by sizes and folded counts, then by the sets."""
-    r = reps.select("cls", "n", "fold")
+    r = reps
     x = pairs.join(r.toDF("a", "na", "fa"), "a").join(r.toDF("b", "nb", "fb"), "b")
     x = x.filter((100 * F.least("na", "nb") >= PER_CENT * F.greatest("na", "nb")) & near(F.col("fa"), F.col("fb"))).select("a", "b")
 
@@ -297,8 +305,8 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     Other columns are ignored. Sets are compared by 64-bit hashes of their n-grams.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    feats = stable(docs.mapInArrow(features, FEATURES))
-    reps = stable(feats.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min(F.struct("n", "fold", "bands")).alias("x")).select("cls", "rep", "x.*"))
+    feats = written(docs.mapInArrow(features, FEATURES))
+    reps = written(feats.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min(F.struct("n", "fold", "bands")).alias("x")).select("cls", "rep", "x.*"))
     comp = connected(links(docs, reps))
     label = reps.select("cls", "rep").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     label = label.join(label.groupBy("comp").agg(F.min("rep").alias("component")), "comp")
@@ -308,44 +316,58 @@ def ngram_components(docs: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(a, b): links between classes, enough of them to connect all that are connected."""
-    sigs = docs.select("text").mapInArrow(signatures, "sig bigint, band int, cls bigint")
-    shared = stable(met(sigs).distinct())
+    sigs = docs.select("text").mapInArrow(signatures, "sig bigint, cls bigint")
+    first = written(met(sigs).distinct())
     # a set that links shares all its non-empty segments but the differences, so that others drop out
     bands = reps.select("cls", F.explode("bands").alias("x")).select("cls", F.col("x")[0].alias("band"), F.col("x")[1].alias("full"), F.col("x")[2].alias("many"), F.col("x")[3].alias("most"))
-    count = shared.groupBy("cls", "band").agg(F.count("*").alias("shared"))
-    alive = count.join(bands, ["cls", "band"]).filter(F.col("shared") >= F.col("full") - F.col("most"))
-    shared = stable(met(shared.drop("lead").join(alive.select("cls", "band"), ["cls", "band"], "left_semi")))
-    alive = shared.select("cls").distinct()
-    reps, sets = stable(reps.join(alive, "cls", "left_semi")), stable(sets_table(docs, alive))
-    star = stable(verify(shared.filter("cls > lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct(), reps, sets))
-    comp = stable(connected(star))
+    count = first.groupBy("cls", band_of().alias("band")).agg(F.count("*").alias("shared"))
+    alive = written(count.join(bands, ["cls", "band"]).filter(F.col("shared") >= F.col("full") - F.col("most")).select("cls", "band"))
+    shared = written(met(first.withColumn("band", band_of()).join(alive, ["cls", "band"], "left_semi").select("sig", "cls")))
+    spent(first, alive)
+    alive = written(shared.select("cls").distinct())
+    bands = bands.join(alive, "cls", "left_semi")
+    reps, sets = written(reps.select("cls", "n", "fold").join(alive, "cls", "left_semi")), written(sets_table(docs, alive))
+    # each member of a signature with the smallest one
+    lead = F.min("cls").over(Window.partitionBy("sig")).alias("a")
+    star = written(verify(shared.select(lead, F.col("cls").alias("b")).filter("a < b").distinct(), reps, sets))
+    comp = connected(star)
 
     # the cost of a signature: classes that hold it
-    sized = shared.join(shared.groupBy("sig").agg(F.count("*").alias("held")), "sig")
-    rare, often = sized.filter(F.col("held") <= FREQUENT).select("sig", "cls"), stable(sized.filter(F.col("held") > FREQUENT).select("sig", "band", "cls"))
-    edges = star.union(stable(verify(between(rare, comp), reps, sets)))
-    poor = stable(poor_classes(often, bands.join(alive, "cls", "left_semi")))
+    sized = shared.withColumn("held", F.count("*").over(Window.partitionBy("sig")))
+    often = written(sized.filter(F.col("held") > FREQUENT).select("sig", "cls"))
+    more = written(verify(between(sized.filter(F.col("held") <= FREQUENT).select("sig", "cls"), comp), reps, sets))
+    edges, comp = star.union(more), joined(comp, more)
+    poor = written(poor_classes(often, bands))
     if poor.isEmpty():
         return edges
-    comp = stable(connected(edges))
     hot = often.select(F.col("sig").alias("own")).distinct().withColumn("hot", F.lit(True))
-    ring = stable(deletions(sets, poor).join(hot, "own", "left").select("sig", "cls", "whole", F.col("hot").isNull().alias("cold")))
+    ring = written(deletions(sets, poor).join(hot, "own", "left").select("sig", "cls", "whole", F.col("hot").isNull().alias("cold")))
     whole, cut = ring.filter("whole").select("sig", F.col("cls").alias("p"), "cold"), ring.filter("not whole").select("sig", F.col("cls").alias("q"), "cold")
     pairs = whole.filter("cold").drop("cold").join(cut.drop("cold"), "sig").union(whole.filter("not cold").drop("cold").join(cut.filter("cold").drop("cold"), "sig"))
     pairs = pairs.filter("p != q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    edges = edges.union(stable(verify(apart(pairs, comp), reps, sets)))
+    more = written(verify(apart(pairs, comp), reps, sets))
+    edges = edges.union(more)
     last = poor.filter("short").select("cls")
     if last.isEmpty():
         return edges
-    comp = stable(connected(edges))
-    return edges.union(stable(verify(between(often.join(last, "cls", "left_semi").select("sig", "cls"), comp), reps, sets)))
+    comp = joined(comp, more)
+    return edges.union(written(verify(between(often.join(last, "cls", "left_semi").select("sig", "cls"), comp), reps, sets)))
+
+
+def joined(comp: DataFrame, more: DataFrame) -> DataFrame:
+    """cls, comp after further links: components are joined as wholes, so that only the new links are walked."""
+    x = more.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left")
+    ends = written(x.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")))
+    over = connected(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    every = comp.union(ends.select(F.explode(F.array(F.struct(F.col("a").alias("cls"), F.col("ca").alias("comp")), F.struct(F.col("b").alias("cls"), F.col("cb").alias("comp")))).alias("x")).select("x.*")).distinct()
+    return written(every.join(over.toDF("comp", "via"), "comp", "left").select("cls", F.coalesce("via", "comp").alias("comp")))
 
 
 def met(sigs: DataFrame) -> DataFrame:
-    """sig, band, cls, lead: the signatures that more than one class holds, with the smallest of these."""
+    """sig, cls: the signatures that more than one class holds."""
     w = Window.partitionBy("sig")
-    x = sigs.select("sig", "band", "cls").withColumn("lead", F.min("cls").over(w)).withColumn("last", F.max("cls").over(w))
-    return x.filter("lead < last").drop("last")
+    x = sigs.withColumn("low", F.min("cls").over(w)).withColumn("high", F.max("cls").over(w))
+    return x.filter("low < high").select("sig", "cls")
 
 
 def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -359,7 +381,7 @@ def poor_classes(often: DataFrame, bands: DataFrame) -> DataFrame:
 
     short: not even when those of two elements or more count twice.
     """
-    held = often.groupBy("cls", "band").agg(F.count("*").alias("frequent"))
+    held = often.groupBy("cls", band_of().alias("band")).agg(F.count("*").alias("frequent"))
     x = bands.join(held, ["cls", "band"], "left").withColumn("frequent", F.coalesce("frequent", F.lit(0)))
     cold, twice = F.col("full") - F.col("frequent"), F.greatest(F.lit(0), F.col("many") - F.col("frequent"))
     return x.filter(cold <= F.col("most")).groupBy("cls").agg(F.max(cold + twice <= F.col("most")).alias("short"))

@@ -79,16 +79,13 @@ def test_ngram_components_of_frequent_signatures(spark, monkeypatch):
     assert got == comp
 
 
-@pytest.mark.parametrize("frequent", [32, 1])
-def test_ngram_components_of_sets_in_one_segment(spark, monkeypatch, frequent):
-    monkeypatch.setattr(setjoin, "FREQUENT", frequent)
+def test_sets_whose_differences_touch_all_segments_share_a_signature(monkeypatch):
+    monkeypatch.setattr(setjoin, "SMALL_SEGMENTS", 2.0)  # so few segments that whole sets fall into one
     r = random.Random(5)
     texts = [" ".join(r.choices(WORDS, k=8)) for _ in range(4000)]
-    sets = [x for s in setjoin.slices(setjoin.pa.array(texts)) for x in setjoin.sets_of(s)]
-    text = next(t for t, x in zip(texts, sets, strict=True) if len(x) == 4 and len(setjoin.parts(x, 1)[0]) == 1)
-    rows = [doc(1, text), doc(2, text.rpartition(" ")[0])]  # 4 shingles, and 3 of them: 3/4
-    got = {x.doc_id: (x.n_shingles, x.component_id) for x in setjoin.ngram_components(spark.createDataFrame(rows, DOCS)).collect()}
-    assert got == {1: (4, 1), 2: (3, 1)}
+    text = next(t for s in setjoin.slices(setjoin.pa.array(texts)) for t, x in zip(texts[s.lo :], setjoin.sets_of(s), strict=False) if len(x) == 4 and len(setjoin.parts(x, 1)[0]) == 1)
+    x, y = (next(setjoin.sets_of(s)) for t in (text, text.rpartition(" ")[0]) for s in setjoin.slices(setjoin.pa.array([t])))
+    assert len(x) == 4 and len(y) == 3 and set(setjoin.all_segments(x, 1).tolist()) & set(setjoin.all_segments(y, 1).tolist())
 
 
 def test_line_dedup_matches_brute_force(spark, docs):
@@ -233,3 +230,33 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([], "item_id bigint, text string")
     for out in (setjoin.ngram_components(df), mixing.mix_sources(df), licenses.license_spans(df), linededup.dedup_lines(df), quality.line_rules(df), decontam.decontaminate(df, items), langid.predict(df, langid.train_model(df, F.lit(True))), lmscore.score_documents(df)):
         assert out.count() == 0
+
+
+@pytest.mark.parametrize("frequent", [32, 2])
+def test_small_sets_lose_no_link(spark, monkeypatch, frequent):
+    """All sets of 1 to 12 shingles of a few base texts beside their parts: over 100,000 pairs."""
+    monkeypatch.setattr(setjoin, "FREQUENT", frequent)
+    r = random.Random(6)
+    rows = []
+    for _ in range(40):
+        w = r.choices(WORDS, k=16)
+        for n in range(5, 17):
+            rows.append(doc(len(rows), " ".join(w[:n])))
+    sets = {i: frozenset(tuple(t.split(" ")[k : k + 5]) for k in range(len(t.split(" ")) - 4)) for i, t, *_ in rows}
+    comp = {i: i for i in sets}
+    edges = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    while any(comp[a] != comp[b] for a, b in edges):
+        for a, b in edges:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    got = {x.doc_id: x.component_id for x in setjoin.ngram_components(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == comp
+
+
+def test_components_in_rounds_equal_those_in_one_task(spark, monkeypatch):
+    from cantus.llm import components
+
+    r = random.Random(7)
+    edges = spark.createDataFrame([(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)], "a bigint, b bigint")
+    one = sorted(components.connected(edges).collect())
+    monkeypatch.setattr(components, "ONE_TASK", -1)
+    assert sorted(components.connected(edges).collect()) == one and max(x.comp for x in one) == 1000
