@@ -49,7 +49,7 @@ def license_spans(docs: DataFrame, phrases=PHRASES, notices=NOTICES, drift: int
     Every K-gram of words is joined by hash to the templates' grams (and its
     text compared), votes are summed by (template, offset diagonal), diagonals
     at most ``drift`` apart whose places touch are merged, and a merged span is verified by the share of
-    the template's grams it holds. Phrases need every gram on one diagonal.
+    the template's grams that it holds in their order, repeats not counted. Phrases need every gram on one diagonal.
     Columns: doc_id, n_words, n_base, first_word, last_word, base_labels,
     labels, score, spans (label, start, coverage of the notices).
 
@@ -71,14 +71,16 @@ def license_spans(docs: DataFrame, phrases=PHRASES, notices=NOTICES, drift: int
     g = F.broadcast(grams.withColumnRenamed("gram", "tgram"))  # fixed templates: a few hundred rows
     hits = one.join(g, "gh").filter(F.col("gram") == F.col("tgram")).select("rk", "template", "size", "tpos", "pos")
     # rows that repeat a document are one row key: each of its hits counts once
-    votes = hits.distinct().groupBy("rk", "template", "size", (F.col("pos") - F.col("tpos")).alias("diag")).agg(F.count("*").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    votes = hits.distinct().groupBy("rk", "template", "size", (F.col("pos") - F.col("tpos")).alias("diag")).agg(F.count("*").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_list(F.struct("pos", "tpos")).alias("at"))
     base = votes.filter((F.col("template") < n_phrases) & (F.col("votes") == F.col("size")))
     base = base.groupBy(F.col("rk").alias("b_rk")).agg(F.count("*").alias("n_base"), F.min("diag").alias("first_word"), F.max("diag").alias("last_word"), F.array_sort(F.collect_set(label)).alias("base_labels"))
     w = Window.partitionBy("rk", "template").orderBy("diag", "lo")
     apart = (F.col("diag") - F.lag("diag").over(w) > drift) | (F.col("lo") - F.lag("hi").over(w) > F.col("size"))
     spans = votes.filter(F.col("template") >= n_phrases).withColumn("run", F.sum(F.coalesce(apart, F.lit(False)).cast("int")).over(w))
-    spans = spans.groupBy("rk", "template", "size", "run").agg(F.sum("votes").alias("votes"), F.min("lo").alias("start"))
-    spans = spans.withColumn("coverage", F.least(F.lit(1.0), F.col("votes") / F.col("size")))
+    spans = spans.groupBy("rk", "template", "size", "run").agg(F.flatten(F.collect_list("at")).alias("at"), F.min("lo").alias("start"))
+    # places of the template in its order, each once: those beyond all that stand before
+    spans = spans.withColumn("places", F.expr("aggregate(array_sort(at), struct(-1 as most, 0 as n), (a, x) -> if(x.tpos > a.most, struct(x.tpos as most, a.n + 1 as n), a), a -> a.n)"))
+    spans = spans.withColumn("coverage", F.col("places") / F.col("size"))
     full = F.max("coverage")
     found = spans.groupBy(F.col("rk").alias("s_rk")).agg(
         F.array_sort(F.collect_set(F.when(F.col("coverage") >= least, label))).alias("more"), full.alias("best"),

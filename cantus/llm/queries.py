@@ -89,7 +89,9 @@ v AS (SELECT doc_id, template, label, size, pos - tpos AS diag, count(*) AS vote
 b AS (SELECT doc_id, count(*) AS n_base, min(diag) AS first_word, max(diag) AS last_word, list_sort(list(DISTINCT label)) AS bl FROM v WHERE template < {len(licenses.PHRASES)} AND votes = size GROUP BY doc_id),
 r AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diag, lo ROWS UNBOUNDED PRECEDING) AS run FROM (
   SELECT *, CASE WHEN diag - lag(diag) OVER q > 3 OR lo - lag(hi) OVER q > size THEN 1 ELSE 0 END AS apart FROM v WHERE template >= {len(licenses.PHRASES)} WINDOW q AS (PARTITION BY doc_id, template ORDER BY diag, lo))),
-s AS (SELECT doc_id, template, label, least(1.0, sum(votes) / size) AS coverage FROM r GROUP BY doc_id, template, label, size, run),
+h AS (SELECT r.doc_id, r.template, r.label, r.size, r.run, g.pos, tg.tpos FROM r JOIN tg ON r.template = tg.template JOIN g ON g.doc_id = r.doc_id AND g.gram = tg.gram AND g.pos - tg.tpos = r.diag),
+k AS (SELECT *, coalesce(max(tpos) OVER (PARTITION BY doc_id, template, run ORDER BY pos, tpos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS most FROM h),
+s AS (SELECT doc_id, template, label, CAST(count(*) FILTER (tpos > most) AS DOUBLE) / size AS coverage FROM k GROUP BY doc_id, template, label, size, run),
 m AS (SELECT doc_id, list(DISTINCT label) FILTER (coverage >= 0.6) AS more, max(coverage) AS best FROM s GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
   coalesce(array_to_string(bl, ','), '') AS base_labels,

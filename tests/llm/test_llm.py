@@ -127,6 +127,12 @@ def test_license_labels(spark):
     assert got[1][:4] == (3, 0, 9, "apache-2,mit") and got[2] == (0, None, None, "", "") and got[3][0] == 0 and got[4][3] == "" and "gpl-3" in got[4][4]
 
 
+def test_license_spans_count_no_gram_twice(spark):
+    rows = [doc(1, "the apache license " * 4), doc(2, "licensed under the apache license version 2 0"), doc(3, "licensed under the old apache license version 2 0")]
+    got = {r.doc_id: (r.labels, max((x.coverage for x in r.spans), default=0.0)) for r in licenses.license_spans(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[1] == ("", 0.0) and got[2] == ("apache-2", 1.0) and got[3][0] == "apache-2" and 0.6 <= got[3][1] < 1
+
+
 def test_quality_counts(spark):
     text = "a b c d\n" + "x y z q x y z\n" + "a b c d\n" + "#%"
     rows = [doc(1, text), doc(2, None), doc(3, ""), *[doc(10 + i, " ".join(WORDS) + f"\nown{i} {WORDS[i]}") for i in range(30)]]
