@@ -7,18 +7,15 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cantus.llm.store import stable, written
+from cantus.llm.store import spent, stable, written
 
 #: Jaccard similarity of two lines' token sets at which the later one goes.
 SIMILARITY = 0.9
 #: Token frequencies are kept for so many hash buckets.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 #: Bits of the filter that lets only candidate lines through to verification; saturation costs time, not results.
 FILTER_BITS = 1 << 22
 
-#: Code of the empty string between two spaces, which is no token.
-NOTHING = -1
-
 
 def numbers(similarity: float) -> tuple[int, int]:
     f = Fraction(str(similarity))
@@ -48,14 +45,14 @@ def rarity(docs: DataFrame) -> DataFrame:
 def with_codes(lines: DataFrame, hist: DataFrame) -> DataFrame:
     """Add codes: the line's distinct tokens as numbers, rarest first; a code's high bits are its frequency, the low ones its hash."""
     lines = lines.withColumn("hist", hist.scalar())
-    code = f"transform(split(lower(line), ' '), t -> if(t = '', {NOTHING}L, xxhash64(t)))"
-    code = f"transform({code}, h -> if(h = {NOTHING}L, h, shiftleft(element_at(hist, cast(pmod(h, {BUCKETS}) as int) + 1), 40) | (shiftright(h, 7) & 1099511627775L)))"
-    return lines.withColumn("codes", F.expr(f"sort_array(array_remove(array_distinct({code}), {NOTHING}L))")).drop("hist")
+    # between two spaces there is no token
+    code = f"transform(array_remove(split(lower(line), ' '), ''), t -> xxhash64(t))"
+    code = f"transform({code}, h -> shiftleft(element_at(hist, cast(pmod(h, {BUCKETS}) as int) + 1), 40) | (shiftright(h, 7) & 1099511627775L))"
+    return lines.withColumn("codes", F.expr(f"sort_array(array_distinct({code}))")).drop("hist")
 
 
-def parities(half: int) -> str:
-    """One half of a set's 128-bit parity sketch: sets differ in at least as many codes as their sketches do in bits."""
-    return f"aggregate(codes, 0L, (a, c) -> if((shiftright(c, 6) & 1L) = {half}, a ^ shiftleft(1L, cast((c & 63L) as int)), a))"
+#: A set's parity sketch: sets differ in at least as many codes as their sketches do in bits.
+PARITIES = "aggregate(codes, 0L, (a, c) -> a ^ shiftleft(1L, cast(c & 63L as int)))"
 
 
 def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -69,41 +66,46 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     lines = lines_of(docs).withColumn("lid", F.xxhash64("line"))
     # any two sets that match share one of their n - ceil(similarity * n) + 1 rarest tokens
     coded = with_codes(lines, hist).withColumn("n", F.size("codes")).select(
-        "lid", F.struct("doc_id", "rk", "line_no", "n", F.expr(parities(0)).alias("s1"), F.expr(parities(1)).alias("s2"), F.expr(f"slice(codes, 1, n - cast(ceil(n * {p} / {q}) as int) + 1)").alias("prefix")).alias("x")
+        "lid", F.struct("doc_id", "line_no", "rk", "n", F.expr(PARITIES).alias("sketch"), F.expr(f"slice(codes, 1, n - cast(ceil(n * {p} / {q}) as int) + 1)").alias("prefix")).alias("x")
     )
     first = written(coded.groupBy("lid").agg(F.min("x").alias("x")).select("lid", "x.*"))
-    rows = first.select("lid", "doc_id", "line_no", "n", "s1", "s2", F.posexplode("prefix").alias("i", "code"))
+    rows = first.select("lid", "doc_id", "line_no", "n", "sketch", F.posexplode("prefix").alias("i", "code"))
     # lines that match differ in length by the similarity at most: where sorted lengths leap further, a token's lines fall apart
     sized = Window.partitionBy("code").orderBy("n", "lid")
     apart = (F.col("before").isNull() | (F.col("n") * p > F.col("before") * q)).cast("int")
     rows = rows.withColumn("before", F.lag("n").over(sized)).withColumn("run", F.sum(apart).over(sized)).drop("before")
     group = Window.partitionBy("code", "run")
-    me = F.struct("doc_id", "line_no", "lid", "n", "i", "s1", "s2")
-    led = rows.select("code", "run", me.alias("me"), F.count("*").over(group).alias("size"), F.min(me).over(group).alias("lead")).filter("size > 1")
-    near = (F.col("lead.lid") != F.col("me.lid")) & may_match(F.col("lead"), F.col("me"), p, q)
-    star = written(led.select("code", "run", "size", "me.*", F.col("lead.lid").alias("lead"), near.alias("near")))
-    pairs = star.filter("near").select("lid", F.col("lead").alias("other")).distinct()
-    gone = written(matching(docs, hist, pairs, p, q))
+    me = F.struct("doc_id", "line_no", "lid", "n", "i", "sketch")
+    led = rows.withColumn("size", F.count("*").over(group)).withColumn("lead", F.min(me).over(group)).filter("size > 1 AND lead.lid != lid")
+    near = may_match(F.col("lead"), me, p, q)
+    # of two lines without a chance nothing is left to do
+    star = written(led.withColumn("near", near).filter("near OR size > 2").select("code", "run", "size", *LINE, F.col("lead.lid").alias("lead"), "near"))
+    gone = written(matching(docs, hist, star.filter("near").select("lid", F.col("lead").alias("other")).distinct(), p, q))
     # lines that their groups' earliest line doesn't explain are compared with all other earlier ones of the groups
-    rest = star.filter("size > 2 AND lid != lead")
+    rest = star.filter("size > 2").select("code", "run", *LINE)
     mine, other = rest.join(gone, "lid", "left_anti").select("code", "run", me.alias("me")), rest.select("code", "run", me.alias("o"))
     more = mine.join(other, ["code", "run"]).filter((F.col("o") < F.col("me")) & may_match(F.col("o"), F.col("me"), p, q)).select(F.col("me.lid").alias("lid"), F.col("o.lid").alias("other")).distinct()
-    gone = gone.union(matching(docs, hist, more, p, q)).distinct()
-    where = first.select("lid", F.struct("doc_id", "rk", "line_no").alias("at"))
-    later = lines.select("rk", "line_no", "lid", F.struct("doc_id", "rk", "line_no").alias("here")).join(where, "lid").join(gone.withColumn("near", F.lit(True)), "lid", "left")
+    gone = written(gone.union(matching(docs, hist, more, p, q)).distinct())
+    spent(star)
+    where = first.select("lid", F.struct("doc_id", "line_no", "rk").alias("at"))
+    later = lines.select("rk", "line_no", "lid", F.struct("doc_id", "line_no", "rk").alias("here")).join(where, "lid").join(gone.withColumn("near", F.lit(True)), "lid", "left")
     return later.filter((F.col("here") > F.col("at")) | F.col("near")).select("rk", "line_no").distinct()
 
 
+#: What is known of a line beside a token.
+LINE = ["doc_id", "line_no", "lid", "n", "i", "sketch"]
+
+
 def may_match(a: Column, b: Column, p: int, q: int) -> Column:
     """Length, position and sketch filters; none drops a match.
 
-    a, b: structs of n (size), i (place of a shared token among the sorted codes), s1, s2 (halves of the sketch).
+    a, b: structs of n (size), i (place of a shared token among the sorted codes), sketch.
     """
     small, large = F.least(a["n"], b["n"]), F.greatest(a["n"], b["n"])
     both = a["n"] + b["n"]
     # the shared token is the k-th of each side: at most min(i) + 1 shared up to it, and the shorter rest after it
     bound = F.least(a["i"], b["i"]) + F.least(a["n"] - a["i"], b["n"] - b["i"])
-    differ = F.bit_count(a["s1"].bitwiseXOR(b["s1"])) + F.bit_count(a["s2"].bitwiseXOR(b["s2"]))
+    differ = F.bit_count(a["sketch"].bitwiseXOR(b["sketch"]))
     return (small * q >= large * p) & (bound * (p + q) >= both * p) & (differ * (p + q) <= both * (q - p))
 
 
@@ -136,9 +138,11 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Documents whose every worded line went keep what is left, an empty text at
     least. All columns of the input are returned; a column n_lines_removed there is replaced.
     """
-    gone = duplicate_lines(docs, similarity).groupBy("rk").agg(F.collect_set("line_no").alias("gone")).withColumnRenamed("rk", "_rk")
-    x = docs.drop("n_lines_removed").withColumn("_key", row_key())
-    x = x.join(gone, x["_key"] == gone["_rk"], "left")
+    gone = duplicate_lines(docs, similarity).groupBy("rk").agg(F.collect_set("line_no").alias("gone"))
+    docs = docs.drop("n_lines_removed")
+    # one struct holds the input, so that no name of it can clash
+    x = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), row_key().alias("key"), "text")
+    x = x.join(gone, x["key"] == gone["rk"], "left").select("row", "text", "gone")
     kept = F.expr("array_join(transform(filter(transform(split(text, '\\n'), (l, i) -> struct(l as l, i as i)), x -> not array_contains(gone, x.i)), x -> x.l), '\\n')")
-    x = x.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept))
-    return x.withColumn("n_lines_removed", F.coalesce(F.size("gone"), F.lit(0))).withColumn("n_lines_removed", F.greatest("n_lines_removed", F.lit(0))).drop("_key", "_rk", "gone")
+    x = x.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)).withColumn("n", F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)))
+    return x.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns), F.col("n").alias("n_lines_removed"))

@@ -107,6 +107,17 @@ def test_line_dedup_matches_brute_force(spark, docs):
     assert [r.text for r in out.filter(f"doc_id = {len(rows) - 6}").collect()] == [None]
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    rows = [(1, "a b c d", 5, "x", "y", 2, "z", 7), (2, "a b c d\nown line here", 5, "x", "y", 2, "z", 8)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, gone int, _key string, _rk string, n int, row string, key int")
+    out = linededup.dedup_lines(df)
+    assert out.columns == [*df.columns, "n_lines_removed"]
+    assert {tuple(r) for r in out.collect()} == {(*rows[0], 0), (2, "own line here", *rows[1][2:], 1)}
+    items = spark.createDataFrame([(1, "own line here")], "item_id bigint, text string")
+    clean = decontam.decontaminate(df, items)
+    assert clean.columns == df.columns and [tuple(r) for r in clean.collect()] == rows[:1]
+
+
 def test_mixing_comes_near_its_targets(spark, docs):
     rows, df = docs
     out = mixing.mix_sources(df).collect()
