@@ -15,7 +15,7 @@ difference to its segments follows their cost:
 * sets that even so lack the budget meet through all of their signatures.
 
 Candidates are verified on the sets themselves. Before the search among the
-members of a signature, each is compared with the smallest of them; those that
+members of a signature, each is compared with a leader of them, in several rounds; those that
 link so form one component, and only pairs between components are left.
 Sets that are equal are one class throughout.
 """
@@ -42,6 +42,8 @@ BAND = 16 / 9
 SEGMENTS, SMALL, SMALL_SEGMENTS = 0.5, 32, 128.0
 #: A signature of more classes than this is frequent.
 FREQUENT = 32
+#: Rounds in which members of a signature are compared with a leader.
+ROUNDS = 4
 #: Bits of the filter that lets only candidates' texts through; saturation costs time, not results.
 FILTER_BITS = 1 << 22
 _K = np.uint64(0xD6E8FEB86659FD93)
@@ -317,43 +319,72 @@ def ngram_components(docs: DataFrame) -> DataFrame:
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(a, b): links between classes, enough of them to connect all that are connected."""
     sigs = docs.select("text").mapInArrow(signatures, "sig bigint, cls bigint")
-    first = written(met(sigs).distinct())
-    # a set that links shares all its non-empty segments but the differences, so that others drop out
+    raw = written(met(sigs).distinct())
     bands = reps.select("cls", F.explode("bands").alias("x")).select("cls", F.col("x")[0].alias("band"), F.col("x")[1].alias("full"), F.col("x")[2].alias("many"), F.col("x")[3].alias("most"))
-    count = first.groupBy("cls", band_of().alias("band")).agg(F.count("*").alias("shared"))
-    alive = written(count.join(bands, ["cls", "band"]).filter(F.col("shared") >= F.col("full") - F.col("most")).select("cls", "band"))
-    shared = written(met(first.withColumn("band", band_of()).join(alive, ["cls", "band"], "left_semi").select("sig", "cls")))
-    spent(first, alive)
+    # the cost of a signature: classes that hold it
+    first = raw.withColumn("held", F.count("*").over(Window.partitionBy("sig")))
+    shared = written(met(prefixes(first, bands)))
+    hot = written(first.filter(F.col("held") > FREQUENT).select(F.col("sig").alias("own")).distinct().withColumn("hot", F.lit(True)))
+    spent(raw)
     alive = written(shared.select("cls").distinct())
     bands = bands.join(alive, "cls", "left_semi")
     reps, sets = written(reps.select("cls", "n", "fold").join(alive, "cls", "left_semi")), written(sets_table(docs, alive))
-    # each member of a signature with the smallest one
-    lead = F.min("cls").over(Window.partitionBy("sig")).alias("a")
-    star = written(verify(shared.select(lead, F.col("cls").alias("b")).filter("a < b").distinct(), reps, sets))
-    comp = connected(star)
+    edges, comp = stars(shared, reps, sets)
 
-    # the cost of a signature: classes that hold it
-    sized = shared.withColumn("held", F.count("*").over(Window.partitionBy("sig")))
-    often = written(sized.filter(F.col("held") > FREQUENT).select("sig", "cls"))
-    more = written(verify(between(sized.filter(F.col("held") <= FREQUENT).select("sig", "cls"), comp), reps, sets))
-    edges, comp = star.union(more), joined(comp, more)
-    poor = written(poor_classes(often, bands))
+    often = written(shared.filter(F.col("held") > FREQUENT).select("sig", "cls"))
+    more = written(verify(between(shared.filter(F.col("held") <= FREQUENT).select("sig", "cls"), comp), reps, sets))
+    edges, comp = edges.union(more), joined(comp, more)
+    # whose rarest signatures don't suffice: all rare ones of these are among the searched ones
+    poor = written(often.select("cls").distinct())
     if poor.isEmpty():
         return edges
-    hot = often.select(F.col("sig").alias("own")).distinct().withColumn("hot", F.lit(True))
     ring = written(deletions(sets, poor).join(hot, "own", "left").select("sig", "cls", "whole", F.col("hot").isNull().alias("cold")))
     whole, cut = ring.filter("whole").select("sig", F.col("cls").alias("p"), "cold"), ring.filter("not whole").select("sig", F.col("cls").alias("q"), "cold")
     pairs = whole.filter("cold").drop("cold").join(cut.drop("cold"), "sig").union(whole.filter("not cold").drop("cold").join(cut.filter("cold").drop("cold"), "sig"))
     pairs = pairs.filter("p != q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
     more = written(verify(apart(pairs, comp), reps, sets))
     edges = edges.union(more)
-    last = poor.filter("short").select("cls")
+    last = written(short(ring, bands))
     if last.isEmpty():
         return edges
     comp = joined(comp, more)
     return edges.union(written(verify(between(often.join(last, "cls", "left_semi").select("sig", "cls"), comp), reps, sets)))
 
 
+def prefixes(first: DataFrame, bands: DataFrame) -> DataFrame:
+    """sig, cls, held: of each class and band, the signatures that a search needs, the rarest ones.
+
+    Differences spoil ``most`` of a set's signatures, so that of its ``most`` + 1 first ones in an order common to all sets one is among as many
+    first ones of each partner. Signatures that no other class holds are the first in that order; they find nothing, but count.
+    Sets whose differences can touch all of their segments keep all.
+    """
+    x = first.withColumn("band", band_of())
+    own = Window.partitionBy("cls", "band")
+    x = x.withColumn("shared", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("held", "sig")))
+    x = x.join(bands, ["cls", "band"])
+    return x.filter((F.col("full") <= F.col("most")) | (F.col("full") - F.col("shared") + F.col("place") <= F.col("most") + 1)).select("sig", "cls", "held")
+
+
+def stars(shared: DataFrame, reps: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links found in ROUNDS of stars, and the components (cls, comp) that they give.
+
+    In each round each signature has one of its members, by a hash of its component, as leader, and the members of other
+    components are compared with it. So large groups of like sets become few components before all pairs of components are compared.
+    """
+    spark = shared.sparkSession
+    edges, comp = spark.createDataFrame([], "a bigint, b bigint"), spark.createDataFrame([], "cls bigint, comp bigint")
+    for turn in range(ROUNDS):
+        m = shared.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        lead = F.min(F.struct(F.xxhash64(F.lit(turn), "comp").alias("h"), "comp", "cls")).over(Window.partitionBy("sig"))
+        m = m.withColumn("lead", lead).filter("lead.comp != comp")
+        pairs = m.select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")).distinct()
+        more = written(verify(pairs, reps, sets))
+        if more.isEmpty():
+            break
+        edges, comp = edges.union(more), joined(comp, more)
+    return edges, comp
+
+
 def joined(comp: DataFrame, more: DataFrame) -> DataFrame:
     """cls, comp after further links: components are joined as wholes, so that only the new links are walked."""
     x = more.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left")
@@ -364,10 +395,10 @@ def joined(comp: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def met(sigs: DataFrame) -> DataFrame:
-    """sig, cls: the signatures that more than one class holds."""
+    """The rows of signatures that more than one class holds."""
     w = Window.partitionBy("sig")
     x = sigs.withColumn("low", F.min("cls").over(w)).withColumn("high", F.max("cls").over(w))
-    return x.filter("low < high").select("sig", "cls")
+    return x.filter("low < high").drop("low", "high")
 
 
 def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -376,12 +407,8 @@ def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return x.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def poor_classes(often: DataFrame, bands: DataFrame) -> DataFrame:
-    """cls, short: classes whose rare segments don't outnumber the differences they may have in some band.
-
-    short: not even when those of two elements or more count twice.
-    """
-    held = often.groupBy("cls", band_of().alias("band")).agg(F.count("*").alias("frequent"))
-    x = bands.join(held, ["cls", "band"], "left").withColumn("frequent", F.coalesce("frequent", F.lit(0)))
-    cold, twice = F.col("full") - F.col("frequent"), F.greatest(F.lit(0), F.col("many") - F.col("frequent"))
-    return x.filter(cold <= F.col("most")).groupBy("cls").agg(F.max(cold + twice <= F.col("most")).alias("short"))
+def short(ring: DataFrame, bands: DataFrame) -> DataFrame:
+    """cls: classes whose rare segments don't outnumber the differences they may have in some band, not even when those of two elements or more count twice."""
+    frequent = ring.filter("whole AND NOT cold").groupBy("cls", band_of().alias("band")).agg(F.count("*").alias("frequent"))
+    x = frequent.join(bands, ["cls", "band"])
+    return x.filter(F.col("full") - F.col("frequent") + F.greatest(F.lit(0), F.col("many") - F.col("frequent")) <= F.col("most")).select("cls").distinct()
