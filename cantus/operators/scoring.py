@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cantus.functions.labels import with_equality
+from cantus.functions.labels import with_equality, with_parsed
+from cantus.functions.scalars import BANDS, TOP_BAND, confidence_band
 from cantus.operators.timeline import KEY, boundaries, nearest_distance, overlap_join
 
 
@@ -88,26 +89,33 @@ def character_error_rate(ref: Column, hyp: Column) -> Column:
     return F.try_divide(F.levenshtein(ref, hyp), F.char_length(ref))
 
 
-def _letter(index: Column) -> Column:
-    """One character for a word's number in its pair of texts, from a block of letters wide enough for 20,000 of them."""
-    return F.decode(F.unhex(F.lpad(F.hex(index + 0x4E00), 4, "0")), "UTF-16BE")
+@F.pandas_udf("double")
+def _word_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    """Edit distance over words divided by the reference's words; one row of the table is kept."""
+    out = []
+    for a, b in zip(ref, hyp, strict=True):
+        a, b = [[] if x is None else [w for w in x.split(" ") if w] for x in (a, b)]
+        r, h, _ = coded(a, b)
+        steps = np.arange(len(h) + 1)
+        row = steps
+        for i, w in enumerate(r):
+            best = np.minimum(row[:-1] + (h != w), row[1:] + 1)
+            row = np.minimum.accumulate(np.concatenate([[i + 1], best]) - steps) + steps
+        out.append(float(row[-1]) / len(r) if len(r) else None)
+    return pd.Series(out, dtype="float64")
 
 
 def word_error_rate(ref: Column, hyp: Column) -> Column:
-    """Edit distance over words, divided by the reference's words: each distinct word of the pair becomes one letter, and the letters are compared. For up to 20,000 distinct words."""
-    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
-    r, h = words(ref), words(hyp)
-    known = F.array_distinct(F.concat(r, h))
-    text = lambda ws: F.array_join(F.transform(ws, lambda w: _letter(F.array_position(known, w))), "")
-    return F.try_divide(F.levenshtein(text(r), text(h)), F.size(r))
+    """Edit distance over words, divided by the reference's words; null without any. Words stand between spaces, and there may be any number."""
+    return F.when(ref.isNotNull() & hyp.isNotNull(), _word_distance(ref, hyp))
 
 
 def align_labels(pairs: DataFrame, key: str = KEY) -> DataFrame:
     """Global alignment of two label sequences by song: matches, precision, recall, f1, score.
 
     ``pairs`` has key, ref and hyp (arrays of labels). Gaps cost 1 and mismatches
-    a half; ties go to the diagonal, then up. Two empty sides are perfect. The tables of one song are
-    the only state of a step; rows are songs, so nothing is shuffled.
+    a half; ties go to the diagonal, then up. Two empty sides are perfect. One song's sequences and
+    a byte for each pair of their places are the only state of a step; rows are songs, so nothing is shuffled.
     """
     schema = f"{key} {pairs.schema[key].dataType.simpleString()}, matches double, precision double, recall double, f1 double, score double"
 
@@ -115,39 +123,125 @@ def align_labels(pairs: DataFrame, key: str = KEY) -> DataFrame:
         for b in batches:
             out = []
             for k, r, h in zip(b[key], b["ref"], b["hyp"], strict=True):
-                out.append((k, *align([] if r is None else list(r), [] if h is None else list(h))))
+                out.append((k, *align(*coded([] if r is None else list(r), [] if h is None else list(h)))))
             yield pd.DataFrame(out, columns=[key, "matches", "precision", "recall", "f1", "score"])
 
     return pairs.select(key, "ref", "hyp").mapInPandas(work, schema)
 
 
-def align(ref: list, hyp: list, gap: float = 1.0, miss: float = -0.5) -> tuple[float, float, float, float, float]:
-    n, m = len(ref), len(hyp)
+#: Views of a pair of labels: what must be equal.
+VIEWS = ("exact", "root", "quality", "mirex")
+
+
+def align_views(pairs: DataFrame, key: str = KEY) -> DataFrame:
+    """key and f1, precision and recall of each of VIEWS, e.g. root_f1: alignments of ``pairs`` (key, ref, hyp).
+
+    exact: equal labels; root: equal roots, silence has none; quality: equal qualities; mirex: labels whose
+    notes match, worth up to 3, where a mismatch costs as much as a gap. Distinct labels are parsed, and distinct pairs of a song's
+    labels scored, once, and sent along with the song.
+    """
+    kind = pairs.schema[key].dataType.simpleString()
+    names = [f"{v}_{m}" for v in VIEWS for m in ("precision", "recall", "f1")]
+    both = pairs.select(key, F.array_distinct(F.coalesce("ref", F.array())).alias("r"), F.array_distinct(F.coalesce("hyp", F.array())).alias("h"))
+    used = both.select(key, F.explode("r").alias("ref_label"), "h").select(key, "ref_label", F.explode("h").alias("hyp_label"))
+    scores = with_equality(used.select("ref_label", "hyp_label").distinct()).filter("score > 0")
+    match = used.join(scores, ["ref_label", "hyp_label"]).groupBy(key).agg(F.collect_list(F.struct("ref_label", "hyp_label", "score")).alias("match"))
+    one = both.select(key, F.explode(F.array_union("r", "h")).alias("label"))
+    parts = with_parsed(one, "label").groupBy(key).agg(F.collect_list(F.struct("label", F.col("chord.root").alias("root"), F.col("chord.quality").alias("quality"))).alias("parts"))
+    x = pairs.select(key, "ref", "hyp").join(parts, key, "left").join(match, key, "left")
+
+    def work(batches):
+        for b in batches:
+            out = []
+            for k, ref, hyp, own, hits in zip(b[key], b["ref"], b["hyp"], b["parts"], b["match"], strict=True):
+                ref, hyp = [] if ref is None else list(ref), [] if hyp is None else list(hyp)
+                root, quality = ({p["label"]: p[c] for p in ([] if own is None else own)} for c in ("root", "quality"))
+                views = [coded(ref, hyp), coded([root[x] or ("no", i) for i, x in enumerate(ref)], [root[x] for x in hyp]), coded([quality[x] for x in ref], [quality[x] for x in hyp])]
+                row = [k]
+                for v in views:
+                    row += align(*v)[1:4]
+                r, h, table = coded(ref, hyp)
+                ids = {x: i for x, i in zip([*ref, *hyp], [*r, *h], strict=True)}
+                table = np.zeros_like(table)
+                for p in [] if hits is None else hits:
+                    table[ids[p["ref_label"]], ids[p["hyp_label"]]] = p["score"]
+                out.append((*row, *align(r, h, table, miss=-1.0)[1:4]))
+            yield pd.DataFrame(out, columns=[key, *names])
+
+    return x.mapInPandas(work, f"{key} {kind}, " + ", ".join(f"{n} double" for n in names))
+
+
+def coded(ref: list, hyp: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two sequences as numbers, and a table of what each pair of numbers is worth: 1 if equal."""
+    ids = {x: i for i, x in enumerate(dict.fromkeys([*ref, *hyp]))}
+    return np.array([ids[x] for x in ref], int), np.array([ids[x] for x in hyp], int), np.eye(len(ids), dtype=np.float32)
+
+
+def align(r: np.ndarray, h: np.ndarray, worth: np.ndarray, gap: float = 1.0, miss: float = -0.5) -> tuple[float, float, float, float, float]:
+    """matches, precision, recall, f1, score of the best alignment; ``worth`` of 0 is a mismatch. Keeps one row and a byte for each pair of places."""
+    n, m = len(r), len(h)
     if not n and not m:
         return 0.0, 1.0, 1.0, 1.0, 0.0
-    ids = {x: i for i, x in enumerate(dict.fromkeys([*ref, *hyp]))}
-    r, h = np.array([ids[x] for x in ref], int), np.array([ids[x] for x in hyp], int)
-    t = np.zeros((n + 1, m + 1))
-    t[0], t[:, 0] = -gap * np.arange(m + 1), -gap * np.arange(n + 1)
     steps = gap * np.arange(m + 1)
-    for i in range(1, n + 1):
-        best = np.maximum(t[i - 1, :-1] + np.where(h == r[i - 1], 1.0, miss), t[i - 1, 1:] - gap)
+    row, moves = -steps, np.zeros((n, m), np.int8)  # 0: pair, 1: up, 2: left
+    for i in range(n):
+        pair = worth[r[i]][h]
+        diag, up = row[:-1] + np.where(pair > 0, pair, miss), row[1:] - gap
         # a gap from the left of any length: a running maximum of the row without its slope
-        t[i] = np.maximum.accumulate(np.concatenate([[t[i, 0]], best]) + steps) - steps
+        new = np.maximum.accumulate(np.concatenate([[-gap * (i + 1)], np.maximum(diag, up)]) + steps) - steps
+        moves[i] = np.where(diag == new[1:], 0, np.where(up >= new[:-1] - gap, 1, 2))
+        row = new
     i, j, hits, score = n, m, 0.0, 0.0
     while i and j:
-        pair = 1.0 if r[i - 1] == h[j - 1] else miss
-        if np.isclose(t[i, j], t[i - 1, j - 1] + pair):
-            hits, score = hits + (pair > 0), score + max(pair, 0.0)
-            i, j = i - 1, j - 1
-        elif t[i - 1, j] >= t[i, j - 1]:
-            i -= 1
-        else:
-            j -= 1
+        move = moves[i - 1, j - 1]
+        if move == 0:
+            got = float(worth[r[i - 1], h[j - 1]])
+            hits, score = hits + (got > 0), score + got
+        i, j = i - (move != 2), j - (move != 1)
     p, q = (hits / m if m else 0.0), (hits / n if n else 0.0)
     return hits, p, q, (2 * p * q / (p + q) if p + q else 0.0), score
 
 
+def word_time_errors(pairs: DataFrame, key: str = KEY) -> DataFrame:
+    """key, median_seconds, mean_seconds, matched_words: distance of the starts of words that an edit alignment pairs and that are equal; null without any.
+
+    ``pairs`` has key, ref and hyp, arrays of (text, start) as written. Words that are equal
+    or swapped win ties, then those only in the reference.
+    """
+    kind = pairs.schema[key].dataType.simpleString()
+
+    def work(batches):
+        for b in batches:
+            out = []
+            for k, ref, hyp in zip(b[key], b["ref"], b["hyp"], strict=True):
+                ref, hyp = [] if ref is None else list(ref), [] if hyp is None else list(hyp)
+                r, h, _ = coded([x["text"] for x in ref], [x["text"] for x in hyp])
+                d = np.array([abs(ref[i]["start"] - hyp[j]["start"]) for i, j in edit_pairs(r[:, None] == h[None, :])])
+                out.append((k, float(np.median(d)) if len(d) else None, float(d.mean()) if len(d) else None, float(len(d))))
+            yield pd.DataFrame(out, columns=[key, "median_seconds", "mean_seconds", "matched_words"])
+
+    return pairs.select(key, "ref", "hyp").mapInPandas(work, f"{key} {kind}, median_seconds double, mean_seconds double, matched_words double")
+
+
+def edit_pairs(same: np.ndarray) -> list[tuple[int, int]]:
+    """Places of the two sequences that a cheapest edit pairs and that are the same, in order; ``same`` has all pairs."""
+    n, m = same.shape
+    steps = np.arange(m + 1)
+    row, moves = steps.copy(), np.zeros((n, m), np.int8)
+    for i in range(n):
+        diag, up = row[:-1] + ~same[i], row[1:] + 1
+        new = np.minimum.accumulate(np.concatenate([[i + 1], np.minimum(diag, up)]) - steps) + steps
+        moves[i] = np.where(diag == new[1:], 0, np.where(up == new[1:], 1, 2))
+        row = new
+    i, j, out = n, m, []
+    while i and j:
+        move = moves[i - 1, j - 1]
+        if move == 0 and same[i - 1, j - 1]:
+            out.append((i - 1, j - 1))
+        i, j = i - (move != 2), j - (move != 1)
+    return out[::-1]
+
+
 def decode_frames(frames: DataFrame, penalty: float = 0.4, key: str = KEY) -> DataFrame:
     """Best state of each frame of a song, where a change of state costs ``penalty``: key, frame_no, state.
 
@@ -176,6 +270,9 @@ def decode_frames(frames: DataFrame, penalty: float = 0.4, key: str = KEY) -> Da
     return frames.select(key, "frame_no", "scores").groupBy(key).applyInPandas(work, schema)
 
 
+BAND_NAMES = [n for _, n in BANDS] + [TOP_BAND]
+
+
 def calibration(outcomes: DataFrame, thresholds: tuple[float, ...] = (0.5, 0.6, 0.7, 0.8, 0.9)) -> DataFrame:
     """One row: seconds, known seconds, accuracy, brier and ece (over known confidences), and coverage and accuracy at each threshold.
 
@@ -189,8 +286,12 @@ def calibration(outcomes: DataFrame, thresholds: tuple[float, ...] = (0.5, 0.6,
     for t in thresholds:
         n = f"{int(t * 100)}"
         aggs += [F.sum(F.when(p >= t, s).otherwise(0)).alias(f"s{n}"), F.sum(F.when(p >= t, c).otherwise(0)).alias(f"c{n}")]
+    # distance of mean confidence and accuracy by band, over the known seconds
+    for name in BAND_NAMES:
+        aggs.append(F.abs(F.sum(F.when(confidence_band(p) == name, p * s - c).otherwise(0.0))).alias(f"gap_{name}"))
     x = outcomes.agg(*aggs)
-    cols = [F.col("seconds"), F.col("known"), F.try_divide("correct", "seconds").alias("accuracy"), F.try_divide("sq", "known").alias("brier")]
+    ece = F.try_divide(sum((F.coalesce(f"gap_{n}", F.lit(0.0)) for n in BAND_NAMES), F.lit(0.0)), F.col("known"))
+    cols = [F.col("seconds"), F.col("known"), F.try_divide("correct", "seconds").alias("accuracy"), F.try_divide("sq", "known").alias("brier"), ece.alias("ece")]
     for t in thresholds:
         n = f"{int(t * 100)}"
         cols += [F.try_divide(f"s{n}", "seconds").alias(f"coverage_{n}"), F.try_divide(f"c{n}", f"s{n}").alias(f"accuracy_{n}")]
@@ -237,6 +338,26 @@ def fit_logistic(outcomes: DataFrame, rounds: int = 100, tolerance: float = 1e-1
     return a, b, k
 
 
-def parity_split(takes: DataFrame, order: str = "name") -> DataFrame:
-    """Add held_out: every second row in the order of ``order``."""
-    return takes.withColumn("held_out", (F.row_number().over(Window.orderBy(order)) - 1) % 2 == 1)
+#: numbered() cuts the order into about so many parts.
+PARTS = 200
+
+
+def numbered(df: DataFrame, *order: str, out: str = "row") -> DataFrame:
+    """Add the place of each row in the order of the columns, from 0.
+
+    About PARTS rows, chosen by hash, cut the order into parts; rows are numbered
+    inside of their part, and the counts of the parts before are added. No task sees all rows.
+    """
+    me = F.struct(*order)
+    share = int(1_000_000 * min(1.0, PARTS / max(1, df.count()))) + 1
+    cuts = df.filter(F.pmod(F.xxhash64(*order), F.lit(1_000_000)) < share).agg(F.array_sort(F.collect_set(me)).alias("_cuts"))
+    x = df.crossJoin(F.broadcast(cuts)).withColumn("_part", F.size(F.filter("_cuts", lambda c: c <= me))).drop("_cuts")
+    size = x.groupBy("_part").agg(F.count("*").alias("_n"))
+    size = size.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # as many rows as there are parts
+    here = Window.partitionBy("_part").orderBy(*order)
+    return x.withColumn("_row", F.row_number().over(here) - 1).join(F.broadcast(size), "_part").withColumn(out, F.col("_row") + F.col("_before")).drop("_part", "_row", "_before")
+
+
+def parity_split(takes: DataFrame, *order: str) -> DataFrame:
+    """Add held_out: every second row in the order of the columns (name by default)."""
+    return numbered(takes, *(order or ("name",)), out="_place").withColumn("held_out", F.col("_place") % 2 == 1).drop("_place")
