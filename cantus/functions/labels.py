@@ -94,7 +94,7 @@ def lookup(table: dict, key: Column, kind: str = "string") -> Column:
 def pitch_class(note: Column) -> Column:
     """Pitch class of a note in any accepted spelling; null if it is none. The first letter may be small."""
     x = signs(F.trim(note))
-    return lookup(PITCH, F.concat(F.upper(F.substring(x, 1, 1)), F.expr("substring(x, 2)") if False else F.substring(x, 2, 9)), "int")
+    return lookup(PITCH, F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 9)), "int")
 
 
 def note_name(pc: Column) -> Column:
@@ -177,9 +177,9 @@ def from_colon(value: Column) -> Column:
     return F.when(x.isin("N", "N*", ""), "N").otherwise(full)
 
 
-def pitch_classes(label: Column) -> Column:
+def pitch_classes(label: Column, parsed: Column | None = None) -> Column:
     """Distinct pitch classes of a chord; empty without a root. A bracket replaces the voicing: its degrees and the root, less those with a star."""
-    p = parse(label)
+    p = parse(label) if parsed is None else parsed
     ext = F.coalesce(p["extension"], F.lit(""))
     head = F.regexp_replace(F.regexp_extract(ext, r"^([^(/]*)", 1), "^min", "m")
     kind = "array<int>"
@@ -209,31 +209,37 @@ def bass_class(label: Column, root: Column, bass: Column) -> Column:
     return F.when(bass.isNotNull(), pitch_class(bass)).when(last != "", F.pmod(root + degree + alter, F.lit(12)))
 
 
-def with_equality(pairs: DataFrame, ref: str = "ref_label", hyp: str = "hyp_label", out: str = "score") -> DataFrame:
-    """Add the score of each pair of labels: 0, 1, and up to 3 with the bonuses for sounding basses.
+def features(labels: DataFrame, label: str = "label") -> DataFrame:
+    """label, f: what scoring needs of each distinct label of a column. Each step is a row of its own (explode), so that Catalyst doesn't copy parse() into every use."""
+    x = labels.select(label).distinct().select(F.col(label).alias("label"), F.explode(F.array(parse(F.col(label)))).alias("p"))
+    x = x.select("label", "p", F.explode(F.array(F.struct(pitch_classes(F.col("label"), F.col("p")).alias("pcs"), pitch_class(F.col("p.root")).alias("root"), pitch_class(F.col("p.bass")).alias("bass")))).alias("s"))
+    slash = bass_class(F.col("label"), F.col("s.root"), F.col("p.bass"))
+    return x.select("label", F.struct("s.pcs", "s.root", F.col("p.quality").alias("q"), "s.bass", slash.alias("slash")).alias("f"))
+
+
+def equality(ref: Column, hyp: Column, r: Column, h: Column) -> Column:
+    """Score of two labels with features(): 0, 1, and up to 3 with the bonuses for sounding basses.
 
     Three shared pitch classes match, two where the reference is augmented or
     diminished. Two match too if the reference's bass, not its root, sounds in the
-    hypothesis and the reference has no bracket. Each distinct pair is scored once.
+    hypothesis and the reference has no bracket.
     """
-    d = pairs.select(ref, hyp).distinct()
-    for side, name in (("r", ref), ("h", hyp)):
-        t = d.select(F.col(name).alias(f"{side}_label")).distinct()
-        t = t.withColumn("_p", parse(F.col(f"{side}_label"))).withColumn(f"{side}_pcs", pitch_classes(F.col(f"{side}_label"))).withColumn(f"{side}_root", pitch_class(F.col("_p.root")))
-        t = t.withColumn(f"{side}_q", F.col("_p.quality")).withColumn(f"{side}_bass", pitch_class(F.col("_p.bass"))).withColumn(f"{side}_slash", bass_class(F.col(f"{side}_label"), F.col(f"{side}_root"), F.col("_p.bass"))).drop("_p")
-        d = d.join(t, d[name].eqNullSafe(t[f"{side}_label"])).drop(f"{side}_label")
-    both = F.size(F.array_intersect("r_pcs", "h_pcs"))
-    need = F.when(F.col("r_q").isin("aug", "dim"), 2).otherwise(3)
-    rescued = (both == 2) & ~F.contains(F.col(ref), F.lit("(")) & F.col("r_slash").isNotNull() & (F.col("r_slash") != F.col("r_root")) & F.array_contains("h_pcs", F.col("r_slash"))
-    bonus = lambda a, b: F.when(F.col(f"{a}_bass").isNotNull() & (F.col(f"{a}_bass") != F.col(f"{a}_root")) & F.array_contains(f"{b}_pcs", F.col(f"{a}_bass")), 1.0).otherwise(0.0)
-    same = F.when(F.col(ref) == F.col(hyp), 1.0).otherwise(0.0)
-    score = (
-        F.when((F.col(ref) == "N") | (F.col(hyp) == "N"), same)
-        .when((F.size("r_pcs") == 0) | (F.size("h_pcs") == 0), same)
-        .when((both >= need) | F.coalesce(rescued, F.lit(False)), 1.0 + bonus("r", "h") + bonus("h", "r"))
-        .otherwise(0.0)
-    )
-    return pairs.join(d.select(ref, hyp, score.alias(out)), [ref, hyp], "left")
+    both = F.size(F.array_intersect(r["pcs"], h["pcs"]))
+    need = F.when(r["q"].isin("aug", "dim"), 2).otherwise(3)
+    rescued = (both == 2) & ~F.contains(ref, F.lit("(")) & r["slash"].isNotNull() & (r["slash"] != r["root"]) & F.array_contains(h["pcs"], r["slash"])
+    bonus = lambda a, b: F.when(a["bass"].isNotNull() & (a["bass"] != a["root"]) & F.array_contains(b["pcs"], a["bass"]), 1.0).otherwise(0.0)
+    same = F.when(ref == hyp, 1.0).otherwise(0.0)
+    return (
+        F.when((ref == "N") | (hyp == "N"), same).when((F.size(r["pcs"]) == 0) | (F.size(h["pcs"]) == 0), same)
+        .when((both >= need) | F.coalesce(rescued, F.lit(False)), 1.0 + bonus(r, h) + bonus(h, r)).otherwise(0.0)
+    )
+
+
+def with_equality(pairs: DataFrame, ref: str = "ref_label", hyp: str = "hyp_label", out: str = "score", labels: DataFrame | None = None) -> DataFrame:
+    """Add the equality() of each pair of labels; null for null labels. ``labels`` has a column label with all of them, where that is cheaper to read than the pairs."""
+    known = features(pairs.select(F.explode(F.array(ref, hyp)).alias("label")) if labels is None else labels)
+    x = pairs.join(known.toDF(ref, "_r"), ref, "left").join(known.toDF(hyp, "_h"), hyp, "left")
+    return x.select(*pairs.columns, equality(F.col(ref), F.col(hyp), F.col("_r"), F.col("_h")).alias(out))
 
 
 def triad_scoring(label: Column) -> Column:
@@ -268,7 +274,7 @@ def spell_label(label: Column, flats: Column) -> Column:
     """Root and bass respelled for a flat key; the suffix stays."""
     head, bass = F.regexp_extract(label, r"^([^/]*)", 1), F.regexp_extract(label, r"^[^/]*/(.*)$", 1)
     root = F.regexp_extract(head, r"^(.[#b]?)", 1)
-    done = F.concat(spell_note(root, F.lit(True)), F.expr("''") if False else F.substring(head, F.length(root) + 1, F.length(head)), F.when(bass != "", F.concat(F.lit("/"), spell_note(bass, F.lit(True)))).otherwise(F.when(F.contains(label, F.lit("/")), "").otherwise("")))
+    done = F.concat(spell_note(root, F.lit(True)), F.substring(head, F.length(root) + 1, F.length(head)), F.when(bass != "", F.concat(F.lit("/"), spell_note(bass, F.lit(True)))).otherwise(F.when(F.contains(label, F.lit("/")), "").otherwise("")))
     return F.when(flats & ~label.isin("N", "?", "") & lookup(PITCH, root, "int").isNotNull(), done).otherwise(label)
 
 

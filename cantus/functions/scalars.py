@@ -106,6 +106,11 @@ def correct_fraction(correct: Column, seconds: Column) -> Column:
     return F.try_divide(correct, seconds)
 
 
+def error_fraction(correct: Column, seconds: Column) -> Column:
+    """The part of an event that is a miss."""
+    return 1 - correct_fraction(correct, seconds)
+
+
 def compress_chroma(chroma: Column, how: str) -> Column:
     """Negatives to 0, then raw, sqrt or log1p(15 x)."""
     f = {"raw": lambda x: x, "sqrt": F.sqrt, "log": lambda x: F.log1p(x * 15)}[how]

@@ -74,6 +74,9 @@ def spread_words(lines: DataFrame, least: float = 0.8, each: float = 0.4, key: s
     """
     timed = lines.filter("start is not null")
     words = F.expr(r"filter(split(text, '\\s+'), w -> w != '')")
+    if "words" in lines.columns:  # a line without text is that of its words
+        said = F.when(F.col("text") != "", F.col("text")).otherwise(F.array_join(F.transform("words", lambda w: w["text"]), " "))
+        timed = timed.withColumn("text", F.coalesce(said, F.array_join(F.transform("words", lambda w: w["text"]), " ")))
     x = timed.withColumn("_next", F.lead("start").over(TL.in_order(key))).withColumn("_w", words).filter("size(_w) > 0")
     end = F.when(F.col("end") > F.col("start"), F.col("end")).otherwise(F.col("_next"))
     x = x.withColumn("_end", F.when(end > F.col("start"), end).otherwise(F.col("start") + F.greatest(F.lit(least), each * F.size("_w"))))
@@ -115,42 +118,44 @@ def change_points(ref: DataFrame, hyp: DataFrame, window, digits: int | None = 5
 
 
 def take_scores(ref: DataFrame, hyp: DataFrame, width, window, digits: int | None = 5, key: str = KEY) -> DataFrame:
-    """All scores of each song, a row a song: recall by time (raw and of triads), overlap, change points, distances, counts."""
-    triads = lambda df: df.withColumn("label", L.triad_scoring(F.col("label")))
+    """All scores of each song of the reference, a row a song: recall by time (raw and of triads), overlap, change points, distances, counts.
+
+    Time is summed by pair of labels once, and both views of the labels are looked up for each pair.
+    """
+    labels = ref.select("label").union(hyp.select("label")).distinct()
+    views = labels.select("label", F.explode(F.array(L.triad_scoring(F.col("label")))).alias("triad"))
+    known = L.features(views.select(F.explode(F.array("label", "triad")).alias("label")))
+    views = views.join(known, "label", "left").join(known.toDF("triad", "tf"), "triad", "left").select("label", F.struct("f", "triad", "tf").alias("v"))
+    x = SC.label_overlaps(ref, hyp, width, key).join(views.toDF("ref_label", "_r"), "ref_label", "left").join(views.toDF("hyp_label", "_h"), "hyp_label", "left")
+    raw = L.equality(F.col("ref_label"), F.col("hyp_label"), F.col("_r.f"), F.col("_h.f"))
+    triad = L.equality(F.col("_r.triad"), F.col("_h.triad"), F.col("_r.tf"), F.col("_h.tf"))
+    hit = lambda score: F.sum(F.when(score > 0, F.col("overlap")).otherwise(0)) / F.sum("overlap")
+    csr = x.groupBy(key).agg(hit(raw).alias("csr"), hit(triad).alias("csr_triads"))
     counts = lambda df, s: df.groupBy(key).agg(F.count("*").alias(f"{s}_segments"), F.count_if(F.col("label") != "N").alias(f"{s}_chords"))
-    parts = [
-        SC.duration_csr(ref, hyp, width, key).select(key, "csr"),
-        SC.duration_csr(triads(ref), triads(hyp), width, key).select(key, F.col("csr").alias("csr_triads")),
-        SC.segment_overlap(ref, hyp, width, key).withColumnRenamed("overlap", "segment_overlap"),
-        change_points(ref, hyp, window, digits, key=key),
-        SC.boundary_distances(ref, hyp, digits, key),
-        counts(ref, "reference"),
-        counts(hyp, "hypothesis"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, key, "left")
-    return out.fillna(0, ["reference_segments", "reference_chords", "hypothesis_segments", "hypothesis_chords"])
-
-
-def _ops(ref: list, hyp: list, swap: float, gap: float) -> list[tuple]:
-    """Cheapest edits that turn one sequence into another: (kind, place in ref, place in hyp); a pair wins ties, then a missing one."""
-    cost = np.zeros((len(ref) + 1, len(hyp) + 1))
-    cost[:, 0], cost[0, :] = np.arange(len(ref) + 1) * gap, np.arange(len(hyp) + 1) * gap
-    for i, a in enumerate(ref, 1):
-        for j, b in enumerate(hyp, 1):
-            cost[i, j] = min(cost[i - 1, j - 1] + (a != b) * swap, cost[i - 1, j] + gap, cost[i, j - 1] + gap)
-    out, i, j = [], len(ref), len(hyp)
+    out = counts(ref, "reference").join(counts(hyp, "hypothesis"), key, "left").join(csr, key, "left")
+    for part in (SC.segment_overlap(ref, hyp, width, key).withColumnRenamed("overlap", "segment_overlap"), change_points(ref, hyp, window, digits, key=key), SC.boundary_distances(ref, hyp, digits, key)):
+        out = out.join(part, key, "left")
+    zero = ["csr", "csr_triads", "segment_overlap", "change_precision", "change_recall", "change_f1", "hypothesis_segments", "hypothesis_chords"]
+    return out.fillna(0, zero).select(key, "csr", "csr_triads", "segment_overlap", "change_precision", "change_recall", "change_f1", "ref_to_hyp", "hyp_to_ref", "reference_segments", "reference_chords", "hypothesis_segments", "hypothesis_chords")
+
+
+def edit_ops(ref: list, hyp: list, swap: float = 1.0, gap: float = 1.0) -> list[tuple]:
+    """Cheapest edits that turn one sequence into another: (kind, place in ref, place in hyp); a pair wins ties, then a missing one. Keeps one row and a byte for each pair of places."""
+    r, h, _ = SC.coded(ref, hyp)
+    steps = gap * np.arange(len(h) + 1)
+    row, moves = steps.copy(), np.zeros((len(r) + 1, len(h) + 1), np.int8)  # 0: pair, 1: missing, 2: extra
+    moves[1:, 0], moves[0, 1:] = 1, 2
+    for i, x in enumerate(r, 1):
+        diag, up = row[:-1] + (h != x) * swap, row[1:] + gap
+        new = np.minimum.accumulate(np.concatenate([[i * gap], np.minimum(diag, up)]) - steps) + steps
+        moves[i, 1:] = np.where(np.isclose(diag, new[1:]), 0, np.where(np.isclose(up, new[1:]), 1, 2))
+        row = new
+    out, i, j = [], len(r), len(h)
     while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (ref[i - 1] != hyp[j - 1]) * swap:
-            i, j = i - 1, j - 1
-            out.append(("match" if ref[i] == hyp[j] else "substitution", i, j))
-        elif i and (not j or cost[i, j] == cost[i - 1, j] + gap):
-            i -= 1
-            out.append(("missing", i, None))
-        else:
-            j -= 1
-            out.append(("extra", None, j))
+        move = moves[i, j]
+        i, j = i - (move != 2), j - (move != 1)
+        kind = ("match" if r[i] == h[j] else "substitution") if move == 0 else ("missing" if move == 1 else "extra")
+        out.append((kind, i if move != 2 else None, j if move != 1 else None))
     return out[::-1]
 
 
@@ -169,19 +174,22 @@ def align_charts(chart: DataFrame, detected: DataFrame, swap: float = 1.0, gap:
 
     @F.pandas_udf("array<struct<kind:string,reference:int,hypothesis:int>>")
     def edits(r: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([[{"kind": k, "reference": a, "hypothesis": b} for k, a, b in _ops(list(x), list(y), swap, gap)] for x, y in zip(r, h)])
+        return pd.Series([[{"kind": k, "reference": a, "hypothesis": b} for k, a, b in edit_ops(list(x), list(y), swap, gap)] for x, y in zip(r, h)])
 
     x = both.withColumn("ops", edits("reference_triads", "hypothesis_triads")).select("*", F.posexplode("ops").alias("step", "op"))
     pick = lambda c: F.get(F.col(c), F.col(f"op.{c}"))
     return x.select(key, "step", "op.kind", pick("reference").alias("reference_label"), pick("hypothesis").alias("hypothesis_label"))
 
 
-def chart_agreement(ops: DataFrame, key: str = KEY) -> DataFrame:
-    """key, matches, substitutions, missing, extra, precision, recall; a side without chords scores 0. Songs without chords on both sides have no operations, and no row."""
+def chart_agreement(ops: DataFrame, key: str = KEY, songs: DataFrame | None = None) -> DataFrame:
+    """key, matches, substitutions, missing, extra, precision, recall; a side without chords scores 0. Songs (of ``songs``) without chords on both sides agree: 1 and 1."""
     n = lambda k: F.count_if(F.col("kind") == k)
     g = ops.groupBy(key).agg(n("match").alias("matches"), n("substitution").alias("substitutions"), n("missing").alias("missing"), n("extra").alias("extra"))
     ratio = lambda lost: F.coalesce(F.try_divide(F.col("matches"), F.col("matches") + F.col("substitutions") + F.col(lost)), F.lit(0.0))
-    return g.withColumns({"precision": ratio("extra"), "recall": ratio("missing")})
+    g = g.withColumns({"precision": ratio("extra"), "recall": ratio("missing")})
+    if songs is None:
+        return g
+    return songs.select(key).distinct().join(g, key, "left").fillna(0, ["matches", "substitutions", "missing", "extra"]).fillna(1.0, ["precision", "recall"])
 
 
 def layer_summary(events: DataFrame, key: str = KEY) -> DataFrame:

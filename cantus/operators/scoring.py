@@ -8,17 +8,30 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cantus.functions.labels import with_equality, with_parsed
 from cantus.functions.scalars import BANDS, TOP_BAND, confidence_band
 from cantus.operators.timeline import KEY, boundaries, nearest_distance, overlap_join
 
 
+def label_overlaps(ref: DataFrame, hyp: DataFrame, width, key: str = KEY) -> DataFrame:
+    """key, ref_label, hyp_label, overlap: how long each pair of labels sounds at once in a song."""
+    pairs = overlap_join(ref.select(key, "start", "end", "label"), hyp.select(key, "start", "end", "label"), width, key=key)
+    return pairs.groupBy(key, F.col("l_label").alias("ref_label"), F.col("r_label").alias("hyp_label")).agg(F.sum("overlap").alias("overlap"))
+
+
 def duration_csr(ref: DataFrame, hyp: DataFrame, width, key: str = KEY) -> DataFrame:
-    """key, equal, total, csr: overlapped time whose labels match over all overlapped time; an empty side gives 0. Both sides are partitions."""
-    pairs = overlap_join(ref, hyp, width, key=key)
-    scored = with_equality(pairs.withColumnsRenamed({"l_label": "ref_label", "r_label": "hyp_label"}))
-    per = scored.groupBy(key).agg(F.sum(F.when(F.col("score") > 0, F.col("overlap")).otherwise(0)).alias("equal"), F.sum("overlap").alias("total"))
+    """key, equal, total, csr: overlapped time whose labels match over all overlapped time; an empty side gives 0. Both sides are partitions.
+
+    Time is summed by pair of labels before labels are looked at; these are parsed once, from the two tables.
+    """
+    scored = with_equality(label_overlaps(ref, hyp, width, key), labels=ref.select("label").union(hyp.select("label")))
+    hit = F.sum(F.when(F.col("score") > 0, F.col("overlap")).otherwise(0)).alias("equal")
+    return csr_of_all(ref, hyp, scored.groupBy(key).agg(hit, F.sum("overlap").alias("total")), key)
+
+
+def csr_of_all(ref: DataFrame, hyp: DataFrame, per: DataFrame, key: str) -> DataFrame:
     songs = ref.select(key).union(hyp.select(key)).distinct()
     per = songs.join(per, key, "left").fillna(0, ["equal", "total"])
     return per.withColumn("csr", F.coalesce(F.try_divide("equal", "total"), F.lit(0.0)))
@@ -89,7 +102,7 @@ def character_error_rate(ref: Column, hyp: Column) -> Column:
     return F.try_divide(F.levenshtein(ref, hyp), F.char_length(ref))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _word_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     """Edit distance over words divided by the reference's words; one row of the table is kept."""
     out = []
