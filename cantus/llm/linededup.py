@@ -12,7 +12,7 @@ from cantus.llm.store import spent, stable, written
 #: Jaccard similarity of two lines' token sets at which the later one goes.
 SIMILARITY = 0.9
 #: Token frequencies are kept for so many hash buckets.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 #: Bits of the filter that lets only candidate lines through to verification; saturation costs time, not results.
 FILTER_BITS = 1 << 22
 
@@ -37,7 +37,7 @@ def rarity(docs: DataFrame) -> DataFrame:
     tokens = docs.select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("t")).filter("t != ''").select(F.pmod(F.xxhash64("t"), F.lit(BUCKETS)).cast("int").alias("b"))
     n = tokens.groupBy("b").agg(F.count("*").alias("n"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
-    dense = every.join(n, "b", "left").select("b", F.least(F.coalesce("n", F.lit(0)), F.lit(1 << 22)).alias("n"))
+    dense = every.join(n, "b", "left").select("b", F.least(F.coalesce("n", F.lit(0)), F.lit(1 << 22)).cast("int").alias("n"))
     # a fixed number of rows, whatever the input
     return stable(dense.agg(F.expr("transform(array_sort(collect_list(struct(b, n))), x -> x.n)").alias("hist")))
 
@@ -47,7 +47,7 @@ def with_codes(lines: DataFrame, hist: DataFrame) -> DataFrame:
     lines = lines.withColumn("hist", hist.scalar())
     # between two spaces there is no token
     code = f"transform(array_remove(split(lower(line), ' '), ''), t -> xxhash64(t))"
-    code = f"transform({code}, h -> shiftleft(element_at(hist, cast(pmod(h, {BUCKETS}) as int) + 1), 40) | (shiftright(h, 7) & 1099511627775L))"
+    code = f"transform({code}, h -> shiftleft(cast(element_at(hist, cast(pmod(h, {BUCKETS}) as int) + 1) as bigint), 40) | (shiftright(h, 7) & 1099511627775L))"
     return lines.withColumn("codes", F.expr(f"sort_array(array_distinct({code}))")).drop("hist")
 
 
