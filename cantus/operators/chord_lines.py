@@ -13,7 +13,7 @@ from cantus.operators.timeline import KEY, close_intervals
 
 #: What a row between lines says, its least width, and its least span in seconds.
 GAP_TEXT, GAP_WIDTH, GAP_SPAN = "· · ·", 24, 1.0
-PLACED = T.ArrayType(T.StructType().add("label", "string").add("start", "double").add("end", "double").add("column", "int").add("word", "int"))
+PLACED = T.ArrayType(T.StructType().add("label", "string").add("start", "double").add("end", "double").add("column", "integer").add("word", "integer"))
 
 
 def word_offsets(text: str, words: str) -> Column:
@@ -36,7 +36,8 @@ def chord_columns(chords: DataFrame, lines: DataFrame, key: str = KEY) -> DataFr
     ``lines`` has seq, start, stop (its end, known), text and words. Above the last timed word that started, the first one before all;
     without timed words in proportion to the line's time; always inside of the text. Word times are taken in the order of the words.
     """
-    x = lines.withColumn("_at", word_offsets("text", "words"))
+    # a row of its own (explode) keeps the offsets from being computed anew for each word
+    x = lines.select("*", F.explode(F.array(word_offsets("text", "words"))).alias("_at"))
     x = x.withColumn("_timed", F.expr("filter(transform(coalesce(words, array()), (w, i) -> struct(w.start as start, _at[i] as at, i as i)), w -> w.start is not null)"))
     x = chords.join(x.select(key, F.col("seq").alias("line"), F.col("start").alias("_s"), F.col("stop").alias("_e"), "text", "_timed"), [key, "line"])
     under = F.coalesce(F.expr("element_at(filter(_timed, w -> w.start <= start), -1)"), F.get("_timed", F.lit(0)))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from cantus.functions import labels as L
 from cantus.functions import scalars as S
 from cantus.functions import words as WO
+from cantus.operators import cases as CA
 from cantus.operators import frames as FR
+from cantus.operators import jobs as JO
 from cantus.operators import placement as PL
 from cantus.operators import scoring as SC
 from cantus.operators import seams as SE
@@ -131,9 +133,9 @@ def w6_plan_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TL.plan_windows(t, 30.0, 5.0)
 
 
-@query(f"""{_BOTH}, p AS (SELECT song_id, seq AS probe_id, start + 1000000 AS t FROM raw WHERE seq % 5 = 0) SELECT p.song_id, p.probe_id, p.t, CASE WHEN p.t < h."end" THEN h.label END AS label FROM p ASOF LEFT JOIN hyp h ON p.song_id = h.song_id AND p.t >= h.start""")
+@query(f"""{_BOTH}, p AS (SELECT song_id, seq AS probe_id, start + 1000000 AS t FROM raw) SELECT p.song_id, p.probe_id, p.t, CASE WHEN p.t < h."end" THEN h.label END AS label FROM p ASOF LEFT JOIN hyp h ON p.song_id = h.song_id AND p.t >= h.start""")
 def j3_chord_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = D.raw_events(spark, sf_dir).filter("seq % 5 = 0").select("song_id", F.col("seq").alias("probe_id"), (F.col("start") + 1_000_000).alias("t"))
+    p = D.raw_events(spark, sf_dir).select("song_id", F.col("seq").alias("probe_id"), (F.col("start") + 1_000_000).alias("t"))
     return TL.as_of(p, D.hypothesis(spark, sf_dir)).select("song_id", "probe_id", "t", F.col("event.label").alias("label"))
 
 
@@ -145,10 +147,10 @@ def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.withColumn("end", F.col("start") + (1 + F.col("seq") % 9) * 7_200_000_000).select("song_id", "seq", "start", "end", "label")
 
 
-@query(f"""WITH {_RAW}, {_LONG}, p AS (SELECT song_id, seq AS probe_id, start + 3600000000 AS t FROM raw WHERE seq % 4 = 0), m AS (SELECT p.song_id, probe_id, arg_max(label, struct_pack(a := start, b := seq)) AS label FROM p JOIN lng USING (song_id) WHERE start <= t AND t < "end" GROUP BY ALL)
+@query(f"""WITH {_RAW}, {_LONG}, p AS (SELECT song_id, seq AS probe_id, start + 3600000000 AS t FROM raw), m AS (SELECT p.song_id, probe_id, arg_max(label, struct_pack(a := start, b := seq)) AS label FROM p JOIN lng USING (song_id) WHERE start <= t AND t < "end" GROUP BY ALL)
 SELECT song_id, probe_id, t, label FROM p LEFT JOIN m USING (song_id, probe_id)""")
 def j6_covering_chord(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = D.raw_events(spark, sf_dir).filter("seq % 4 = 0").select("song_id", F.col("seq").alias("probe_id"), (F.col("start") + HOUR).alias("t"))
+    p = D.raw_events(spark, sf_dir).select("song_id", F.col("seq").alias("probe_id"), (F.col("start") + HOUR).alias("t"))
     return TL.covering(p, _long(spark, sf_dir), 12 * HOUR).select("song_id", "probe_id", "t", "label")
 
 
@@ -238,9 +240,12 @@ def f13_key_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_KEYS + " SELECT relation, count(r.o_orderkey) AS n FROM (VALUES ('exact'), ('fifth'), ('relative'), ('parallel'), ('other'), ('unknown')) v(relation) LEFT JOIN r USING (relation) GROUP BY relation")
 def a9_relation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = spark.createDataFrame([(x,) for x in S.RELATION_WEIGHTS], "relation string")
-    n = f13_key_relations(spark, sf_dir).groupBy("relation").agg(F.count("*").alias("n"))
-    return F.broadcast(every).join(n, "relation", "left").fillna(0, ["n"])
+    return CA.key_summary(_key_pairs(spark, sf_dir))[1]
+
+
+@query(_KEYS + " SELECT avg(CAST(relation = 'exact' AS DOUBLE)) AS accuracy, avg(CAST(relation = 'relative' AS DOUBLE)) AS relative_error FROM r")
+def a9_key_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CA.key_summary(_key_pairs(spark, sf_dir))[0]
 
 
 @query("""WITH t AS (SELECT p_partkey, 60.0 + p_size AS r, (60.0 + p_size) * [1.0, 0.5, 2.0, 1.1][1 + p_partkey % 4] AS e FROM part), d AS (SELECT p_partkey, abs(e - r) AS same, abs(e / 2 - r) AS half, abs(e * 2 - r) AS double FROM t)
@@ -258,18 +263,16 @@ def f17_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.raw_events(spark, sf_dir).select("song_id", "seq", S.format_timestamp(sec).alias("stamp"), S.format_duration(whole).alias("clock"), S.parse_timestamp(S.format_timestamp(whole.cast("double"))).alias("back"))
 
 
-_CER = """WITH t AS (SELECT conv_id AS song_id, turn, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations), u AS (SELECT song_id, turn, regexp_replace(a, '[^ -~]', '', 'g') AS a, regexp_replace(b, '[^ -~]', '', 'g') AS b FROM t WHERE b IS NOT NULL)"""
-
-
-@query(_CER + " SELECT song_id, turn, levenshtein(a, b) / nullif(length(a), 0) AS cer FROM u")
+@query()
 def q4_character_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = lambda c: F.regexp_replace(c, "[^ -~]", "")
-    return D.transcripts(spark, sf_dir).select("song_id", "turn", SC.character_error_rate(plain("ref"), plain("hyp")).alias("cer"))
+    """Whole normalised texts by code points, which the SQL's edit distance doesn't count; tested against brute force."""
+    norm = lambda c: WO.normalize_transcript(F.col(c))
+    return D.transcripts(spark, sf_dir).select("song_id", "turn", SC.character_error_rate(norm("ref"), norm("hyp")).alias("cer"))
 
 
 @query()
 def q3_word_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    norm = lambda c: S.normalize_text(F.col(c))
+    norm = lambda c: WO.normalize_transcript(F.col(c))
     return D.transcripts(spark, sf_dir).select("song_id", "turn", SC.word_error_rate(norm("ref"), norm("hyp")).alias("wer"))
 
 
@@ -286,7 +289,7 @@ def q1_label_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OUT = """WITH o AS (SELECT d.doc_id, coalesce(n_chars, 0) AS s, quality * coalesce(n_chars, 0) AS c, CASE WHEN d.doc_id % 9 <> 0 THEN (d.doc_id * 37 % 100) / 100.0 END::DOUBLE AS p FROM documents d JOIN labels l USING (doc_id))"""
 
 
-@query(_OUT + """ SELECT CAST(sum(s) AS BIGINT) AS seconds, CAST(sum(s) FILTER (p IS NOT NULL) AS BIGINT) AS known, sum(c) / sum(s) AS accuracy, sum(c * (1 - p) * (1 - p) + (s - c) * p * p) / sum(s) FILTER (p IS NOT NULL) AS brier, """
+@query(_OUT + """ SELECT CAST(sum(s) AS BIGINT) AS seconds, CAST(sum(s) FILTER (p IS NOT NULL) AS BIGINT) AS known, sum(c) / sum(s) AS accuracy, sum(c * (1 - p) * (1 - p) + (s - c) * p * p) / sum(s) FILTER (p IS NOT NULL) AS brier, (SELECT sum(g) FROM (SELECT abs(sum(p * s - c)) AS g FROM o WHERE p IS NOT NULL GROUP BY least(floor(p * 5), 4))) / sum(s) FILTER (p IS NOT NULL) AS ece, """
        + ", ".join(f"coalesce(sum(s) FILTER (p >= 0.{t}), 0) / sum(s) AS coverage_{t}0, sum(c) FILTER (p >= 0.{t}) / sum(s) FILTER (p >= 0.{t}) AS accuracy_{t}0" for t in "56789") + " FROM o")
 def a5_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SC.calibration(D.outcomes(spark, sf_dir))
@@ -348,21 +351,20 @@ def a13_waveform_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT conv_id AS song_id, string_agg(trim(text), ' ' ORDER BY turn) AS text, count(*) AS lines FROM conversations WHERE trim(text) <> '' GROUP BY conv_id""")
 def a17_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = D.read(spark, sf_dir, "conversations").filter("trim(text) != ''")
-    g = c.groupBy(F.col("conv_id").alias("song_id")).agg(F.array_sort(F.collect_list(F.struct("turn", F.trim("text").alias("text")))).alias("x"))
-    return g.select("song_id", F.array_join(F.transform("x", lambda r: r["text"]), " ").alias("text"), F.size("x").cast("bigint").alias("lines"))
+    return JO.transcripts(D.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("song_id"), F.col("turn").alias("seq"), "text"))
 
 
-@query("""SELECT event_type AS engine, count(*) AS cases, avg(value) AS mean_value FROM events GROUP BY event_type""")
+@query("""WITH e AS (SELECT CASE WHEN event_id % 7 > 0 THEN event_type END AS engine, value, CASE WHEN event_id % 3 = 0 THEN value * 2 END AS other FROM events) SELECT coalesce(engine, 'unknown') AS engine, count(*) AS cases, avg(value) AS value, avg(other) AS other FROM e GROUP BY 1""")
 def a2_engine_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = D.read(spark, sf_dir, "events")
-    return e.groupBy(F.coalesce("event_type", F.lit("unknown")).alias("engine")).agg(F.count("*").alias("cases"), F.avg("value").alias("mean_value"))
+    i = F.col("event_id")
+    e = D.read(spark, sf_dir, "events").select(F.when(i % 7 > 0, F.col("event_type")).alias("engine"), "value", F.when(i % 3 == 0, F.col("value") * 2).alias("other"))
+    return CA.engine_summary(e, ["value", "other"])
 
 
 @query("""SELECT p_name AS name, p_partkey, (row_number() OVER (ORDER BY p_name, p_partkey) - 1) % 2 = 1 AS held_out FROM part""")
 def a8_parity_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = D.read(spark, sf_dir, "part").select(F.col("p_name").alias("name"), "p_partkey")
-    return p.withColumn("held_out", (F.row_number().over(Window.orderBy("name", "p_partkey")) - 1) % 2 == 1)
+    return SC.parity_split(p, "name", "p_partkey")
 
 
 # what windows of 24 hours with 6 hours in common report: the events that touch them, cut to them
@@ -529,7 +531,7 @@ def q2_chart_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def a18_chart_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return PL.chart_agreement(q2_chart_alignment(spark, sf_dir))
+    return PL.chart_agreement(q2_chart_alignment(spark, sf_dir), songs=D.raw_events(spark, sf_dir))
 
 
 @query("""WITH e AS (SELECT user_id AS song_id, CASE WHEN event_id % 9 <> 0 THEN (event_id * 37 % 128) / 128.0 END AS confidence, CASE WHEN event_id % 4 > 0 THEN event_type END AS source FROM events)
