@@ -121,20 +121,18 @@ def band_of() -> Column:
 
 
 def folded(x: np.ndarray) -> bytes:
-    """Counts of the set's elements by hash range, a power of two of them near half its size: a bound for differences."""
-    n = 1 << max(4, int(len(x) // 2).bit_length())
-    return np.minimum(np.bincount((x >> np.uint64(64 - (n.bit_length() - 1))).astype(np.int64), minlength=n), 255).astype(np.uint8).tobytes()
+    """Parities of the set's elements by hash range, a power of two of bits near four times its size: a bound for differences."""
+    bits = max(6, (4 * len(x) - 1).bit_length())
+    return np.packbits(np.bincount((x >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint8) & 1).tobytes()
 
 
 def least_difference(a: bytes, b: bytes) -> int:
-    """A lower bound of the symmetric difference of two sets from their folded counts."""
-    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
-    if x.max() == 255 or y.max() == 255:
-        return 0
-    if len(x) < len(y):
-        x, y = y, x
-    x = x.reshape(len(y), -1).sum(1)
-    return int(abs(x - y).sum())
+    """A lower bound of the symmetric difference of two sets from their parities; the longer one is folded to the shorter one's ranges."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = np.packbits(np.bitwise_xor.reduce(np.unpackbits(x).reshape(len(y) * 8, -1), axis=1))
+    return int(np.unpackbits(x ^ y).sum())
 
 
 def budget(x: np.ndarray, band: int) -> tuple[int, int, int]:
@@ -224,29 +222,23 @@ def linked(common: int, a: int, b: int) -> bool:
     return 100 * common >= PER_CENT * (a + b - common)
 
 
-def near(a: Column, b: Column) -> Column:
-    """Whether folded counts allow a link."""
+def near(a: Column, b: Column, n: Column) -> Column:
+    """Whether the parities of two sets of together n elements allow a link."""
 
     @F.pandas_udf("boolean")
-    def check(x, y):
+    def check(x, y, n):
         import pandas as pd
 
-        out = []
-        for p, q in zip(x, y, strict=True):
-            # sizes: counts below 255 add up to them
-            n = int(np.frombuffer(p, np.uint8).sum(dtype=np.int64)) + int(np.frombuffer(q, np.uint8).sum(dtype=np.int64))
-            d = least_difference(p, q)
-            out.append(d == 0 or 7 * d <= n)
-        return pd.Series(out)
+        return pd.Series([7 * least_difference(p, q) <= k for p, q, k in zip(x, y, n, strict=True)])
 
-    return check(a, b)
+    return check(a, b, n)
 
 
 def verify(pairs: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that link, judged first by sizes and folded counts, then by the sets."""
+    """The pairs (a, b) of classes that link, judged first by sizes and parities, then by the sets."""
     r = reps
     x = pairs.join(r.toDF("a", "na", "fa"), "a").join(r.toDF("b", "nb", "fb"), "b")
-    x = x.filter((100 * F.least("na", "nb") >= PER_CENT * F.greatest("na", "nb")) & near(F.col("fa"), F.col("fb"))).select("a", "b")
+    x = x.filter((100 * F.least("na", "nb") >= PER_CENT * F.greatest("na", "nb")) & near(F.col("fa"), F.col("fb"), F.col("na") + F.col("nb"))).select("a", "b")
 
     @F.pandas_udf("boolean")
     def judge(p, q):
@@ -339,10 +331,7 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     if poor.isEmpty():
         return edges
     ring = written(deletions(sets, poor).join(hot, "own", "left").select("sig", "cls", "whole", F.col("hot").isNull().alias("cold")))
-    whole, cut = ring.filter("whole").select("sig", F.col("cls").alias("p"), "cold"), ring.filter("not whole").select("sig", F.col("cls").alias("q"), "cold")
-    pairs = whole.filter("cold").drop("cold").join(cut.drop("cold"), "sig").union(whole.filter("not cold").drop("cold").join(cut.filter("cold").drop("cold"), "sig"))
-    pairs = pairs.filter("p != q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    more = written(verify(apart(pairs, comp), reps, sets))
+    more = written(verify(crossing(ring, comp), reps, sets))
     edges = edges.union(more)
     last = written(short(ring, bands))
     if last.isEmpty():
@@ -368,15 +357,15 @@ def prefixes(first: DataFrame, bands: DataFrame) -> DataFrame:
 def stars(shared: DataFrame, reps: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links found in ROUNDS of stars, and the components (cls, comp) that they give.
 
-    In each round each signature has one of its members, by a hash of its component, as leader, and the members of other
-    components are compared with it. So large groups of like sets become few components before all pairs of components are compared.
+    In each round each signature has one of its members, by a hash of its component, as leader, and each set is compared with
+    the first of its signatures' leaders that is of another component. So large groups of like sets become few components before all pairs of components are compared.
     """
     spark = shared.sparkSession
     edges, comp = spark.createDataFrame([], "a bigint, b bigint"), spark.createDataFrame([], "cls bigint, comp bigint")
     for turn in range(ROUNDS):
         m = shared.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
         lead = F.min(F.struct(F.xxhash64(F.lit(turn), "comp").alias("h"), "comp", "cls")).over(Window.partitionBy("sig"))
-        m = m.withColumn("lead", lead).filter("lead.comp != comp")
+        m = m.withColumn("lead", lead).filter("lead.comp != comp").groupBy("cls").agg(F.min("lead").alias("lead"))
         pairs = m.select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")).distinct()
         more = written(verify(pairs, reps, sets))
         if more.isEmpty():
@@ -401,10 +390,18 @@ def met(sigs: DataFrame) -> DataFrame:
     return x.filter("low < high").drop("low", "high")
 
 
-def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs whose classes are in different components."""
-    x = pairs.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left")
-    return x.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+def crossing(ring: DataFrame, comp: DataFrame) -> DataFrame:
+    """(a, b): classes of different components of which one has a signature with an element left out and the other one has it whole; one of the two is rare.
+
+    Signatures whose classes are all of one component drop out first.
+    """
+    w = Window.partitionBy("sig")
+    x = ring.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    x = x.withColumn("low", F.min("comp").over(w)).withColumn("high", F.max("comp").over(w)).filter("low < high")
+    x = written(x.select("sig", "cls", "comp", "whole", "cold"))
+    whole, cut = x.filter("whole").select("sig", F.col("cls").alias("p"), F.col("comp").alias("pc"), F.col("cold").alias("rare")), x.filter("not whole").select("sig", F.col("cls").alias("q"), F.col("comp").alias("qc"), "cold")
+    pairs = whole.join(cut, "sig").filter((F.col("pc") != F.col("qc")) & (F.col("rare") | F.col("cold")))
+    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
 def short(ring: DataFrame, bands: DataFrame) -> DataFrame:
