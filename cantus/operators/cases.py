@@ -143,7 +143,7 @@ def as_text(c: str, kind: str) -> Column:
     # as %g does: no zeros at the end, powers of ten below 1e-4 and from 1e6 on
     e = F.floor(F.log10(F.abs(value)))
     text = F.when(value == 0, "0").when((e >= -4) & (e < 6), significant(value, e)).otherwise(F.regexp_replace(F.format_string("%.5e", value), r"\.?0*e", "e"))
-    return F.coalesce(text, F.lit(""))
+    return F.when(value.isNull(), "").otherwise(text)
 
 
 def significant(value: Column, exponent: Column) -> Column:
