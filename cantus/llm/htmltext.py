@@ -33,15 +33,15 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template"}
 #: Elements inside a line of text.
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-#: Words in class, id or role that mark other parts of a page.
+#: A compound class that begins with one of these names a part of the article, or says what there is not.
+OWN = {"post", "entry", "article", "story", "content", "no", "not", "non", "without", "has", "with"}
+#: Words that as a class, id or role, or at the edge of one, mark other parts of a page.
 MARKS = (
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer footer header login masthead menu modal nav navbar navigation newsletter "
     "notice pagination pager popup promo related share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget contentinfo complementary search alert"
 ).split(" ")
-#: A template token is on this share of a host's pages, of which there are so many at least.
-SHARE, LEAST_PAGES = 0.6, 4
-#: A repeated block is fixed text only if it is short; an article that was copied is none.
-FIXED_CHARS = 400
+#: A template token is on this share of a host's pages that differ, of which there are so many at least.
+SHARE, LEAST_PAGES = 0.8, 4
 #: Template tokens of all hosts are broadcast only up to this many; beyond that they are joined to the pages.
 BROADCAST_TOKENS = 200_000
 
@@ -51,6 +51,12 @@ SPACE = re.compile(r"[ \t\n\r\f\v   -     　]+")
 RAW_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in RAW}
 
 
+def mark(word: str) -> bool:
+    """Whether a class, id or role names a part that isn't the article: a whole name, or a compound that begins or ends with one."""
+    parts = re.split(r"[_-]+", word)
+    return word in MARKS or (len(parts) > 1 and parts[0] not in OWN and (parts[0] in MARKS or parts[-1] in MARKS))
+
+
 def marked(rest: str) -> tuple[str, bool]:
     """First class of a tag, and whether its attributes mark it as no article."""
     first, bad = "", False
@@ -59,9 +65,9 @@ def marked(rest: str) -> tuple[str, bool]:
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
             bad = True
         elif key in ("class", "id", "role"):
-            words = re.split(r"[\s_-]+", value.lower())
-            bad = bad or any(w in MARKS for w in words)
-            first = first or (words[0] if key == "class" else "")
+            words = value.lower().split()
+            bad = bad or any(map(mark, words))
+            first = first or (words[0] if words and key == "class" else "")
     return first, bad
 
 
@@ -107,6 +113,12 @@ def parse(page: str) -> list[tuple[str, str | None, bool, int]]:
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
             stack.pop()  # these close themselves
             path, outside, place = stack[-1][1:] if stack else ("", False, -1)
+        if name in ("article", "main") and outside:
+            # the article is in no menu: one that is still open was never closed
+            open_at = next((i for i, x in enumerate(stack) if x[0] in OUTSIDE), None)
+            if open_at is not None and not (open_at and stack[open_at - 1][2]):
+                del stack[open_at:]
+                path, outside, place = stack[-1][1:] if stack else ("", False, -1)
         first, bad = marked(m["rest"]) if m["rest"] else ("", False)
         inner, out_now = f"{path}/{name}.{first}" if first else f"{path}/{name}", outside or bad or name in OUTSIDE
         if name == "header" and not bad and re.search(r"/(article|main)\b", path):
@@ -125,9 +137,8 @@ def parse(page: str) -> list[tuple[str, str | None, bool, int]]:
 
 
 def candidates(events: list) -> list[tuple[str, str]]:
-    """(path, text) of the blocks that may be the article: those in article or main elements, if there are any."""
-    found = [(path, t) for path, t, outside, _ in events if t is not None and not outside]
-    return [(p, t) for p, t in found if re.search(r"/(article|main)\b", p)] or found
+    """(path, text) of the blocks that may be the article: those outside of menus, notices and the like."""
+    return [(path, t) for path, t, outside, _ in events if t is not None and not outside]
 
 
 def host_of(url: str | None) -> str:
@@ -142,8 +153,8 @@ def h64(s: str) -> int:
 
 
 def names(events: list) -> list[int | None]:
-    """The token of each event; None for long texts and outside of what may hold the article."""
-    return [None if outside or (t is not None and len(t) > FIXED_CHARS) else h64(path if t is None else f"{path}\n{t}") for path, t, outside, _ in events]
+    """The token of each event; None outside of what may hold the article."""
+    return [None if outside else h64(path if t is None else f"{path}\n{t}") for path, t, outside, _ in events]
 
 
 TOKENS = "host string, page bigint, body bigint, token bigint, n bigint, block boolean"
@@ -304,5 +315,5 @@ def reader(look):
 
 def article(page: str, fixed: dict[int, int]) -> str:
     """The blocks in the slots of the template, outside of the elements that are never the article."""
-    slots = [t for p, t in candidates(parse(page)) if len(t) > FIXED_CHARS or h64(f"{p}\n{t}") not in fixed]
+    slots = [t for p, t in candidates(parse(page)) if h64(f"{p}\n{t}") not in fixed]
     return " ".join(slots)

@@ -207,6 +207,23 @@ def test_html_keeps_copied_articles(spark, monkeypatch):
         assert got[40] == "two one own 0" and got[41] == "one two own 1"
 
 
+def test_html_keeps_what_only_looks_like_a_menu(spark):
+    pages = {
+        1: ("<div class='post-header'><h1>Head</h1></div><p>text</p>", "Head text"), 2: ("<div class='no-comments'><p>kept</p></div>", "kept"),
+        3: ("<nav><a>menu</a><article><p>one</p></article>", "one"), 4: ("<p>before</p><article><p>inside</p></article><p>after</p>", "before inside after"),
+        5: ("<div class='site-header'>x</div><div class='ad-slot'>y</div><div id='comments'>z</div><p>body</p>", "body"), 6: ("<div role='navigation'><article>teaser</article></div><p>body</p>", "body"),
+    }
+    df = spark.createDataFrame([(k, f"http://h{k}.example/", v[0]) for k, v in pages.items()], "page_id bigint, url string, html string")
+    assert {x.page_id: x.text for x in htmltext.extract(df).collect()} == {k: v[1] for k, v in pages.items()}
+
+
+def test_html_drops_long_fixed_text(spark):
+    fixed = "terms of this site " * 40
+    rows = [(i, "http://h.example/", f"<body><div class='x'><p>{fixed}</p></div><div class='y'><p>own text {i}</p></div></body>") for i in range(8)]
+    got = {x.page_id: x.text for x in htmltext.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: f"own text {i}" for i in range(8)}
+
+
 def test_language_model_prefers_its_own_kind(spark, docs):
     rows, df = docs
     got = {x.doc_id: x for x in lmscore.score_documents(df).collect()}
