@@ -40,7 +40,7 @@ def chord_columns(chords: DataFrame, lines: DataFrame, key: str = KEY) -> DataFr
     x = lines.select("*", F.explode(F.array(word_offsets("text", "words"))).alias("_at"))
     x = x.withColumn("_timed", F.expr("filter(transform(coalesce(words, array()), (w, i) -> struct(w.start as start, _at[i] as at, i as i)), w -> w.start is not null)"))
     x = chords.join(x.select(key, F.col("seq").alias("line"), F.col("start").alias("_s"), F.col("stop").alias("_e"), "text", "_timed"), [key, "line"])
-    under = F.coalesce(F.expr("element_at(filter(_timed, w -> w.start <= start), -1)"), F.get("_timed", F.lit(0)))
+    under = F.coalesce(F.expr("try_element_at(filter(_timed, w -> w.start <= start), -1)"), F.get("_timed", F.lit(0)))
     x = x.withColumn("_w", F.when(F.size("_timed") > 0, under))
     last = F.char_length("text") - 1
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("start") - F.col("_s")) / (F.col("_e") - F.col("_s"))))

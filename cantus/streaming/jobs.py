@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cantus.operators.seams import SEAM_TOLERANCE
+from cantus.operators.editing import TYPES, effective_chords
 from cantus.sources.derived import read
 
 MERGED = "song_id bigint, seq bigint, start double, end double, label string, source string"
@@ -73,13 +74,43 @@ def seam_merge(events: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one is set where that is unset."""
+    """The folder that spark.checkpoint.dir names. Only in local mode, where it may be unset, a temporary one stands in."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 
+def play_edits(commands: DataFrame, base: DataFrame) -> DataFrame:
+    """Chord layers of the songs that a stream of edit commands touches, with ``batch``; see newest().
+
+    Each batch is put to the tape, and the whole tapes of its songs are played over their layers of ``base`` (a table), undo and redo
+    included. Tape, layers and checkpoint are in the shared folder; a batch that is run again replaces its own rows.
+    """
+    spark = commands.sparkSession
+    folder = f"{shared_dir(spark)}/edits-{uuid.uuid4().hex}"
+    fields = ["song_id", "seq", "kind", *TYPES]
+
+    def keep(batch: DataFrame, no: int) -> None:
+        batch.select(*fields).write.mode("overwrite").parquet(f"{folder}/tape/batch={no}")
+        songs = batch.select("song_id").distinct()
+        tape = spark.read.parquet(f"{folder}/tape").filter(F.col("batch") <= no).select(*fields).join(songs, "song_id", "left_semi")
+        layers, _ = effective_chords(base.join(songs, "song_id", "left_semi"), tape)
+        layers.write.mode("overwrite").parquet(f"{folder}/out/batch={no}")
+
+    commands.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").foreachBatch(keep).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+def newest(layers: DataFrame, key: str = "song_id") -> DataFrame:
+    """The layer of each song from the last batch that has it."""
+    last = layers.groupBy(key).agg(F.max("batch").alias("batch"))
+    return layers.join(last, [key, "batch"], "left_semi").drop("batch")
+
+
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there and return what it emitted, with ``batch`` for the order. Results and checkpoint are in the shared folder; restarted batches replace their own rows."""
     spark = stream.sparkSession

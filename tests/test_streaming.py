@@ -32,3 +32,19 @@ def test_window_summary_stream_is_batch(spark, tmp_path):
     both = [J.window_summary(table, "2 hours", "1 hour"), J.latest(J.drain(J.window_summary(stream, "2 hours", "1 hour"), "update"), "start", "end", "label")]
     a, b = ([tuple(r) for r in x.select("start", "end", "label", "n", "total").orderBy("start", "label").collect()] for x in both)
     assert a == b and len(a) == 12
+
+
+def test_edits_as_a_stream_equal_the_tape(spark, tmp_path):
+    from cantus.operators import editing as ED
+    from cantus.streaming import jobs
+
+    kinds = ", ".join(f"`{k}` {t}" for k, t in ED.TYPES.items())
+    schema = f"song_id bigint, seq bigint, kind string, {kinds}"
+    row = lambda song, seq, **c: {"song_id": song, "seq": seq, **dict.fromkeys(ED.TYPES), **c}
+    cmds = [[row(1, 0, kind="transpose", semitones=2), row(2, 0, kind="simplify")], [row(1, 1, kind="delete", start=0.0)], [row(1, 2, kind="undo")]]
+    for i, part in enumerate(cmds):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    base = spark.createDataFrame([(s, 0, 0.0, 1.0, "C", "m7", None, "Cm7", 0.5, "e") for s in (1, 2, 3)], "song_id bigint, seq bigint, start double, end double, root string, quality string, bass string, label string, confidence double, source string")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = sorted((x.song_id, x.label) for x in jobs.newest(jobs.play_edits(stream, base)).collect())
+    assert got == [(1, "Dm7"), (2, "Cm")]
