@@ -236,9 +236,8 @@ def near(a: Column, b: Column, n: Column) -> Column:
 
 def verify(pairs: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that link, judged first by sizes and parities, then by the sets."""
-    r = reps
-    x = pairs.join(r.toDF("a", "na", "fa"), "a").join(r.toDF("b", "nb", "fb"), "b")
-    x = x.filter((100 * F.least("na", "nb") >= PER_CENT * F.greatest("na", "nb")) & near(F.col("fa"), F.col("fb"), F.col("na") + F.col("nb"))).select("a", "b")
+    x = pairs.join(reps.toDF("a", "na", "fa", "xa"), "a").join(reps.toDF("b", "nb", "fb", "xb"), "b")
+    x = x.filter((F.col("xa") + F.col("xb") <= 0) & (100 * F.least("na", "nb") >= PER_CENT * F.greatest("na", "nb")) & near(F.col("fa"), F.col("fb"), F.col("na") + F.col("nb"))).select("a", "b")
 
     @F.pandas_udf("boolean")
     def judge(p, q):
@@ -282,12 +281,12 @@ def deletions(sets: DataFrame, poor: DataFrame) -> DataFrame:
 
 
 def between(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a signature; ``members`` has sig, cls."""
+    """Pairs (a, b) of different components that share a signature and can link by excess(); ``members`` has sig, cls, x."""
     m = members.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     w = Window.partitionBy("sig")
-    m = m.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).filter("lo < hi").select("sig", "cls", "comp")
-    other = m.toDF("sig", "b", "bcomp")
-    return m.join(other, "sig").filter((F.col("cls") < F.col("b")) & (F.col("comp") != F.col("bcomp"))).select(F.col("cls").alias("a"), "b").distinct()
+    m = m.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).withColumn("least", F.min("x").over(w)).filter("lo < hi AND x + least <= 0").select("sig", "cls", "comp", "x")
+    other = m.toDF("sig", "b", "bcomp", "bx")
+    return m.join(other, "sig").filter((F.col("cls") < F.col("b")) & (F.col("comp") != F.col("bcomp")) & (F.col("x") + F.col("bx") <= 0)).select(F.col("cls").alias("a"), "b").distinct()
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
@@ -320,24 +319,51 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     spent(raw)
     alive = written(shared.select("cls").distinct())
     bands = bands.join(alive, "cls", "left_semi")
-    reps, sets = written(reps.select("cls", "n", "fold").join(alive, "cls", "left_semi")), written(sets_table(docs, alive))
+    sets = written(sets_table(docs, alive))
+    reps = written(reps.select("cls", "n", "fold").join(excess(sets), "cls"))
+    shared = written(hopeful(shared, reps))
     edges, comp = stars(shared, reps, sets)
 
-    often = written(shared.filter(F.col("held") > FREQUENT).select("sig", "cls"))
-    more = written(verify(between(shared.filter(F.col("held") <= FREQUENT).select("sig", "cls"), comp), reps, sets))
+    often = written(shared.filter(F.col("held") > FREQUENT).select("sig", "cls", "x"))
+    more = written(verify(between(shared.filter(F.col("held") <= FREQUENT).select("sig", "cls", "x"), comp), reps, sets))
     edges, comp = edges.union(more), joined(comp, more)
     # whose rarest signatures don't suffice: all rare ones of these are among the searched ones
     poor = written(often.select("cls").distinct())
     if poor.isEmpty():
         return edges
     ring = written(deletions(sets, poor).join(hot, "own", "left").select("sig", "cls", "whole", F.col("hot").isNull().alias("cold")))
-    more = written(verify(crossing(ring, comp), reps, sets))
+    more = written(verify(crossing(ring.join(reps.select("cls", "x"), "cls"), comp), reps, sets))
     edges = edges.union(more)
     last = written(short(ring, bands))
     if last.isEmpty():
         return edges
     comp = joined(comp, more)
-    return edges.union(written(verify(between(often.join(last, "cls", "left_semi").select("sig", "cls"), comp), reps, sets)))
+    return edges.union(written(verify(between(often.join(last, "cls", "left_semi").select("sig", "cls", "x"), comp), reps, sets)))
+
+
+def excess(sets: DataFrame) -> DataFrame:
+    """cls, x: seven times the elements that no other of these sets has, less the set's size.
+
+    Such elements are differences from any partner, and of two sets that link differences are a seventh of both sizes at most: their x add up to 0 or less.
+    """
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [np.frombuffer(e, np.int64) for e in b.column("elements").to_pylist()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.repeat(b.column("cls").to_numpy(), [len(e) for e in rows]))], names=["e", "cls"])
+
+    held = sets.select("cls", "elements").mapInArrow(elements, "e bigint, cls bigint").groupBy("e").agg(F.min("cls").alias("cls"), F.count("*").alias("n"))
+    own = held.filter("n = 1").groupBy("cls").agg(F.count("*").alias("own"))
+    size = (F.length("elements") / 8).cast("bigint")
+    return sets.select("cls", size.alias("size")).join(own, "cls", "left").select("cls", (7 * F.coalesce("own", F.lit(0)) - F.col("size")).alias("x"))
+
+
+def hopeful(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """The members (sig, cls, ...) with x, without those that no other set of their signature can link with by excess()."""
+    m = members.join(reps.select("cls", "x"), "cls")
+    least = F.min("x").over(Window.partitionBy("sig"))
+    return met(m.withColumn("least", least).filter("x + least <= 0").drop("least"))
 
 
 def prefixes(first: DataFrame, bands: DataFrame) -> DataFrame:
@@ -364,8 +390,8 @@ def stars(shared: DataFrame, reps: DataFrame, sets: DataFrame) -> tuple[DataFram
     edges, comp = spark.createDataFrame([], "a bigint, b bigint"), spark.createDataFrame([], "cls bigint, comp bigint")
     for turn in range(ROUNDS):
         m = shared.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        lead = F.min(F.struct(F.xxhash64(F.lit(turn), "comp").alias("h"), "comp", "cls")).over(Window.partitionBy("sig"))
-        m = m.withColumn("lead", lead).filter("lead.comp != comp").groupBy("cls").agg(F.min("lead").alias("lead"))
+        lead = F.min(F.struct(F.xxhash64(F.lit(turn), "comp").alias("h"), "comp", "cls", "x")).over(Window.partitionBy("sig"))
+        m = m.withColumn("lead", lead).filter("lead.comp != comp AND lead.x + x <= 0").groupBy("cls").agg(F.min("lead").alias("lead"))
         pairs = m.select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")).distinct()
         more = written(verify(pairs, reps, sets))
         if more.isEmpty():
@@ -393,14 +419,14 @@ def met(sigs: DataFrame) -> DataFrame:
 def crossing(ring: DataFrame, comp: DataFrame) -> DataFrame:
     """(a, b): classes of different components of which one has a signature with an element left out and the other one has it whole; one of the two is rare.
 
-    Signatures whose classes are all of one component drop out first.
+    Signatures whose classes are all of one component drop out first, and classes that can link with no other one there.
     """
     w = Window.partitionBy("sig")
     x = ring.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    x = x.withColumn("low", F.min("comp").over(w)).withColumn("high", F.max("comp").over(w)).filter("low < high")
-    x = written(x.select("sig", "cls", "comp", "whole", "cold"))
-    whole, cut = x.filter("whole").select("sig", F.col("cls").alias("p"), F.col("comp").alias("pc"), F.col("cold").alias("rare")), x.filter("not whole").select("sig", F.col("cls").alias("q"), F.col("comp").alias("qc"), "cold")
-    pairs = whole.join(cut, "sig").filter((F.col("pc") != F.col("qc")) & (F.col("rare") | F.col("cold")))
+    x = x.withColumn("low", F.min("comp").over(w)).withColumn("high", F.max("comp").over(w)).withColumn("least", F.min("x").over(w)).filter("low < high AND x + least <= 0")
+    x = written(x.select("sig", "cls", "comp", "x", "whole", "cold"))
+    whole, cut = x.filter("whole").select("sig", F.col("cls").alias("p"), F.col("comp").alias("pc"), F.col("x").alias("px"), F.col("cold").alias("rare")), x.filter("not whole").select("sig", F.col("cls").alias("q"), F.col("comp").alias("qc"), F.col("x").alias("qx"), "cold")
+    pairs = whole.join(cut, "sig").filter((F.col("pc") != F.col("qc")) & (F.col("px") + F.col("qx") <= 0) & (F.col("rare") | F.col("cold")))
     return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
