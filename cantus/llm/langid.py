@@ -24,6 +24,8 @@ ORDERS = (3, 4)
 DIM = 16
 #: Labelled rows for training: about so many of each language at most.
 SAMPLE_PER_LANG = 600
+#: Rows for training in all; and counts of so many languages at most are broadcast.
+SAMPLE_ROWS, BROADCAST_LANGS = 300_000, 100_000
 
 
 def gram_runs(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -123,13 +125,13 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, rate: f
 
 
 def sample(docs: DataFrame, train: Column, per_lang: int) -> DataFrame:
-    """About ``per_lang`` training rows of each language, chosen by a hash of id and text."""
+    """About ``per_lang`` training rows of each language, chosen by a hash of id and text; fewer if there are so many languages that SAMPLE_ROWS would be exceeded."""
     rows = docs.filter(train & F.col("lang").isNotNull() & (F.coalesce(F.char_length("text"), F.lit(0)) > 0)).select("lang", "text", F.pmod(F.xxhash64(F.lit(11), F.col("doc_id"), "text"), F.lit(1_000_000)).alias("at"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(500).collect()  # languages, not documents
-    keep = F.lit(False)
-    for r in counts:
-        keep = keep | ((F.col("lang") == r["lang"]) & (F.col("at") < int(1_000_000 * min(1.0, per_lang / r["count"])) + 1))
-    return rows.filter(keep)
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    langs = counts.count()
+    most = min(per_lang, max(1, SAMPLE_ROWS // max(1, langs)))
+    counts = F.broadcast(counts) if langs <= BROADCAST_LANGS else counts
+    return rows.join(counts, "lang").filter(F.col("at") < F.floor(1_000_000 * F.least(F.lit(1.0), most / F.col("n"))) + 1).drop("n")
 
 
 def train_model(docs: DataFrame, train: Column, per_lang: int = SAMPLE_PER_LANG) -> Model | None:
