@@ -78,13 +78,13 @@ def calibrate(events: DataFrame, ref: DataFrame, takes: DataFrame, width, key: s
 
 
 #: Metrics of a corpus run, of which the last two are also summed.
-METRICS = ["csr", "csr_triads", "overlap", "change_precision", "change_recall", "change_f1", "ref_to_hyp", "hyp_to_ref", "ref_chords", "hyp_chords"]
+METRICS = ["csr", "csr_triads", "segment_overlap", "change_precision", "change_recall", "change_f1", "ref_to_hyp", "hyp_to_ref", "reference_chords", "hypothesis_chords"]
 
 
 def corpus_run(takes: DataFrame, ref: DataFrame, hyp: DataFrame, width, window, digits: int | None = 5, key: str = KEY) -> tuple[DataFrame, DataFrame]:
-    """Scores of each take that has a reference, and their summary (mean, median, least, most, n, total of each metric). ``takes`` has key and name."""
+    """Scores of each take that has a reference, and their summary (mean, median, least, most, n and total of each metric). ``takes`` has key and name."""
     scores = takes.select(key, "name").join(PL.take_scores(ref, hyp, width, window, digits, key), key)
-    return scores, SC.summarize(scores, [m for m in METRICS if m in scores.columns])
+    return scores, SC.summarize(scores, METRICS, totals=True)
 
 
 def playback_order(rows: DataFrame, key: str = KEY) -> DataFrame:

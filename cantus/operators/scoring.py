@@ -82,11 +82,11 @@ def label_f1(ref: DataFrame, hyp: DataFrame, key: str = KEY) -> DataFrame:
     return g.select(key, f1("bc", "br", "bh").alias("bag_f1"), f1("sc", "sr", "sh").alias("set_f1"))
 
 
-def summarize(scores: DataFrame, metrics: list[str], by: str | None = None) -> DataFrame:
-    """One row per metric (and group): mean, median, least, most, and how many have it; nulls are left out by metric."""
+def summarize(scores: DataFrame, metrics: list[str], by: str | None = None, totals: bool = False) -> DataFrame:
+    """One row per metric (and group): mean, median, least, most, and how many have it, with ``totals`` the sum too; nulls are left out by metric."""
     ids = [by] if by else []
     long = scores.select(*ids, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(ids, metrics, "metric", "value")
-    return long.groupBy(*ids, "metric").agg(F.avg("value").alias("mean"), F.median("value").alias("median"), F.min("value").alias("least"), F.max("value").alias("most"), F.count("value").alias("n"))
+    return long.groupBy(*ids, "metric").agg(F.avg("value").alias("mean"), F.median("value").alias("median"), F.min("value").alias("least"), F.max("value").alias("most"), F.count("value").alias("n"), *([F.sum("value").alias("total")] if totals else []))
 
 
 def paired(a: DataFrame, b: DataFrame, metric: str, on: str) -> DataFrame:

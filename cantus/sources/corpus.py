@@ -85,6 +85,11 @@ def pending(takes: DataFrame, spark: SparkSession, results: str) -> DataFrame:
     return takes.join(done, "name", "left_anti")
 
 
+def append_results(results: DataFrame, path: str) -> None:
+    """Put results (name and scores) to those of earlier runs, a line each."""
+    results.write.mode("append").json(path)
+
+
 def chart_lines(texts: DataFrame) -> DataFrame:
     """(name, line_no, kind, text, content) of the non-empty lines of chord charts (name, text).
 
