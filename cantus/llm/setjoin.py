@@ -42,8 +42,8 @@ BAND = 16 / 9
 SEGMENTS, SMALL, SMALL_SEGMENTS = 0.5, 32, 128.0
 #: A signature of more classes than this is frequent.
 FREQUENT = 32
-#: Rounds in which members of a signature are compared with a leader.
-ROUNDS = 4
+#: Rounds in which members of a frequent signature are compared with so many leaders.
+ROUNDS, LEADERS = 3, 8
 #: Bits of the filter that lets only candidates' texts through; saturation costs time, not results.
 FILTER_BITS = 1 << 22
 _K = np.uint64(0xD6E8FEB86659FD93)
@@ -322,11 +322,14 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     sets = written(sets_table(docs, alive))
     reps = written(reps.select("cls", "n", "fold").join(excess(sets), "cls"))
     shared = written(hopeful(shared, reps))
-    edges, comp = stars(shared, reps, sets)
-
+    spark = docs.sparkSession
+    edges, comp = spark.createDataFrame([], "a bigint, b bigint"), spark.createDataFrame([], "cls bigint, comp bigint")
     often = written(shared.filter(F.col("held") > FREQUENT).select("sig", "cls", "x"))
-    more = written(verify(between(shared.filter(F.col("held") <= FREQUENT).select("sig", "cls", "x"), comp), reps, sets))
-    edges, comp = edges.union(more), joined(comp, more)
+    # first each set with one leader, then all pairs of rare signatures, then more leaders of the frequent ones
+    for pairs in (lambda c: led(shared, c, 0, 1), lambda c: between(shared.filter(F.col("held") <= FREQUENT).select("sig", "cls", "x"), c), *(lambda c, turn=turn: led(often, c, turn, LEADERS) for turn in range(1, ROUNDS + 1))):
+        more = written(verify(pairs(comp), reps, sets))
+        if not more.isEmpty():
+            edges, comp = edges.union(more), joined(comp, more)
     # whose rarest signatures don't suffice: all rare ones of these are among the searched ones
     poor = written(often.select("cls").distinct())
     if poor.isEmpty():
@@ -380,24 +383,21 @@ def prefixes(first: DataFrame, bands: DataFrame) -> DataFrame:
     return x.filter((F.col("full") <= F.col("most")) | (F.col("full") - F.col("shared") + F.col("place") <= F.col("most") + 1)).select("sig", "cls", "held")
 
 
-def stars(shared: DataFrame, reps: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links found in ROUNDS of stars, and the components (cls, comp) that they give.
+def led(members: DataFrame, comp: DataFrame, turn: int, leaders: int) -> DataFrame:
+    """Pairs (a, b) of the members (sig, cls, x) with the leaders of their signatures that are of other components; leaders are the first ones by a hash.
 
-    In each round each signature has one of its members, by a hash of its component, as leader, and each set is compared with
-    the first of its signatures' leaders that is of another component. So large groups of like sets become few components before all pairs of components are compared.
+    With one leader, a set is compared with the first of its signatures' leaders alone. So large groups of like sets become few components before
+    all pairs of components are compared; what isn't found here is found there.
     """
-    spark = shared.sparkSession
-    edges, comp = spark.createDataFrame([], "a bigint, b bigint"), spark.createDataFrame([], "cls bigint, comp bigint")
-    for turn in range(ROUNDS):
-        m = shared.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        lead = F.min(F.struct(F.xxhash64(F.lit(turn), "comp").alias("h"), "comp", "cls", "x")).over(Window.partitionBy("sig"))
-        m = m.withColumn("lead", lead).filter("lead.comp != comp AND lead.x + x <= 0").groupBy("cls").agg(F.min("lead").alias("lead"))
-        pairs = m.select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")).distinct()
-        more = written(verify(pairs, reps, sets))
-        if more.isEmpty():
-            break
-        edges, comp = edges.union(more), joined(comp, more)
-    return edges, comp
+    m = members.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    w = Window.partitionBy("sig")
+    m = m.withColumn("low", F.min("comp").over(w)).withColumn("high", F.max("comp").over(w)).filter("low < high").select("sig", "cls", "comp", "x", F.xxhash64(F.lit(turn), "cls").alias("h"))
+    if leaders == 1:
+        m = m.withColumn("lead", F.min(F.struct("h", "comp", "cls", "x")).over(w)).filter("lead.comp != comp AND lead.x + x <= 0").groupBy("cls").agg(F.min("lead").alias("lead"))
+        return m.select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")).distinct()
+    m = m.withColumn("place", F.row_number().over(w.orderBy("h", "cls")))
+    first = m.filter(F.col("place") <= leaders).select("sig", F.col("cls").alias("l"), F.col("comp").alias("lc"), F.col("x").alias("lx"))
+    return m.join(first, "sig").filter("comp != lc AND x + lx <= 0").select(F.least("cls", "l").alias("a"), F.greatest("cls", "l").alias("b")).distinct()
 
 
 def joined(comp: DataFrame, more: DataFrame) -> DataFrame:
