@@ -71,7 +71,7 @@ def test_alignment_is_cheapest_and_whole(spark):
 
     for _ in range(100):
         a, b = ([rng.choice("CFG") for _ in range(rng.randint(0, 6))] for _ in range(2))
-        ops = P._ops(a, b, 1.0, 1.0)
+        ops = P.edit_ops(a, b, 1.0, 1.0)
         assert sum(k != "match" for k, _, _ in ops) == distance(a, b)
         assert [i for _, i, _ in ops if i is not None] == list(range(len(a))) and [j for _, _, j in ops if j is not None] == list(range(len(b)))
     song = lambda labels, s: [(s, i, x) for i, x in enumerate(labels)]

@@ -105,8 +105,8 @@ def test_windows_end_where_nothing_is_added(spark):
 
 
 def test_alignment_and_errors(spark):
-    assert SC.align(["C", "D", "E"], ["C", "E"])[:4] == (2.0, 1.0, 2 / 3, 0.8)
-    assert SC.align([], [])[1:4] == (1.0, 1.0, 1.0)
+    assert SC.align(*SC.coded(["C", "D", "E"], ["C", "E"]))[:4] == (2.0, 1.0, 2 / 3, 0.8)
+    assert SC.align(*SC.coded([], []))[1:4] == (1.0, 1.0, 1.0)
     rows = [("a b c", "a c"), ("a b", "a b c d"), ("", "a")]
     assert [r[0] for r in values(spark, [SC.word_error_rate(F.col("a"), F.col("b"))], rows, "a string, b string")] == [1 / 3, 1.0, None]
 
