@@ -13,6 +13,8 @@ from cantus.llm.store import spent, stable, written
 SIMILARITY = 0.9
 #: Token frequencies are kept for so many hash buckets.
 BUCKETS = 1 << 20
+#: A sketch is cut into so many blocks to find lines that are like another one.
+BLOCKS = 4
 #: Bits of the filter that lets only candidate lines through to verification; saturation costs time, not results.
 FILTER_BITS = 1 << 22
 
@@ -78,11 +80,12 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     me = F.struct("doc_id", "line_no", "lid", "n", "i", "sketch")
     led = rows.withColumn("size", F.count("*").over(group)).withColumn("lead", F.min(me).over(group)).filter("size > 1 AND lead.lid != lid")
     near = may_match(F.col("lead"), me, p, q)
-    # of two lines without a chance nothing is left to do
-    star = written(led.withColumn("near", near).filter("near OR size > 2").select("code", "run", "size", *LINE, F.col("lead.lid").alias("lead"), "near"))
+    # of two lines without a chance nothing is left to do, nor of a line that no other one of its group is like
+    led = led.withColumn("near", near).withColumn("open", (F.col("size") > 2) & ((F.col("n") > short(p, q)) | like_another()))
+    star = written(led.filter("near OR open").select("code", "run", *LINE, F.col("lead.lid").alias("lead"), "near", "open"))
     gone = written(matching(docs, hist, star.filter("near").select("lid", F.col("lead").alias("other")).distinct(), p, q))
     # lines that their groups' earliest line doesn't explain are compared with all other earlier ones of the groups
-    rest = star.filter("size > 2").select("code", "run", *LINE)
+    rest = star.filter("open").select("code", "run", *LINE)
     mine, other = rest.join(gone, "lid", "left_anti").select("code", "run", me.alias("me")), rest.select("code", "run", me.alias("o"))
     more = mine.join(other, ["code", "run"]).filter((F.col("o") < F.col("me")) & may_match(F.col("o"), F.col("me"), p, q)).select(F.col("me.lid").alias("lid"), F.col("o.lid").alias("other")).distinct()
     gone = written(gone.union(matching(docs, hist, more, p, q)).distinct())
@@ -92,6 +95,21 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     return later.filter((F.col("here") > F.col("at")) | F.col("near")).select("rk", "line_no").distinct()
 
 
+def short(p: int, q: int) -> int:
+    """The longest lines whose sketches differ in fewer than BLOCKS bits from those of all lines that they match."""
+    return max((n for n in range(1 << 12) if (n + n * q // p) * (q - p) < BLOCKS * (p + q)), default=0)
+
+
+def like_another() -> Column:
+    """Whether another line of the group has one of the sketch's BLOCKS blocks alike, as sketches that differ in fewer bits must. The groups are in one task each already."""
+    bits = 64 // BLOCKS
+    same = F.lit(False)
+    for k in range(BLOCKS):
+        block = F.shiftrightunsigned("sketch", k * bits).bitwiseAND(F.lit((1 << bits) - 1))
+        same = same | (F.count("*").over(Window.partitionBy("code", "run", block)) > 1)
+    return same
+
+
 #: What is known of a line beside a token.
 LINE = ["doc_id", "line_no", "lid", "n", "i", "sketch"]
 
