@@ -10,7 +10,10 @@ Results are compared with the sentencepiece library's for every text.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,12 @@ from cantus.llm import vocab as V
 MARK = V.MARK
 
 
+@lru_cache(1)
+def encoder_of(model: bytes) -> Encoder:
+    """The encoder of a model, kept with what it remembers while a worker lives."""
+    return Encoder(model)
+
+
 class Encoder:
     """Ids of texts and texts of ids, for batches."""
 
@@ -38,7 +47,7 @@ class Encoder:
             if kind == 6:
                 self.bytes[int(p[3:5], 16)] = i
             entries.append({1: lambda p=p: p.replace(MARK, " ").encode(), 2: m.unknown.encode, 3: bytes, 6: lambda p=p: bytes([int(p[3:5], 16)])}[kind]())
-        self.entries = pa.array(entries, pa.large_binary())
+        self.entries, self.size = pa.array(entries, pa.large_binary()), np.array([len(e) for e in entries])
         self.marked = np.array([p.startswith(MARK) and k == 1 for p, k in zip(m.pieces, m.kinds, strict=True)])
         self.beside = np.zeros(256 * 256, bool)  # pairs of bytes that some piece has side by side
         for p in self.ids:
@@ -48,31 +57,28 @@ class Encoder:
 
     def merged(self, text: str) -> list[int]:
         """Ids of one marked part of a text."""
-        cost, sym = self.cost, list(text)
+        cost, sym = self.cost.get, list(text)
         n = len(sym)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = []
-        for i in range(n - 1):
-            c = cost.get(sym[i] + sym[i + 1])
-            if c is not None:
-                agenda.append((c, i, i + 1, 2))
+        agenda = [(c, i, i + 1, 2) for i, pair in enumerate(map(add, sym, sym[1:])) if (c := cost(pair)) is not None]
         heapify(agenda)
         while agenda:
             _, i, j, size = heappop(agenda)
-            if not sym[i] or not sym[j] or len(sym[i]) + len(sym[j]) != size:
+            one, two = sym[i], sym[j]
+            if not one or not two or len(one) + len(two) != size:
                 continue  # one of the two has been merged since
-            sym[i], sym[j] = sym[i] + sym[j], ""
-            k = right[i] = right[j]
+            sym[i], sym[j] = one + two, ""
+            k, h = right[j], left[i]
+            right[i] = k
             if k < n:
                 left[k] = i
-                c = cost.get(sym[i] + sym[k])
+                c = cost(sym[i] + sym[k])
                 if c is not None:
-                    heappush(agenda, (c, i, k, len(sym[i]) + len(sym[k])))
-            h = left[i]
+                    heappush(agenda, (c, i, k, size + len(sym[k])))
             if h >= 0:
-                c = cost.get(sym[h] + sym[i])
+                c = cost(sym[h] + sym[i])
                 if c is not None:
-                    heappush(agenda, (c, h, i, len(sym[h]) + len(sym[i])))
+                    heappush(agenda, (c, h, i, len(sym[h]) + size))
         out = []
         for s in sym:
             if s:
@@ -98,7 +104,7 @@ class Encoder:
 
     def decode(self, ids: np.ndarray, begin: np.ndarray) -> pa.Array:
         """Texts of ids. The first mark is no space; bytes that are no characters become U+FFFD each."""
-        size = np.array([len(x) for x in self.entries.to_pylist()])[ids] if len(ids) else np.zeros(0, np.int64)
+        size = self.size[ids]
         ends = np.concatenate([[0], np.cumsum(size)])
         data, at = V.joined(self.entries, ids), ends[begin]
         if self.prefix:
@@ -159,7 +165,7 @@ def agreeing(library, texts: pa.Array, ids: np.ndarray, begin: np.ndarray, decod
     size = np.fromiter(map(len, theirs), np.int64, len(theirs))
     same = size == np.diff(begin)
     if same.all():  # compared at once
-        flat = np.fromiter((i for x in theirs for i in x), np.int32, int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(theirs), np.int32, int(size.sum()))
         wrong = np.concatenate([[0], np.cumsum(flat != ids)])
         same &= wrong[begin[1:]] == wrong[begin[:-1]]
     else:
@@ -181,7 +187,7 @@ def round_trip(docs: DataFrame, model: str, text: str = "text", keep: tuple[str,
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
-        own, library = Encoder(raw.value), sentencepiece.SentencePieceProcessor(model_proto=raw.value)
+        own, library = encoder_of(raw.value), sentencepiece.SentencePieceProcessor(model_proto=raw.value)
         for b in batches:
             for lo, hi, data, at in V.text_slices(b.column("text")):
                 ids, begin = own.encode(data, at)

@@ -7,9 +7,9 @@ the distinct pieces and not the words.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +26,16 @@ def contents(path: str) -> bytes:
         return f.read()
 
 
-def text_slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """lo, hi, bytes and offsets of consecutive texts; nulls are empty. Offsets start at 0."""
+def text_slices(texts: pa.Array, size: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """lo, hi, bytes and offsets of consecutive texts; nulls are empty. Offsets start at 0. A slice has ``size`` bytes (SLICE if not given)."""
+    size = size or SLICE
     texts = texts.cast(pa.large_string()).fill_null("")
     off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     raw = texts.buffers()[2]
     raw = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     lo, n = 0, len(off) - 1
     while lo < n:
-        hi = min(n, max(lo + 1, int(np.searchsorted(off, off[lo] + SLICE, "right")) - 1))
+        hi = min(n, max(lo + 1, int(np.searchsorted(off, off[lo] + size, "right")) - 1))
         yield lo, hi, raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
 
@@ -51,7 +52,7 @@ def texts_of(data: np.ndarray, at: np.ndarray) -> pa.Array:
 
 
 class Memo:
-    """Ids of pieces of bytes. Distinct pieces are encoded once and remembered; past ``room`` pieces or ``size`` bytes those not seen since the last time are forgotten."""
+    """Ids of pieces of bytes. Distinct pieces are encoded once and their ids remembered as bytes; past ``room`` pieces or ``size`` bytes those not seen since the last time are forgotten."""
 
     def __init__(self, encode: Callable[[list[bytes]], list], room: int = 150_000, size: int = 8_000_000):
         self.encode, self.room, self.size, self.known, self.older, self.held = encode, room, size, {}, {}, 0
@@ -68,11 +69,11 @@ class Memo:
         fresh = [p for p in pieces if p not in self.known]
         new = [p for p in fresh if p not in self.older]
         self.known.update((p, self.older[p]) for p in fresh if p in self.older)
-        self.known.update(zip(new, self.encode(new), strict=True))
+        self.known.update((p, array("i", x).tobytes()) for p, x in zip(new, self.encode(new), strict=True))
         self.held += sum(map(len, fresh))
         ids = [self.known[p] for p in pieces]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.int32)
         begin, which = np.cumsum(size) - size, coded.indices.to_numpy()
         at = np.concatenate([[0], np.cumsum(size[which])])
         return flat[np.repeat(begin[which] - at[:-1], size[which]) + np.arange(at[-1])], at
