@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,18 @@ from pyspark.sql import types as T
 from cantus.llm import vocab as V
 from cantus.llm.store import written
 
-#: A block ends past so many bytes of text, or at PLACES documents.
-BLOCK, PLACES = 16_000_000, 65_536
+#: A block ends past so many bytes of text, or at PLACES documents; texts are aligned in slices of so many bytes.
+BLOCK, PLACES, SLICE = 6_000_000, 65_536, 1_000_000
 LONG, BIN = T.LongType(), T.BinaryType()
 TALLY = ["n_a", "n_b", "n_groups", "n_links"]
 
 
+@lru_cache(1)
+def sides_of(byte_level: bytes, pieces: bytes) -> Sides:
+    """Both tokenizers, kept with what they remember while a worker lives."""
+    return Sides(byte_level, pieces)
+
+
 class Sides:
     """Both tokenizers: ids of texts, and the bytes of ids."""
 
@@ -62,16 +69,22 @@ class Sides:
         self.b_memo = V.Memo(lambda parts: [x or [b.piece_to_id(V.MARK)] for x in b.encode([p[1:].decode() for p in parts], num_threads=1)] if parts else [])
 
     def a_ids(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of texts. They are cut before single spaces that stand between characters that are no white space: there one always begins a token."""
+        """Ids of texts, cut where a token always ends: before white space behind another character, before what is no letter behind a letter, and behind a single end of line.
+
+        Characters that these rules know are those below 128 and, as letters or others that are no white space, those of two bytes.
+        """
         heads = np.zeros(len(data), bool)
         if len(data) > 2:
-            inner = data[1:-1] == V.SPACE
-            plain = (data > 32) & (data < 127)
-            two = (data[:-2] >= 0xC3) & (data[:-2] <= 0xDF)  # no white space has two bytes with such a first one
-            before = plain[:-2].copy()
-            before[1:] |= two[:-1] & (data[1:-2] >= 0x80)
-            lead = data[2:]
-            heads[1:-1] = inner & before & (plain[2:] | (lead >= 0xC3) & (lead <= 0xDF) | (lead >= 0xE4) & (lead <= 0xF4))
+            ascii_letter = (data | 32 >= 97) & (data | 32 <= 122)
+            two = np.zeros(len(data), bool)  # the second byte of a character of two, none of which with these first ones is white space
+            two[1:] = (data[:-1] >= 0xC3) & (data[:-1] <= 0xDF)
+            latin = np.zeros(len(data), bool)
+            latin[1:] = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+            solid = (data > 32) & (data < 127) | two
+            white = (data == 32) | (data == 9) | (data == 10) | (data == 13)
+            heads[1:] = solid[:-1] & white[1:] | (ascii_letter | latin)[:-1] & ~ascii_letter[1:] & (data[1:] < 128)
+            begins = (data > 32) & (data < 127) | (data >= 0xC3) & (data <= 0xDF) | (data >= 0xE4) & (data <= 0xF4)
+            heads[2:] |= solid[:-2] & (data[1:-1] == 10) & begins[2:]
         return _gathered(self.a_memo, data, at, heads)
 
     def b_ids(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,6 +95,12 @@ class Sides:
         return _gathered(self.b_memo, data, at, heads)
 
 
+@lru_cache(2)
+def numerals(top: int) -> pa.Array:
+    """Numbers below ``top`` before a comma, before a bar, and before a semicolon."""
+    return pa.array([f"{i}{mark}".encode() for mark in ",|;" for i in range(top)], pa.large_binary())
+
+
 def _letters() -> dict[str, int]:
     """Characters of a byte-level vocabulary and their bytes: printable ones stand for themselves, the others follow from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -126,10 +145,12 @@ class Aligned:
         (self.a, a_size, self.a_at), (self.b, b_size, self.b_at) = _only(a, a_size, a_at, ok), _only(b, b_size, b_at, ok)
         a_end, b_end = np.cumsum(a_size), np.cumsum(b_size)
         # ends grow through the whole slice; both sides spell the same bytes, so each text ends in both
-        every = np.union1d(a_end, b_end)
+        every = np.concatenate([a_end, b_end])
+        every.sort(kind="stable")  # two sorted halves
+        every = every[np.concatenate([[True], every[1:] != every[:-1]])] if len(every) else every
         self.link_a, self.link_b = np.searchsorted(a_end, every), np.searchsorted(b_end, every)
         self.text = np.searchsorted(self.a_at, self.link_a, "right") - 1
-        self.group_ends = np.intersect1d(a_end, b_end, assume_unique=True)
+        self.group_ends = a_end[b_end[np.minimum(np.searchsorted(b_end, a_end), len(b_end) - 1)] == a_end] if len(a_end) else a_end
         self.a_end, self.b_end = a_end, b_end
         own = np.searchsorted(self.a_at, np.searchsorted(a_end, self.group_ends), "right") - 1
         self.n_groups, self.n_links = (np.bincount(x, minlength=self.n) for x in (own, self.text))
@@ -140,8 +161,8 @@ class Aligned:
         na, nb = np.bincount(ga, minlength=len(self.group_ends)), np.bincount(gb, minlength=len(self.group_ends))
         begin, a_first, b_first = np.cumsum(na + nb) - na - nb, np.cumsum(na) - na, np.cumsum(nb) - nb
         a_last, b_last = np.arange(len(self.a)) == (a_first + na - 1)[ga], np.arange(len(self.b)) == (b_first + nb - 1)[gb]
-        top = int(max(self.a.max(initial=0), self.b.max(initial=0))) + 1
-        words = pa.array([f"{i}{mark}".encode() for mark in ",|;" for i in range(top)], pa.large_binary())
+        top = 1 << max(int(self.a.max(initial=0)), int(self.b.max(initial=0)), 1).bit_length()
+        words = numerals(top)
         order = np.zeros(len(self.a) + len(self.b), np.int64)
         order[begin[ga] + np.arange(len(self.a)) - a_first[ga]] = self.a + top * a_last
         order[(begin + na)[gb] + np.arange(len(self.b)) - b_first[gb]] = self.b + 2 * top * b_last
@@ -207,7 +228,7 @@ def _aligned(docs: DataFrame, byte_level: str, pieces: str, text: str, keep: tup
     raw = docs.sparkSession.sparkContext.broadcast((V.contents(byte_level), V.contents(pieces)))
     rows = docs.select(F.struct(*keep).alias("kept"), F.col(text).alias("text"))
     schema = T.StructType([T.StructField("kept", rows.schema["kept"].dataType), *[T.StructField(c, LONG) for c in TALLY], *more])
-    return rows.mapInArrow(lambda batches: work(Sides(*raw.value), batches), schema)
+    return rows.mapInArrow(lambda batches: work(sides_of(*raw.value), batches), schema)
 
 
 def _tallies(x: Aligned) -> list[pa.Array]:
@@ -219,7 +240,7 @@ def alignments(docs: DataFrame, byte_level: str, pieces: str, text: str = "text"
 
     def work(sides: Sides, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, data, at in V.text_slices(b.column("text")):
+            for lo, hi, data, at in V.text_slices(b.column("text"), SLICE):
                 x = Aligned(sides, data, at)
                 yield pa.RecordBatch.from_arrays([b.column("kept")[lo:hi], *_tallies(x), x.groups().cast(pa.string())], names=["kept", *TALLY, "groups"])
 
@@ -243,7 +264,7 @@ def block_rows(docs: DataFrame, byte_level: str, pieces: str, text: str, keep: t
 
         for batch in batches:
             kept = batch.schema.field("kept").type
-            for lo, hi, data, at in V.text_slices(batch.column("text")):
+            for lo, hi, data, at in V.text_slices(batch.column("text"), SLICE):
                 for a in range(0, hi - lo, PLACES):  # as many texts as a block has places
                     z = min(a + PLACES, hi - lo)
                     if parts and (n + z - a > PLACES or size + at[z] - at[a] > BLOCK):

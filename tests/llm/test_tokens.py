@@ -162,6 +162,20 @@ def test_other_models_are_refused():
         vocab.read_pieces(b"")
 
 
+def test_cuts_change_no_id_of_either_side():
+    """Texts of odd white space, letters, digits and signs, against both libraries."""
+    sides, r = pairbitmaps.Sides(vocab.contents(BYTES), vocab.contents(PIECES)), random.Random(7)
+    a, b = tokenizers.Tokenizer.from_file(BYTES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    a.encode_special_tokens = True
+    parts = [*"ab  e'st\n\n\t\r é×÷ßñ.,!1 2-ΑабΩ\u00a0\u2003\u3000日本🙂\x1c\x0b\x85", "'s", "'re", " the", "  ", "\n "]
+    some = ["".join(r.choices(parts, k=r.randint(1, 40))) for _ in range(20_000)]
+    for lo, hi, data, at in vocab.text_slices(pa.array(some)):
+        data, at = vocab.spaced(data, at)
+        for ids, want in ((sides.a_ids, [e.ids for e in a.encode_batch([" " + t for t in some[lo:hi]], add_special_tokens=False)]), (sides.b_ids, b.encode(some[lo:hi]))):
+            got, begin = ids(data, at)
+            assert [got[x:y].tolist() for x, y in zip(begin[:-1], begin[1:], strict=True)] == want
+
+
 def plain_alignment(text, a, b):
     """Groups and links of one text by two counters of bytes."""
     if not text:
@@ -199,13 +213,12 @@ def test_link_scores_equal_plain_loops(spark, odd):
     assert pairbitmaps.link_scores(df.limit(0), BYTES, PIECES).count() == 0
 
 
-def test_small_blocks_change_nothing(spark, odd, monkeypatch):
+def test_bitmaps_of_slices_are_merged(spark, odd, monkeypatch):
     rows, df = odd
     order = lambda x: sorted(map(str, x.collect()))
     whole = order(pairbitmaps.link_scores(df, BYTES, PIECES))
-    monkeypatch.setattr(pairbitmaps, "PLACES", 3)
     monkeypatch.setattr(vocab, "SLICE", 200)
-    # patched here, the tasks of a new session-wide function read the values by closure only; so the blocks are made in this process
+    # patched in this process alone, so the block is made here, of many slices
     sides = pairbitmaps.Sides(vocab.contents(BYTES), vocab.contents(PIECES))
     some, n, parts = pa.array([t for _, t in rows]), 0, []
     for lo, hi, data, at in vocab.text_slices(some):
