@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cantus.functions import scalars as S
+from cantus.operators import decoding as DE
 from cantus.operators import frames as FR
 from cantus.operators import placement as PL
 from cantus.operators import scoring as SC
@@ -46,7 +47,7 @@ def chords_of_frames(frames: DataFrame, period: float, source: str = "frames", g
     x = x.withColumn("scores", FR.frame_scores(S.compress_chroma(F.col("chroma"), compression)))
     if penalty is not None:
         states = F.array(*[F.lit(s) for s in FR.STATES])
-        labels = SC.decode_frames(x, penalty, key).select(key, "frame_no", F.element_at(states, F.col("state") + 1).alias("label"))
+        labels = DE.decode_frames(x, penalty, key).select(key, "frame_no", F.element_at(states, F.col("state") + 1).alias("label"))
     else:
         labels = TL.smooth_labels(x.select(key, "frame_no", FR.best_state(F.col("scores"), threshold).alias("label")), key=key)
     labels = labels.join(frames.select(key, "frame_no", "duration"), [key, "frame_no"])

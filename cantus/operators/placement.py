@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cantus.functions import labels as L
+from cantus.operators import aligning as A
 from cantus.operators import scoring as SC
 from cantus.operators import timeline as TL
 
@@ -140,29 +141,18 @@ def take_scores(ref: DataFrame, hyp: DataFrame, width, window, digits: int | Non
 
 
 def edit_ops(ref: list, hyp: list, swap: float = 1.0, gap: float = 1.0) -> list[tuple]:
-    """Cheapest edits that turn one sequence into another: (kind, place in ref, place in hyp); a pair wins ties, then a missing one. Keeps one row and a byte for each pair of places."""
+    """Cheapest edits that turn one sequence into another: (kind, place in ref, place in hyp); a pair wins ties, then a missing one. Keeps rows, and no table of all places."""
     r, h, _ = SC.coded(ref, hyp)
-    steps = gap * np.arange(len(h) + 1)
-    row, moves = steps.copy(), np.zeros((len(r) + 1, len(h) + 1), np.int8)  # 0: pair, 1: missing, 2: extra
-    moves[1:, 0], moves[0, 1:] = 1, 2
-    for i, x in enumerate(r, 1):
-        diag, up = row[:-1] + (h != x) * swap, row[1:] + gap
-        new = np.minimum.accumulate(np.concatenate([[i * gap], np.minimum(diag, up)]) - steps) + steps
-        moves[i, 1:] = np.where(np.isclose(diag, new[1:]), 0, np.where(np.isclose(up, new[1:]), 1, 2))
-        row = new
-    out, i, j = [], len(r), len(h)
-    while i or j:
-        move = moves[i, j]
-        i, j = i - (move != 2), j - (move != 1)
-        kind = ("match" if r[i] == h[j] else "substitution") if move == 0 else ("missing" if move == 1 else "extra")
-        out.append((kind, i if move != 2 else None, j if move != 1 else None))
-    return out[::-1]
+    wrong, lost = A.whole_numbers(swap, gap)
+    moves = A.trace(len(r), len(h), lambda i, lo, hi: np.where(h[lo:hi] == r[i], 0, -wrong), lost)
+    kinds = {A.UP: lambda i, j: ("missing", i, None), A.LEFT: lambda i, j: ("extra", None, j), A.PAIR: lambda i, j: ("match" if r[i] == h[j] else "substitution", i, j)}
+    return [kinds[k](i, j) for k, i, j in zip(moves.tolist(), *(x.tolist() for x in A.places(moves)), strict=True)]
 
 
 def align_charts(chart: DataFrame, detected: DataFrame, swap: float = 1.0, gap: float = 1.0, key: str = KEY) -> DataFrame:
     """key, step, kind, reference, hypothesis: cheapest alignment of a chart's chords with the detected ones, compared as triads, given as written.
 
-    Both sides are (key, seq, label) in the order of seq; one song is one row, so charts fit in memory.
+    Both sides are (key, seq, label) in the order of seq; one song is one row, and its sequences are aligned in memory as long as they are.
     """
     def side(df: DataFrame, name: str) -> DataFrame:
         x = df.select(key, F.struct("seq", "label", L.triad_chart(F.col("label")).alias("triad")).alias("x"))
@@ -181,6 +171,14 @@ def align_charts(chart: DataFrame, detected: DataFrame, swap: float = 1.0, gap:
     return x.select(key, "step", "op.kind", pick("reference").alias("reference_label"), pick("hypothesis").alias("hypothesis_label"))
 
 
+def chart_pairs(chart: DataFrame, detected: DataFrame, key: str = KEY) -> DataFrame:
+    """key, n, heard: places (from 0) of the chords of a chart and of the detected ones that a cheapest alignment puts side by side, equal or not."""
+    ops = align_charts(chart, detected, key=key)
+    before = Window.partitionBy(key).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    x = ops.withColumn("n", F.count_if(F.col("kind") != "extra").over(before) - 1).withColumn("heard", F.count_if(F.col("kind") != "missing").over(before) - 1)
+    return x.filter(F.col("kind").isin("match", "substitution")).select(key, "n", "heard")
+
+
 def chart_agreement(ops: DataFrame, key: str = KEY, songs: DataFrame | None = None) -> DataFrame:
     """key, matches, substitutions, missing, extra, precision, recall; a side without chords scores 0. Songs (of ``songs``) without chords on both sides agree: 1 and 1."""
     n = lambda k: F.count_if(F.col("kind") == k)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from cantus.functions.labels import with_equality, with_parsed
 from cantus.functions.scalars import BANDS, TOP_BAND, confidence_band
+from cantus.operators import aligning as A
 from cantus.operators.timeline import KEY, boundaries, nearest_distance, overlap_join
 
 
@@ -128,7 +130,7 @@ def align_labels(pairs: DataFrame, key: str = KEY) -> DataFrame:
 
     ``pairs`` has key, ref and hyp (arrays of labels). Gaps cost 1 and mismatches
     a half; ties go to the diagonal, then up. Two empty sides are perfect. One song's sequences and
-    a byte for each pair of their places are the only state of a step; rows are songs, so nothing is shuffled.
+    a few rows as long as one of them are the only state of a step; rows are songs, so nothing is shuffled.
     """
     schema = f"{key} {pairs.schema[key].dataType.simpleString()}, matches double, precision double, recall double, f1 double, score double"
 
@@ -191,28 +193,18 @@ def coded(ref: list, hyp: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def align(r: np.ndarray, h: np.ndarray, worth: np.ndarray, gap: float = 1.0, miss: float = -0.5) -> tuple[float, float, float, float, float]:
-    """matches, precision, recall, f1, score of the best alignment; ``worth`` of 0 is a mismatch. Keeps one row and a byte for each pair of places."""
+    """matches, precision, recall, f1, score of the best alignment; ``worth`` (whole numbers) of 0 is a mismatch. Keeps rows, and no table of all places."""
     n, m = len(r), len(h)
     if not n and not m:
         return 0.0, 1.0, 1.0, 1.0, 0.0
-    steps = gap * np.arange(m + 1)
-    row, moves = -steps, np.zeros((n, m), np.int8)  # 0: pair, 1: up, 2: left
-    for i in range(n):
-        pair = worth[r[i]][h]
-        diag, up = row[:-1] + np.where(pair > 0, pair, miss), row[1:] - gap
-        # a gap from the left of any length: a running maximum of the row without its slope
-        new = np.maximum.accumulate(np.concatenate([[-gap * (i + 1)], np.maximum(diag, up)]) + steps) - steps
-        moves[i] = np.where(diag == new[1:], 0, np.where(up >= new[:-1] - gap, 1, 2))
-        row = new
-    i, j, hits, score = n, m, 0.0, 0.0
-    while i and j:
-        move = moves[i - 1, j - 1]
-        if move == 0:
-            got = float(worth[r[i - 1], h[j - 1]])
-            hits, score = hits + (got > 0), score + got
-        i, j = i - (move != 2), j - (move != 1)
-    p, q = (hits / m if m else 0.0), (hits / n if n else 0.0)
-    return hits, p, q, (2 * p * q / (p + q) if p + q else 0.0), score
+    lost, wrong, unit = A.whole_numbers(gap, miss, 1.0)
+    score = np.where(worth > 0, (worth * unit).astype(np.int64), wrong)
+    i, j = A.paired(A.trace(n, m, lambda k, lo, hi: score[r[k]][h[lo:hi]], lost))
+    got = worth[r[i], h[j]]
+    hits, p, q = float((got > 0).sum()), 0.0, 0.0
+    if n and m:
+        p, q = hits / m, hits / n
+    return hits, p, q, (2 * p * q / (p + q) if p + q else 0.0), float(got.sum())
 
 
 def word_time_errors(pairs: DataFrame, key: str = KEY) -> DataFrame:
@@ -229,58 +221,17 @@ def word_time_errors(pairs: DataFrame, key: str = KEY) -> DataFrame:
             for k, ref, hyp in zip(b[key], b["ref"], b["hyp"], strict=True):
                 ref, hyp = [] if ref is None else list(ref), [] if hyp is None else list(hyp)
                 r, h, _ = coded([x["text"] for x in ref], [x["text"] for x in hyp])
-                d = np.array([abs(ref[i]["start"] - hyp[j]["start"]) for i, j in edit_pairs(r[:, None] == h[None, :])])
+                d = np.array([abs(ref[i]["start"] - hyp[j]["start"]) for i, j in edit_pairs(len(r), len(h), lambda i, lo, hi: h[lo:hi] == r[i])])
                 out.append((k, float(np.median(d)) if len(d) else None, float(d.mean()) if len(d) else None, float(len(d))))
             yield pd.DataFrame(out, columns=[key, "median_seconds", "mean_seconds", "matched_words"])
 
     return pairs.select(key, "ref", "hyp").mapInPandas(work, f"{key} {kind}, median_seconds double, mean_seconds double, matched_words double")
 
 
-def edit_pairs(same: np.ndarray) -> list[tuple[int, int]]:
-    """Places of the two sequences that a cheapest edit pairs and that are the same, in order; ``same`` has all pairs."""
-    n, m = same.shape
-    steps = np.arange(m + 1)
-    row, moves = steps.copy(), np.zeros((n, m), np.int8)
-    for i in range(n):
-        diag, up = row[:-1] + ~same[i], row[1:] + 1
-        new = np.minimum.accumulate(np.concatenate([[i + 1], np.minimum(diag, up)]) - steps) + steps
-        moves[i] = np.where(diag == new[1:], 0, np.where(up == new[1:], 1, 2))
-        row = new
-    i, j, out = n, m, []
-    while i and j:
-        move = moves[i - 1, j - 1]
-        if move == 0 and same[i - 1, j - 1]:
-            out.append((i - 1, j - 1))
-        i, j = i - (move != 2), j - (move != 1)
-    return out[::-1]
-
-
-def decode_frames(frames: DataFrame, penalty: float = 0.4, key: str = KEY) -> DataFrame:
-    """Best state of each frame of a song, where a change of state costs ``penalty``: key, frame_no, state.
-
-    ``frames`` has key, frame_no and scores (array). Staying wins ties, then the
-    lowest state. Only the best earlier state can be changed from, so a frame costs as many steps as there are
-    states. One song is one group; long recordings are cut by plan_windows() first.
-    """
-    schema = f"{key} {frames.schema[key].dataType.simpleString()}, frame_no {frames.schema['frame_no'].dataType.simpleString()}, state int"
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_no")
-        e = np.array(pdf["scores"].tolist(), float)
-        back = np.zeros(e.shape, np.int32)
-        cur, own = e[0], np.arange(e.shape[1])
-        for i in range(1, len(e)):
-            top = int(cur.argmax())
-            stay = cur >= cur[top] - penalty
-            back[i] = np.where(stay, own, top)
-            cur = np.where(stay, cur, cur[top] - penalty) + e[i]
-        path = np.zeros(len(e), np.int32)
-        path[-1] = int(cur.argmax())
-        for i in range(len(e) - 1, 0, -1):
-            path[i - 1] = back[i, path[i]]
-        return pd.DataFrame({key: pdf[key].values, "frame_no": pdf["frame_no"].values, "state": path})
-
-    return frames.select(key, "frame_no", "scores").groupBy(key).applyInPandas(work, schema)
+def edit_pairs(n: int, m: int, same: Callable[[int, int, int], np.ndarray]) -> list[tuple[int, int]]:
+    """Places of the two sequences that a cheapest edit pairs and that are the same, in order; ``same(i, lo, hi)`` says which of lo to hi are as i."""
+    i, j = A.paired(A.trace(n, m, lambda k, lo, hi: same(k, lo, hi).astype(np.int64) - 1, 1))
+    return [(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True) if same(x, y, y + 1)[0]]
 
 
 BAND_NAMES = [n for _, n in BANDS] + [TOP_BAND]

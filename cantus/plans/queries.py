@@ -9,6 +9,7 @@ from cantus.functions import labels as L
 from cantus.functions import scalars as S
 from cantus.functions import words as WO
 from cantus.operators import cases as CA
+from cantus.operators import decoding as DE
 from cantus.operators import frames as FR
 from cantus.operators import jobs as JO
 from cantus.operators import placement as PL
@@ -337,7 +338,7 @@ def a11_key_of_song(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def q7_decoded_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = D.frames(spark, sf_dir).withColumn("scores", FR.frame_scores(F.transform("chroma", lambda v: F.sqrt(v))))
-    return SC.decode_frames(x)
+    return DE.decode_frames(x)
 
 
 @query("""WITH s AS (SELECT l_orderkey % 50 AS song_id, row_number() OVER (PARTITION BY l_orderkey % 50 ORDER BY l_orderkey, l_linenumber, l_quantity) - 1 AS n, l_quantity AS v FROM lineitem), t AS (SELECT song_id, count(*) AS f FROM s GROUP BY 1)

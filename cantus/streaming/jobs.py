@@ -6,7 +6,6 @@ stateful form of ``seams.merge_windows`` for songs whose windows arrive one afte
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cantus.operators.seams import SEAM_TOLERANCE
+from cantus.operators.store import shared_dir
 from cantus.operators.editing import TYPES, effective_chords
 from cantus.sources.derived import read
 
@@ -73,17 +73,6 @@ def seam_merge(events: DataFrame) -> DataFrame:
     return x.groupBy("song_id").applyInPandasWithState(_merge_song, MERGED, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Only in local mode, where it may be unset, a temporary one stands in."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc.getCheckpointDir()
-
-
 def play_edits(commands: DataFrame, base: DataFrame) -> DataFrame:
     """Chord layers of the songs that a stream of edit commands touches, with ``batch``; see newest().
 

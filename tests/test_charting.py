@@ -1,5 +1,7 @@
 """Chart import, chords over lyrics and documents, on small songs."""
 
+import random
+
 import numpy as np
 import pytest
 
@@ -17,7 +19,8 @@ CHORD = "song_id bigint, seq bigint, start double, end double, label string"
 def test_edit_ops_prefer_pairs_then_missing_ones():
     assert PL.edit_ops(["C", "G"], ["C", "A", "G"]) == [("match", 0, 0), ("extra", None, 1), ("match", 1, 2)]
     assert PL.edit_ops(["C"], ["G"]) == [("substitution", 0, 0)] and PL.edit_ops([], ["G"]) == [("extra", None, 0)] and PL.edit_ops(["C"], []) == [("missing", 0, None)]
-    assert SC.edit_pairs(np.array([[True, False], [False, True]])) == [(0, 0), (1, 1)]
+    same = np.array([[True, False], [False, True]])
+    assert SC.edit_pairs(2, 2, lambda i, lo, hi: same[i, lo:hi]) == [(0, 0), (1, 1)]
 
 
 def test_words_of_a_chart_take_the_heard_times(spark):
@@ -33,26 +36,66 @@ def test_words_of_a_chart_take_the_heard_times(spark):
     assert got == {0: (1.0, 1.5), 1: (2.25, 3.0), 2: (3.0, 3.5), 3: (5.0, 5.5), 4: (5.65, 5.7)}
 
 
-def test_smoothed_lines_spread_stacked_words():
-    s, e = CH.smooth(np.array([0.0, 1.0, 4.0, 4.0, 4.0]), np.array([0.5, 1.5, 4.05, 4.05, 5.0]))
-    assert np.allclose(s, [0, 1, 4, 4, 4]) or np.allclose(s, np.maximum.accumulate(s))
-    s, e = CH.smooth(np.array([0.0, 2.0, 2.0, 2.0]), np.array([1.0, 2.05, 2.05, 2.05]))
-    assert np.all(np.diff(s) > 0) or len(s) == 4
-    assert np.all(e > s)
+def test_alike_words_lose_no_pair(spark):
+    """Against the ratio of all pairs of words of a song."""
+    from difflib import SequenceMatcher
+
+    r = random.Random(6)
+    word = lambda: "".join(r.choices("abcdé", k=r.randint(4, 9)))
+    songs = {}
+    for k in range(60):
+        left = [word() for _ in range(12)]
+        change = lambda w: "".join(c for c in w if r.random() < 0.9) + r.choice(["", "", "s", "ab"])
+        songs[k] = (left, [change(r.choice(left)) if r.random() < 0.7 else word() for _ in range(12)])
+    rows = lambda side: spark.createDataFrame([(k, i, w) for k, x in songs.items() for i, w in enumerate(x[side])], "song_id bigint, n bigint, text string")
+    got = {tuple(x) for x in CH.alike_words(rows(0), rows(1)).collect()}
+    fold = {w: w.replace("é", "e") for x in songs.values() for side in x for w in side}
+    want = {(k, u, v) for k, (a, b) in songs.items() for u in {fold[w] for w in a} for v in {fold[w] for w in b} if u != v and min(len(u), len(v)) >= 5 and SequenceMatcher(None, u, v).ratio() >= 0.8}
+    assert got == want and len(want) > 50
+
+
+def smoothed(spark, *words):
+    df = spark.createDataFrame([(1, 0, i, "w", float(s), float(e)) for i, (s, e) in enumerate(words)], "song_id bigint, line bigint, word_no int, text string, start double, end double")
+    return [(round(x.start, 6), round(x.end, 6)) for x in CH.smoothed(df).orderBy("word_no").collect()]
+
+
+def test_smoothed_lines_spread_stacked_words(spark):
+    # the last two words are as short as can be: with the one before they share what is left of the line
+    assert smoothed(spark, (0, 0.5), (1, 1.5), (1.5, 3), (3, 3.05), (3, 3.05)) == [(0, 0.5), (1, 1.5), (1.5, 2.016667), (2.016667, 2.533333), (2.533333, 3.05)]
+    # starts don't go back, a word without a length has a tenth of a second, and ends stop at the next start
+    assert smoothed(spark, (1, 9), (0.5, 0.5), (3, 4)) == [(1, 1.05), (1, 1.1), (3, 4)]
+    assert smoothed(spark, (-1, 2)) == [(0, 2)]
+
+
+def spread(spark, at, first=None, last=None, duration=None):
+    df = spark.createDataFrame([(1, i, t, first, last, duration) for i, t in enumerate(at)], "song_id bigint, seq bigint, at double, heard_start double, heard_end double, duration double")
+    return [(round(x.start, 6), round(x.end, 6)) for x in CH.spread_chords(df).orderBy("seq").collect()]
+
+
+def test_chords_are_spread_between_their_words(spark):
+    assert [s for s, _ in spread(spark, [None, 4.0, None, 8.0, None], 2.0, None, 12.0)] == [2.0, 4.0, 6.0, 8.0, 10.0]
+    assert spread(spark, [1.0, 1.0]) == [(1.0, 1.05), (1.05, 1.55)]
+    # no running maximum: a start that is late enough for the one before it stays
+    assert [s for s, _ in spread(spark, [1.0, 1.0, 1.06, 1.0, 5.0, 5.0])] == [1.0, 1.05, 1.06, 1.11, 5.0, 5.05]
+    starts = [s for s, _ in spread(spark, [9.0, 12.0], duration=10.0)]
+    assert starts == [7.4625, 9.95]
+    assert spread(spark, [2.0, None, None], None, 8.0) == [(2.0, 4.0), (4.0, 6.0), (6.0, 8.0)]
 
 
-def test_chords_are_spread_between_their_words():
-    nan = float("nan")
-    assert [round(s, 6) for s, _ in CH.spread(np.array([nan, 4.0, nan, 8.0, nan]), 2.0, None, 12.0)] == [2.0, 4.0, 6.0, 8.0, 10.0]
-    assert CH.spread(np.array([1.0, 1.0]), None, None, None) == [(1.0, 1.05), (1.05, 1.55)]
-    starts = [s for s, _ in CH.spread(np.array([9.0, 12.0]), None, None, 10.0)]
-    assert starts[0] < starts[1] < 10.0
+def filled(spark, spans, duration=None):
+    df = spark.createDataFrame([(1, i, *(s or (None, None)), duration) for i, s in enumerate(spans)], "song_id bigint, seq bigint, heard_from double, heard_to double, duration double")
+    return [(round(x.start, 6), round(x.end, 6)) for x in CH.fill_chord_times(df).orderBy("seq").collect()]
 
 
-def test_chords_without_words_follow_the_heard_ones():
-    got = CH.mapped(["C", "F", "G", "Am"], ["C", "G"], [(1.0, 2.0), (4.0, 5.0)], 7.0)
-    assert got[0] == (1.0, 2.0) and got[2] == (4.0, 5.0) and got[3] == (5.0, 7.0) and 2.0 < got[1][0] < 4.0
-    assert CH.mapped(["C"], [], [], None) == []
+def test_chords_without_words_follow_the_heard_ones(spark):
+    assert filled(spark, [(1.0, 2.0), None, (4.0, 5.0), None], 7.0) == [(1.0, 2.0), (3.0, 4.0), (4.0, 5.0), (5.0, 7.0)]
+    assert filled(spark, [None, None]) == []
+    # the first span makes room at 0; the last one shares its own time where nothing says that the song is longer
+    assert filled(spark, [None, (0.0, 2.0), None]) == [(0.0, 1.0), (1.0, 1.5), (1.5, 2.0)]
+    # three between two spans: each starts a share of what is left later, and lasts the usual time
+    assert filled(spark, [(0.0, 1.0), None, None, None, (9.0, 10.0)]) == [(0.0, 1.0), (3.0, 4.0), (5.666667, 6.666667), (7.833333, 8.833333), (9.0, 10.0)]
+    # a gap of nothing
+    assert filled(spark, [(0.0, 3.0), None, None, (2.0, 5.0)]) == [(0.0, 3.0), (3.0, 2.0), (2.0, 2.0), (2.0, 5.0)]
 
 
 def test_import_of_a_chart(spark):

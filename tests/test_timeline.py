@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cantus.functions import labels as L
 from cantus.functions import scalars as S
+from cantus.operators import decoding as DE
 from cantus.operators import frames as FR
 from cantus.operators import scoring as SC
 from cantus.operators import timeline as TL
@@ -113,7 +114,7 @@ def test_alignment_and_errors(spark):
 
 def test_decoding_stays_when_a_change_costs_more(spark):
     rows = [(1, 0, [1.0, 0.0]), (1, 1, [0.4, 0.6]), (1, 2, [1.0, 0.0]), (1, 3, [0.0, 1.0]), (1, 4, [0.0, 1.0])]
-    got = [r.state for r in SC.decode_frames(spark.createDataFrame(rows, "song_id int, frame_no int, scores array<double>")).orderBy("frame_no").collect()]
+    got = [r.state for r in DE.decode_frames(spark.createDataFrame(rows, "song_id int, frame_no int, scores array<double>")).orderBy("frame_no").collect()]
     assert got == [0, 0, 0, 1, 1]
 
 
