@@ -274,7 +274,7 @@ def spell_label(label: Column, flats: Column) -> Column:
     """Root and bass respelled for a flat key; the suffix stays."""
     head, bass = F.regexp_extract(label, r"^([^/]*)", 1), F.regexp_extract(label, r"^[^/]*/(.*)$", 1)
     root = F.regexp_extract(head, r"^(.[#b]?)", 1)
-    done = F.concat(spell_note(root, F.lit(True)), F.substring(head, F.length(root) + 1, F.length(head)), F.when(bass != "", F.concat(F.lit("/"), spell_note(bass, F.lit(True)))).otherwise(F.when(F.contains(label, F.lit("/")), "").otherwise("")))
+    done = F.concat(spell_note(root, F.lit(True)), F.substring(head, F.length(root) + 1, F.length(head)), F.when(bass != "", F.concat(F.lit("/"), spell_note(bass, F.lit(True)))).otherwise(""))
     return F.when(flats & ~label.isin("N", "?", "") & lookup(PITCH, root, "int").isNotNull(), done).otherwise(label)
 
 

@@ -15,6 +15,7 @@ from cantus.functions import scalars as S
 from cantus.functions import words as W
 from cantus.operators import placement as PL
 from cantus.operators import scoring as SC
+from cantus.operators.store import written
 
 KEY = "name"
 #: Columns of a report, in its order.
@@ -89,6 +90,7 @@ def field_scores(cases: DataFrame) -> DataFrame:
 
 def score_cases(cases: DataFrame) -> DataFrame:
     """One row a case: name, CORE and a column for each metric, null where the case has none. ``name`` names a case; the families are joined on it."""
+    cases = written(cases, "cases")  # each family reads its own columns of it
     out = cases.select(KEY, *CORE)
     for scores in (lyrics_scores, timing_scores, chord_scores, label_scores, field_scores):
         out = out.join(scores(cases), KEY, "left")

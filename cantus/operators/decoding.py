@@ -60,10 +60,10 @@ def followed(back: np.ndarray, states: np.ndarray) -> np.ndarray:
     return states
 
 
-def scan(units: DataFrame, start: list[int], combine: Callable, advance: Callable, key: str = KEY, fan: int = FAN) -> DataFrame:
+def scan(units: DataFrame, most: int, start: list[int], combine: Callable, advance: Callable, key: str = KEY, fan: int = FAN) -> DataFrame:
     """key, idx, state: the state before each unit (key, idx from 0, unit) of a song, where the first one has ``start``.
 
-    ``advance(state, unit)`` is the state after a unit; ``combine(a, b)`` is the unit that does what a and then b do. No task holds
+    ``most`` is the highest idx. ``advance(state, unit)`` is the state after a unit; ``combine(a, b)`` is the unit that does what a and then b do. No task holds
     more than ``fan`` units: groups are combined, and groups of groups, until a song's fit one task; then states go down again.
     """
     song = units.schema[key].dataType.simpleString()
@@ -85,7 +85,7 @@ def scan(units: DataFrame, start: list[int], combine: Callable, advance: Callabl
         return pd.DataFrame({key: pdf[key], "idx": pdf["idx"], "state": states})
 
     group = F.floor(F.col("idx") / fan)
-    levels, most = [units], units.agg(F.max("idx")).collect()[0][0] or 0  # one number
+    levels = [units]
     while most >= fan:
         levels.append(levels[-1].groupBy(key, group.alias("_g")).applyInPandas(whole, f"{key} {song}, idx bigint, unit array<bigint>"))
         most //= fan
@@ -122,38 +122,39 @@ def decode_frames(frames: DataFrame, penalty: float = 0.4, key: str = KEY, chunk
     x = x.groupBy(key, "c").agg(F.array_sort(F.collect_list("f")).alias("f"))
     me = Window.partitionBy(key)  # a row a chunk
     x = x.withColumn("idx", F.row_number().over(me.orderBy("c")).cast("bigint") - 1).withColumn("last", F.count("*").over(me) - 1)
-    chunks = written(x.select(key, "idx", "last", F.col("f.frame_no").alias("frame_no"), F.col("f.s").alias("s"))).drop("c")
-    width = chunks.agg(F.max(F.size(F.get("s", F.lit(0))))).collect()[0][0]
+    chunks = written(x.select(key, "idx", "last", F.col("f.frame_no").alias("frame_no"), F.col("f.s").alias("s")))
+    width, most = chunks.agg(F.max(F.size(F.get("s", F.lit(0)))), F.max("last")).collect()[0]  # two numbers
     if width is None:
         return frames.select(key, "frame_no", F.lit(None).cast("int").alias("state"))
+    begin = [0] * width
     matrix = lambda s: np.stack(list(s)).astype(np.int64)
     square = lambda u: np.asarray(u, np.int64).reshape(width, width)
+    unit = f"{key} {song}, idx bigint, unit array<bigint>"
 
-    # the last chunk's gain is followed by nothing: its table is left out by a unit that changes nothing
+    # the last chunk's gain is followed by nothing: a unit that changes nothing stands for it
     still = np.where(np.eye(width, dtype=bool), 0, NEVER).ravel()
-    gains = _mapped(chunks, lambda r: [(getattr(r, key), r.idx, still if r.idx == r.last else gain(matrix(r.s), cost).ravel())], f"{key} {song}, idx bigint, unit array<bigint>")
     plus = lambda a, b: (square(a)[:, :, None] + square(b)[None, :, :]).max(1).ravel()
-    entries = scan(written(gains), [0] * width, plus, lambda v, u: (v[:, None] + square(u)).max(0), key, fan)
 
     def came(r) -> list[tuple]:
         back, end = traced(matrix(r.s), np.asarray(r.state, np.int64), cost)
-        from_ = followed(back, np.arange(width))
-        if r.idx == r.last:  # the song's path ends in the best state, wherever one looks from
-            top = int(end.argmax())
-            return [(getattr(r, key), 0, np.full(width, from_[top]), top)]
-        return [(getattr(r, key), r.last - r.idx, from_, -1)]
-
-    begun = written(chunks.join(entries, [key, "idx"]))
-    maps = written(_mapped(begun, came, f"{key} {song}, idx bigint, unit array<bigint>, top int"))
-    exits = scan(maps.drop("top"), [0], lambda a, b: np.asarray(b)[np.asarray(a)], lambda v, u: np.asarray(u)[v], key, fan)
-    ends = exits.join(maps.select(key, "idx", "top"), [key, "idx"]).select(key, F.col("idx").alias("_back"), F.when(F.col("top") >= 0, F.col("top")).otherwise(F.get("state", F.lit(0)).cast("int")).alias("exit"))
+        states = followed(back, np.arange(width))
+        # the song's path ends in the best state, wherever one looks from
+        return [(getattr(r, key), r.last - r.idx, np.full(width, states[end.argmax()]) if r.idx == r.last else states)]
 
     def path(r) -> list[tuple]:
-        back, _ = traced(matrix(r.s), np.asarray(r.state, np.int64), cost)
+        back, end = traced(matrix(r.s), np.asarray(r.state, np.int64), cost)
         states = np.zeros(len(back), int)
-        states[-1] = r.exit
+        states[-1] = end.argmax() if r.idx == r.last else r.exit[0]
         for i in range(len(back) - 1, 0, -1):
             states[i - 1] = back[i, states[i]]
         return list(zip([getattr(r, key)] * len(back), r.frame_no, states, strict=True))
 
-    return _mapped(begun.withColumn("_back", F.col("last") - F.col("idx")).join(ends, [key, "_back"]), path, f"{key} {song}, frame_no {number}, state int")
+    if most:
+        gains = _mapped(chunks, lambda r: [(getattr(r, key), r.idx, still if r.idx == r.last else gain(matrix(r.s), cost).ravel())], unit)
+        entries = scan(written(gains), most, begin, plus, lambda v, u: (v[:, None] + square(u)).max(0), key, fan)
+        begun = written(chunks.join(entries, [key, "idx"]))
+        exits = scan(written(_mapped(begun, came, unit)), most, [0], lambda a, b: np.asarray(b)[np.asarray(a)], lambda v, u: np.asarray(u)[v], key, fan)
+        ended = begun.withColumn("_back", F.col("last") - F.col("idx")).join(exits.select(key, F.col("idx").alias("_back"), F.col("state").alias("exit")), [key, "_back"])
+    else:  # songs of one chunk begin and end by themselves
+        ended = chunks.withColumn("state", F.array(*map(F.lit, begin))).withColumn("exit", F.array(F.lit(0)))
+    return _mapped(ended, path, f"{key} {song}, frame_no {number}, state int")

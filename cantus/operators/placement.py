@@ -20,14 +20,14 @@ KEY = "song_id"
 ROW_CHORDS, LEAST_WIDTH, MOST_WIDTH = 8, 24, 80
 
 
-def words_at(probes: DataFrame, lines: DataFrame, words: DataFrame, key: str = KEY) -> DataFrame:
+def words_at(probes: DataFrame, lines: DataFrame, words: DataFrame, key: str = KEY, width=None) -> DataFrame:
     """Each probe (t, ...) with line and word, the seq of what sounds there; null where nothing does.
 
     ``words`` has line (a line's seq), seq, start and end. An open word lasts until
-    the next word of its line, else to the line's end. Two as-of joins.
+    the next word of its line, else to the line's end. Two as-of joins; ``width`` as there.
     """
     cols = probes.columns
-    x = TL.as_of(probes, lines, key=key).select(*cols, F.col("event.seq").alias("line"), F.col("event.end").alias("_line_end"))
+    x = TL.as_of(probes, lines, key=key, width=width).select(*cols, F.col("event.seq").alias("line"), F.col("event.end").alias("_line_end"))
     mine = Window.partitionBy(key, "line").orderBy("start", "seq")
     w = words.filter("start is not null").withColumn("_next", F.lead("start").over(mine))
     keyed = lambda df: df.withColumn("_at", F.struct(key, "line"))
@@ -101,21 +101,44 @@ def _hits(ref: np.ndarray, hyp: np.ndarray, window) -> int:
     return n
 
 
+def point_islands(ref: DataFrame, hyp: DataFrame, window, key: str = KEY) -> DataFrame:
+    """key, ref, hyp: sorted points (t) of both sides that lie together: a next one is at most ``window`` (or hardly more) later. Only points of one island can be matched."""
+    both = ref.select(key, "t", F.lit(0).alias("side")).unionByName(hyp.select(key, "t", F.lit(1).alias("side")))
+    w = Window.partitionBy(key).orderBy("t", "side")
+    far = F.col("t") - F.lag("t").over(w) > window * (1 + 1e-9)
+    x = both.withColumn("_far", far).withColumn("island", F.count_if("_far").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    points = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("t"))))
+    return x.groupBy(key, "island").agg(points(0).alias("ref"), points(1).alias("hyp")).select(key, "ref", "hyp")
+
+
 def change_points(ref: DataFrame, hyp: DataFrame, window, digits: int | None = 5, trim: bool = False, key: str = KEY) -> DataFrame:
-    """key, change_precision, change_recall, change_f1 of boundaries within ``window``; 0 if a side is empty. One song is one group."""
-    side = lambda df, s: TL.boundaries(df, digits, key).withColumn("side", F.lit(s))
-    kind = ref.schema[key].dataType.simpleString()
+    """key, change_precision, change_recall, change_f1 of boundaries within ``window``; 0 if a side is empty. With ``trim`` each side's first and last boundary don't count.
 
-    def score(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        r, h = (np.sort(pdf.t[pdf.side == s].to_numpy()) for s in (0, 1))
+    Points are matched island by island: one pair is a comparison, and only islands of more points are walked, as arrays.
+    """
+    def side(df: DataFrame) -> DataFrame:
+        x = TL.boundaries(df, digits, key)
         if trim:
-            r, h = r[1:-1], h[1:-1]
-        n = _hits(r, h, window)
-        p, c = (n / len(x) if len(x) and n else 0.0 for x in (h, r))
-        return pd.DataFrame([(*keys, p, c, 2 * p * c / (p + c) if n else 0.0)])
-
-    both = side(ref, 0).unionByName(side(hyp, 1))
-    return both.groupBy(key).applyInPandas(score, f"{key} {kind}, change_precision double, change_recall double, change_f1 double")
+            song = Window.partitionBy(key)
+            x = x.withColumn("_a", F.min("t").over(song)).withColumn("_z", F.max("t").over(song)).withColumn("t", F.when((F.col("t") > F.col("_a")) & (F.col("t") < F.col("_z")), F.col("t")))
+        return x.select(key, "t")
+
+    @F.pandas_udf("bigint")
+    def walked(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+        return pd.Series([_hits(r, h, window) for r, h in zip(ref, hyp, strict=True)], dtype="int64")
+
+    r, h = side(ref), side(hyp)
+    met = point_islands(r.filter("t is not null"), h.filter("t is not null"), window, key).filter("size(ref) > 0 AND size(hyp) > 0")
+    n, m = F.size("ref"), F.size("hyp")
+    first = lambda c: F.get(c, F.lit(0))
+    pairs = met.filter((n == 1) & (m == 1)).select(key, ((first("hyp") >= first("ref") - window) & (first("hyp") <= first("ref") + window)).cast("bigint").alias("n"))
+    more = met.filter((n > 1) | (m > 1)).select(key, walked("ref", "hyp").alias("n"))
+    hits = pairs.union(more).groupBy(key).agg(F.sum("n").alias("n"))
+    sizes = r.select(key, F.col("t").alias("r"), F.lit(None).cast(h.schema["t"].dataType).alias("h")).unionByName(h.select(key, F.lit(None).cast(r.schema["t"].dataType).alias("r"), F.col("t").alias("h"))).groupBy(key).agg(F.count("r").alias("lr"), F.count("h").alias("lh"))
+    x = sizes.join(hits, key, "left").fillna(0, ["n"])
+    share = lambda of: F.coalesce(F.try_divide(F.col("n").cast("double"), F.col(of)), F.lit(0.0))
+    p, c = share("lh"), share("lr")
+    return x.select(key, p.alias("change_precision"), c.alias("change_recall"), F.coalesce(F.try_divide(2 * p * c, p + c), F.lit(0.0)).alias("change_f1"))
 
 
 def take_scores(ref: DataFrame, hyp: DataFrame, width, window, digits: int | None = 5, key: str = KEY) -> DataFrame:

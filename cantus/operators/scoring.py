@@ -237,29 +237,44 @@ def edit_pairs(n: int, m: int, same: Callable[[int, int, int], np.ndarray]) -> l
 BAND_NAMES = [n for _, n in BANDS] + [TOP_BAND]
 
 
-def calibration(outcomes: DataFrame, thresholds: tuple[float, ...] = (0.5, 0.6, 0.7, 0.8, 0.9)) -> DataFrame:
-    """One row: seconds, known seconds, accuracy, brier and ece (over known confidences), and coverage and accuracy at each threshold.
+THRESHOLDS = (0.5, 0.6, 0.7, 0.8, 0.9)
 
-    ``outcomes`` has seconds, correct_seconds, confidence (null: unknown, in no threshold). Sums come first, ratios after.
+
+def calibration_report(outcomes: DataFrame, *by: str, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """Sums of outcomes for each ``by`` (a take, say), which can be stored, and pooled with others later: no ratio, no absolute value is in them.
+
+    ``outcomes`` has seconds, correct_seconds, confidence (null: unknown, in no threshold).
     """
-    known = F.col("confidence").isNotNull()
-    s, c, p = F.col("seconds"), F.col("correct_seconds"), F.col("confidence")
+    p, s, c = F.col("confidence"), F.col("seconds"), F.col("correct_seconds")
+    known = p.isNotNull()
     # the squared error of a confidence against seconds that are right and wrong
     square = c * (1 - p) * (1 - p) + (s - c) * p * p
-    aggs = [F.sum(s).alias("seconds"), F.sum(F.when(known, s)).alias("known"), F.sum(c).alias("correct"), F.sum(F.when(known, square)).alias("sq")]
-    for t in thresholds:
-        n = f"{int(t * 100)}"
-        aggs += [F.sum(F.when(p >= t, s).otherwise(0)).alias(f"s{n}"), F.sum(F.when(p >= t, c).otherwise(0)).alias(f"c{n}")]
+    sums = {"seconds": s, "known": F.when(known, s), "correct": c, "square": F.when(known, square)}
+    sums |= {f"s{int(t * 100)}": F.when(p >= t, s).otherwise(0) for t in thresholds} | {f"c{int(t * 100)}": F.when(p >= t, c).otherwise(0) for t in thresholds}
+    sums |= {f"bias_{name}": F.when(confidence_band(p) == name, p * s - c).otherwise(0.0) for name in BAND_NAMES}
+    aggs = [F.sum(v).alias(k) for k, v in sums.items()]
+    return outcomes.groupBy(*by).agg(*aggs) if by else outcomes.agg(*aggs)
+
+
+def pooled(reports: DataFrame, *by: str, total: bool = False) -> DataFrame:
+    """Accuracy, Brier score, calibration error, and coverage and accuracy at each threshold of reports that are added up for each ``by``; with ``total`` for each left part of ``by`` too, and for all (null there).
+
+    Brier and calibration error are over the known seconds, coverage over all. No reports give no row where ``by`` is given.
+    """
+    sums = [c for c in reports.columns if c in ("seconds", "known", "correct", "square") or c.startswith("bias_") or c[1:].isdigit()]
+    group = reports.rollup(*by) if total and by else reports.groupBy(*by)
+    x = group.agg(*(F.sum(c).alias(c) for c in sums))
     # distance of mean confidence and accuracy by band, over the known seconds
-    for name in BAND_NAMES:
-        aggs.append(F.abs(F.sum(F.when(confidence_band(p) == name, p * s - c).otherwise(0.0))).alias(f"gap_{name}"))
-    x = outcomes.agg(*aggs)
-    ece = F.try_divide(sum((F.coalesce(f"gap_{n}", F.lit(0.0)) for n in BAND_NAMES), F.lit(0.0)), F.col("known"))
-    cols = [F.col("seconds"), F.col("known"), F.try_divide("correct", "seconds").alias("accuracy"), F.try_divide("sq", "known").alias("brier"), ece.alias("ece")]
-    for t in thresholds:
-        n = f"{int(t * 100)}"
+    gap = sum((F.abs(F.coalesce(c, F.lit(0.0))) for c in sums if c.startswith("bias_")), F.lit(0.0))
+    cols = ["seconds", "known", F.try_divide("correct", "seconds").alias("accuracy"), F.try_divide("square", "known").alias("brier"), F.try_divide(gap, F.col("known")).alias("ece")]
+    for n in (c[1:] for c in sums if c[0] == "s" and c[1:].isdigit()):
         cols += [F.try_divide(f"s{n}", "seconds").alias(f"coverage_{n}"), F.try_divide(f"c{n}", f"s{n}").alias(f"accuracy_{n}")]
-    return x.select(*cols)
+    return x.select(*by, *cols)
+
+
+def calibration(outcomes: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """One row: the pooled report of all outcomes."""
+    return pooled(calibration_report(outcomes, thresholds=thresholds))
 
 
 def band_report(outcomes: DataFrame, band: Column, names: list[str]) -> DataFrame:

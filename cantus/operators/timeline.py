@@ -17,9 +17,19 @@ def in_order(key: str = KEY) -> Window:
     return Window.partitionBy(key).orderBy("start", "seq")
 
 
-def close_intervals(df: DataFrame, track_end: Column | None = None, key: str = KEY) -> DataFrame:
-    """Open ends close at the next start, the last one at ``track_end`` (null leaves it open)."""
-    return df.withColumn("end", F.coalesce("end", F.lead("start").over(in_order(key)), track_end if track_end is not None else F.lit(None)))
+def close_intervals(df: DataFrame, track_end: Column | None = None, key: str = KEY, width=None) -> DataFrame:
+    """Open ends close at the next start, the last one at ``track_end`` (null leaves it open).
+
+    With ``width`` a song is windowed in buckets of time, and the first start of the next bucket that has one is carried to each, so that no task has a whole song.
+    """
+    last = track_end if track_end is not None else F.lit(None)
+    if width is None:
+        return df.withColumn("end", F.coalesce("end", F.lead("start").over(in_order(key)), last))
+    x = df.withColumn("_b", F.floor(F.col("start") / width))
+    after = Window.partitionBy(key).orderBy("_b")  # a row a bucket
+    carry = x.groupBy(key, "_b").agg(F.min("start").alias("_s")).select(key, "_b", F.lead("_s").over(after).alias("_next"))
+    x = x.withColumn("_lead", F.lead("start").over(Window.partitionBy(key, "_b").orderBy("start", "seq"))).join(carry, [key, "_b"], "left")
+    return x.withColumn("end", F.coalesce("end", "_lead", "_next", last)).select(*dict.fromkeys([*df.columns, "end"]))
 
 
 def check_partition(df: DataFrame, key: str = KEY) -> DataFrame:
@@ -100,17 +110,25 @@ def plan_windows(tracks: DataFrame, length: float, overlap: float, key: str = KE
     return x.select(key, "idx", (F.col("idx") * step).alias("start"), F.least(F.col("idx") * step + length, F.col("duration")).alias("end"))
 
 
-def as_of(probes: DataFrame, events: DataFrame, time: str = "t", cover: bool = True, key: str = KEY) -> DataFrame:
+def as_of(probes: DataFrame, events: DataFrame, time: str = "t", cover: bool = True, key: str = KEY, width=None) -> DataFrame:
     """Each probe with ``event``, the struct of the last event that started at or before its time (the later in seq on ties).
 
-    With ``cover`` the event is null once its end is reached; an open end lasts. One sort per song, no range join.
+    With ``cover`` the event is null once its end is reached; an open end lasts. One sort per song, no range join. With ``width`` songs are sorted in buckets of
+    time: the last event of each bucket is carried to the later ones (a row a bucket), so that no task has a whole song, however long.
     """
     cols = [c for c in events.columns if c != key]
     e = events.select(F.col(key), F.col("start").alias("_t"), F.lit(0).alias("_k"), F.col("seq").alias("_s"), F.struct(*cols).alias("event"))
     p = probes.select(F.col(key), F.col(time).alias("_t"), F.lit(1).alias("_k"), F.lit(0).cast(events.schema["seq"].dataType).alias("_s"), F.struct(*[c for c in probes.columns if c != key]).alias("probe"))
     both = e.unionByName(p, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("_t", "_k", "_s").rowsBetween(Window.unboundedPreceding, 0)
+    parts = [key] if width is None else [key, "_b"]
+    both = both if width is None else both.withColumn("_b", F.floor(F.col("_t") / width))
+    w = Window.partitionBy(*parts).orderBy("_t", "_k", "_s").rowsBetween(Window.unboundedPreceding, 0)
     x = both.withColumn("event", F.last("event", ignorenulls=True).over(w)).filter("_k = 1")
+    if width is not None:
+        before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        ends = both.groupBy(key, "_b").agg(F.max_by("event", F.when(F.col("_k") == 0, F.struct("_t", "_s"))).alias("_last"))
+        carry = ends.select(key, "_b", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+        x = x.join(carry, [key, "_b"]).withColumn("event", F.coalesce("event", "_carried"))
     if cover:
         x = x.withColumn("event", F.when(F.col("event.end").isNull() | (F.col("_t") < F.col("event.end")), F.col("event")))
     return x.select(key, "probe.*", "event")

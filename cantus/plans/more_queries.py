@@ -54,10 +54,10 @@ def f5_colon_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", L.from_colon(F.concat(pick(_SPELLED, k), F.lit(":"), pick(_WORDS, k), bass)).alias("label"))
 
 
-@query(f"""WITH {_RAW}, n(a, b) AS (VALUES {", ".join(f"('{L.NOTES[k]}', '{v}')" for k, v in L.FLAT_NAMES.items())}), p AS (SELECT song_id, seq, label, song_id % 2 = 0 AS flats, regexp_extract(label, '^([A-G][#]?)', 1) AS root, regexp_extract(label, '/(.*)$', 1) AS bass FROM raw)
-SELECT song_id, seq, CASE WHEN flats AND label NOT IN ('N', 'X') THEN coalesce(r.b, root) || substr(regexp_extract(label, '^([^/]*)', 1), length(root) + 1) || CASE WHEN bass <> '' THEN '/' || coalesce(c.b, bass) ELSE '' END ELSE label END AS label FROM p LEFT JOIN n r ON r.a = root LEFT JOIN n c ON c.a = bass WHERE label NOT LIKE '_b%'""")
+@query(f"""WITH {_RAW}, n(a, b) AS (VALUES {", ".join(f"('{L.NOTES[k]}', '{v}')" for k, v in L.FLAT_NAMES.items())}), p AS (SELECT song_id, seq, label, song_id % 2 = 0 AS flats, regexp_extract(label, '^([A-G][#b]?)', 1) AS root, regexp_extract(label, '/(.*)$', 1) AS bass FROM raw)
+SELECT song_id, seq, CASE WHEN flats AND label NOT IN ('N', 'X') THEN coalesce(r.b, root) || substr(regexp_extract(label, '^([^/]*)', 1), length(root) + 1) || CASE WHEN bass <> '' THEN '/' || coalesce(c.b, bass) ELSE '' END ELSE label END AS label FROM p LEFT JOIN n r ON r.a = root LEFT JOIN n c ON c.a = bass""")
 def f11_spelled_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = D.raw_events(spark, sf_dir).filter(~F.col("label").like("_b%"))
+    x = D.raw_events(spark, sf_dir)
     return x.select("song_id", "seq", L.spell_label(F.col("label"), F.col("song_id") % 2 == 0).alias("label"))
 
 
@@ -249,10 +249,11 @@ def c10_timed_lyrics_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One case a song: the reference and hypothesis timelines in seconds, keys and tempos by its number, and neighbouring turns as lyrics."""
+    """One case a song: the reference and hypothesis timelines in seconds, keys and tempos by its number, and all turns beside those after them as lyrics."""
     empty = "array<struct<start:double,end:double,label:string>>"
     side = lambda df, n: df.groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct((F.col("start") * SECOND).alias("start"), (F.col("end") * SECOND).alias("end"), "label"))).alias(n))
-    t = D.transcripts(spark, sf_dir).groupBy("song_id").agg(F.min_by("ref", "turn").alias("rt"), F.min_by("hyp", "turn").alias("ht"))
+    turns = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", c))), lambda x: x[c]), " ")
+    t = D.transcripts(spark, sf_dir).groupBy("song_id").agg(turns("ref").alias("rt"), turns("hyp").alias("ht"))
     x = side(D.reference(spark, sf_dir), "r").join(side(D.hypothesis(spark, sf_dir), "h"), "song_id", "left").join(t, "song_id", "left")
     i = F.col("song_id")
     key = lambda c, mode: F.concat(L.note_name(F.pmod(c, F.lit(12)).cast("int")), F.lit(mode))
@@ -335,7 +336,7 @@ def w12_filled_word_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _chart(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     """Turns of conversations as a transcript and, with some words lost, as a chart; chords over their words, and a detected one for each third."""
     c = D.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("song_id"), "turn", "text")
-    words = F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, 40)
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     transcript = c.select("song_id", F.col("turn").alias("seq"), F.array_join(words, " ").alias("text"), (F.col("turn") * 60.0).alias("start"), (F.col("turn") * 60.0 + 50).alias("end"))
     lines = c.select("song_id", F.col("turn").alias("line"), F.array_join(F.filter(words, lambda w: F.pmod(F.xxhash64(w), F.lit(6)) > 0), " ").alias("text"))
     chords = lines.select("song_id", "line", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))

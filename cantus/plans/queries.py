@@ -80,7 +80,7 @@ def a1_csr_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_REF} SELECT song_id, seq, start, \"end\", label FROM ref")
 def w1_close_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TL.close_intervals(D.raw_events(spark, sf_dir), F.col("start") + 2_000_000).select("song_id", "seq", "start", "end", "label")
+    return TL.close_intervals(D.raw_events(spark, sf_dir), F.col("start") + 2_000_000, width=24 * HOUR).select("song_id", "seq", "start", "end", "label")
 
 
 @query(f"""WITH {_REF}, x AS (SELECT song_id, seq, start, "end" + (seq % 4) * 1000 AS "end" FROM ref) SELECT song_id, seq, CASE WHEN lead(start) OVER (PARTITION BY song_id ORDER BY start, seq) < "end" THEN 'overlap' END AS error FROM x""")
@@ -137,7 +137,7 @@ def w6_plan_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_BOTH}, p AS (SELECT song_id, seq AS probe_id, start + 1000000 AS t FROM raw) SELECT p.song_id, p.probe_id, p.t, CASE WHEN p.t < h."end" THEN h.label END AS label FROM p ASOF LEFT JOIN hyp h ON p.song_id = h.song_id AND p.t >= h.start""")
 def j3_chord_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = D.raw_events(spark, sf_dir).select("song_id", F.col("seq").alias("probe_id"), (F.col("start") + 1_000_000).alias("t"))
-    return TL.as_of(p, D.hypothesis(spark, sf_dir)).select("song_id", "probe_id", "t", F.col("event.label").alias("label"))
+    return TL.as_of(p, D.hypothesis(spark, sf_dir), width=24 * HOUR).select("song_id", "probe_id", "t", F.col("event.label").alias("label"))
 
 
 _LONG = """lng AS (SELECT song_id, seq, start, start + (1 + seq % 9) * 7200000000 AS "end", label FROM raw)"""
@@ -480,7 +480,7 @@ def j5_words_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = lines.withColumn("k", F.explode(F.array(*[F.lit(k).cast("bigint") for k in range(3)])))
     w = w.select("song_id", F.col("seq").alias("line"), F.col("k").alias("seq"), (F.col("start") + F.col("k") * step).alias("start"), F.when(F.col("k") < 2, F.col("start") + (F.col("k") + 1) * step).alias("end"))
     p = D.raw_events(spark, sf_dir).select("song_id", F.col("seq").alias("probe_id"), (F.col("start") + (F.col("seq") % 7) * HOUR).alias("t"))
-    return PL.words_at(p, lines, w)
+    return PL.words_at(p, lines, w, width=24 * HOUR)
 
 
 _OWN = f"""{_LINES}, nth AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY start, seq) AS nth FROM ln), fst AS (SELECT song_id, seq AS fseq, start AS fstart FROM nth WHERE nth = 1),

@@ -5,6 +5,8 @@ Readers return good rows, and where rows can be bad also a table of (name, error
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,7 +82,7 @@ def audio_inventory(files: DataFrame) -> DataFrame:
 
 
 def pending(takes: DataFrame, spark: SparkSession, results: str) -> DataFrame:
-    """The takes without a line in the results, JSON lines that runs append to; unreadable lines do not count."""
+    """The takes without a line in the results, JSON lines of another program; unreadable lines do not count."""
     done = spark.read.schema("name string").option("mode", "DROPMALFORMED").json(results).filter("name is not null").select("name").distinct()
     return takes.join(done, "name", "left_anti")
 
@@ -90,6 +92,39 @@ def append_results(results: DataFrame, path: str) -> None:
     results.write.mode("append").json(path)
 
 
+def write_attempt(results: DataFrame, folder: str, run: str) -> str:
+    """The lines of an attempt at a run, which don't count before commit_attempt() has its name."""
+    attempt = uuid.uuid4().hex
+    results.write.parquet(f"{folder}/lines/run={run}/attempt={attempt}")
+    return attempt
+
+
+def commit_attempt(spark: SparkSession, folder: str, run: str, attempt: str) -> None:
+    """From now on the attempt's lines are the run's, and those of other attempts at it aren't."""
+    spark.createDataFrame([(run, attempt)], "run string, attempt string").coalesce(1).write.json(f"{folder}/commits/{run}-{attempt}")
+
+
+def append_run(results: DataFrame, folder: str, run: str) -> None:
+    """Put the results of a run to those of others. A run that is killed leaves nothing that counts, one that is repeated replaces itself."""
+    commit_attempt(results.sparkSession, folder, run, write_attempt(results, folder, run))
+
+
+def committed(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The lines (of this schema) of all runs: for each those of the attempt that was committed last. None where nothing was committed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/commits")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    commits = spark.read.schema("run string, attempt string").option("recursiveFileLookup", True).json(f"{folder}/commits")
+    last = commits.groupBy("run").agg(F.max_by("attempt", F.struct("_metadata.file_modification_time", "attempt")).alias("attempt"))  # a row a run
+    lines = spark.read.schema(f"{schema}, run string, attempt string").option("basePath", f"{folder}/lines").parquet(f"{folder}/lines")
+    return lines.join(last, ["run", "attempt"], "left_semi").drop("run", "attempt")
+
+
+def unmeasured(takes: DataFrame, lines: DataFrame) -> DataFrame:
+    """The takes (name) that no line of committed() has."""
+    return takes.join(lines.select("name").distinct(), "name", "left_anti")
+
+
 def chart_lines(texts: DataFrame) -> DataFrame:
     """(name, line_no, kind, text, content) of the non-empty lines of chord charts (name, text).
 

@@ -6,21 +6,25 @@ stateful form of ``seams.merge_windows`` for songs whose windows arrive one afte
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from cantus.operators.editing import CHORD_COLUMNS, CHORDS, TYPES, Session, chord_commands, plain_rows, relabelled
 from cantus.operators.seams import SEAM_TOLERANCE
+from cantus.operators.store import fresh
 from cantus.operators.store import shared_dir
 from cantus.operators.editing import TYPES, effective_chords
 from cantus.sources.derived import read
 
 MERGED = "song_id bigint, seq bigint, start double, end double, label string, source string"
 #: Last window's number, what earlier ones covered, what all cover, and the event that can still grow.
+COLUMNS = [c.split()[0] for c in CHORD_COLUMNS.split(", ")]
+LAYER, COMMAND = COLUMNS[:-2], ["seq", "kind", *TYPES, "root", "quality", "keep", "refusal"]
 STATE = "idx bigint, before double, reach double, seq bigint, start double, end double, label string, source string"
 
 
@@ -73,43 +77,71 @@ def seam_merge(events: DataFrame) -> DataFrame:
     return x.groupBy("song_id").applyInPandasWithState(_merge_song, MERGED, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def play_edits(commands: DataFrame, base: DataFrame) -> DataFrame:
-    """Chord layers of the songs that a stream of edit commands touches, with ``batch``; see newest().
+def _play_song(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    rows = pd.concat(list(batches))
+    layer, cmds = (plain_rows(rows[rows["kind"].eq("base") == is_base]) for is_base in (True, False))
+    session = Session.resumed(json.loads(state.get[0]), *CHORDS) if state.exists else Session([{c: x[c] for c in LAYER} for x in layer], *CHORDS)
+    for c in cmds:
+        session.run({k: c[k] for k in COMMAND})
+    state.update((json.dumps(session.state(), default=lambda v: v.item()),))
+    now = [[key[0], *(e.get(c) for c in COLUMNS), bool(cmds)] for e in session.events()] or [[key[0], *(None for _ in COLUMNS), bool(cmds)]]
+    yield pd.DataFrame(now, columns=["song_id", *COLUMNS, "touched"], dtype=object)
+
 
-    Each batch is put to the tape, and the whole tapes of its songs are played over their layers of ``base`` (a table), undo and redo
-    included. Tape, layers and checkpoint are in the shared folder; a batch that is run again replaces its own rows.
+def live_layers(stream: DataFrame) -> DataFrame:
+    """Chord layers of the songs that each batch of a stream has rows of; ``touched`` if there are commands among them.
+
+    The stream has song_id, seq and kind: rows of a song's layer (kind base, before its commands) and edit commands, with the fields of both. A song's state is
+    its layer, what was done and undone, and why a command was refused: a batch costs what its commands cost, however long the tape is. An empty layer is one row without a start.
     """
-    spark = commands.sparkSession
-    folder = f"{shared_dir(spark)}/edits-{uuid.uuid4().hex}"
-    fields = ["song_id", "seq", "kind", *TYPES]
+    base = stream.filter("kind = 'base'").select("song_id", "kind", *LAYER)
+    x = base.unionByName(chord_commands(stream.filter("kind <> 'base'"), "song_id"), allowMissingColumns=True)
+    out = x.groupBy("song_id").applyInPandasWithState(_play_song, f"song_id bigint, {CHORD_COLUMNS}, touched boolean", "session string", "update", GroupStateTimeout.NoTimeout)
+    return out.withColumn("label", relabelled()).select("song_id", *LAYER, "touched")
 
-    def keep(batch: DataFrame, no: int) -> None:
-        batch.select(*fields).write.mode("overwrite").parquet(f"{folder}/tape/batch={no}")
-        songs = batch.select("song_id").distinct()
-        tape = spark.read.parquet(f"{folder}/tape").filter(F.col("batch") <= no).select(*fields).join(songs, "song_id", "left_semi")
-        layers, _ = effective_chords(base.join(songs, "song_id", "left_semi"), tape)
-        layers.write.mode("overwrite").parquet(f"{folder}/out/batch={no}")
 
-    commands.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").foreachBatch(keep).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+def play_edits(commands: DataFrame, base: DataFrame) -> DataFrame:
+    """Chord layers of the songs that a stream of edit commands touches, with ``batch``; see newest(). The layers of ``base`` (a table) are the first batch's first rows."""
+    spark = base.sparkSession
+    own = base.select("song_id", F.lit("base").alias("kind"), *LAYER)
+    folder = fresh(spark, "layers")
+    own.write.parquet(folder)
+    fields = ["song_id", "seq", "kind", *TYPES]
+    stream = commands.select(*fields).unionByName(spark.readStream.schema(own.schema).parquet(folder), allowMissingColumns=True)
+    return drain(live_layers(stream), "update").filter("touched").drop("touched")
 
 
 def newest(layers: DataFrame, key: str = "song_id") -> DataFrame:
     """The layer of each song from the last batch that has it."""
     last = layers.groupBy(key).agg(F.max("batch").alias("batch"))
-    return layers.join(last, [key, "batch"], "left_semi").drop("batch")
+    return layers.join(last, [key, "batch"], "left_semi").drop("batch").filter("start is not null")
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and return what it emitted, with ``batch`` for the order. Results and checkpoint are in the shared folder; restarted batches replace their own rows."""
-    spark = stream.sparkSession
-    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+def _drain_to(folder: str, stream: DataFrame, mode: str) -> None:
+    """Run a stream over all that is there. A batch that is run again replaces its own rows."""
 
     def keep(batch: DataFrame, no: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={no}")
 
-    run = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").foreachBatch(keep).start()
-    run.awaitTermination()
+    stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").foreachBatch(keep).start().awaitTermination()
+
+
+def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is there and return what it emitted, with ``batch`` for the order. Results and checkpoint are in the shared folder; restarted batches replace their own rows."""
+    folder = fresh(stream.sparkSession, "stream")
+    _drain_to(folder, stream, mode)
+    return stream.sparkSession.read.parquet(f"{folder}/out")
+
+
+def feed(parts: Iterable[DataFrame], job: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """What ``job`` emits, with ``batch``, where each part (a table; all have one schema) arrives when those before it have been worked on. State and watermark go on from part to part."""
+    folder = None
+    for k, part in enumerate(parts):
+        spark = part.sparkSession
+        folder = folder or fresh(spark, "feed")
+        part.write.parquet(f"{folder}/in/{k}")
+        stream = spark.readStream.schema(part.schema).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+        _drain_to(folder, job(stream), mode)
     return spark.read.parquet(f"{folder}/out")
 
 

@@ -60,3 +60,18 @@ def test_chordpro(spark):
     events = spark.createDataFrame([(1, 0, 0.0, 1.0, "C"), (1, 1, 1.0, 3.0, "G")], "song_id int, seq int, start double, end double, label string")
     got = {r.song_id: r.sheet for r in SH.chordpro(songs, lines, events).collect()}
     assert got == {1: "{title: s.wav}\n{key: C major}\n{tempo: 120}\n\n[C]a [G]b c\n{soc}\n{eoc}\nx    y z\n", 2: "{title: Unknown title}\n\n"}
+
+
+def test_a_run_that_was_killed_or_repeated_leaves_one_line_a_take(spark, tmp_path):
+    folder, schema = str(tmp_path / "runs"), "name string, score int"
+    takes = spark.createDataFrame([(c,) for c in "abcdef"], "name string")
+    lines = lambda names, score: spark.createDataFrame([(n, score) for n in names], schema)
+    have = lambda: sorted(tuple(x) for x in C.committed(spark, folder, schema).collect())
+    left = lambda: sorted(x.name for x in C.unmeasured(takes, C.committed(spark, folder, schema)).collect())
+    assert have() == [] and left() == list("abcdef")
+    C.append_run(lines("ab", 1), folder, "one")
+    C.write_attempt(lines("cd", 2), folder, "two")  # killed before its commit
+    assert have() == [("a", 1), ("b", 1)] and left() == list("cdef")
+    C.append_run(lines("cdef", 3), folder, "two")
+    C.append_run(lines("ab", 4), folder, "one")  # repeated: its new lines replace the old ones
+    assert have() == [("a", 4), ("b", 4), ("c", 3), ("d", 3), ("e", 3), ("f", 3)] and left() == []

@@ -4,6 +4,7 @@ import itertools
 import random
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from cantus.functions import words as W
@@ -93,3 +94,21 @@ def test_folding_and_fuzzy_words(spark):
         a, b = r.a or "", r.b or ""
         want = bool(a and b) and (a == b or (min(len(a), len(b)) >= 5 and SequenceMatcher(None, a, b).ratio() >= 0.8))
         assert r.same == want
+
+
+@pytest.mark.parametrize("trim", [False, True])
+def test_islands_match_as_the_whole_song_does(spark, trim):
+    """Against the greedy matching of all points of a song; random points, many exactly ``window`` apart."""
+
+    import numpy as np
+
+    r, window, rows = random.Random(1), 3, {}
+    for song in range(300):
+        rows[song] = [sorted({r.randrange(0, r.choice([20, 60, 400])) for _ in range(r.randint(1, 12))}) for _ in range(2)]
+    df = lambda side: spark.createDataFrame([(k, t, t, i) for k, x in rows.items() for i, t in enumerate(x[side])], "song_id bigint, start bigint, end bigint, seq bigint")
+    got = {x.song_id: tuple(x)[1:] for x in P.change_points(df(0), df(1), window, None, trim).collect()}
+    for k, x in rows.items():
+        a, b = (np.array(p[1:-1] if trim else p) for p in x)
+        n = P._hits(a, b, window)
+        p, c = (n / len(y) if len(y) and n else 0.0 for y in (b, a))
+        assert got[k] == pytest.approx((p, c, 2 * p * c / (p + c) if n else 0.0)), (k, a, b)

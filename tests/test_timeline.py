@@ -130,3 +130,34 @@ def test_logistic_fit_finds_the_curve(spark):
     rows = [(m / 10, 10.0, 10.0 / (1 + math.exp(-(3 * m / 10 - 1)))) for m in range(-20, 21)]
     a, b, rounds = SC.fit_logistic(spark.createDataFrame(rows, "margin double, seconds double, correct_seconds double"))
     assert abs(a - 3) < 1e-6 and abs(b + 1) < 1e-6 and rounds < 30
+
+
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_buckets_change_no_as_of_join_and_no_end(spark, width):
+    """A hot song with a third of the rows, ties, probes before all events, and buckets without events."""
+    import random
+
+    r = random.Random(width)
+    song = lambda: 0 if r.random() < 0.33 else r.randrange(1, 30)
+    events = spark.createDataFrame([(song(), i, r.randrange(0, 200), r.choice([None, 5]), f"e{i}") for i in range(900)], "song_id bigint, seq bigint, start bigint, length bigint, label string")
+    events = events.withColumn("end", F.col("start") + F.col("length")).drop("length")
+    probes = spark.createDataFrame([(song(), i, r.randrange(-20, 260)) for i in range(900)], "song_id bigint, probe_id bigint, t bigint")
+    for cover in (True, False):
+        a, b = (sorted((x.probe_id, x.event and x.event.label) for x in TL.as_of(probes, events, cover=cover, width=w).collect()) for w in (None, width))
+        assert a == b
+    closed = lambda w: sorted(tuple(x) for x in TL.close_intervals(events.withColumn("end", F.lit(None).cast("bigint")), F.lit(999), width=w).select("song_id", "seq", "end").collect())
+    assert closed(None) == closed(width)
+
+
+def test_reports_pool_to_what_one_pass_gives(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(f"t{i % 17}", i % 2, 10.0, r.choice([0.0, 2.5, 10.0]), r.choice([None, 0.1, 0.35, 0.6, 0.95])) for i in range(300)]
+    x = spark.createDataFrame(rows, "take string, view int, seconds double, correct_seconds double, confidence double")
+    reports = SC.calibration_report(x, "take", "view")
+    near = lambda a, b: [None if v is None else round(v, 9) for v in a] == [None if v is None else round(v, 9) for v in b]
+    assert reports.count() == 34 and near(SC.pooled(reports).collect()[0], SC.calibration(x).collect()[0])
+    by_view = {v["view"]: list(v)[1:] for v in SC.pooled(reports, "view", total=True).collect()}
+    assert set(by_view) == {0, 1, None} and all(near(by_view[v], SC.calibration(x.filter(F.lit(v is None) | (F.col("view") == v))).collect()[0]) for v in by_view)
+    assert SC.pooled(reports.limit(0), "view").count() == 0
