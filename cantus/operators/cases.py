@@ -90,7 +90,8 @@ def field_scores(cases: DataFrame) -> DataFrame:
 
 def score_cases(cases: DataFrame) -> DataFrame:
     """One row a case: name, CORE and a column for each metric, null where the case has none. ``name`` names a case; the families are joined on it."""
-    cases = written(cases, "cases")  # each family reads its own columns of it
+    parts = cases.sparkSession.sparkContext.defaultParallelism
+    cases = written(cases.repartition(parts, KEY), "cases")  # each family reads its own columns of it; a case is little to read and much to score
     out = cases.select(KEY, *CORE)
     for scores in (lyrics_scores, timing_scores, chord_scores, label_scores, field_scores):
         out = out.join(scores(cases), KEY, "left")

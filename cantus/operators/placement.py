@@ -14,6 +14,7 @@ from cantus.functions import labels as L
 from cantus.operators import aligning as A
 from cantus.operators import scoring as SC
 from cantus.operators import timeline as TL
+from cantus.operators.store import written
 
 KEY = "song_id"
 #: Chords in a row between lines, and the widths of such a row in characters.
@@ -146,6 +147,7 @@ def take_scores(ref: DataFrame, hyp: DataFrame, width, window, digits: int | Non
 
     Time is summed by pair of labels once, and both views of the labels are looked up for each pair.
     """
+    ref, hyp = (written(df.select(key, "seq", "start", "end", "label"), "take") for df in (ref, hyp))  # each score reads them
     labels = ref.select("label").union(hyp.select("label")).distinct()
     views = labels.select("label", F.explode(F.array(L.triad_scoring(F.col("label")))).alias("triad"))
     known = L.features(views.select(F.explode(F.array("label", "triad")).alias("label")))

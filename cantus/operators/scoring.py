@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -99,30 +99,44 @@ def paired(a: DataFrame, b: DataFrame, metric: str, on: str) -> DataFrame:
     return g.select("n", "mean", se.alias("se"), (F.col("mean") - 1.96 * se).alias("low"), (F.col("mean") + 1.96 * se).alias("high"), "wins", "losses")
 
 
-def character_error_rate(ref: Column, hyp: Column) -> Column:
-    """Edit distance of two texts over the reference's length; null without a reference."""
-    return F.try_divide(F.levenshtein(ref, hyp), F.char_length(ref))
+def edit_distance(a: Sequence, b: Sequence) -> int:
+    """Least number of insertions, deletions and changes between two sequences: a column of the table of distances is two whole numbers, whose bits say where it rises and falls."""
+    n = len(a)
+    if not n:
+        return len(b)
+    at: dict = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    every, last = (1 << n) - 1, 1 << n - 1
+    rises, falls, out = every, 0, n
+    for x in b:
+        same = at.get(x, 0)
+        down = same | falls
+        across = ((same & rises) + rises ^ rises) | same
+        more, less = falls | every & ~(across | rises), rises & across
+        out += bool(more & last) - bool(less & last)
+        more, less = (more << 1 | 1) & every, less << 1 & every
+        rises, falls = less | every & ~(down | more), more & down
+    return out
+
+
+def _error_rate(cut: Callable[[str], Sequence]):
+    @F.pandas_udf(T.DoubleType())
+    def rate(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+        pairs = ((cut(a), cut(b)) for a, b in zip(ref.fillna(""), hyp.fillna(""), strict=True))
+        return pd.Series([edit_distance(a, b) / len(a) if a else None for a, b in pairs], dtype="float64")
+
+    return rate
 
 
-@F.pandas_udf(T.DoubleType())
-def _word_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    """Edit distance over words divided by the reference's words; one row of the table is kept."""
-    out = []
-    for a, b in zip(ref, hyp, strict=True):
-        a, b = [[] if x is None else [w for w in x.split(" ") if w] for x in (a, b)]
-        r, h, _ = coded(a, b)
-        steps = np.arange(len(h) + 1)
-        row = steps
-        for i, w in enumerate(r):
-            best = np.minimum(row[:-1] + (h != w), row[1:] + 1)
-            row = np.minimum.accumulate(np.concatenate([[i + 1], best]) - steps) + steps
-        out.append(float(row[-1]) / len(r) if len(r) else None)
-    return pd.Series(out, dtype="float64")
+def character_error_rate(ref: Column, hyp: Column) -> Column:
+    """Edit distance of two texts over the reference's length; null without a reference."""
+    return F.when(ref.isNotNull() & hyp.isNotNull(), _error_rate(str)(ref, hyp))
 
 
 def word_error_rate(ref: Column, hyp: Column) -> Column:
     """Edit distance over words, divided by the reference's words; null without any. Words stand between spaces, and there may be any number."""
-    return F.when(ref.isNotNull() & hyp.isNotNull(), _word_distance(ref, hyp))
+    return F.when(ref.isNotNull() & hyp.isNotNull(), _error_rate(lambda s: [w for w in s.split(" ") if w])(ref, hyp))
 
 
 def align_labels(pairs: DataFrame, key: str = KEY) -> DataFrame:
