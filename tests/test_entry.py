@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from cantus.plans import more_queries, run_queries  # noqa: F401 - register their queries
+from cantus.plans import file_queries, more_queries, run_queries  # noqa: F401 - register their queries
 from cantus.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
