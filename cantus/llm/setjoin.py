@@ -141,11 +141,11 @@ def budget(x: np.ndarray, band: int) -> tuple[int, int, int]:
     return len(seg), int((np.diff(np.append(first, len(x))) > 1).sum()), differences(len(x), band)
 
 
-FEATURES = "doc_id bigint, n bigint, cls bigint, fold binary, bands array<array<int>>"
+FEATURES = "doc_id bigint, row bigint, n bigint, cls bigint, fold binary, bands array<array<int>>"
 
 
 def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text to FEATURES; bands: for each band of the set its number and budget()."""
+    """doc_id, row, text to FEATURES; bands: for each band of the set its number and budget()."""
     for b in batches:
         n, cls, fold, bands = [], [], [], []
         for s in slices(b.column("text")):
@@ -154,7 +154,7 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 cls.append(class_of(x) if len(x) else None)
                 fold.append(folded(x) if len(x) else None)
                 bands.append([[k, *budget(x, k)] for k in bands_of(len(x))] if len(x) else None)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(fold, pa.binary()), pa.array(bands, pa.list_(pa.list_(pa.int32())))], names=["doc_id", "n", "cls", "fold", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(fold, pa.binary()), pa.array(bands, pa.list_(pa.list_(pa.int32())))], names=["doc_id", "row", "n", "cls", "fold", "bands"])
 
 
 def all_segments(x: np.ndarray, band: int) -> np.ndarray:
@@ -289,22 +289,32 @@ def between(members: DataFrame, comp: DataFrame) -> DataFrame:
     return m.join(other, "sig").filter((F.col("cls") < F.col("b")) & (F.col("comp") != F.col("bcomp")) & (F.col("x") + F.col("bx") <= 0)).select(F.col("cls").alias("a"), "b").distinct()
 
 
+def text_key() -> Column:
+    """With doc_id, what tells rows of different texts apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def ngram_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id: components of documents linked by similar n-gram sets.
+    """row_components() without ``row``."""
+    return row_components(docs).drop("row")
+
+
+def row_components(docs: DataFrame) -> DataFrame:
+    """doc_id, row (text_key() of its text), n_shingles, component_id: components of documents linked by similar n-gram sets.
 
     Null texts, empty ones and those without words have an empty set and are linked with nothing; a
     text of under five words is one n-gram. Rows that repeat a doc_id are
     returned each. A null doc_id keeps a null component unless it links to others.
     Other columns are ignored. Sets are compared by 64-bit hashes of their n-grams.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("row"), "text")
     feats = written(docs.mapInArrow(features, FEATURES))
     reps = written(feats.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min(F.struct("n", "fold", "bands")).alias("x")).select("cls", "rep", "x.*"))
     comp = connected(links(docs, reps))
     label = reps.select("cls", "rep").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     label = label.join(label.groupBy("comp").agg(F.min("rep").alias("component")), "comp")
-    out = feats.select("doc_id", "n", "cls").join(label.select("cls", "component"), "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = feats.select("doc_id", "row", "n", "cls").join(label.select("cls", "component"), "cls", "left")
+    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:

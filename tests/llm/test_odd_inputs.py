@@ -161,3 +161,14 @@ def test_pipeline(spark, tmp_path):
         own = [x for x in out.values() if x.source == s]
         assert abs(sum(x.taken for x in own) - own[0].target) <= 120 and all(x.taken <= 2 * x["size"] for x in own)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "ngram_join", "decontamination", "mixing"]
+
+
+def test_stages_judge_rows_by_their_own_texts(spark, odd):
+    """An id that stands with two texts loses the copy alone; a stage on an empty table gives an empty one."""
+    a, b = " ".join(WORDS[:40]), " ".join(WORDS[20:64])
+    docs = spark.createDataFrame([(1, a, "aa", "s", 1), (2, a, "aa", "s", 1), (2, b, "aa", "s", 1), (3, None, "aa", "s", None), (None, a, None, None, None)], DOCS).withColumn("row", F.lit(0))
+    got = sorted((x.doc_id or 0, x.text or "") for x in corpus_pipeline.ngram_join(spark, docs, "").collect())
+    assert got == [(0, a), (1, a), (2, b), (3, "")]
+    none = spark.createDataFrame([], DOCS)
+    for stage in (corpus_pipeline.line_dedup, corpus_pipeline.ngram_join):
+        assert stage(spark, none, "").count() == 0 and stage(spark, none, "").columns == corpus_pipeline.COLUMNS
