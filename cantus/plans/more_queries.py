@@ -206,13 +206,13 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DO.assemble(songs, chords, lines, keys, songs.select("song_id", (60.0 + F.col("song_id")).alias("bpm")))
 
 
-_DOC = f"""WITH {_REF}, g AS (SELECT song_id, count(*) AS n, arg_min(label, (start, seq)) AS first, count(*) FILTER (label = 'N') AS silent FROM ref GROUP BY song_id), c AS (SELECT conv_id AS song_id, count(*) AS lines FROM conversations GROUP BY conv_id)
-SELECT song_id, n AS chords, first, coalesce(lines, 0) AS lines, CASE WHEN song_id % 2 = 0 THEN 'C major' END AS key, 60.0 + song_id AS bpm FROM g LEFT JOIN c USING (song_id)"""
+_DOC = f"""WITH {_REF}, g AS (SELECT song_id, count(*) AS n, md5(string_agg(label || ' ' || CAST(round(start * 1e-6) AS BIGINT), '|' ORDER BY start, seq)) AS labels FROM ref GROUP BY song_id), c AS (SELECT conv_id AS song_id, count(*) AS lines, md5(string_agg(coalesce(text, ''), '|' ORDER BY turn % 2, turn)) AS texts FROM conversations GROUP BY conv_id)
+SELECT song_id, n AS chords, labels, coalesce(lines, 0) AS lines, coalesce(texts, md5('')) AS texts, CASE WHEN song_id % 2 = 0 THEN 'C major' END AS key, 60.0 + song_id AS bpm FROM g LEFT JOIN c USING (song_id)"""
 
 
 def _shape(docs: DataFrame) -> DataFrame:
     d = lambda f: F.col(f"document.{f}")
-    return docs.select("song_id", F.size(d("chords")).cast("bigint").alias("chords"), F.get(d("chords"), F.lit(0))["label"].alias("first"), F.size(d("lyrics")).cast("bigint").alias("lines"), F.when(d("key.tonic").isNotNull(), F.concat_ws(" ", d("key.tonic"), d("key.mode"))).alias("key"), d("tempo.bpm").alias("bpm"))
+    return docs.select("song_id", F.size(d("chords")).cast("bigint").alias("chords"), F.md5(F.array_join(F.transform(d("chords"), lambda c: F.concat_ws(" ", c["label"], F.round(c["start"]).cast("bigint"))), "|")).alias("labels"), F.size(d("lyrics")).cast("bigint").alias("lines"), F.md5(F.array_join(F.transform(d("lyrics"), lambda x: F.coalesce(x["text"], F.lit(""))), "|")).alias("texts"), F.when(d("key.tonic").isNotNull(), F.concat_ws(" ", d("key.tonic"), d("key.mode"))).alias("key"), d("tempo.bpm").alias("bpm"))
 
 
 @query(_DOC)
@@ -233,11 +233,12 @@ def r15_markdown_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DO.markdown(DO.assemble(songs, chords)).select("song_id", F.md5("sheet").alias("sheet"))
 
 
-@query(f"""{_BOTH}, d AS (SELECT song_id, count(*) AS n FROM ref GROUP BY song_id), h AS (SELECT song_id, count(*) AS n FROM hyp WHERE song_id % 3 = 0 GROUP BY song_id) SELECT song_id, coalesce(h.n, d.n) AS chords FROM d LEFT JOIN h USING (song_id)""")
+@query(f"""{_BOTH}, n AS (SELECT DISTINCT song_id FROM hyp WHERE song_id % 3 = 0), x AS (SELECT * FROM hyp WHERE song_id % 3 = 0 UNION ALL SELECT * FROM ref WHERE song_id NOT IN (SELECT song_id FROM n)) SELECT song_id, count(*) AS chords, md5(string_agg(label, '|' ORDER BY start, seq)) AS labels FROM x GROUP BY song_id""")
 def r16_documents_with_edited_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = D.hypothesis(spark, sf_dir).filter("song_id % 3 = 0").select("song_id", "seq", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "label")
     text = DO.to_json(DO.with_layers(_documents(spark, sf_dir), chords=h))
-    return text.select("song_id", F.size(F.from_json("value", DO.ENVELOPE)["document"]["chords"]).cast("bigint").alias("chords"))
+    chords = F.from_json("value", DO.ENVELOPE)["document"]["chords"]
+    return text.select("song_id", F.size(chords).cast("bigint").alias("chords"), F.md5(F.array_join(F.transform(chords, lambda c: c["label"]), "|")).alias("labels"))
 
 
 @query("""WITH d AS (SELECT user_id AS song_id, count(*) AS n FROM events GROUP BY 1), l AS (SELECT conv_id AS song_id, count(*) AS lines FROM conversations WHERE conv_id % 2 = 0 GROUP BY 1), c AS (SELECT conv_id AS song_id, count(*) AS lines FROM conversations GROUP BY 1)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cantus.operators import jobs as JO
 from cantus.operators import scoring as SC
 from cantus.operators.store import fresh, written
 from cantus.plans.more_queries import SECOND, _chord_layer, c8_effective_chords
-from cantus.plans.queries import _OUT, HOUR, ORACLES, _windowed, query, w7_merge_windows
+from cantus.plans.queries import _OUT, _WIN, HOUR, ORACLES, _windowed, query, w7_merge_windows
 from cantus.sources import corpus as CO
 from cantus.sources import derived as D
 from cantus.streaming import jobs as J
@@ -89,6 +90,19 @@ def t2_seams_of_a_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("song_id", "seq", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "label", "source")
 
 
+@query(f"""SELECT song_id, seq, round(start * 1e-6, 6) AS start, round("end" * 1e-6, 6) AS "end", label, source FROM ({ORACLES[w7_merge_windows.__name__]}) m
+WHERE song_id NOT IN (SELECT song_id FROM (WITH {_WIN} SELECT song_id, idx, min(start) AS s FROM cutup GROUP BY ALL) w WHERE song_id % 5 = 0 AND idx % 4 = 0 AND s < idx * {18 * HOUR} + 3600000000)""")
+def c4_windowed_chords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of songs merged; every fourth window of every fifth song says that it began an hour later, and songs with an event before that are left out."""
+    second = F.lit(SECOND)
+    x = _windowed(spark, sf_dir).withColumns({"start": F.col("start") * second, "end": F.col("end") * second})
+    late = F.when((F.col("song_id") % 5 == 0) & (F.col("idx") % 4 == 0), 3600.0).otherwise(0.0)
+    windows = x.select("song_id", "idx").distinct().withColumn("start", F.col("idx") * 64_800.0 + late)
+    none = windows.select("song_id", "idx", *(F.lit(None).cast(t).alias(c) for c, t in (("engine", "string"), ("confidence", "double"), ("processing_seconds", "double"), ("warnings", "array<string>"))))
+    merged, _, _ = JO.windowed_chords(x, windows, none)
+    return merged.select("song_id", "seq", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "label", "source")
+
+
 @query(ORACLES[c8_effective_chords.__name__])
 def t3_live_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layers and then commands as a stream, a command of each song at a time: two semitones up, simplified, and a transposition that is undone."""
