@@ -17,6 +17,18 @@ from cantus.operators import aligning as A
 from cantus.operators.timeline import KEY, boundaries, nearest_distance, overlap_join
 
 
+def sides(ref: DataFrame, hyp: DataFrame, *on: str, view: str | None = None) -> DataFrame:
+    """References and hypotheses of the same ``on`` (a song, say) side by side, their other columns as ref_ and hyp_; those of one side alone stay, with nulls.
+
+    References that come in several views (column view) are never mixed: ``view`` names the one.
+    """
+    if "view" in ref.columns and view is None:
+        raise ValueError("name the view of the reference")
+    ref = ref.filter(F.col("view") == view).drop("view") if "view" in ref.columns else ref
+    named = lambda df, s: df.select(*on, *(F.col(c).alias(f"{s}_{c}") for c in df.columns if c not in on))
+    return named(ref, "ref").join(named(hyp, "hyp"), list(on), "full")
+
+
 def label_overlaps(ref: DataFrame, hyp: DataFrame, width, key: str = KEY) -> DataFrame:
     """key, ref_label, hyp_label, overlap: how long each pair of labels sounds at once in a song."""
     pairs = overlap_join(ref.select(key, "start", "end", "label"), hyp.select(key, "start", "end", "label"), width, key=key)

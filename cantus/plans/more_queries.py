@@ -17,7 +17,7 @@ from cantus.operators import jobs as JO
 from cantus.operators import scoring as SC
 from cantus.operators import seams as SE
 from cantus.operators import timeline as TL
-from cantus.plans.queries import _BOTH, _PARSE, _RAW, _REF, _WIN, HOUR, _rows, _sequences, _windowed, query
+from cantus.plans.queries import _BOTH, _COS, _FRAMES, _PARSE, _RAW, _REF, _WIN, HOUR, _rows, _sequences, _windowed, query
 from cantus.sources import derived as D
 
 _SPELLED = list(L.PITCH)
@@ -152,10 +152,12 @@ def s1_first_takes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return JO.first_takes(p, 100).select(F.col("name.p_name").alias("name"), "name.p_partkey")
 
 
-@query(f"{_BOTH} SELECT song_id, r.seq AS ref_seq, h.seq AS hyp_seq, r.label AS ref_label, h.label AS hyp_label FROM ref r FULL JOIN hyp h USING (song_id, start)")
+@query(f"{_BOTH}, r AS (SELECT * FROM ref WHERE seq % 3 > 0) SELECT song_id, r.seq AS ref_seq, h.seq AS hyp_seq, r.label AS ref_label, h.label AS hyp_label FROM r FULL JOIN hyp h USING (song_id, start)")
 def j13_sides_of_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    side = lambda df, s: df.select("song_id", "start", F.col("seq").alias(f"{s}_seq"), F.col("label").alias(f"{s}_label"))
-    return side(D.reference(spark, sf_dir), "ref").join(side(D.hypothesis(spark, sf_dir), "hyp"), ["song_id", "start"], "full").drop("start")
+    """One view of the reference, which has two, beside the hypothesis."""
+    ref = D.reference(spark, sf_dir).withColumn("view", F.when(F.col("seq") % 3 > 0, "performed").otherwise("instructed"))
+    both = SC.sides(ref, D.hypothesis(spark, sf_dir), "song_id", "start", view="performed")
+    return both.select("song_id", "ref_seq", "hyp_seq", "ref_label", "hyp_label")
 
 
 @query(f"""WITH {_RAW}, l AS (SELECT song_id, seq, CASE WHEN seq % 7 > 0 THEN start END AS s, CASE WHEN seq % 50 > 0 THEN start + {HOUR} END AS e FROM raw WHERE seq % 2 = 0), i AS (SELECT song_id, seq, CASE WHEN seq % 5 > 0 THEN start END AS s, CASE WHEN seq % 30 > 0 THEN start + {HOUR // 2} END AS e FROM raw WHERE seq % 2 = 1)
@@ -375,6 +377,17 @@ def c3_chords_of_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return JO.chords_of_frames(f, 0.1).select("song_id", "seq", "start", "end", "root", "quality", "confidence", "score_margin")
 
 
+@query(f"""WITH {_FRAMES}, s AS (SELECT song_id, frame_no, [{_COS}, {FR.NO_CHORD_SCORE!r}] AS s FROM f), x AS (SELECT song_id, frame_no // 10 AS seq, s, CAST(1 + (frame_no // 10) % 24 AS INT) AS own FROM s)
+SELECT song_id, seq, round(avg(s[own] - list_max(list_concat(s[1 : own - 1], s[own + 1 :]))), 6) AS margin FROM x GROUP BY song_id, seq""")
+def a12_segment_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of ten frames, each said to be the next of the 24 chords: how much better that is than the best other one."""
+    f = D.frames(spark, sf_dir).withColumn("scores", FR.frame_scores(F.col("chroma")))
+    seq = F.floor(F.col("frame_no") / 10)
+    states = F.array(*map(F.lit, FR.STATES))
+    segments = f.select("song_id", seq.alias("seq")).distinct().select("song_id", "seq", F.col("seq").cast("double").alias("start"), F.element_at(states, (F.col("seq") % 24 + 1).cast("int")).alias("label"))
+    return FR.segment_margins(f, segments, 0.1).select("song_id", "seq", F.round("margin", 6).alias("margin"))
+
+
 @query()
 def c5_calibrated_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = D.hypothesis(spark, sf_dir).withColumn("margin", (F.col("seq") % 20) * 0.05).withColumn("confidence", F.col("margin"))

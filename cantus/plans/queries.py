@@ -417,13 +417,12 @@ def w9_words_of_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL),
 c AS (SELECT doc_id, i, trim(regexp_replace(replace(line, chr(13), ' '), '\\s+', ' ', 'g')) AS text, (i * 7) % 600 + 0.25 AS start FROM l),
 n AS (SELECT *, lead(start) OVER (PARTITION BY doc_id ORDER BY start, i) AS "end" FROM c)
-SELECT doc_id, count(*) AS lines, sum(length(text)) AS chars, sum("end" - start) AS seconds, count("end") AS closed FROM n GROUP BY doc_id""")
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start, i) - 1 AS seq, text, start, "end" FROM n""")
 def r6_stamped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda i: F.format_string("[%02d:%02d.25]", (F.floor(i * 7 / 60) % 10).cast("int"), (i * 7 % 60).cast("int"))
     lines = F.transform(F.split(F.replace("text", F.lit("\r"), F.lit(" ")), "\n"), lambda line, i: F.concat(at(i), line))
     texts = D.read(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("name"), F.array_join(lines, "\n").alias("text"))
-    g = TT.parse_lrc(texts).groupBy(F.col("name").alias("doc_id"))
-    return g.agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"), F.sum(F.col("end") - F.col("start")).alias("seconds"), F.count("end").alias("closed"))
+    return TT.parse_lrc(texts).select(F.col("name").alias("doc_id"), "seq", "text", "start", "end")
 
 
 _HOURLY = """SELECT epoch_us(time_bucket(INTERVAL '6 hours', ts)) AS start, epoch_us(time_bucket(INTERVAL '6 hours', ts)) + 21600000000 AS "end", event_type AS label, count(*) AS n, sum(value) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL"""
@@ -452,13 +451,13 @@ def r14_chordpro(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # charts: the lines of documents, each below a line of two chords over its first and fifth column
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
-c AS (SELECT doc_id, i, list_filter(regexp_split_to_array(replace(line, chr(13), ' '), '\\s+'), lambda w: w <> '') AS ws FROM l), k AS (SELECT doc_id, len(ws) AS n FROM c WHERE len(ws) > 0)
-SELECT doc_id, 2 * count(*) AS chords, sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS moved FROM k GROUP BY doc_id""")
+c AS (SELECT doc_id, i, list_filter(regexp_split_to_array(replace(line, chr(13), ' '), '\\s+'), lambda w: w <> '') AS ws FROM l), k AS (SELECT doc_id, len(ws) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS line FROM c WHERE len(ws) > 0)
+SELECT doc_id, 2 * line + h AS chord_no, ['G', 'A'][1 + h] AS text, line AS lyric_line, CASE WHEN n > 1 THEN h ELSE 0 END AS word_index FROM k CROSS JOIN range(2) r(h)""")
 def r9_chord_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.filter(F.split(F.replace("text", F.lit("\r"), F.lit(" ")), "\n"), lambda a: a.rlike(r"\S"))
     charted = F.flatten(F.transform(lines, lambda a: F.array(F.lit("G A"), F.concat(F.lit("~"), F.regexp_replace(a, r"^\s+", "")))))
     texts = D.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), F.array_join(charted, "\n").alias("text"))
-    return CO.chart_chords(texts).groupBy(F.col("name").alias("doc_id")).agg(F.count("*").alias("chords"), F.sum((F.col("word_index") > 0).cast("int")).alias("moved"))
+    return CO.chart_chords(texts).select(F.col("name").alias("doc_id"), "chord_no", "text", "lyric_line", "word_index")
 
 
 # every third event is a line of at most six hours with three words, the last one open

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cantus.operators import jobs as JO
 from cantus.operators import scoring as SC
+from cantus.operators import seams as SE
 from cantus.operators.store import fresh, written
 from cantus.plans.more_queries import SECOND, _chord_layer, c8_effective_chords
 from cantus.plans.queries import _OUT, _WIN, HOUR, ORACLES, _windowed, query, w7_merge_windows
@@ -103,6 +104,23 @@ def c4_windowed_chords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("song_id", "seq", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "label", "source")
 
 
+@query("""WITH l AS (SELECT conv_id AS song_id, turn AS idx, k AS seq, turn * 40 + k * 16 + 0.0 AS s, turn * 40 + k * 16 + 15.0 AS e FROM conversations CROSS JOIN range(4) r(k)),
+w AS (SELECT song_id, idx, seq, s, e, s + 4 * i AS ws, s + 4 * i + 3 AS we, i FROM l CROSS JOIN range(4) r(i) WHERE seq < 3),
+f AS (SELECT song_id, idx, max(greatest(idx * 40 + 50.0, e)) AS reach FROM l GROUP BY ALL), g AS (SELECT song_id, idx, max(reach) OVER (PARTITION BY song_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM f),
+k AS (SELECT l.song_id, l.idx, l.seq, l.s, l.e, count(w.i) AS n, min(w.ws) AS first FROM l JOIN g USING (song_id, idx) LEFT JOIN w ON w.song_id = l.song_id AND w.idx = l.idx AND w.seq = l.seq AND (f IS NULL OR w.ws >= f) GROUP BY ALL HAVING count(w.i) > 0 OR l.seq = 3)
+SELECT song_id, row_number() OVER (PARTITION BY song_id ORDER BY idx, seq) - 1 AS seq, s AS start, e AS "end", n AS n_words, first FROM k""")
+def w8_merged_lyrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window of fifty seconds each forty: three lines of four words and one without words in each; what an earlier window heard goes."""
+    turns = D.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("song_id"), F.col("turn").alias("idx"))
+    windows = turns.select("song_id", "idx", (F.col("idx") * 40.0).alias("start"), (F.col("idx") * 40.0 + 50).alias("end"))
+    k = turns.withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    at = F.col("seq") * 16.0
+    four = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(F.lit("la").alias("text"), (at + i * 4).alias("start"), (at + i * 4 + 3).alias("end")))
+    lines = k.select("song_id", "idx", "seq", at.alias("start"), (at + 15).alias("end"), F.when(F.col("seq") < 3, four).otherwise(F.array().cast("array<struct<text:string,start:double,end:double>>")).alias("words"))
+    merged = SE.merge_lyrics(lines, windows)
+    return merged.select("song_id", "seq", "start", "end", F.size("words").alias("n_words"), F.get("words", F.lit(0))["start"].alias("first"))
+
+
 @query(ORACLES[c8_effective_chords.__name__])
 def t3_live_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layers and then commands as a stream, a command of each song at a time: two semitones up, simplified, and a transposition that is undone."""

@@ -161,3 +161,11 @@ def test_reports_pool_to_what_one_pass_gives(spark):
     by_view = {v["view"]: list(v)[1:] for v in SC.pooled(reports, "view", total=True).collect()}
     assert set(by_view) == {0, 1, None} and all(near(by_view[v], SC.calibration(x.filter(F.lit(v is None) | (F.col("view") == v))).collect()[0]) for v in by_view)
     assert SC.pooled(reports.limit(0), "view").count() == 0
+
+
+def test_sides_name_the_view_of_the_reference(spark):
+    ref = spark.createDataFrame([(1, "a", "C"), (1, "b", "G"), (2, "a", "F")], "song_id int, view string, label string")
+    hyp = spark.createDataFrame([(1, "C"), (3, "D")], "song_id int, label string")
+    assert sorted(map(tuple, SC.sides(ref, hyp, "song_id", view="a").collect())) == [(1, "C", "C"), (2, "F", None), (3, None, "D")]
+    with pytest.raises(ValueError, match="view"):
+        SC.sides(ref, hyp, "song_id")
