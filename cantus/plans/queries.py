@@ -519,7 +519,15 @@ def j8_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PL.change_points(D.reference(spark, sf_dir), D.hypothesis(spark, sf_dir), 2 * HOUR, None)
 
 
-@query()
+_TRIAD = "CASE WHEN quality = 'no_chord' THEN 'N' WHEN root IS NULL THEN label WHEN quality = 'minor' THEN root || 'm' ELSE root END"
+# the timelines with triads as labels; what follows them is the recall of any two timelines
+_TRIADS = f"""WITH tr AS ({_BOTH}, {_PARSE} SELECT label AS full_label, {_TRIAD} AS triad FROM parsed), ref AS (SELECT song_id, seq, start, "end", triad AS label FROM ({_BOTH} SELECT * FROM ref) x JOIN tr ON x.label = tr.full_label), hyp AS (SELECT song_id, seq, start, "end", triad AS label FROM ({_BOTH} SELECT * FROM hyp) x JOIN tr ON x.label = tr.full_label)""" + _CSR.removeprefix(_BOTH)
+_COUNTS = "(SELECT song_id, count(*) AS {0}_segments, count(*) FILTER (label <> 'N') AS {0}_chords FROM {1} GROUP BY song_id)"
+
+
+@query(f"""SELECT song_id, csr, csr_triads, coalesce(overlap, 0) AS segment_overlap, coalesce(change_precision, 0) AS change_precision, coalesce(change_recall, 0) AS change_recall, coalesce(change_f1, 0) AS change_f1, ref_to_hyp, hyp_to_ref, reference_segments, reference_chords, coalesce(hypothesis_segments, 0) AS hypothesis_segments, coalesce(hypothesis_chords, 0) AS hypothesis_chords
+FROM {_COUNTS.format("reference", f"({_BOTH} SELECT * FROM ref)")} LEFT JOIN {_COUNTS.format("hypothesis", f"({_BOTH} SELECT * FROM hyp)")} USING (song_id) LEFT JOIN ({ORACLES["j1_duration_csr"]}) USING (song_id) LEFT JOIN ({_TRIADS} SELECT song_id, csr AS csr_triads FROM full_csr) USING (song_id)
+LEFT JOIN ({ORACLES["j9_segment_overlap"]}) USING (song_id) LEFT JOIN ({ORACLES["j8_change_points"]}) USING (song_id) LEFT JOIN ({ORACLES["j7_boundary_distance"]}) USING (song_id)""")
 def a3_take_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PL.take_scores(D.reference(spark, sf_dir), D.hypothesis(spark, sf_dir), 12 * HOUR, 2 * HOUR, None)
 
