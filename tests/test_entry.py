@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -24,6 +25,8 @@ def con():
 
 def rows(df: pd.DataFrame) -> list:
     def plain(v):
+        if isinstance(v, list | np.ndarray):
+            return tuple(map(plain, v))
         if hasattr(v, "item"):
             v = v.item()
         if v is None or v is pd.NA or (isinstance(v, float) and v != v):
