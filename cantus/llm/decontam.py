@@ -2,7 +2,7 @@
 
 Passages are windows of words, weighted by TF-IDF over hashed words, and put
 into a latent space by a randomised singular value decomposition that Spark
-tasks compute on a sample. Windows of documents are compared with benchmark
+tasks compute on all passages. Windows of documents are compared with benchmark
 items by cosine there; candidates are then checked on the words: the longest
 common subsequence with the item, and, for paraphrases, its answer part.
 
@@ -23,14 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cantus.llm.bytesoup import Slice, slices
-from cantus.llm.store import written
 
 DIMS = 1 << 14
 RANK = 64
-#: The basis is fitted on the passages of the benchmark and of about so many documents.
-FIT_DOCS = 1500
-#: Parts of that sample; each sends a table of DIMS rows at most.
-FIT_TASKS = 8
+#: Each task of the fit sends a table of DIMS rows at most, so many to a row.
+BUCKETS_A_BLOCK = 64
 #: Windows are as long as an item, rounded up to one of these, and start at each quarter of that.
 LENGTHS = (8, 12, 16, 24, 32, 48, 64, 96, 128)
 COSINE = 0.1
@@ -136,41 +133,65 @@ def corpus_counts(docs: DataFrame, items: DataFrame) -> tuple[np.ndarray, np.nda
     return np.log((n[0] + 1) / (n[1:] + 1)) ** 2 + 0.01, words, times
 
 
-def fit_space(docs: DataFrame, items: DataFrame, rank: int = RANK, fit_docs: int = FIT_DOCS, rounds: int = 2) -> Space:
-    """Randomised SVD of the TF-IDF matrix of passages: A'A is applied to a thin random matrix in the tasks, and summed by row."""
+def spread(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The start of the decomposition: each bucket's column and sign."""
+    r = np.random.default_rng(3)
+    return r.integers(0, width, DIMS), r.choice(np.array([-1.0, 1.0]), DIMS)
+
+
+def passage_products(shared):
+    """Texts to block, v: A'A times spread(), summed over all passages of 64 words of the task; v has the rows of BUCKETS_A_BLOCK buckets.
+
+    A row of A is a passage's TF-IDF at length 1. The idf of the bucket in A' is left out here: it is the same for all passages.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, column, sign, width = shared.value
+        weight, total, any_rows = sign * idf, np.zeros((width, DIMS)), False
+        for b in batches:
+            for s in slices(b.column("text")):
+                bucket, n = buckets(s.hashes()).astype(np.uint16), np.diff(s.first)
+                if not len(bucket):
+                    continue
+                any_rows, rows = True, -(-n // 64)
+                passage = (np.arange(len(bucket)) + np.repeat((np.cumsum(rows) - rows) * 64 - s.first[:-1], n)) >> 6
+                z = np.bincount(passage * width + column[bucket], weights=weight[bucket], minlength=int(rows.sum()) * width).reshape(-1, width)
+                # words by bucket, and so each passage's repeats of it side by side
+                order = np.argsort(bucket, kind="stable")
+                of, at = bucket[order], passage[order]
+                first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (at[1:] != at[:-1])]))
+                times = np.diff(np.append(first, len(of)))
+                norm = np.bincount(at[first], weights=(times * idf[of[first]]) ** 2, minlength=len(z))
+                z, size, bucket = (z / norm[:, None]).T.copy(), np.bincount(passage), bucket.astype(np.int64)
+                for k in range(width):
+                    total[k] += np.bincount(bucket, weights=np.repeat(z[k], size), minlength=DIMS)
+        if any_rows:
+            blocks = total.T.astype(np.float32).reshape(-1, BUCKETS_A_BLOCK * width)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks))), pa.array([x.tobytes() for x in blocks], pa.binary())], names=["block", "v"])
+
+    return work
+
+
+def summed_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for k, v in zip(b.column("block").to_pylist(), b.column("v"), strict=True):
+            x = np.frombuffer(v.as_buffer(), np.float32)
+            total[k] = total[k] + x if k in total else x.astype(np.float64)
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "v"])
+
+
+def fit_space(docs: DataFrame, items: DataFrame, rank: int = RANK) -> Space:
+    """Randomised SVD of the TF-IDF matrix of all passages of documents and benchmark: A'A is applied to a thin random matrix in the tasks, and summed by row."""
     idf, words, times = corpus_counts(docs, items)
-    n = max(1, docs.count())
-    part = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, fit_docs / n)) + 1).select("text").union(items.select("text"))
-    part = written(part.repartition(FIT_TASKS))
     width = rank + 8
-    y = np.random.default_rng(3).normal(size=(DIMS, width)).astype(np.float32)
-    sc = docs.sparkSession.sparkContext
-    for _ in range(rounds):
-        shared = sc.broadcast((idf.astype(np.float32), np.linalg.qr(y)[0].astype(np.float32)))
-
-        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            idf, q = shared.value
-            out, any_rows = np.zeros((DIMS, q.shape[1]), np.float32), False
-            for b in batches:
-                for s in slices(b.column("text")):
-                    any_rows = True
-                    bucket = buckets(s.hashes())
-                    text, start = window_starts(s.first, 64)
-                    end = np.minimum(start + 64, s.first[text + 1])
-                    for a, z in zip(start, end, strict=True):
-                        u, c = np.unique(bucket[a:z], return_counts=True)
-                        w = c * idf[u]
-                        w = w / (np.linalg.norm(w) + 1e-9)
-                        out[u] += np.outer(w, w @ q[u])
-            if any_rows:
-                rows = np.flatnonzero(np.abs(out).sum(1))
-                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(list(out[rows]), pa.list_(pa.float32()))], names=["row", "v"])
-
-        flat = part.mapInArrow(work, "row bigint, v array<float>").select("row", F.posexplode("v").alias("i", "x")).groupBy("row", "i").agg(F.sum("x").alias("x"))
-        y = np.zeros((DIMS, width), np.float32)
-        for r in flat.groupBy("row").agg(F.expr("transform(array_sort(collect_list(struct(i, x))), p -> p.x)").alias("v")).collect():  # DIMS rows at most
-            y[r["row"]] = r["v"]
-    u, _, _ = np.linalg.svd(y, full_matrices=False)
+    shared = docs.sparkSession.sparkContext.broadcast((idf, *spread(width), width))
+    parts = docs.select("text").union(items.select("text")).mapInArrow(passage_products(shared), "block bigint, v binary")
+    y = np.zeros((DIMS, width))
+    for r in parts.repartition("block").mapInArrow(summed_blocks, "block bigint, v binary").collect():  # DIMS rows at most
+        y[r["block"] * BUCKETS_A_BLOCK : (r["block"] + 1) * BUCKETS_A_BLOCK] = np.frombuffer(r["v"]).reshape(-1, width)
+    u, _, _ = np.linalg.svd(y * idf[:, None], full_matrices=False)
     return Space(idf, (u[:, :rank] * idf[:, None]).astype(np.float32), words, times)
 
 

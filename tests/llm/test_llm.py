@@ -182,6 +182,30 @@ def test_decontamination_finds_copies_and_paraphrases(spark):
     assert decontam.common_in_order(*[decontam.np.array(x, decontam.np.uint64) for x in ([1, 2, 3, 2], [2, 9, 3, 2, 1])]) == 3
 
 
+def test_decontamination_fits_its_space_on_all_passages(spark):
+    r = random.Random(11)
+    rows = [doc(i, " ".join(r.choices(WORDS, k=r.choice([3, 70])))) for i in range(3000)] + [doc(3000, None), doc(3001, "")]
+    items = [(0, " ".join(r.choices(WORDS, k=20)))]
+    space = decontam.fit_space(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id bigint, text string"))
+    np = decontam.np
+    column, sign = decontam.spread(decontam.RANK + 8)
+    thin = np.zeros((decontam.DIMS, decontam.RANK + 8))
+    thin[np.arange(decontam.DIMS), column] = sign
+    y = np.zeros_like(thin)
+    for text in [x[1] or "" for x in rows] + [items[0][1]]:
+        for s in decontam.slices(decontam.pa.array([text])):
+            b = decontam.buckets(s.hashes())
+            for k in range(0, len(b), 64):
+                u, n = np.unique(b[k : k + 64], return_counts=True)
+                w = n * space.idf[u]
+                w = w / np.linalg.norm(w)
+                y[u] += np.outer(w, w @ thin[u])
+    u, size, _ = np.linalg.svd(y, full_matrices=False)
+    rank = min(decontam.RANK, int((size > 1e-3 * size[0]).sum()))
+    got = space.basis[:, :rank] / space.idf[:, None]
+    assert np.abs(got @ got.T - u[:, :rank] @ u[:, :rank].T)[:, np.unique(b)].max() < 1e-3
+
+
 def test_html(spark):
     page = "<html><head><title>t</title></head><body><nav>menu</nav><div class='ad'>buy</div><article><h1>Head &amp; x</h1><p>One <b>bold</b> a{0}<p>Two\n words</article><div class='comments'>hi</div><footer>f</footer>"
     rows = [(i, "http://h.example/1", page.format(i)) for i in range(6)] + [(7, None, None), (8, "", "<p>open <i>tail"), (9, "x", "")]
