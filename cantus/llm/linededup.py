@@ -15,6 +15,8 @@ SIMILARITY = 0.9
 BUCKETS = 1 << 20
 #: A sketch is cut into so many blocks to find lines that are like another one.
 BLOCKS = 4
+#: In groups of so many lines at most, all pairs are compared at once.
+FEW = 64
 #: Bits of the filter that lets only candidate lines through to verification; saturation costs time, not results.
 FILTER_BITS = 1 << 22
 
@@ -48,9 +50,9 @@ def with_codes(lines: DataFrame, hist: DataFrame) -> DataFrame:
     """Add codes: the line's distinct tokens as numbers, rarest first; a code's high bits are its frequency, the low ones its hash."""
     lines = lines.withColumn("hist", hist.scalar())
     # between two spaces there is no token
-    code = f"transform(array_remove(split(lower(line), ' '), ''), t -> xxhash64(t))"
+    code = "array_distinct(transform(array_remove(split(lower(line), ' '), ''), t -> xxhash64(t)))"
     code = f"transform({code}, h -> shiftleft(cast(element_at(hist, cast(pmod(h, {BUCKETS}) as int) + 1) as bigint), 40) | (shiftright(h, 7) & 1099511627775L))"
-    return lines.withColumn("codes", F.expr(f"sort_array(array_distinct({code}))")).drop("hist")
+    return lines.withColumn("codes", F.expr(f"sort_array({code})")).drop("hist")
 
 
 #: A set's parity sketch: sets differ in at least as many codes as their sketches do in bits.
@@ -79,22 +81,32 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     group = Window.partitionBy("code", "run")
     me = F.struct("doc_id", "line_no", "lid", "n", "i", "sketch")
     led = rows.withColumn("size", F.count("*").over(group)).withColumn("lead", F.min(me).over(group)).filter("size > 1 AND lead.lid != lid")
-    near = may_match(F.col("lead"), me, p, q)
-    # of two lines without a chance nothing is left to do, nor of a line that no other one of its group is like
-    led = led.withColumn("near", near).withColumn("open", (F.col("size") > 2) & ((F.col("n") > short(p, q)) | like_another()))
-    star = written(led.filter("near OR open").select("code", "run", *LINE, F.col("lead.lid").alias("lead"), "near", "open"))
-    gone = written(matching(docs, hist, star.filter("near").select("lid", F.col("lead").alias("other")).distinct(), p, q))
-    # lines that their groups' earliest line doesn't explain are compared with all other earlier ones of the groups
-    rest = star.filter("open").select("code", "run", *LINE)
-    mine, other = rest.join(gone, "lid", "left_anti").select("code", "run", me.alias("me")), rest.select("code", "run", me.alias("o"))
-    more = mine.join(other, ["code", "run"]).filter((F.col("o") < F.col("me")) & may_match(F.col("o"), F.col("me"), p, q)).select(F.col("me.lid").alias("lid"), F.col("o.lid").alias("other")).distinct()
-    gone = written(gone.union(matching(docs, hist, more, p, q)).distinct())
+    # of two lines without a chance nothing is left to do
+    led = led.withColumn("near", may_match(F.col("lead"), me, p, q)).filter("near OR size > 2")
+    star = written(led.select("code", "run", *LINE, F.col("lead.lid").alias("lead"), "near", "size"))
+    # in small groups all pairs are compared at once, at most FEW / 2 a row
+    few = star.filter(F.col("size").between(3, FEW)).select("code", "run", me.alias("me"))
+    pairs = star.filter("near").select("lid", F.col("lead").alias("other")).union(alike(few, few, p, q))
+    gone = written(matching(docs, hist, pairs.distinct(), p, q))
+    # lines of larger groups that their earliest line doesn't explain are compared with all other earlier ones of the groups; those that no other one is like leave before
+    open_ = (F.col("n") > short(p, q)) | like_another()
+    rest = written(star.filter(F.col("size") > FEW).withColumn("open", open_).filter("open").select("code", "run", "lid", me.alias("me")))
     spent(star)
+    more = written(alike(rest.join(gone, "lid", "left_anti"), rest, p, q))
+    if not more.isEmpty():
+        gone = written(gone.union(matching(docs, hist, more, p, q)).distinct())
+    spent(rest)
     where = first.select("lid", F.struct("doc_id", "line_no", "rk").alias("at"))
     later = lines.select("rk", "line_no", "lid", F.struct("doc_id", "line_no", "rk").alias("here")).join(where, "lid").join(gone.withColumn("near", F.lit(True)), "lid", "left")
     return later.filter((F.col("here") > F.col("at")) | F.col("near")).select("rk", "line_no").distinct()
 
 
+def alike(mine: DataFrame, others: DataFrame, p: int, q: int) -> DataFrame:
+    """(lid, other): lines of ``mine`` and earlier ones of the same group in ``others`` that may match; both have code, run, me."""
+    x = mine.select("code", "run", "me").join(others.select("code", "run", F.col("me").alias("o")), ["code", "run"])
+    return x.filter((F.col("o") < F.col("me")) & may_match(F.col("o"), F.col("me"), p, q)).select(F.col("me.lid").alias("lid"), F.col("o.lid").alias("other")).distinct()
+
+
 def short(p: int, q: int) -> int:
     """The longest lines whose sketches differ in fewer than BLOCKS bits from those of all lines that they match."""
     return max((n for n in range(1 << 12) if (n + n * q // p) * (q - p) < BLOCKS * (p + q)), default=0)

@@ -107,6 +107,20 @@ def test_line_dedup_matches_brute_force(spark, docs):
     assert [r.text for r in out.filter(f"doc_id = {len(rows) - 6}").collect()] == [None]
 
 
+@pytest.mark.parametrize("few", [1, 64])
+def test_line_dedup_compares_groups_of_any_size(spark, monkeypatch, few):
+    monkeypatch.setattr(linededup, "FEW", few)
+    r = random.Random(8)
+    lines = [["rare"] + [f"t{r.randrange(10**6)}" for _ in range(49)] for _ in range(6)]
+    lines += [["rare", *w[1:-1], "x"] for w in lines[1:3]]  # later near copies, which the earliest line of their group doesn't explain
+    kept = []
+    alike = linededup.alike
+    monkeypatch.setattr(linededup, "alike", lambda mine, *rest: (kept.append(mine.count()), alike(mine, *rest))[1])
+    got = {x.doc_id: x.n_lines_removed for x in linededup.dedup_lines(spark.createDataFrame([doc(i, " ".join(w)) for i, w in enumerate(lines)], DOCS)).collect()}
+    assert got == {i: int(i > 5) for i in range(8)}
+    assert few == 1 or kept[1] == 0  # nothing is left to compare after small groups, even of long lines
+
+
 def test_stages_keep_columns_of_any_name(spark):
     rows = [(1, "a b c d", 5, "x", "y", 2, "z", 7), (2, "a b c d\nown line here", 5, "x", "y", 2, "z", 8)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, gone int, _key string, _rk string, n int, row string, key int")
