@@ -172,3 +172,14 @@ def test_stages_judge_rows_by_their_own_texts(spark, odd):
     none = spark.createDataFrame([], DOCS)
     for stage in (corpus_pipeline.line_dedup, corpus_pipeline.ngram_join):
         assert stage(spark, none, "").count() == 0 and stage(spark, none, "").columns == corpus_pipeline.COLUMNS
+
+
+def test_sums_of_exponentials_of_any_size(monkeypatch):
+    np = lmscore.np
+    z = np.random.default_rng(2).normal(0, 2, (50, 32)).astype(np.float32)
+    for far in (0, 500, -500):
+        x = (z + np.where(np.arange(50) % 2, far, 0)[:, None]).astype(np.float32)
+        want = np.exp(x.astype(np.float64) - x.max(-1, keepdims=True))
+        assert np.allclose(lmscore.log_sum(x.copy()), np.log(want.sum(-1)) + x.max(-1), atol=1e-4)
+        assert np.allclose(lmscore.shares_of(x.copy()), want / want.sum(-1, keepdims=True), atol=1e-5)
+    assert lmscore.within(lmscore.exp_sum(z.copy())[1])  # common sizes need no look at each row's largest number
