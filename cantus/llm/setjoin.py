@@ -16,7 +16,8 @@ difference to its segments follows their cost:
 
 Candidates are verified on the sets themselves. Before the search among the
 members of a signature, each is compared with a leader of them, in several rounds; those that
-link so form one component, and only pairs between components are left.
+link so form one component, and only pairs between components are left. Of these
+a join gives only the pairs whose sizes and sketches of fixed size allow a link.
 Sets that are equal are one class throughout.
 """
 
@@ -46,6 +47,9 @@ FREQUENT = 32
 ROUNDS, LEADERS = 3, 8
 #: Bits of the filter that lets only candidates' texts through; saturation costs time, not results.
 FILTER_BITS = 1 << 22
+#: Parities that the joins compare, 64 to a column.
+SKETCH_BITS = 512
+SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
 _K = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -234,8 +238,29 @@ def near(a: Column, b: Column, n: Column) -> Column:
     return check(a, b, n)
 
 
+def sketch(x: np.ndarray) -> np.ndarray:
+    """Parities of the set's elements by hash range, SKETCH_BITS of them as 64-bit numbers."""
+    at = (x >> np.uint64(64 - (SKETCH_BITS - 1).bit_length())).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=SKETCH_BITS).astype(np.uint8) & 1).view(np.int64)
+
+
+def may_link(a: str, b: str) -> Column:
+    """Whether sizes and sketches of two sets allow a link; a, b: structs of n and SKETCH. No link is dropped: the sets differ in as many elements as the sketches in bits, at least."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    differ = F.lit(0)
+    for k in SKETCH:
+        differ = differ + F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}")))
+    return (100 * F.least(na, nb) >= PER_CENT * F.greatest(na, nb)) & (7 * differ <= na + nb)
+
+
+def sketched(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """The members with ``set``, what may_link() looks at. Sets grow with the input: they are never broadcast."""
+    return members.join(reps.select("cls", F.struct("n", *SKETCH).alias("set")).hint("merge"), "cls")
+
+
 def verify(pairs: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that link, judged first by sizes and parities, then by the sets."""
+    reps = reps.select("cls", "n", "fold", "x")
     x = pairs.join(reps.toDF("a", "na", "fa", "xa"), "a").join(reps.toDF("b", "nb", "fb", "xb"), "b")
     x = x.filter((F.col("xa") + F.col("xb") <= 0) & (100 * F.least("na", "nb") >= PER_CENT * F.greatest("na", "nb")) & near(F.col("fa"), F.col("fb"), F.col("na") + F.col("nb"))).select("a", "b")
 
@@ -280,13 +305,14 @@ def deletions(sets: DataFrame, poor: DataFrame) -> DataFrame:
     return sets.join(poor.select("cls"), "cls", "left_semi").mapInArrow(work, "sig bigint, cls bigint, whole boolean, own bigint")
 
 
-def between(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a signature and can link by excess(); ``members`` has sig, cls, x."""
+def between(members: DataFrame, comp: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a signature and can link by excess() and may_link(); ``members`` has sig, cls, x."""
     m = members.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     w = Window.partitionBy("sig")
     m = m.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).withColumn("least", F.min("x").over(w)).filter("lo < hi AND x + least <= 0").select("sig", "cls", "comp", "x")
-    other = m.toDF("sig", "b", "bcomp", "bx")
-    return m.join(other, "sig").filter((F.col("cls") < F.col("b")) & (F.col("comp") != F.col("bcomp")) & (F.col("x") + F.col("bx") <= 0)).select(F.col("cls").alias("a"), "b").distinct()
+    m = sketched(m, reps).select("sig", "cls", "comp", "x", "set")
+    other = m.toDF("sig", "b", "bcomp", "bx", "bset")
+    return m.join(other, "sig").filter((F.col("cls") < F.col("b")) & (F.col("comp") != F.col("bcomp")) & (F.col("x") + F.col("bx") <= 0) & may_link("set", "bset")).select(F.col("cls").alias("a"), "b").distinct()
 
 
 def text_key() -> Column:
@@ -336,7 +362,7 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     edges, comp = spark.createDataFrame([], "a bigint, b bigint"), spark.createDataFrame([], "cls bigint, comp bigint")
     often = written(shared.filter(F.col("held") > FREQUENT).select("sig", "cls", "x"))
     # first each set with one leader, then all pairs of rare signatures, then more leaders of the frequent ones
-    for pairs in (lambda c: led(shared, c, 0, 1), lambda c: between(shared.filter(F.col("held") <= FREQUENT).select("sig", "cls", "x"), c), *(lambda c, turn=turn: led(often, c, turn, LEADERS) for turn in range(1, ROUNDS + 1))):
+    for pairs in (lambda c: led(shared, c, 0, 1), lambda c: between(shared.filter(F.col("held") <= FREQUENT).select("sig", "cls", "x"), c, reps), *(lambda c, turn=turn: led(often, c, turn, LEADERS) for turn in range(1, ROUNDS + 1))):
         more = written(verify(pairs(comp), reps, sets))
         if not more.isEmpty():
             edges, comp = edges.union(more), joined(comp, more)
@@ -345,17 +371,17 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     if poor.isEmpty():
         return edges
     ring = written(deletions(sets, poor).join(hot, "own", "left").select("sig", "cls", "whole", F.col("hot").isNull().alias("cold")))
-    more = written(verify(crossing(ring.join(reps.select("cls", "x"), "cls"), comp), reps, sets))
+    more = written(verify(crossing(ring.join(reps.select("cls", "x").hint("merge"), "cls"), comp, reps), reps, sets))
     edges = edges.union(more)
     last = written(short(ring, bands))
     if last.isEmpty():
         return edges
     comp = joined(comp, more)
-    return edges.union(written(verify(between(often.join(last, "cls", "left_semi").select("sig", "cls", "x"), comp), reps, sets)))
+    return edges.union(written(verify(between(often.join(last, "cls", "left_semi").select("sig", "cls", "x"), comp, reps), reps, sets)))
 
 
 def excess(sets: DataFrame) -> DataFrame:
-    """cls, x: seven times the elements that no other of these sets has, less the set's size.
+    """cls, x, SKETCH; x is seven times the elements that no other of these sets has, less the set's size.
 
     Such elements are differences from any partner, and of two sets that link differences are a seventh of both sizes at most: their x add up to 0 or less.
     """
@@ -366,15 +392,22 @@ def excess(sets: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.repeat(b.column("cls").to_numpy(), [len(e) for e in rows]))], names=["e", "cls"])
 
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [np.frombuffer(e, np.uint64) for e in b.column("elements").to_pylist()]
+            if rows:
+                bits = np.stack([sketch(x) for x in rows])
+                yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array([len(x) for x in rows], pa.int64()), *(pa.array(x) for x in bits.T)], names=["cls", "size", *SKETCH])
+
     held = sets.select("cls", "elements").mapInArrow(elements, "e bigint, cls bigint").groupBy("e").agg(F.min("cls").alias("cls"), F.count("*").alias("n"))
     own = held.filter("n = 1").groupBy("cls").agg(F.count("*").alias("own"))
-    size = (F.length("elements") / 8).cast("bigint")
-    return sets.select("cls", size.alias("size")).join(own, "cls", "left").select("cls", (7 * F.coalesce("own", F.lit(0)) - F.col("size")).alias("x"))
+    sized = sets.select("cls", "elements").mapInArrow(sketches, "cls bigint, size bigint, " + ", ".join(f"{k} bigint" for k in SKETCH))
+    return sized.join(own, "cls", "left").select("cls", (7 * F.coalesce("own", F.lit(0)) - F.col("size")).alias("x"), *SKETCH)
 
 
 def hopeful(members: DataFrame, reps: DataFrame) -> DataFrame:
     """The members (sig, cls, ...) with x, without those that no other set of their signature can link with by excess()."""
-    m = members.join(reps.select("cls", "x"), "cls")
+    m = members.join(reps.select("cls", "x").hint("merge"), "cls")
     least = F.min("x").over(Window.partitionBy("sig"))
     return met(m.withColumn("least", least).filter("x + least <= 0").drop("least"))
 
@@ -426,7 +459,7 @@ def met(sigs: DataFrame) -> DataFrame:
     return x.filter("low < high").drop("low", "high")
 
 
-def crossing(ring: DataFrame, comp: DataFrame) -> DataFrame:
+def crossing(ring: DataFrame, comp: DataFrame, reps: DataFrame) -> DataFrame:
     """(a, b): classes of different components of which one has a signature with an element left out and the other one has it whole; one of the two is rare.
 
     Signatures whose classes are all of one component drop out first, and classes that can link with no other one there.
@@ -434,9 +467,9 @@ def crossing(ring: DataFrame, comp: DataFrame) -> DataFrame:
     w = Window.partitionBy("sig")
     x = ring.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     x = x.withColumn("low", F.min("comp").over(w)).withColumn("high", F.max("comp").over(w)).withColumn("least", F.min("x").over(w)).filter("low < high AND x + least <= 0")
-    x = written(x.select("sig", "cls", "comp", "x", "whole", "cold"))
-    whole, cut = x.filter("whole").select("sig", F.col("cls").alias("p"), F.col("comp").alias("pc"), F.col("x").alias("px"), F.col("cold").alias("rare")), x.filter("not whole").select("sig", F.col("cls").alias("q"), F.col("comp").alias("qc"), F.col("x").alias("qx"), "cold")
-    pairs = whole.join(cut, "sig").filter((F.col("pc") != F.col("qc")) & (F.col("px") + F.col("qx") <= 0) & (F.col("rare") | F.col("cold")))
+    x = written(sketched(x, reps).select("sig", "cls", "comp", "x", "whole", "cold", "set"))
+    whole, cut = x.filter("whole").select("sig", F.col("cls").alias("p"), F.col("comp").alias("pc"), F.col("x").alias("px"), F.col("cold").alias("rare"), F.col("set").alias("pset")), x.filter("not whole").select("sig", F.col("cls").alias("q"), F.col("comp").alias("qc"), F.col("x").alias("qx"), "cold", F.col("set").alias("qset"))
+    pairs = whole.join(cut, "sig").filter((F.col("pc") != F.col("qc")) & (F.col("px") + F.col("qx") <= 0) & (F.col("rare") | F.col("cold")) & may_link("pset", "qset"))
     return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 

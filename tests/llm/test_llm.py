@@ -184,6 +184,26 @@ def test_language_and_toxicity_on_held_out_rows(spark):
     assert toxicity.train_model(df, labels.filter("toxic = 1"), F.lit(True)) is None
 
 
+def test_joins_keep_every_pair_that_links():
+    r = lmscore.np.random.default_rng(6)
+    for n in (1, 4, 40, 400):
+        for _ in range(50):
+            x = lmscore.np.unique(r.integers(0, 1 << 63, n, dtype=lmscore.np.uint64) * lmscore.np.uint64(2))
+            y = lmscore.np.unique(lmscore.np.concatenate([x[: n - n // 8], r.integers(0, 1 << 63, n // 8, dtype=lmscore.np.uint64)]))
+            differ = sum(int(v).bit_count() for v in (setjoin.sketch(x) ^ setjoin.sketch(y)).view("uint64"))
+            assert differ <= len(lmscore.np.setxor1d(x, y))
+            assert 7 * differ <= len(x) + len(y) or not setjoin.linked(len(lmscore.np.intersect1d(x, y)), len(x), len(y))
+
+
+def test_joins_give_no_pair_that_sketches_tell_apart(spark):
+    # sets of a signature that have nothing else in common
+    sets = {i: lmscore.np.unique(setjoin.mix(lmscore.np.arange(100, dtype="uint64") + lmscore.np.uint64(1000 * (i // 2)))) for i in range(20)}
+    reps = spark.createDataFrame([(i, len(x), *map(int, setjoin.sketch(x))) for i, x in sets.items()], "cls bigint, n bigint, " + ", ".join(f"{k} bigint" for k in setjoin.SKETCH))
+    members = spark.createDataFrame([(7, i, -100) for i in sets], "sig bigint, cls bigint, x bigint")
+    comp = spark.createDataFrame([], "cls bigint, comp bigint")
+    assert {(p.a, p.b) for p in setjoin.between(members, comp, reps).collect()} == {(i, i + 1) for i in range(0, 20, 2)}
+
+
 def test_decontamination_finds_copies_and_paraphrases(spark):
     r = random.Random(3)
     items = [(i, " ".join(r.choices(WORDS, k=24)) + ".") for i in range(5)] + [(8, None), (9, "short")]
