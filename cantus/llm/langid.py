@@ -2,9 +2,10 @@
 
 A text is the mean of the embeddings of its byte n-grams, hashed into a fixed
 table, and a linear softmax on that mean. Both are trained together by
-stochastic gradient descent in numpy on a bounded sample of labelled rows. As
-mean and softmax layer are linear, embedding times weights is one table of
-bucket scores, and scoring is a sum of its rows.
+stochastic gradient descent in numpy on a bounded sample of labelled rows, in
+tasks; only the result comes to the driver. As mean and softmax layer are
+linear, embedding times weights is one table of bucket scores, scoring is a sum
+of its rows, and models of several shares of the sample are one by their mean.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ DIM = 16
 SAMPLE_PER_LANG = 600
 #: Rows for training in all; and counts of so many languages at most are broadcast.
 SAMPLE_ROWS, BROADCAST_LANGS = 300_000, 100_000
+#: A task learns from about so many rows at most; larger samples are dealt to shares, each with rows of all languages.
+SHARE_ROWS = 10_000
 
 
 def gram_runs(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -124,20 +127,50 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, rate: f
     return model
 
 
-def sample(docs: DataFrame, train: Column, per_lang: int) -> DataFrame:
-    """About ``per_lang`` training rows of each language, chosen by a hash of id and text; fewer if there are so many languages that SAMPLE_ROWS would be exceeded."""
+def sample(docs: DataFrame, train: Column, per_lang: int) -> tuple[DataFrame, int]:
+    """About ``per_lang`` training rows of each language, chosen by a hash of id and text; fewer if there are so many languages that SAMPLE_ROWS would be exceeded. And about how many there are at most."""
     rows = docs.filter(train & F.col("lang").isNotNull() & (F.coalesce(F.char_length("text"), F.lit(0)) > 0)).select("lang", "text", F.pmod(F.xxhash64(F.lit(11), F.col("doc_id"), "text"), F.lit(1_000_000)).alias("at"))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     langs = counts.count()
     most = min(per_lang, max(1, SAMPLE_ROWS // max(1, langs)))
     counts = F.broadcast(counts) if langs <= BROADCAST_LANGS else counts
-    return rows.join(counts, "lang").filter(F.col("at") < F.floor(1_000_000 * F.least(F.lit(1.0), most / F.col("n"))) + 1).drop("n")
+    return rows.join(counts, "lang").filter(F.col("at") < F.floor(1_000_000 * F.least(F.lit(1.0), most / F.col("n"))) + 1).drop("n"), langs * most
+
+
+MODEL = "lang string, scores binary, bias float, heat double, floor double"
+
+
+def share_model(rows: pa.Table) -> pa.Table:
+    """lang, ids, counts, at of a share to the model that it gives, a row for each language."""
+    rows = rows.sort_by([("lang", "ascending"), ("at", "ascending")])
+    m = fit([(x, np.frombuffer(i, np.int32), np.frombuffer(c, np.int32)) for x, i, c in zip(*(rows[k].to_pylist() for k in ("lang", "ids", "counts")), strict=True)])
+    n = len(m.langs)
+    return pa.table([pa.array(m.langs, pa.string()), pa.array([x.tobytes() for x in m.table.T], pa.binary()), pa.array(m.bias, pa.float32()), pa.array([m.heat] * n), pa.array([m.floor] * n)], names=["lang", "scores", "bias", "heat", "floor"])
+
+
+def mean_model(models: pa.Table) -> pa.Table:
+    """The models of all shares for one language to their mean."""
+    scores = np.mean([np.frombuffer(x, np.float32) for x in models["scores"].to_pylist()], axis=0, dtype=np.float64).astype(np.float32)
+    bias, heat, floor = (np.mean(models[k].to_numpy(), dtype=np.float64) for k in ("bias", "heat", "floor"))
+    return pa.table([models["lang"].slice(0, 1), pa.array([scores.tobytes()], pa.binary()), pa.array([bias], pa.float32()), pa.array([heat]), pa.array([floor])], names=models.column_names)
 
 
 def train_model(docs: DataFrame, train: Column, per_lang: int = SAMPLE_PER_LANG) -> Model | None:
-    """Fit on a bounded sample of the labelled rows that ``train`` marks; None without any."""
-    got = sample(docs, train, per_lang).mapInArrow(bucket_counts, "lang string, ids binary, counts binary").orderBy("lang", F.xxhash64("ids")).collect()
-    return fit([(r["lang"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in got]) if got else None
+    """Fit on a bounded sample of the labelled rows that ``train`` marks; None without any.
+
+    Learning is done in tasks, in one for each SHARE_ROWS rows. A table of scores of each language comes to the driver.
+    """
+    rows, most = sample(docs, train, per_lang)
+    rows = rows.mapInArrow(bucket_counts, "lang string, ids binary, counts binary").withColumn("at", F.xxhash64("ids"))
+    share = F.pmod(F.xxhash64("at"), F.lit(max(1, -(-most // SHARE_ROWS))))
+    models = rows.groupBy(share.alias("share")).applyInArrow(share_model, MODEL)
+    if most > SHARE_ROWS:
+        models = models.groupBy("lang").applyInArrow(mean_model, MODEL)
+    got = models.orderBy("lang").toArrow()
+    if not len(got):
+        return None
+    table = np.stack([np.frombuffer(x.as_buffer(), np.float32) for x in got["scores"]], axis=1)
+    return Model(got["lang"].to_pylist(), table, got["bias"].to_numpy(), float(np.median(got["heat"].to_numpy())), float(np.median(got["floor"].to_numpy())))
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:

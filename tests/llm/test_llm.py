@@ -184,6 +184,24 @@ def test_language_and_toxicity_on_held_out_rows(spark):
     assert toxicity.train_model(df, labels.filter("toxic = 1"), F.lit(True)) is None
 
 
+def test_language_model_is_fitted_in_tasks(spark, monkeypatch):
+    r = random.Random(8)
+    langs = {"aa": "ka lo mi ru".split(), "bb": "szt prk vlm dzw".split()}
+    rows = [doc(i, " ".join("".join(r.choices(langs["aa" if i % 2 else "bb"], k=2)) for _ in range(30)), "aa" if i % 2 else "bb") for i in range(240)]
+    df = spark.createDataFrame(rows, DOCS)
+    # one share gives what the rows together give
+    counts = df.select("lang", "text").mapInArrow(langid.bucket_counts, "lang string, ids binary, counts binary").orderBy("lang", F.xxhash64("ids")).collect()
+    whole = langid.fit([(x.lang, lmscore.np.frombuffer(x.ids, "int32"), lmscore.np.frombuffer(x.counts, "int32")) for x in counts])
+    monkeypatch.setattr(langid, "fit", None)  # the driver has no part in it; tasks have the module as it is
+    got = langid.train_model(df, F.lit(True))
+    assert got.langs == whole.langs and (got.table == whole.table).all() and (got.bias == whole.bias).all() and (got.heat, got.floor) == (whole.heat, whole.floor)
+    # of several shares, the mean
+    monkeypatch.setattr(langid, "SHARE_ROWS", 300)
+    got = langid.train_model(df, F.lit(True))
+    found = {x.doc_id: x.lang_pred for x in langid.predict(df, got).collect()}
+    assert (got.table != whole.table).any() and all(found[i] == ("aa" if i % 2 else "bb") for i in range(240))
+
+
 def test_joins_keep_every_pair_that_links():
     r = lmscore.np.random.default_rng(6)
     for n in (1, 4, 40, 400):
