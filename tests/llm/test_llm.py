@@ -335,6 +335,15 @@ def test_language_model_learns_from_every_document(spark):
         assert (lmscore.train_network(df, v).flat() != lmscore.Network.new(v.counts).flat()).any()
 
 
+def test_language_model_stays_finite_on_words_over_and_over():
+    net, n = lmscore.Network.new(lmscore.np.full(1024, 1000)), 1024
+    lo, hi = lmscore.np.zeros(n, int), lmscore.np.full(n, n)
+    for k in range(120):
+        ids = lmscore.np.resize(lmscore.np.array([0, 33, 66]) + k % 2, n)
+        net.learn(ids, lo, hi, 0.5)
+    assert lmscore.np.isfinite(net.flat()).all() and lmscore.np.isfinite(net.score(ids, lo, hi)).all()
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], DOCS)
     items = spark.createDataFrame([], "item_id bigint, text string")
