@@ -27,6 +27,8 @@ DIM = 16
 SAMPLE_PER_LANG = 600
 #: Rows for training in all; and counts of so many languages at most are broadcast.
 SAMPLE_ROWS, BROADCAST_LANGS = 300_000, 100_000
+#: Bytes of text that a task looks at at once; what it holds of them beside the texts is a multiple of that.
+SLICE = 1 << 17
 #: A task learns from about so many rows at most; larger samples are dealt to shares, each with rows of all languages.
 SHARE_ROWS = 10_000
 
@@ -54,15 +56,15 @@ def gram_runs(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np
 def bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, text to lang, ids, counts: the distinct buckets of each text, as bytes of 32-bit numbers."""
     for b in batches:
-        langs, ids, counts = b.column("lang").to_pylist(), [], []
-        for s in slices(b.column("text")):
-            runs = list(gram_runs(s.data, s.at))
+        for s in slices(b.column("text"), size=SLICE):
+            runs, ids, counts = list(gram_runs(s.data, s.at)), [], []
             for i in range(s.hi - s.lo):
                 own = [h[at[i] : at[i + 1]] for h, at in runs]
                 u, c = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint32), return_counts=True)
                 ids.append(u.astype(np.int32).tobytes())
                 counts.append(c.astype(np.int32).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["lang", "ids", "counts"])
+            langs = b.column("lang").slice(s.lo, s.hi - s.lo).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([langs, pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["lang", "ids", "counts"])
 
 
 @dataclass
@@ -143,7 +145,8 @@ MODEL = "lang string, scores binary, bias float, heat double, floor double"
 def share_model(rows: pa.Table) -> pa.Table:
     """lang, ids, counts, at of a share to the model that it gives, a row for each language."""
     rows = rows.sort_by([("lang", "ascending"), ("at", "ascending")])
-    m = fit([(x, np.frombuffer(i, np.int32), np.frombuffer(c, np.int32)) for x, i, c in zip(*(rows[k].to_pylist() for k in ("lang", "ids", "counts")), strict=True)])
+    ids, counts = ([np.frombuffer(x.as_buffer(), np.int32) for x in rows[k]] for k in ("ids", "counts"))  # not copied
+    m = fit(list(zip(rows["lang"].to_pylist(), ids, counts, strict=True)))
     n = len(m.langs)
     return pa.table([pa.array(m.langs, pa.string()), pa.array([x.tobytes() for x in m.table.T], pa.binary()), pa.array(m.bias, pa.float32()), pa.array([m.heat] * n), pa.array([m.floor] * n)], names=["lang", "scores", "bias", "heat", "floor"])
 
@@ -173,6 +176,23 @@ def train_model(docs: DataFrame, train: Column, per_lang: int = SAMPLE_PER_LANG)
     return Model(got["lang"].to_pylist(), table, got["bias"].to_numpy(), float(np.median(got["heat"].to_numpy())), float(np.median(got["floor"].to_numpy())))
 
 
+def judged(m: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the likeliest language's number and its probability."""
+    best, prob = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+    for s in slices(texts, size=SLICE):
+        z = np.zeros((s.hi - s.lo, len(m.langs)), np.float64)
+        seen = np.zeros(s.hi - s.lo)
+        for h, at in gram_runs(s.data, s.at):
+            full = np.flatnonzero(np.diff(at) > 0)
+            if len(full):
+                rows = m.table[h]
+                z[full] += np.add.reduceat(rows, at[full], axis=0)
+                seen[full] += np.diff(at)[full]
+        p = m.probabilities(z / np.maximum(seen, 1)[:, None] + m.bias)
+        best[s.lo : s.hi], prob[s.lo : s.hi] = p.argmax(1), p.max(1)
+    return best, prob
+
+
 def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (doc_id by default), lang_pred, score (calibrated probability), rejected for every row.
 
@@ -193,18 +213,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
         m = shared.value
         names = np.array([*m.langs, "und"], object)
         for b in batches:
-            best, prob = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
-            for s in slices(b.column("text")):
-                z = np.zeros((s.hi - s.lo, len(m.langs)), np.float64)
-                seen = np.zeros(s.hi - s.lo)
-                for h, at in gram_runs(s.data, s.at):
-                    full = np.flatnonzero(np.diff(at) > 0)
-                    if len(full):
-                        rows = m.table[h]
-                        z[full] += np.add.reduceat(rows, at[full], axis=0)
-                        seen[full] += np.diff(at)[full]
-                p = m.probabilities(z / np.maximum(seen, 1)[:, None] + m.bias)
-                best[s.lo : s.hi], prob[s.lo : s.hi] = p.argmax(1), p.max(1)
+            best, prob = judged(m, b.column("text"))
             letters = b.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
             best[~letters], prob[~letters] = len(m.langs), 0.0
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(names[best], pa.string()), pa.array(prob), pa.array(~letters | (prob < m.floor))], names=[*keep, "lang_pred", "score", "rejected"])

@@ -35,6 +35,8 @@ from cantus.llm.components import connected
 from cantus.llm.store import spent, written
 
 NGRAM = 5
+#: Bytes of text that a task looks at at once.
+SLICE = 1 << 19
 #: Similarity of a link, in hundredths.
 PER_CENT = 75
 #: Sizes grow by this factor from band to band; a set takes part in its own band and in those that a smaller partner may have.
@@ -152,7 +154,7 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, row, text to FEATURES; bands: for each band of the set its number and budget()."""
     for b in batches:
         n, cls, fold, bands = [], [], [], []
-        for s in slices(b.column("text")):
+        for s in slices(b.column("text"), size=SLICE):
             for x in sets_of(s):
                 n.append(len(x))
                 cls.append(class_of(x) if len(x) else None)
@@ -173,7 +175,7 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """text to sig, cls: each signature of each class, once in a task."""
     seen: set[int] = set()
     for b in batches:
-        for s in slices(b.column("text")):
+        for s in slices(b.column("text"), size=SLICE):
             sig, cls = [], []
             for x in sets_of(s):
                 if not len(x) or (c := class_of(x)) in seen:
@@ -205,7 +207,7 @@ def sets_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         for b in batches:
-            for s in slices(b.column("text")):
+            for s in slices(b.column("text"), size=SLICE):
                 cls, rows, seen = [], [], set()
                 for x in sets_of(s):
                     if len(x) and (c := class_of(x)) not in seen:

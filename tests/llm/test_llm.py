@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -202,6 +203,28 @@ def test_language_model_is_fitted_in_tasks(spark, monkeypatch):
     assert (got.table != whole.table).any() and all(found[i] == ("aa" if i % 2 else "bb") for i in range(240))
 
 
+def test_language_id_holds_little_beside_the_texts():
+    np, pa, r = lmscore.np, decontam.pa, random.Random(3)
+    texts = pa.array([" ".join(r.choices(WORDS, k=400)) for _ in range(2000)])  # 3 MB
+    m = langid.Model(["aa", "bb", "cc", "dd"], np.random.default_rng(1).normal(size=(langid.BUCKETS, 4)).astype(np.float32), np.zeros(4, np.float32), 1.0, 0.0)
+    batch = pa.RecordBatch.from_arrays([pa.array(["aa"] * len(texts)), texts], names=["lang", "text"])
+
+    def most(work):
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return peak / texts.nbytes
+
+    # numpy's memory is traced
+    assert most(lambda: langid.judged(m, texts)) < 5
+    assert most(lambda: [x.num_rows for x in langid.bucket_counts(iter([batch]))]) < 5
+    # and slices change nothing
+    parts = [langid.judged(m, texts.slice(k, 7)) for k in range(0, 70, 7)]
+    for whole, part in zip(langid.judged(m, texts), zip(*parts, strict=True), strict=True):
+        assert (whole[:70] == np.concatenate(part)).all()
+
+
 def test_joins_keep_every_pair_that_links():
     r = lmscore.np.random.default_rng(6)
     for n in (1, 4, 40, 400):
