@@ -10,8 +10,9 @@ difference to its segments follows their cost:
 * rare signatures get 1: equal segments meet there;
 * signatures that many sets hold get 0: they are not searched, which a set can
   afford while its rare ones outnumber the differences it may have;
-* a set that can't afford it gives 2 to its rare segments: they also meet with
-  one element left out (the one-deletion neighbourhood);
+* a set that can't afford it gives 2 to as many of its rare segments as it needs,
+  those that meet the fewest others first: they also meet with one element left
+  out (the one-deletion neighbourhood);
 * sets that even so lack the budget meet through all of their signatures.
 
 Candidates are verified on the sets themselves. Before the search among the
@@ -122,8 +123,8 @@ def signature(band: int, seg: np.ndarray, total: np.ndarray) -> np.ndarray:
     return ((x & ~np.uint64(63)) | np.uint64(band)).view(np.int64)
 
 
-def band_of() -> Column:
-    return F.col("sig").bitwiseAND(F.lit(63)).cast("int")
+def band_of(sig: str = "sig") -> Column:
+    return F.col(sig).bitwiseAND(F.lit(63)).cast("int")
 
 
 def folded(x: np.ndarray) -> bytes:
@@ -372,10 +373,11 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     poor = written(often.select("cls").distinct())
     if poor.isEmpty():
         return edges
-    ring = written(deletions(sets, poor).join(hot, "own", "left").select("sig", "cls", "whole", F.col("hot").isNull().alias("cold")))
-    more = written(verify(crossing(ring.join(reps.select("cls", "x").hint("merge"), "cls"), comp, reps), reps, sets))
-    edges = edges.union(more)
+    ring = written(deletions(sets, poor).join(hot, "own", "left").select("sig", "cls", "own", "whole", F.col("hot").isNull().alias("cold")))
+    bands = bands.join(poor, "cls", "left_semi")
     last = written(short(ring, bands))
+    more = written(verify(crossing(ring.join(reps.select("cls", "x").hint("merge"), "cls"), comp, reps, bands, last), reps, sets))
+    edges = edges.union(more)
     if last.isEmpty():
         return edges
     comp = joined(comp, more)
@@ -461,22 +463,41 @@ def met(sigs: DataFrame) -> DataFrame:
     return x.filter("low < high").drop("low", "high")
 
 
-def crossing(ring: DataFrame, comp: DataFrame, reps: DataFrame) -> DataFrame:
-    """(a, b): classes of different components of which one has a signature with an element left out and the other one has it whole; one of the two is rare.
+def crossing(ring: DataFrame, comp: DataFrame, reps: DataFrame, bands: DataFrame, last: DataFrame) -> DataFrame:
+    """(a, b): classes of different components of which one has a signature with an element left out and the other one has it whole; one of the two searches there.
 
-    Signatures whose classes are all of one component drop out first, and classes that can link with no other one there.
+    Of two classes the first one searches, or the one that is not of ``last``; those of ``last`` meet one another elsewhere. Signatures whose classes are all of one component drop out first, and classes that can link with no other one there.
     """
     w = Window.partitionBy("sig")
     x = ring.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    x = x.withColumn("low", F.min("comp").over(w)).withColumn("high", F.max("comp").over(w)).withColumn("least", F.min("x").over(w)).filter("low < high AND x + least <= 0")
-    x = written(sketched(x, reps).select("sig", "cls", "comp", "x", "whole", "cold", "set"))
-    whole, cut = x.filter("whole").select("sig", F.col("cls").alias("p"), F.col("comp").alias("pc"), F.col("x").alias("px"), F.col("cold").alias("rare"), F.col("set").alias("pset")), x.filter("not whole").select("sig", F.col("cls").alias("q"), F.col("comp").alias("qc"), F.col("x").alias("qx"), "cold", F.col("set").alias("qset"))
-    pairs = whole.join(cut, "sig").filter((F.col("pc") != F.col("qc")) & (F.col("px") + F.col("qx") <= 0) & (F.col("rare") | F.col("cold")) & may_link("pset", "qset"))
-    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    x = x.withColumn("low", F.min("comp").over(w)).withColumn("high", F.max("comp").over(w)).withColumn("least", F.min("x").over(w))
+    x = x.withColumn("wholes", F.count(F.when(F.col("whole"), 1)).over(w)).withColumn("cuts", F.count(F.when(~F.col("whole"), 1)).over(w))
+    meets = F.when(F.expr("low < high AND x + least <= 0"), F.when(F.col("whole"), F.col("cuts")).otherwise(F.col("wholes"))).otherwise(0)
+    x = written(x.select("sig", "cls", "own", "comp", "x", "whole", "cold", meets.alias("meets")))
+    search = searched(x, bands).join(last, "cls", "left_anti").withColumn("search", F.lit(True))
+    found = x.filter("meets > 0").join(search, ["cls", "own"], "left").join(last.withColumn("late", F.lit(True)), "cls", "left").na.fill(False, ["search", "late"])
+    found = written(sketched(found, reps).select("sig", "cls", "comp", "x", "whole", "search", "late", "set"))
+    spent(x)
+    one, two = (found.filter(which).select("sig", *(F.col(c).alias(k + c) for c in found.columns if c not in ("sig", "whole"))) for k, which in (("p", "whole"), ("q", "not whole")))
+    asked = F.expr("psearch AND (qlate OR pcls < qcls) OR qsearch AND (plate OR qcls < pcls)")
+    pairs = one.join(two, "sig").filter(asked & F.expr("pcomp != qcomp AND px + qx <= 0") & may_link("pset", "qset"))
+    return pairs.select(F.least("pcls", "qcls").alias("a"), F.greatest("pcls", "qcls").alias("b")).distinct()
+
+
+def searched(ring: DataFrame, bands: DataFrame) -> DataFrame:
+    """cls, own: the rare segments that a class searches with an element left out.
+
+    Each rare one is worth 1 as it is, as equal ones have met, and another 1 with an element left out. A set needs a worth of more than the
+    differences it may have in the band; so many are searched, those that meet the fewest others first. Sets that can't reach it are short().
+    """
+    seg = ring.filter("cold").groupBy("cls", "own").agg(F.count(F.when(~F.col("whole"), 1)).alias("cuts"), F.sum("meets").alias("cost"))
+    w = Window.partitionBy("cls", "band")
+    seg = seg.withColumn("band", band_of("own")).withColumn("worth", F.count("*").over(w)).filter("cuts > 0").withColumn("place", F.row_number().over(w.orderBy("cost", "own")))
+    return seg.join(bands, ["cls", "band"]).filter("worth + place <= most + 1").select("cls", "own")
 
 
 def short(ring: DataFrame, bands: DataFrame) -> DataFrame:
     """cls: classes whose rare segments don't outnumber the differences they may have in some band, not even when those of two elements or more count twice."""
     frequent = ring.filter("whole AND NOT cold").groupBy("cls", band_of().alias("band")).agg(F.count("*").alias("frequent"))
-    x = frequent.join(bands, ["cls", "band"])
+    x = bands.join(frequent, ["cls", "band"], "left").withColumn("frequent", F.coalesce("frequent", F.lit(0)))
     return x.filter(F.col("full") - F.col("frequent") + F.greatest(F.lit(0), F.col("many") - F.col("frequent")) <= F.col("most")).select("cls").distinct()

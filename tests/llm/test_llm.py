@@ -245,6 +245,28 @@ def test_joins_give_no_pair_that_sketches_tell_apart(spark):
     assert {(p.a, p.b) for p in setjoin.between(members, comp, reps).collect()} == {(i, i + 1) for i in range(0, 20, 2)}
 
 
+def test_sets_search_only_the_segments_that_they_need(spark):
+    # two classes of five segments of two elements, in band 3; eight others have the fifth segment with an element left out
+    part, none = "sig bigint, cls bigint, own bigint, whole boolean, cold boolean", [-100]
+    names = [64 * k + 3 for k in range(1, 16)]
+    ring = [(names[k], c, names[k], True, True) for c in (1, 2) for k in range(5)] + [(names[5 + 2 * k + c - 1], c, names[k], False, True) for c in (1, 2) for k in range(5)]
+    ring += [(names[13], c, names[13], True, True) for c in range(3, 11)] + [(names[4], c, names[13], False, True) for c in range(3, 11)]
+    ring = spark.createDataFrame([(*x, *none) for x in ring], part + ", x bigint")
+    reps = spark.createDataFrame([(c, 10, *[0] * len(setjoin.SKETCH)) for c in range(1, 11)], "cls bigint, n bigint, " + ", ".join(f"{k} bigint" for k in setjoin.SKETCH))
+    comp, last = spark.createDataFrame([], "cls bigint, comp bigint"), spark.createDataFrame([], "cls bigint")
+
+    def pairs(most):
+        bands = spark.createDataFrame([(c, 3, 5, 5, most if c < 3 else 0) for c in range(1, 11)], "cls bigint, band int, full int, many int, most int")
+        return {(p.a, p.b) for p in setjoin.crossing(ring, comp, reps, bands, last).collect()}
+
+    # whole segments suffice, or those do that meet nothing; only the last one meets others
+    assert pairs(4) == pairs(8) == set()
+    assert pairs(9) == {(a, b) for a in (1, 2) for b in range(3, 11)}
+    # sets without frequent segments can be short too
+    bands = spark.createDataFrame([(1, 3, 5, 5, 10), (2, 3, 5, 5, 9)], "cls bigint, band int, full int, many int, most int")
+    assert [x.cls for x in setjoin.short(ring, bands).collect()] == [1]
+
+
 def test_decontamination_finds_copies_and_paraphrases(spark):
     r = random.Random(3)
     items = [(i, " ".join(r.choices(WORDS, k=24)) + ".") for i in range(5)] + [(8, None), (9, "short")]
