@@ -90,10 +90,22 @@ def from_json(texts: DataFrame, key: str = KEY) -> tuple[DataFrame, DataFrame]:
     return x.filter("error is null").select(key, F.col("e.document").alias("document")), x.filter("error is not null").select(key, "error")
 
 
+def hundredths(seconds: Column) -> Column:
+    """Hundredths of a number from 0 on, rounded as C's printf does: by the number's exact binary value, ties to the even one.
+
+    The fraction is split into halves whose products by 100 are exact, so that the sign of what is above a half hundredth is right.
+    """
+    whole = F.floor(seconds)
+    high = F.floor((seconds - whole) * (1 << 26)) / (1 << 26)
+    down = F.floor(high * 100)
+    above = (high * 100 - down - 0.5) + (seconds - whole - high) * 100
+    return whole * 100 + down + F.when((above > 0) | ((above == 0) & (down % 2 == 1)), 1).otherwise(0)
+
+
 def clock(seconds: Column) -> Column:
     """MM:SS.ss, empty for null."""
-    rest = seconds - F.floor(seconds / 60) * 60
-    return F.when(seconds.isNull(), "").otherwise(F.format_string("%02d:%05.2f", F.floor(seconds / 60), rest))
+    n = hundredths(seconds - F.floor(seconds / 60) * 60)
+    return F.when(seconds.isNull(), "").otherwise(F.format_string("%02d:%02d.%02d", F.floor(seconds / 60), F.floor(n / 100), n % 100))
 
 
 def markdown(documents: DataFrame, key: str = KEY) -> DataFrame:

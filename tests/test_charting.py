@@ -135,6 +135,14 @@ def test_documents(spark):
     assert [x.text for x in new.lyrics] == ["new"] and new.raw == {"e": "t", "lyrics_override": "file.lrc"} and len(new.chords) == 2
 
 
+def test_clock_rounds_as_printf(spark):
+    r = random.Random(4)
+    values = [k / 8 for k in range(500)] + [k / 200 for k in range(3000)] + [r.randrange(518_400_000) * 5000 * 1e-6 for _ in range(3000)] + [r.uniform(0, 1e6) for _ in range(1000)] + [59.995, 1e-12]
+    df = spark.createDataFrame([(x,) for x in [*values, None]], "x double")
+    want = ["%02d:%05.2f" % (x // 60, x - x // 60 * 60) for x in values]
+    assert [x.t for x in df.select(DO.clock(df["x"]).alias("t")).collect()] == [*want, ""]
+
+
 @pytest.mark.parametrize(("layer", "row", "error"), [("beats", (1.0, 0), "position"), ("beats", (-1.0, 1), "negative time"), ("beats", (1.0, 1), None)])
 def test_validity(spark, layer, row, error):
     df = spark.createDataFrame([row], "time double, position_in_bar int")
