@@ -27,7 +27,7 @@ NUMBERS = [
     "key.weighted_score", "key.exact", "key.relative", "tempo.absolute_bpm_error", "tempo.half_tempo_error", "tempo.double_tempo_error", "performance.real_time_factor",
 ]
 TEXTS = ["key.relation", "tempo.interpretation"]
-#: Distance at which a change of chord counts as found, and the time buckets of overlap joins.
+#: Distance at which a change of chord counts as found, and the least width of the time buckets of overlap joins.
 WINDOW, WIDTH = 0.5, 60.0
 
 
@@ -56,11 +56,14 @@ def timing_scores(cases: DataFrame) -> DataFrame:
 
 
 def chord_scores(cases: DataFrame) -> DataFrame:
-    """Overlap, found changes and timing of chord timelines."""
+    """Overlap, found changes and timing of chord timelines. A case's time buckets are as wide as its chords are long on average, so that it has no more of them than chords."""
     x = declared(cases, "chords", F.size("ref") == 0)
-    side = lambda c: x.select(KEY, F.posexplode(c).alias("seq", "e")).select(KEY, "seq", "e.*")
+    times = F.flatten(F.array("ref.start", "ref.end", "hyp.start", "hyp.end"))
+    mean = (F.array_max(times) - F.array_min(times)) / (F.size("ref") + F.size("hyp"))
+    x = x.withColumn("width", F.greatest(F.lit(WIDTH), mean))
+    side = lambda c: x.select(KEY, "width", F.posexplode(c).alias("seq", "e")).select(KEY, "width", "seq", "e.*")
     ref, hyp = side("ref"), side("hyp")
-    overlap = SC.segment_overlap(ref, hyp, WIDTH, KEY).withColumnRenamed("overlap", "chords_segment_overlap")
+    overlap = SC.segment_overlap(ref, hyp, "width", KEY).withColumnRenamed("overlap", "chords_segment_overlap")
     found = PL.change_points(ref, hyp, WINDOW, key=KEY).toDF(KEY, *(f"chords_change_detection_{m}" for m in ("precision", "recall", "f1")))
     apart = SC.boundary_distances(ref, hyp, key=KEY).select(KEY, F.col("ref_to_hyp").alias("chords_timing_error_median_seconds"))
     out = x.select(KEY).join(overlap, KEY, "left").join(found, KEY, "left").join(apart, KEY, "left")

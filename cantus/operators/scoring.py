@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from cantus.functions.labels import with_equality, with_parsed
 from cantus.functions.scalars import BANDS, TOP_BAND, confidence_band
 from cantus.operators import aligning as A
-from cantus.operators.timeline import KEY, boundaries, nearest_distance, overlap_join
+from cantus.operators.timeline import KEY, boundaries, buckets, nearest_distance, overlap_join
 
 
 def sides(ref: DataFrame, hyp: DataFrame, *on: str, view: str | None = None) -> DataFrame:
@@ -67,11 +67,15 @@ def boundary_distances(ref: DataFrame, hyp: DataFrame, digits: int | None = 5, k
 
 
 def directional_hamming(src: DataFrame, cuts: DataFrame, width, key: str = KEY) -> DataFrame:
-    """key, distance: share of the source's time outside of the longest piece into which the other side's starts cut each interval."""
+    """key, distance: share of the source's time outside of the longest piece into which the other side's starts cut each interval.
+
+    ``width`` of the time buckets is a number, or the name of a column that both sides have: an interval is a row a bucket, so long ones want wide buckets.
+    """
     w = Window.partitionBy(key, "seq").orderBy("t")
-    points = cuts.select(key, F.col("start").alias("t"))
-    s = src.select(key, "seq", "start", "end").withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / width), F.greatest(F.floor(F.col("start") / width), F.ceil(F.col("end") / width) - 1))))
-    inside = s.join(points.withColumn("_b", F.floor(F.col("t") / width)), [key, "_b"]).filter("start < t and t < end").select(key, "seq", "start", "end", "t")
+    wide = F.col(width) if isinstance(width, str) else F.lit(width)
+    points = cuts.select(key, F.col("start").alias("t"), F.floor(F.col("start") / wide).alias("_b"))
+    s = src.select(key, "seq", "start", "end", F.explode(buckets(F.col("start"), F.col("end"), wide)).alias("_b"))
+    inside = s.join(points, [key, "_b"]).filter("start < t and t < end").select(key, "seq", "start", "end", "t")
     marks = inside.union(src.select(key, "seq", "start", "end", F.col("start").alias("t"))).distinct()
     piece = F.coalesce(F.lead("t").over(w), F.col("end")) - F.col("t")
     longest = marks.withColumn("piece", piece).groupBy(key, "seq", "start", "end").agg(F.max("piece").alias("longest"))

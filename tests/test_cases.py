@@ -105,6 +105,14 @@ def test_families_need_both_sides(spark):
     assert lines[0] == "# Benchmark" and any(x.startswith("| unknown | 4 |") for x in lines) and any(x.startswith("| whole | unknown | 60 | 0.5 |") for x in lines)
 
 
+def test_long_chords_are_few_rows(spark):
+    """Chords of ages: in buckets of a minute each would be more rows than an array holds."""
+    chords = [(0.0, 1e12, "C"), (1e12, 2e12, "G"), (2e12, 2e12 + 1, "C")]
+    df = spark.createDataFrame([case("long", side(chords=chords), side(chords=[(0.0, 5e11, "C"), (5e11, 2e12 + 1, "G")]))], CASES + ", name string")
+    x = CA.chord_scores(df).collect()[0]
+    assert x.chords_segment_overlap == pytest.approx(0.75) and x.chords_change_detection_precision == pytest.approx(2 / 3)
+
+
 def test_reports_and_filling(spark, tmp_path):
     df = spark.createDataFrame([case("a", side(key="C major"), side(key="G major")), case("b", side(), side(), audio=None)], CASES + ", name string")
     CA.write_reports(CA.score_cases(df), str(tmp_path))
