@@ -163,7 +163,7 @@ def significant(value: Column, exponent: Column) -> Column:
 
 def write_reports(scores: DataFrame, folder: str) -> None:
     """benchmark.json (a line a case), benchmark.csv (fixed columns, a header) and benchmark.md (summary by engine, then cases), each a folder of part files under ``folder``."""
-    columns = [*CORE, *NUMBERS, *TEXTS]
+    columns, scores = [*CORE, *NUMBERS, *TEXTS], written(scores, "scores")
     kinds = {f.name: f.dataType.simpleString() for f in scores.schema}
     metrics = F.struct(*(F.col(plain(m)).alias(m) for m in [*NUMBERS, *TEXTS]))
     scores.select(*CORE, metrics.alias("metrics")).write.mode("overwrite").json(f"{folder}/benchmark.json")
@@ -173,7 +173,8 @@ def write_reports(scores: DataFrame, folder: str) -> None:
 
 
 def markdown(scores: DataFrame) -> DataFrame:
-    """One column value: the lines of the report, in order, in one sorted table."""
+    """One column value: the lines of the report, in order, in one sorted table. Scores are written once: the summary, the cases and the sort's sample read them."""
+    scores = written(scores, "scores")
     names = [plain(m) for m in [*NUMBERS, *TEXTS]]
     summary = engine_summary(scores, [plain(m) for m in NUMBERS])
     for m in TEXTS:

@@ -113,6 +113,18 @@ def test_long_chords_are_few_rows(spark):
     assert x.chords_segment_overlap == pytest.approx(0.75) and x.chords_change_detection_precision == pytest.approx(2 / 3)
 
 
+def test_a_report_computes_its_scores_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    df = CA.score_cases(spark.createDataFrame([case(str(i), side(key="C major"), side(key="C major")) for i in range(3)], CASES + ", name string"))
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    assert len(CA.markdown(df.mapInPandas(count, df.schema)).collect()) > 3 and seen.value == 3
+
+
 def test_reports_and_filling(spark, tmp_path):
     df = spark.createDataFrame([case("a", side(key="C major"), side(key="G major")), case("b", side(), side(), audio=None)], CASES + ", name string")
     CA.write_reports(CA.score_cases(df), str(tmp_path))
