@@ -131,5 +131,5 @@ def t3_live_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = [f"cast(null as {t}) as {c}" for c, t in J.TYPES.items() if c not in layers.columns]
     whole = layers.selectExpr("*", *fields)
     cmds = [command(k, *c).unionByName(whole.limit(0), allowMissingColumns=True) for k, c in enumerate([("transpose", 2), ("simplify", None), ("transpose", 5), ("undo", None)])]
-    out = J.newest(J.feed((x.select(*whole.columns) for x in [whole, *cmds]), J.live_layers, "update"))
+    out = J.newest(J.feed((x.select(*whole.columns) for x in [whole, *cmds]), J.live_layers, "update", on_disk=True))
     return out.select("song_id", "seq", "root", "quality", "source", "label")

@@ -1,7 +1,10 @@
 """Streams give what the batch operators give."""
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
+from cantus.operators import editing as ED
 from cantus.operators import seams as W
 from cantus.streaming import jobs as J
 
@@ -84,3 +87,15 @@ def test_a_fed_stream_keeps_its_watermark(spark):
     counts = lambda *parts: sorted((x.start.hour, x.n) for x in J.latest(J.feed(parts, lambda s: J.window_summary(s, "1 hour", late="2 hours"), "update"), "start", "end", "label").collect())
     assert counts(part(1, 9), part(1, 8)) == [(1, 1), (8, 1), (9, 1)]
     assert counts(part(1, 1, 9), part(8)) == [(1, 2), (8, 1), (9, 1)]
+
+
+def test_large_states_are_on_disk(spark):
+    """The state store of edited layers is RocksDB, not the executors' heaps; the session's own settings are as before."""
+    rows = spark.createDataFrame([(1, "base", 0, 0.0, "C", None), (1, "transpose", 0, None, None, 2)], "song_id bigint, kind string, seq bigint, start double, label string, semitones bigint")
+    rows = rows.select("*", *(F.lit(None).cast(t).alias(c) for c, t in ED.TYPES.items() if c not in rows.columns), *(F.lit(None).cast(t).alias(c) for c, t in (c.split() for c in ED.CHORD_COLUMNS.split(", ")) if c not in (*rows.columns, *ED.TYPES)))
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    out = J.feed([rows.filter("kind = 'base'"), rows.filter("kind <> 'base'")], J.live_layers, "update", on_disk=True)
+    assert out.count() == 2 and spark.conf.get(store) == before
+    folder = out.inputFiles()[0].removeprefix("file://").rsplit("/out/", 1)[0]
+    assert list(Path(folder).glob("state/state/0/*/*.changelog")) and not list(Path(folder).glob("state/state/0/*/*.delta"))
