@@ -2,9 +2,12 @@
 
 import itertools
 import random
+import time
 
+import numpy as np
 import pytest
 
+from cantus.operators import aligning as A
 from cantus.operators import cases as CA
 from cantus.operators import scoring as SC
 from cantus.sources.corpus import CASES
@@ -58,6 +61,20 @@ def test_word_times(spark):
     assert got == {1: (0.375, 0.375, 2.0), 2: (None, None, 0.0)}
 
 
+def test_same_pairs_are_those_of_the_traced_path():
+    """Random words, of which some are as no other and some alike, with columns kept and made again; and two long sequences, which rows of numbers took over a minute for."""
+    r = random.Random(5)
+    for t in range(300):
+        a, b = ([r.choice(["a", "b", "c", "d", None]) for _ in range(r.randint(0, 20))] for _ in range(2))
+        alike = {x: r.sample("abcd", r.randint(0, 2)) for x in "abcd"} if t % 2 else {}
+        same = lambda i, lo, hi: np.array([a[i] is not None and (a[i] == y or a[i] in alike.get(y, ())) for y in b[lo:hi]], bool)  # noqa: B023, E731
+        want = SC.edit_pairs(len(a), len(b), same)
+        assert A.same_pairs(a, b, alike) == A.same_pairs(a, b, alike, bits=20) == want
+    long, began = [r.randrange(3000) for _ in range(30_000)], time.time()
+    got = A.same_pairs(long, long[5:])
+    assert got == [(i + 5, i) for i in range(len(long) - 5)] and time.time() - began < 30
+
+
 def test_error_rates_match_brute_force(spark):
     def distance(a, b):
         row = list(range(len(b) + 1))
