@@ -135,6 +135,17 @@ def test_documents(spark):
     assert [x.text for x in new.lyrics] == ["new"] and new.raw == {"e": "t", "lyrics_override": "file.lrc"} and len(new.chords) == 2
 
 
+def test_words_much_alike_are_those_of_the_ratio():
+    from difflib import SequenceMatcher
+
+    r = random.Random(6)
+    words = ["".join(r.choices("abcd", k=r.randint(5, 12))) for _ in range(400)] + ["a" * 250, "ab" * 130]
+    words += [w[:2] + r.choice("abcd") + w[3:] for w in words] + [w[1:] for w in words]
+    pairs = [(r.choice(words), r.choice(words)) for _ in range(20_000)] + list(zip(words, words[402:], strict=False))
+    want = [SequenceMatcher(None, u, v).ratio() >= CH.ALIKE for u, v in pairs]
+    assert [CH.much_alike(u, v) for u, v in pairs] == want and 100 < sum(want) < len(want) / 2
+
+
 def test_clock_rounds_as_printf(spark):
     r = random.Random(4)
     values = [k / 8 for k in range(500)] + [k / 200 for k in range(3000)] + [r.randrange(518_400_000) * 5000 * 1e-6 for _ in range(3000)] + [r.uniform(0, 1e6) for _ in range(1000)] + [59.995, 1e-12]
